@@ -9,6 +9,9 @@ source. Edges that follow each other in a document and whose sources follow each
 other as well form one nonbranching path; paths, each with source coordinates,
 are what the operator returns, and what is removed is the union of the paths.
 
+Documents that are later copies of a whole text are told by the text's digest: all
+their windows start in the first copy, so they make no edges.
+
 Digests are 128 bits, so an equal digest stands for an equal word sequence.
 
 Rows with a null id neither lose words nor are sources. Null and blank texts
@@ -18,7 +21,6 @@ cleaned by its own words. Extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,25 +56,25 @@ def _sampled(digests: np.ndarray, rows: np.ndarray, length: int, k: int):
 
 
 def sampled_kmers(docs: DataFrame, id_col: str, text_col: str, length: int, k: int) -> DataFrame:
-    """(doc, kmer): the k-mers sampled from each text, once a text."""
+    """(doc, text_key, kmer): the k-mers sampled from each text, once a run of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, last, raw, at in c.text_slices(batch.column(1)):
+            ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for first, last, raw, at in c.text_slices(batch.column(2)):
                 digests, rows = c.word_digests(raw, at)
                 _, row, kmer = _sampled(digests, rows, length, k)
                 if len(row):
                     new = np.ones(len(row), dtype=bool)
                     new[1:] = (row[1:] != row[:-1]) | (kmer[1:] != kmer[:-1])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[first:last][row[new]]), pa.array(kmer[new].view(np.int64))], ["doc", "kmer"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[first:last][row[new]], keys[first:last][row[new]], kmer[new].view(np.int64))], ["doc", "text_key", "kmer"])
 
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col)).where(F.col(id_col).isNotNull())
-    return rows.mapInArrow(run, "doc long, kmer long")
+    rows = docs.select(F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(text_col)).where(F.col(id_col).isNotNull())
+    return rows.mapInArrow(run, "doc long, text_key long, kmer long")
 
 
 def _windows(length: int, k: int, removable_only: bool):
-    """Repeated-edge candidates of (doc, text_key, text, kmers, later): those whose sampled k-mer is among the repeated ones."""
+    """Repeated-edge candidates of (doc, tag, text, kmers, later): those whose sampled k-mer is among the repeated ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,79 +97,86 @@ def _windows(length: int, k: int, removable_only: bool):
                 two, _ = c.word_digests(raw, at, 1)
                 out = [ids[first:last][row], keys[first:last][row], (starts - rows[row]).astype(np.int32)]
                 out += [c.spans_digest(x, starts, starts + length, c.word_base(i)).view(np.int64) for i, x in enumerate((one, two))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["doc", "text_key", "pos", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["doc", "tag", "pos", "h1", "h2"])
 
     return run
 
 
-_WINDOW = "doc long, text_key long, pos int, h1 long, h2 long"
+_WINDOW = "doc long, tag int, pos int, h1 long, h2 long"
+#: Positions in a packed (document, position).
+_PLACES = 1 << 31
 
 
 def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 24) -> tuple[DataFrame, DataFrame]:
     """(keyed documents, paths).
 
-    Paths: doc, text_key, start, end (of the words covered), source_doc, source_start.
-    Keyed documents: doc, text_key, text and the repeated k-mers of each.
+    Paths: doc, tag (31 bits of a digest of the text, for rows that share an id), start,
+    end (of the words covered), source_doc, source_start. Keyed documents: doc, tag,
+    text, the repeated k-mers of each, and whether it is a later copy of a whole text.
     """
+    tag = F.xxhash64(text_col).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("tag")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), tag, F.md5(text_col).alias("whole"))
+    firsts = rows.where("doc is not null and whole is not null").groupBy("whole").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    # later copies of whole texts lose all their windows, so they make no edges
+    copies = rows.join(firsts, "whole").where("doc > low").groupBy("doc").agg(F.collect_set("tag").alias("copies"))
     kmers = sampled_kmers(docs, id_col, text_col, length, k)
-    repeated = kmers.groupBy("kmer").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("kmer", "low")
+    repeated = kmers.groupBy("kmer").agg(F.min("doc").alias("low"), F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a != b").select("kmer", "low")
     listed = (
-        kmers.join(repeated, "kmer")
+        kmers.select("doc", "kmer")
+        .join(repeated, "kmer")
         .groupBy("doc")
         .agg(F.collect_set("kmer").alias("kmers"), F.collect_set(F.when(F.col("low") < F.col("doc"), F.col("kmer"))).alias("later"))
+        .join(copies, "doc", "full")
     )
     listed = c.durable(listed)
     keyed = (
-        docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-        .withColumn("text_key", F.xxhash64("text"))
+        docs.select(F.col(id_col).cast("long").alias("doc"), tag, F.col(text_col).alias("text"))
         .join(listed.hint("shuffle_merge"), "doc", "left")
-        .select("doc", "text_key", "text", "kmers", "later")
+        .select("doc", "tag", "text", "kmers", "later", F.coalesce(F.array_contains("copies", F.col("tag")), F.lit(False)).alias("copy"))
     )
-    some = keyed.where("kmers is not null")
+    some = keyed.where("kmers is not null and not copy").drop("copy")
+    place = F.col("doc").cast("decimal(38,0)") * _PLACES + F.col("pos")
     edges = some.mapInArrow(_windows(length, k, False), _WINDOW)
-    sources = edges.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("source")).select("h1", "h2", F.col("source.doc").alias("source_doc"), F.col("source.pos").alias("source_pos"))
-    later = some.mapInArrow(_windows(length, k, True), _WINDOW)
-    repeats = later.join(sources, ["h1", "h2"]).where("source_doc < doc")
-    order = Window.partitionBy("doc", "text_key").orderBy("pos")
+    sources = edges.groupBy("h1", "h2").agg(F.min(place.cast("decimal(38,0)")).alias("source"))
+    later = some.where(F.size("later") > 0).mapInArrow(_windows(length, k, True), _WINDOW)
+    repeats = later.join(sources, ["h1", "h2"]).where(F.col("source") < F.col("doc").cast("decimal(38,0)") * _PLACES)
+    repeats = repeats.select("doc", "tag", "pos", F.floor(F.col("source") / _PLACES).cast("long").alias("source_doc"), F.pmod("source", F.lit(_PLACES)).cast("int").alias("source_pos"))
+    order = Window.partitionBy("doc", "tag").orderBy("pos")
     follows = (F.col("pos") == F.lag("pos").over(order) + 1) & (F.col("source_doc") == F.lag("source_doc").over(order)) & (F.col("source_pos") == F.lag("source_pos").over(order) + 1)
     paths = (
-        repeats.select("doc", "text_key", "pos", "source_doc", "source_pos")
-        .distinct()  # rows repeated as a whole
-        .withColumn("begins", F.when(follows, 0).otherwise(1))
+        repeats.withColumn("begins", F.when(follows, 0).otherwise(1))
         .withColumn("path", F.sum("begins").over(order))
-        .groupBy("doc", "text_key", "path")
-        .agg(F.min("pos").alias("start"), (F.max("pos") + length).alias("end"), F.first("source_doc").alias("source_doc"), F.min("source_pos").alias("source_start"))
+        .groupBy("doc", "tag", "path")
+        .agg(F.min("pos").alias("start"), (F.max("pos") + length).alias("end"), F.min("source_doc").alias("source_doc"), F.min("source_pos").alias("source_start"))
         .drop("path")
     )
     return keyed, paths
 
 
-def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in (0, 1, 2, 3)]
-        out: list[list] = [[], [], [], []]
-        for doc, key, text, spans in zip(*cols, strict=True):
-            words = (text or "").encode().split()
-            keep = np.ones(len(words), dtype=bool)
-            for span in spans or ():
-                if span["text_key"] == key:
-                    keep[span["start"] : span["end"]] = False
-            left = words if keep.all() else [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-            for column, value in zip(out, (doc, len(words), len(words) - len(left), b" ".join(left).decode()), strict=True):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], ["doc", "n_words", "n_removed", "kept"])
+def _clean(length: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for doc, tag, text, copy, spans in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                words = (text or "").encode().split()
+                keep = np.full(len(words), not (copy and len(words) >= length))
+                for span in spans or ():
+                    if span["tag"] == tag:
+                        keep[span["start"] : span["end"]] = False
+                left = words if keep.all() else [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+                for column, value in zip(out, (doc, len(words), len(words) - len(left), b" ".join(left).decode()), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string())], ["doc", "n_words", "n_removed", "kept"])
+
+    return run
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 24) -> DataFrame:
     """(id, n_words, n_removed, kept): every text without the words of its repeated paths, kept words joined by one space."""
     keyed, paths = repeated_paths(docs, id_col, text_col, length, k)
-    spans = paths.groupBy("doc").agg(F.collect_list(F.struct("text_key", "start", "end")).alias("spans"))
-    joined = keyed.join(spans.hint("shuffle_merge"), "doc", "left").select("doc", "text_key", "text", "spans")
-    return joined.mapInArrow(_clean, "doc long, n_words long, n_removed long, kept string").withColumnRenamed("doc", id_col)
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+    spans = paths.groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "end")).alias("spans"))
+    joined = keyed.join(spans.hint("shuffle_merge"), "doc", "left").select("doc", "tag", "text", "copy", "spans")
+    return joined.mapInArrow(_clean(length), "doc long, n_words long, n_removed long, kept string").withColumnRenamed("doc", id_col)
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
