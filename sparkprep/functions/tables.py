@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Types of time columns.
+TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -41,6 +45,13 @@ def known(df: DataFrame, columns: Iterable[str] | None) -> list[str]:
     return list(df.columns) if columns is None else [c for c in columns if c in df.columns]
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's r of the rows that have both; null where either has no spread."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def to_long(one: DataFrame, fields: Mapping[str, Mapping[str, Column]], key: str = "column", by: Iterable[str] = ()) -> DataFrame:
     """One row per entry of fields from a frame of wide aggregates."""
     rows = F.array(*[F.struct(F.lit(name).alias(key), *[v.alias(k) for k, v in entry.items()]) for name, entry in fields.items()])

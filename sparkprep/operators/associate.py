@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkprep.functions.tables import known, numeric_columns, to_long
+from sparkprep.functions.tables import correlation, known, numeric_columns, to_long
 from sparkprep.operators.windows import average_rank
 
 
@@ -18,8 +18,8 @@ def pearson_pairs(df: DataFrame, columns: Iterable[str] | None = None, min_perio
     aggs, fields = [], {}
     for k, (a, b) in enumerate(combinations(names, 2)):
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        aggs += [F.count_if(both).alias(f"n{k}"), F.corr(F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))).alias(f"r{k}")]
-        r = F.when((F.col(f"n{k}") >= min_periods) & ~F.isnan(f"r{k}"), F.col(f"r{k}"))
+        aggs += [F.count_if(both).alias(f"n{k}"), correlation(F.col(a), F.col(b)).alias(f"r{k}")]
+        r = F.when(F.col(f"n{k}") >= min_periods, F.col(f"r{k}"))
         fields[f"{a}\x00{b}"] = {"a": F.lit(a), "b": F.lit(b), "n": F.col(f"n{k}"), "r": r}
     return to_long(df.agg(*aggs), fields, key="_pair").drop("_pair")
 
@@ -28,7 +28,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row n, rho: Pearson on average ranks of the rows that have both."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("x"), F.col(b).alias("y"))
     ranked = average_rank(average_rank(both, "x", "rx"), "y", "ry")
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
+    return ranked.agg(F.count(F.lit(1)).alias("n"), correlation(F.col("rx"), F.col("ry")).alias("rho"))
 
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkprep.functions.tables import durable, known, numeric_columns, string_columns
+from sparkprep.functions.tables import TIMES, durable, known, numeric_columns, string_columns
 from sparkprep.operators.profile import fences
 
 #: Texts that stand for a missing value once stripped and lower-cased.
@@ -134,7 +134,7 @@ def parse_datetime(df: DataFrame, columns: Iterable[str], format: str | None = N
     forms = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", *days, "dd MMM yyyy", "yyyyMMdd")
     made = {}
     for c in known(df, columns):
-        if isinstance(df.schema[c].dataType, T.TimestampType | T.DateType):
+        if isinstance(df.schema[c].dataType, TIMES):
             continue
         if unit is not None:
             scale = {"s": 1_000_000, "ms": 1_000, "us": 1}[unit]

@@ -220,12 +220,12 @@ def anova_f(df: DataFrame, columns: Iterable[str], label: str) -> DataFrame:
 
 def regression_f(df: DataFrame, columns: Iterable[str], target: str) -> DataFrame:
     """column, f: r2 / (1 - r2) * (n - 2) of each column with the target."""
-    from sparkprep.functions.tables import to_long
+    from sparkprep.functions.tables import correlation, to_long
 
     aggs, fields = [], {}
     for i, c in enumerate(columns):
         both = F.col(c).isNotNull() & F.col(target).isNotNull()
-        aggs += [F.corr(F.when(both, F.col(c).cast("double")), F.when(both, F.col(target).cast("double"))).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
+        aggs += [correlation(F.col(c), F.col(target)).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
         r2 = F.col(f"r{i}") * F.col(f"r{i}")
         fields[c] = {"f": F.try_divide(r2 * (F.col(f"n{i}") - 2), 1 - r2)}
     return to_long(df.agg(*aggs), fields)

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from sparkprep.queries.base import Query
 
-AREAS = ("profile", "clean", "features")
+AREAS = ("profile", "clean", "features", "measures", "models")
 
 
 def queries() -> dict[str, Query]:

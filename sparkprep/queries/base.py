@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def coarse(df: DataFrame) -> DataFrame:
     """Doubles to seven digits, and what is next to nothing to 0, so that the order of a sum does not show."""
-    fix = {f.name: F.when(F.abs(f.name) < 1e-9, 0.0).otherwise(F.col(f.name).cast("float").cast("double")) for f in df.schema if isinstance(f.dataType, T.DoubleType | T.FloatType)}
+    fix = {f.name: F.when(F.abs(F.col(f"`{f.name}`")) < 1e-9, 0.0).otherwise(F.col(f"`{f.name}`").cast("float").cast("double")) for f in df.schema if isinstance(f.dataType, T.DoubleType | T.FloatType)}
     return df.withColumns(fix) if fix else df
 
 
@@ -28,5 +28,5 @@ class Book:
         """doubles: the SQL's floating columns, separated by blanks."""
         self.queries[name] = lambda spark, sf_dir: coarse(query(spark, sf_dir))
         if sql is not None:
-            fix = ", ".join(f"CASE WHEN abs({c}) < 1e-9 THEN 0.0::DOUBLE ELSE CAST(CAST({c} AS FLOAT) AS DOUBLE) END AS {c}" for c in doubles.split())
+            fix = ", ".join(f'CASE WHEN abs("{c}") < 1e-9 THEN 0.0::DOUBLE ELSE CAST(CAST("{c}" AS FLOAT) AS DOUBLE) END AS "{c}"' for c in doubles.split())
             self.sql[name] = f"SELECT * REPLACE ({fix}) FROM ({sql})" if fix else sql

@@ -140,4 +140,10 @@ book.add(
     f"SELECT score, n, positives, (sum(n) OVER w)::BIGINT AS upto, (sum(positives) OVER w)::BIGINT AS hits FROM (SELECT score, count(*) AS n, sum(label)::BIGINT AS positives FROM {DS} GROUP BY score) WINDOW w AS (ORDER BY score DESC)",
     "score",
 )
-book.add("u4_name_overlap", lambda s, d: s.range(1).select(A.name_overlap(F.array(*map(F.lit, ["a", "b", "c"])), F.array(*map(F.lit, ["b", "c", "d"]))).alias("jaccard")).crossJoin(read(s, d, "region").agg(F.count(F.lit(1)).alias("n"))), "SELECT 0.5 AS jaccard, count(*) AS n FROM region", "jaccard")
+SEGMENTS = "(SELECT c_nationkey, list(DISTINCT c_mktsegment) FILTER (c_acctbal > 5000) AS a, list(DISTINCT c_mktsegment) FILTER (c_acctbal < 0) AS b FROM customer GROUP BY 1)"
+book.add(
+    "u4_name_overlap",
+    lambda s, d: read(s, d, "customer").groupBy("c_nationkey").agg(F.collect_set(F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment"))).alias("a"), F.collect_set(F.when(F.col("c_acctbal") < 0, F.col("c_mktsegment"))).alias("b")).select("c_nationkey", A.name_overlap(F.col("a"), F.col("b")).alias("jaccard")),
+    f"SELECT c_nationkey, coalesce(len(list_intersect(coalesce(a, []), coalesce(b, []))) / nullif(len(list_distinct(list_concat(coalesce(a, []), coalesce(b, [])))), 0)::DOUBLE, 0.0) AS jaccard FROM {SEGMENTS}",
+    "jaccard",
+)
