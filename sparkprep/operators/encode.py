@@ -8,7 +8,10 @@ row a level and is joined, not broadcast by hand: Spark broadcasts it by its siz
 from __future__ import annotations
 
 from collections.abc import Iterable
+from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,17 +156,12 @@ def fit_quantile_grid(train: DataFrame, column: str, n: int = 1000) -> list[floa
 
 def quantile_transform(df: DataFrame, column: str, grid: list[float], normal: bool = True) -> DataFrame:
     """column_quantile: place on the grid by interpolation (the mean from left and right where values repeat), as a normal score or in 0..1."""
-    import numpy as np
-    import pandas as pd
-
     at, edge = np.linspace(0, 1, len(grid)), np.array(grid, dtype=float)
 
     def place(x: pd.Series) -> pd.Series:
         v = x.to_numpy(dtype=float)
         p = 0.5 * (np.interp(v, edge, at) - np.interp(-v, -edge[::-1], -at[::-1]))
         if normal:
-            from statistics import NormalDist
-
             inverse = NormalDist().inv_cdf
             p = np.array([np.nan if np.isnan(u) else inverse(min(max(u, 1e-7), 1 - 1e-7)) for u in p])
         return pd.Series(np.where(np.isnan(v), np.nan, p))
@@ -259,8 +257,6 @@ def pca(df: DataFrame, columns: list[str], n_components: int, name: str = "pca")
 
 def truncated_svd(df: DataFrame, columns: list[str], n_components: int, name: str = "svd") -> tuple[DataFrame, list[list[float]]]:
     """(df with name_1.., components): right singular vectors of the uncentred matrix, from its Gram matrix in one aggregate, so the driver holds columns x columns numbers."""
-    import numpy as np
-
     x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
     pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
     row = df.agg(*[F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
