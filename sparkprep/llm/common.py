@@ -183,3 +183,27 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         above = found.select(F.col("node").alias("up"), F.col("component").alias("over"))
         found = parent.join(above, "up", "left").select("node", F.coalesce("over", "up").alias("component"))
     return found
+
+
+class Sealed:
+    """A frame whose columns have names of their own, so that no name an operator uses inside can clash with one of the data.
+
+    ``df`` has the columns under the sealed names, ``self[name]`` is the sealed name
+    of a column, and ``reopen`` gives the original names back. A column of the data
+    that has the name of an output is replaced by the output.
+    """
+
+    def __init__(self, df: DataFrame) -> None:
+        self.names = df.columns
+        self.df = df.toDF(*[f"sealed{i}" for i in range(len(self.names))])
+
+    def __getitem__(self, name: str) -> str:
+        if name in self.names:
+            return f"sealed{self.names.index(name)}"
+        return f"sealed{[n.lower() for n in self.names].index(name.lower())}"
+
+    def reopen(self, df: DataFrame, replaced: dict[str, Column] | None = None, added: dict[str, Column] | None = None) -> DataFrame:
+        replaced, added = replaced or {}, added or {}
+        taken = {n.lower() for n in added}
+        kept = [(replaced[n] if n in replaced else F.col(f"sealed{i}")).alias(n) for i, n in enumerate(self.names) if n.lower() not in taken]
+        return df.select(*kept, *[v.alias(n) for n, v in added.items()])

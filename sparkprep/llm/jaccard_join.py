@@ -19,7 +19,9 @@
 
 Shingles are ``shingle`` consecutive words, unchanged; a text of fewer words has its
 whole word sequence as its one shingle. Texts without words (null, empty, blank)
-link to nothing. Rows of one id and different texts are different documents.
+link to nothing. Rows of one id and different texts are different documents; repeated
+rows are copies of each other. A null id is no class's smallest id unless all are null.
+Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -79,7 +81,7 @@ def _signatures(shingle: int, hashes: int):  # noqa: ANN202
                     part = (found[1][i : i + 512, None] * times + plus).min(axis=0)
                     low = part if low is None else np.minimum(low, part)
                 prints.append(found[0]), sizes.append(len(found[1])), signs.append((low >> np.uint64(32)).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary())], ["id", "print", "n_shingles", "sign"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary())], ["id", "text_key", "print", "n_shingles", "sign"])
 
     return run
 
@@ -209,16 +211,17 @@ def near_duplicates(
     block: int = 512,
     block_shingles: int = 1_000_000,
 ) -> DataFrame:
-    """(id, class_id, n_copies, n_links): one row a row of docs.
+    """(id, text_key, class_id, n_copies, n_links): one row a row of docs.
 
     ``class_id`` is the smallest id of the documents linked with this one, directly or
     through others; ``n_copies`` the number of documents of the same words, this one
-    included; ``n_links`` the number of other documents at or above the threshold, copies included.
+    included; ``n_links`` the number of other documents at or above the threshold, copies included;
+    ``text_key`` a digest of the text, which tells rows of one id apart.
     """
     hashes = trees * max_depth
     depth = forest_depth(threshold, trees, max_depth, target_recall)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = c.durable(rows.mapInArrow(_signatures(shingle, hashes), "id long, print binary, n_shingles int, sign binary"))
+    signed = c.durable(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signatures(shingle, hashes), "id long, text_key long, print binary, n_shingles int, sign binary"))
     classes = signed.where("print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign"))
     classes = c.durable(classes)
 
@@ -260,11 +263,11 @@ def near_duplicates(
     found = classes.select("print", "rep", "n").join(named, "print", "left")
     found = found.select("print", F.coalesce("class_id", "rep").alias("class_id"), F.col("n").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     return (
-        signed.select("id", "print")
+        signed.select("id", "text_key", "print")
         .join(found, "print", "left")
-        .select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        .select(F.col("id").alias(id_col), "text_key", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     )
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(c.read(spark, sf_dir, "documents"))
+    return near_duplicates(c.read(spark, sf_dir, "documents")).drop("text_key")

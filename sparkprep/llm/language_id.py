@@ -14,7 +14,8 @@ language, so the model's size is bounded by parameters. Prediction reads whole t
 
 Words are runs of letters, lower-cased. A null text, or one without a letter, is
 ``und`` with score 0. So is every text if nothing could be learned. Rows whose
-language or text is null teach nothing. Extra columns are ignored.
+language or text is null teach nothing. Extra columns are kept, whatever their names; one
+that is called like an output is replaced. Repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -163,9 +164,10 @@ def _predictor(shared):  # noqa: ANN001, ANN202
 def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """docs with the predicted language and its score."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams, model.max_n, model.sharpness))
-
     predict = F.pandas_udf(_predictor(shared), "lang string, score double")
-    return docs.withColumn("_found", predict(F.col(text_col))).select(*docs.columns, F.col("_found.lang").alias(lang_out), F.col("_found.score").alias(score_out))
+    sealed = c.Sealed(docs)
+    found = sealed.df.withColumn("_found", predict(F.col(sealed[text_col])))
+    return sealed.reopen(found, added={lang_out: F.col("_found.lang"), score_out: F.col("_found.score")})
 
 
 def held_out(remainder: int, by: int) -> Column:

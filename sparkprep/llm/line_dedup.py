@@ -9,7 +9,8 @@ position.
 A row's identity is (id, digest of its text): repeated rows and rows that share an
 id are cleaned each by its own lines, and rows of one id count as one document;
 null ids count as one document. A null or empty text is one empty line. Lines
-whose key is empty are never dropped. Extra columns are kept.
+whose key is empty are never dropped. Extra columns are kept, whatever their names; one
+that is called like an output is replaced.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lower case. A key of at least ``min_key_chars`` code points that is in at
     least ``min_documents`` documents loses all its lines in every document.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_doc"), text.alias("_text")).select("_doc", F.xxhash64("_text").alias("_row"), "_text")
-    lines = keyed.select("_doc", "_row", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line"))
+    sealed = c.Sealed(docs)
+    rows = sealed.df.withColumn("_doc", F.coalesce(F.col(sealed[id_col]).cast("string"), F.lit(""))).withColumn("_text", F.coalesce(F.col(sealed[text_col]), F.lit("")))
+    lines = rows.select("_doc", F.xxhash64("_text").alias("_row"), F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line"))
     key = c.ascii_lower(F.trim(F.col("_line"), F.lit(c.BLANKS)))
     lines = (
         lines.select("_doc", "_row", "_pos", key.alias("_key"))
@@ -39,15 +40,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     common = lines.groupBy("_digest").agg(F.count_distinct("_doc").alias("_n")).where(F.col("_n") >= min_documents).select("_digest")
     # left_semi keeps the many lines on the side that adaptive execution may split
     dropped = lines.join(common, "_digest", "left_semi").groupBy("_doc", "_row").agg(F.collect_set("_pos").alias("_gone"))
-    rows = docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("_row", F.xxhash64(text))
-    joined = rows.join(dropped, ["_doc", "_row"], "left").withColumn("_lines", F.split(text, "\n", -1)).withColumn("n_lines", F.size("_lines").cast("long"))
+    rows = rows.withColumn("_row", F.xxhash64("_text")).join(dropped, ["_doc", "_row"], "left")
+    rows = rows.withColumn("_lines", F.split("_text", "\n", -1)).withColumn("_n_lines", F.size("_lines").cast("long"))
     keep = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    joined = joined.withColumn("_keep", F.when(F.col("_gone").isNotNull(), keep))
+    rows = rows.withColumn("_keep", F.when(F.col("_gone").isNotNull(), keep))
     kept = F.array_join(F.transform("_keep", lambda i: F.col("_lines")[i]), "\n")
-    return (
-        joined.withColumn("n_dropped", F.coalesce(F.col("n_lines") - F.size("_keep"), F.lit(0)).cast("long"))
-        .withColumn(text_col, F.when(F.col("_gone").isNull(), text).otherwise(kept))
-        .select(*docs.columns, "n_lines", "n_dropped")
+    return sealed.reopen(
+        rows,
+        {text_col: F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(kept)},
+        {"n_lines": F.col("_n_lines"), "n_dropped": F.coalesce(F.col("_n_lines") - F.size("_keep"), F.lit(0)).cast("long")},
     )
 
 

@@ -15,7 +15,7 @@ of the bin in which the target is met are ordered one by one.
 Null texts have size 0; sizes of 0 are taken 0 times. A null source is a source
 of its own, last in order. Rows of one id get one random number; equal ranks are
 ordered by size and then taken as they come, which gives the same rows. An empty
-table gives an empty result. Built of DataFrame functions only.
+table gives an empty result. Extra columns are ignored. Built of DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -55,9 +55,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: str = "mix", bins: int = 4096
 ) -> DataFrame:
-    """(id, size, source, source_size, target, copies, taken): one row a row of docs."""
+    """(id, text_key, size, source, source_size, target, copies, taken): one row a row of docs; ``text_key`` is a digest of the text, which tells rows of one id apart."""
     unit = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
-    sized = c.durable(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), ((unit + 0.5) / 4503599627370496.0).alias("u")))
+    sized = c.durable(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("text_key"), word_count(F.col(text_col)).alias("size"), ((unit + 0.5) / 4503599627370496.0).alias("u")))
     targets = source_targets(sized, weights, cap)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     placed = (
@@ -85,9 +85,9 @@ def mix_sources(
     # the last document is taken if the total is nearer the target with it than without
     some = some.withColumn("extra", ((F.col("upto") - F.col("size") / 2.0) <= F.col("need")).cast("long")).drop("upto")
     rest = placed.where("state is null or state != 'some'").withColumn("extra", F.when(F.col("state") == "all", 1).otherwise(0).cast("long"))
-    ranked = c.durable(rest.unionByName(some).select("id", "size", "source", "source_size", "target", "whole", "need", "rank", "extra"))
+    ranked = c.durable(rest.unionByName(some).select("id", "text_key", "size", "source", "source_size", "target", "whole", "need", "rank", "extra"))
     return _settle(ranked).select(
-        F.col("id").alias(id_col), "size", "source", "source_size", "target", F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0).cast("long").alias("copies")
+        F.col("id").alias(id_col), "text_key", "size", "source", "source_size", "target", F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0).cast("long").alias("copies")
     ).withColumn("taken", F.col("copies") * F.col("size"))
 
 

@@ -14,7 +14,8 @@ the same word varies within a document and reruns agree.
 
 Decoding joins the pieces' bytes and is exact for every text: characters that are
 no piece, line ends and a literal U+2581 among them, are encoded as byte pieces.
-A null text has null ids, an empty one none. Extra columns are kept.
+A null text has null ids, an empty one none; repeated rows get the same pieces. Extra
+columns are kept, whatever their names; one that is called like an output is replaced.
 """
 
 from __future__ import annotations
@@ -328,30 +329,28 @@ def encode_pieces(
 ) -> DataFrame:
     """docs with ``ids_out`` array<int>; and, if ``check_out`` is given, the text decoded from them again."""
     shared = _shared(docs.sparkSession, model_file)
+    sealed = c.Sealed(docs)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, dropout, seed, variants)
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                keys, texts = part.column(part.num_columns - 1).to_pylist(), part.column(part.schema.names.index(text_col)).to_pylist()
-                found = codec.encode_all(texts, keys)
+                found = codec.encode_all(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist())
                 sizes = np.array([len(x) // 4 if x else 0 for x in found], dtype=np.int32)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 values = pa.array(np.frombuffer(b"".join(x for x in found if x), dtype=np.int32))
                 ids = pa.ListArray.from_arrays(offsets, values)
                 if None in found:
                     ids = pc.if_else(pa.array([x is not None for x in found]), ids, pa.scalar(None, ids.type))
-                columns = [*part.columns[:-1], ids]
-                if check_out:
-                    columns.append(pa.array([None if x is None else codec.decode(x) for x in found], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[:-1], ids_out, *([check_out] if check_out else [])])
-
-    schema = T.StructType([*docs.schema, T.StructField(ids_out, T.ArrayType(T.IntegerType()))])
-    if check_out:
-        schema = schema.add(check_out, "string")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col).cast("string")))
-    return keyed.mapInArrow(run, schema)
+                back = pa.array([None if x is None or not check_out else codec.decode(x) for x in found], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, back], [*part.schema.names[:-1], "_ids", "_back"])
+
+    keyed = sealed.df.withColumn("_key", F.xxhash64(F.col(sealed[id_col]).cast("string")))
+    schema = T.StructType([*sealed.df.schema, T.StructField("_ids", T.ArrayType(T.IntegerType())), T.StructField("_back", T.StringType())])
+    made = keyed.mapInArrow(run, schema)
+    return sealed.reopen(made, added={ids_out: F.col("_ids")} | ({check_out: F.col("_back")} if check_out else {}))
 
 
 def decode_pieces(encoded: DataFrame, ids_col: str = "ids", model_file: str = MODEL, text_out: str = "text") -> DataFrame:

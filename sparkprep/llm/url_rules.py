@@ -7,7 +7,8 @@ under its rarest token, a url looks up its tokens, and a listed rule fits if the
 has all its tokens. Given host and path rules are judged first; the longest wins.
 
 A url without ``://`` and a null url have empty host and path, no tokens, and are
-allowed. Repeated rows are judged alike. Without labelled urls no rule is mined.
+allowed. Repeated rows are judged alike. Without labelled urls no rule is mined. Extra columns are kept,
+whatever their names; one that is called like an output is replaced.
 """
 
 from __future__ import annotations
@@ -58,6 +59,8 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.01, min_count: int =
     """
     baskets = c.durable(labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")))
     n = baskets.count()
+    if not n:
+        return baskets.sparkSession.createDataFrame([], "anchor string, tokens array<string>, confidence double, support double")
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / max(1, n))), minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     counts = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
@@ -74,12 +77,14 @@ def match_rules(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> Data
 
 def filter_urls(urls: DataFrame, rules: DataFrame, given: tuple[tuple[str, str, str], ...] = (), url_col: str = "url") -> DataFrame:
     """urls with host, path, rule (the given rule that decided, or null), confidence and verdict."""
-    best = match_rules(urls, rules, url_col).select(F.col("url").alias("_url"), "confidence")
-    judged = urls.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
-    judged = judged.withColumn("_given", given_rule(F.col("host"), F.col("path"), given) if given else F.lit(None).cast("struct<rule:string,verdict:string>"))
-    judged = judged.join(best, F.col(url_col) == F.col("_url"), "left")
+    sealed = c.Sealed(urls)
+    url = sealed[url_col]
+    best = match_rules(sealed.df, rules, url).select(F.col("url").alias("_url"), "confidence")
+    judged = sealed.df.withColumn("_host", host_of(F.col(url))).withColumn("_path", path_of(F.col(url)))
+    judged = judged.withColumn("_given", given_rule(F.col("_host"), F.col("_path"), given) if given else F.lit(None).cast("struct<rule:string,verdict:string>"))
+    judged = judged.join(best, F.col(url) == F.col("_url"), "left")
     verdict = F.coalesce(F.col("_given.verdict"), F.when(F.col("confidence").isNotNull(), "block").otherwise("allow"))
-    return judged.select(*urls.columns, "host", "path", F.col("_given.rule").alias("rule"), verdict.alias("verdict"), "confidence")
+    return sealed.reopen(judged, added={"host": F.col("_host"), "path": F.col("_path"), "rule": F.col("_given.rule"), "verdict": verdict, "confidence": F.col("confidence")})
 
 
 def op3_url_rules(spark, sf_dir: str) -> DataFrame:
