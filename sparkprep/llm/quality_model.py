@@ -91,13 +91,11 @@ def _featurise(buckets: int, sizes: tuple[int, ...]):  # noqa: ANN202
 
 
 def _descend(shared, rate: float, epoch: int, passes: int):  # noqa: ANN001, ANN202
-    """Passes over a shard's rows; yields the shard's weights."""
+    """Passes over a shard's rows; gives the shard's weights."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(shard: pa.Table) -> pa.Table:
         vectors, layer = (x.copy() for x in shared.value)
-        rows = [(label, np.array(b, dtype=np.int64), np.array(n, dtype=np.float32)) for batch in batches for label, b, n in zip(*(col.to_numpy(zero_copy_only=False) for col in batch.columns), strict=True)]
-        if not rows:
-            return
+        rows = [(label, np.array(b, dtype=np.int64), np.array(n, dtype=np.float32)) for label, b, n in zip(*(shard.column(x).to_numpy() for x in ("label", "buckets", "counts")), strict=True)]
         state = np.random.RandomState(epoch)
         for i in np.concatenate([state.permutation(len(rows)) for _ in range(passes)]).tolist():
             label, bucket, n = rows[i]
@@ -111,7 +109,7 @@ def _descend(shared, rate: float, epoch: int, passes: int):  # noqa: ANN001, ANN
             layer -= rate * np.outer(p, mean).astype(np.float32)
             if len(bucket):
                 vectors[bucket] -= rate * share[:, None] * back[None, :]
-        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([vectors.astype(np.float32).tobytes()], pa.binary()), pa.array([layer.astype(np.float32).tobytes()], pa.binary())], ["n", "vectors", "layer"])
+        return pa.table({"n": pa.array([len(rows)], pa.int64()), "vectors": pa.array([vectors.astype(np.float32).tobytes()], pa.binary()), "layer": pa.array([layer.astype(np.float32).tobytes()], pa.binary())})
 
     return run
 
@@ -135,9 +133,10 @@ def fit_quality_model(
     known = labels.where(F.col(label_col).isin(0, 1)) if usable is None else labels.where(F.col(label_col).isin(0, 1) & usable)
     sample = known.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id", "_label").limit(max_train_docs)
     # at most max_train_docs rows of 12 bytes are broadcast
-    rows = docs.join(F.broadcast(sample), F.col(id_col) == F.col("_id")).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("_label").alias("label"), "_id")
-    made = rows.repartition(shards, F.xxhash64("_id")).select("text", "label").mapInArrow(_featurise(buckets, sizes), "label int, buckets array<int>, counts array<float>")
-    made = c.durable(made)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("_id")).select("text", F.col("_label").alias("label"), "_id")
+    made = rows.select("text", "label").mapInArrow(_featurise(buckets, sizes), "label int, buckets array<int>, counts array<float>")
+    # shards are groups, so there are as many weights as shards however many partitions hold them
+    made = c.durable(made.withColumn("shard", F.pmod(F.xxhash64("buckets", "counts"), F.lit(shards))))
     # few rows are passed over more often, so that about `visits` steps are made in all
     passes = min(20, max(1, round(visits / epochs / max(1, made.count()))))
     state = np.random.RandomState(11)
@@ -146,7 +145,7 @@ def fit_quality_model(
     context = docs.sparkSession.sparkContext
     for epoch in range(epochs):
         shared = context.broadcast((vectors, layer))
-        parts = made.mapInArrow(_descend(shared, rate * (1 - epoch / epochs), epoch, passes), "n long, vectors binary, layer binary").collect()  # a row a shard, of the model's size
+        parts = made.groupBy("shard").applyInArrow(_descend(shared, rate * (1 - epoch / epochs), epoch, passes), "n long, vectors binary, layer binary").collect()  # a row a shard, of the model's size
         if not parts:
             break
         weight = np.array([p["n"] for p in parts], dtype=np.float64) / sum(p["n"] for p in parts)
