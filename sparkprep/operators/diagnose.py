@@ -142,3 +142,22 @@ def what_if(df: DataFrame, model, features: list[str], key: str, prediction: str
             one = model.transform(typical.withColumn(f, F.lit(q[f"q{i}"][k]).cast(df.schema[f].dataType))).select(F.lit(f).alias("feature"), F.lit(tag).alias("moved_to"), F.col(prediction).alias("after"))
             out = one if out is None else out.unionByName(one)
     return out.join(F.broadcast(before), how="cross").select("feature", "moved_to", "before", "after")
+
+
+def learning_curve(df: DataFrame, make: Callable, score: Callable[[DataFrame], float], key: str, n_folds: int = 3, shares: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8, 1.0), seed: int = 0) -> DataFrame:
+    """share, train_score, test_score: means over folds on nested samples by a digest of the key."""
+    from sparkprep.operators.models import predict
+    from sparkprep.operators.split import fold_parts, folds
+
+    dealt = folds(df, "random", key, n_folds, seed=seed).withColumn("_u", F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(1000)) / 1000)
+    rows = []
+    for share in shares:
+        train_scores, test_scores = [], []
+        for k in range(n_folds):
+            train, test = fold_parts(dealt, k)
+            part = train.where(F.col("_u") < share)
+            model = make().fit(part)
+            train_scores.append(float(score(predict(model, part))))
+            test_scores.append(float(score(predict(model, test))))
+        rows.append((share, sum(train_scores) / n_folds, sum(test_scores) / n_folds))
+    return df.sparkSession.createDataFrame(rows, "share double, train_score double, test_score double")

@@ -230,3 +230,69 @@ def group_statistics(df: DataFrame, by: list[str], columns: list[str], statistic
         "skew": lambda c: adjusted_skew(F.count(c), F.skewness(c)),
     }
     return df.groupBy(*by).agg(*[make[s](F.col(c)).alias(f"{c}_{s}") for c in columns for s in statistics])
+
+
+def infer_kinds(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """column, kind, reason: what each column holds, by its type, counts, patterns and name.
+
+    Kinds: numeric_continuous, numeric_discrete, categorical_nominal, categorical_ordinal,
+    boolean, datetime, text, geo, identifier, constant, unknown. The aggregates are a
+    row a column; the ladder over them runs on the driver.
+    """
+    from sparkprep.functions.tables import TIMES
+    from sparkprep.functions.text import datetime_likeness, name_hints, semantic_types, vocabulary_of
+
+    names = known(df, columns)
+    counts = {r["column"]: r for r in column_counts(df, names).collect()}
+    numbers, texts = [c for c in names if c in numeric_columns(df)], [c for c in names if c in string_columns(df)]
+    shape = {r["column"]: r for r in moments(df, numbers).collect()} if numbers else {}
+    whole = df.agg(*[F.bool_and(F.col(c) == F.floor(F.col(c))).alias(c) for c in numbers]).first().asDict() if numbers else {}
+    words = {r["column"]: r for r in string_statistics(df, texts).collect()} if texts else {}
+    patterns = {r["column"]: r["semantic_type"] for r in semantic_types(df, texts).collect()} if texts else {}
+    dates = {r["column"]: r["is_datetime"] for r in datetime_likeness(df, texts).collect()} if texts else {}
+    rows = []
+    for c in names:
+        n, hints, kind = counts[c], name_hints(c), df.schema[c].dataType
+        unique = n["cardinality_ratio"] >= 0.999 and n["n_rows"] - n["n_missing"] >= 20
+        if n["n_missing"] == n["n_rows"]:
+            found = ("unknown", "no values")
+        elif n["is_constant"]:
+            found = ("constant", "one value")
+        elif isinstance(kind, T.BooleanType):
+            found = ("boolean", "type")
+        elif isinstance(kind, TIMES):
+            found = ("datetime", "type")
+        elif c in numbers:
+            low, high = shape[c]["minimum"], shape[c]["maximum"]
+            if n["n_distinct"] == 2 and (low, high) == (0.0, 1.0):
+                found = ("boolean", "0 and 1")
+            elif "geo" in hints and -180 <= low and high <= 180:
+                found = ("geo", "named like a coordinate and in its range")
+            elif whole[c] and (unique or "identifier" in hints and n["cardinality_ratio"] > 0.9):
+                found = ("identifier", "whole numbers, one a row")
+            elif "date" in hints and whole[c] and 1e8 < low and high < 1e13:
+                found = ("datetime", "seconds or milliseconds")
+            elif whole[c]:
+                found = ("numeric_discrete", "whole numbers")
+            else:
+                found = ("numeric_continuous", "fractions")
+        elif c in texts:
+            vocabulary = vocabulary_of(df, c)[0] if n["n_distinct"] <= 64 else None
+            if patterns[c] == "uuid" or unique and words[c]["mean_tokens"] < 3 and patterns[c] not in ("number", "currency", "percentage"):
+                found = ("identifier", patterns[c] or "one a row")
+            elif dates[c]:
+                found = ("datetime", "looks and parses like dates")
+            elif patterns[c] in ("number", "currency", "percentage"):
+                found = ("numeric_continuous", patterns[c])
+            elif vocabulary == "boolean":
+                found = ("boolean", "words for yes and no")
+            elif vocabulary == "ordinal" or "ordinal" in hints:
+                found = ("categorical_ordinal", "a known scale" if vocabulary else "named like a scale")
+            elif words[c]["mean_tokens"] >= 5 and n["cardinality_ratio"] > 0.5:
+                found = ("text", "many words, few repeats")
+            else:
+                found = ("categorical_nominal", "few words or many repeats")
+        else:
+            found = ("unknown", kind.simpleString())
+        rows.append((c, *found))
+    return df.sparkSession.createDataFrame(rows, "column string, kind string, reason string")

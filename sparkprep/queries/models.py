@@ -8,12 +8,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from sparkprep.functions.tables import capped, read
+from sparkprep.operators import associate as A
 from sparkprep.operators import charts as K
+from sparkprep.operators import clean as C
 from sparkprep.operators import diagnose as Q
 from sparkprep.operators import forecast as N
 from sparkprep.operators import history as R
 from sparkprep.operators import models as M
 from sparkprep.operators import neighbours as NB
+from sparkprep.operators import profile as P
 from sparkprep.operators import quality as L
 from sparkprep.operators import split as V
 from sparkprep.plans import prepare
@@ -278,3 +281,22 @@ def json_round_trip(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 book.add("s2_json_lines", json_round_trip, "SELECT c_custkey, c_mktsegment AS \"c.c_mktsegment\", c_acctbal AS \"c.c_acctbal\" FROM customer", "c.c_acctbal")
+
+
+book.add(
+    "x7_infer_kinds",
+    lambda s, d: P.infer_kinds(read(s, d, "orders")).select("column", "kind"),
+    """SELECT * FROM (VALUES ('o_orderkey', 'identifier'), ('o_custkey', 'numeric_discrete'), ('o_orderstatus', 'categorical_nominal'), ('o_totalprice', 'numeric_continuous'), ('o_orderdate', 'datetime'), ('o_orderpriority', 'categorical_nominal')) t("column", kind)""",
+)
+book.add("q6_learning_curve", lambda s, d: Q.learning_curve(labelled(s, d).drop("fold"), lambda: M.pipeline("logistic", "binary", ["x1", "x2"]), accuracy, "key", 2, (0.5, 1.0)))
+book.add("c13_knn_imputation", lambda s, d: C.knn_impute(read(s, d, "customer").selectExpr("c_custkey", "c_nationkey * 1.0D AS nation", "CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_acctbal END AS balance"), ["nation", "balance"], "c_custkey").select("c_custkey", "balance"))
+book.add("c14_iterative_imputation", lambda s, d: C.iterative_impute(read(s, d, "part").selectExpr("p_partkey", "p_retailprice", "CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_size END AS size"), ["p_retailprice", "size"], 2).select("p_partkey", "size"))
+
+
+def target_report(spark, sf_dir):  # noqa: ANN001, ANN201
+    df = orders(spark, sf_dir)
+    return A.target_report(spark, A.target_associations(df, "o_orderstatus", ["o_totalprice", "o_orderpriority"]), "o_orderstatus")
+
+
+book.add("a22_target_report", target_report)
+book.add("p5_p6_initial_features", lambda s, d: s.createDataFrame([(c, why, prepare.default_treatment(o, [c])[c]) for o in [orders(s, d)] for c, why in prepare.initial_features(o, "o_orderstatus", ["o_orderkey"])], "column string, reason string, treatment string"))
