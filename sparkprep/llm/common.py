@@ -152,24 +152,21 @@ def by_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node that has an edge; a component is named by one of its nodes.
-
-    Contraction: in each round nodes are put in a new random order, each joins the
-    first node of its neighbourhood, edges are rewritten to the joined nodes, and
-    loops and repeats go. A round takes away a share of the nodes of stars and chains
-    alike, so rounds grow with the logarithm of the nodes; a round is one
-    pre-aggregated minimum and two equi-joins, whose hot keys adaptive execution
-    splits. Nothing is gathered on the driver but whether edges are left.
+    """(node, component) for every node that has an edge; a component is named by its smallest node.
+
+    Contraction: each node joins the smallest node of its neighbourhood, edges
+    are rewritten to the joined nodes, and loops and repeats go. Nodes should be
+    digests: in their random order a star is gone in two rounds and a chain loses
+    a share of its nodes in each (a chain of rising numbers would lose one). A
+    round is one pre-aggregated minimum and two equi-joins, whose hot keys adaptive
+    execution splits. Nothing is gathered on the driver but whether edges are left.
     """
     now = durable(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a") != F.col("b")).distinct())
     levels: list[DataFrame] = []
     while not now.isEmpty():
-        turn = F.lit(len(levels))
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        first = F.min(F.struct(F.xxhash64("b", turn).alias("order"), F.col("b").alias("up")))
-        parent = both.groupBy(F.col("a").alias("node")).agg(first.alias("low"))
-        own = F.struct(F.xxhash64("node", turn).alias("order"), F.col("node").alias("up"))
-        parent = durable(parent.select("node", F.least(F.col("low"), own).getField("up").alias("up")))
+        parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up"))
+        parent = durable(parent)
         levels.append(parent)
         left = parent.select(F.col("node").alias("a"), F.col("up").alias("ua"))
         right = parent.select(F.col("node").alias("b"), F.col("up").alias("ub"))
