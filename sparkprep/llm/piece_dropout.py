@@ -5,12 +5,15 @@ shared with the tasks (a vocabulary is tens of thousands of short strings; its s
 does not depend on the data). A text is cut into units, a run of spaces with the
 word after it, which no piece crosses. In a unit, candidate merges wait in an
 agenda by (rank, position); each candidate is skipped when a keyed digest of seed,
-variant, unit and the candidate's span is below ``dropout``. With ``dropout`` 0 the
-pieces are the library's own.
+document, the unit's number in the document and the candidate's span is below
+``dropout``: every occurrence draws for itself, and reruns agree. With ``dropout`` 0
+the pieces are the library's own.
 
-``variants`` different segmentations exist for a unit; which one an occurrence
-takes is a digest of the seed, the document's key and the occurrence's number, so
-the same word varies within a document and reruns agree.
+Workers keep no segmentations but the agendas' courses: in a unit's tree a node is an
+agenda whose least candidate is to be judged, with one branch where it is skipped and
+one where it merges. All occurrences of a batch go down their trees together, each by
+its own draws. Courses that are rare have no nodes; occurrences that come to one run
+their whole agenda, many at a time, with the same draws and so the same result.
 
 Decoding joins the pieces' bytes and is exact for every text: characters that are
 no piece, line ends and a literal U+2581 among them, are encoded as byte pieces.
@@ -23,8 +26,9 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from itertools import chain, filterfalse, repeat
 from operator import add
 
 import numpy as np
@@ -42,6 +46,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _UNIT = re.compile(r"\n| *[^ \n]+| +")
 #: Units up to this many characters find their next merge by looking at all; longer ones keep a heap.
 _SHORT = 24
+#: A batch's occurrences that come to a unit or branch without a node, from which on one is made.
+_OFTEN = 4
+#: Agendas that are run a step at a time.
+_ROWS = 4096
 #: Above every rank.
 NEVER = 1 << 40
 _ALL = (1 << 64) - 1
@@ -71,9 +79,13 @@ def read_pieces(model_file: str = MODEL) -> tuple[dict[str, int], dict[str, int]
 
 
 class PieceCodec:
-    """Encodes and decodes texts; keeps the segmentations of up to ``memo`` units."""
+    """Encodes and decodes texts; keeps the segmentations of up to ``memo`` units, or as many nodes of their trees.
 
-    def __init__(self, ranks: dict[str, int], ids: dict[str, int], raw: list[bytes], dropout: float, seed: int, variants: int = 4, memo: int = 400_000) -> None:
+    With ``variants`` None each occurrence draws for itself, as ``encode_pieces`` has it; with a
+    number a unit has only so many segmentations, of which an occurrence takes one.
+    """
+
+    def __init__(self, ranks: dict[str, int], ids: dict[str, int], raw: list[bytes], dropout: float, seed: int, variants: int | None = 4, memo: int = 400_000) -> None:
         self.ranks, self.ids, self.raw, self.variants, self.memo = ranks, ids, raw, variants if dropout > 0 else 1, memo
         pieces = set(ids.values())
         self.byte_ids = {b[0]: i for i, b in enumerate(raw) if len(b) == 1 and i not in pieces}
@@ -81,6 +93,7 @@ class PieceCodec:
         self.seed = seed
         self.table: dict[str, bytes] = {}
         self.pairs = _PairTable(ranks, ids)
+        self.trees = _Trees(self)
 
     def _rank(self, unit: str, key: int, start: int, middle: int, end: int) -> int:
         """The rank of a candidate merge, or NEVER if there is no such piece or the keyed digest of its span skips it.
@@ -96,8 +109,12 @@ class PieceCodec:
 
     def segment(self, unit: str, variant: int) -> list[int]:
         """Ids of one unit, whose spaces are written as U+2581."""
-        key = (zlib.crc32(unit.encode()) * _SCATTER + (self.seed * 64 + variant) * _SEED) & _ALL if self.limit else 0
-        parts = self._by_scan(unit, key) if len(unit) <= _SHORT else self._by_heap(unit, key)
+        return self._ids(self._parts(unit, (zlib.crc32(unit.encode()) * _SCATTER + (self.seed * 64 + variant) * _SEED) & _ALL if self.limit else 0))
+
+    def _parts(self, unit: str, key: int) -> list[str]:
+        return self._by_scan(unit, key) if len(unit) <= _SHORT else self._by_heap(unit, key)
+
+    def _ids(self, parts: list[str]) -> list[int]:
         out: list[int] = []
         for part in parts:
             found = self.ids.get(part)
@@ -164,6 +181,8 @@ class PieceCodec:
 
     def encode_all(self, texts: list[str | None], keys: list[int]) -> list[bytes | None]:
         """Each text's ids as 32-bit little-endian integers."""
+        if self.variants is None:
+            return self._encode_drawn(texts, keys)
         names = [self._names(t, k) if t else [] for t, k in zip(texts, keys, strict=True)]
         missing = set(filterfalse(self.table.__contains__, chain.from_iterable(names)))
         if len(missing) + len(self.table) > self.memo:
@@ -180,6 +199,29 @@ class PieceCodec:
         found = self.table.__getitem__
         return [None if t is None else b"".join(map(found, n)) for t, n in zip(texts, names, strict=True)]
 
+    def _encode_drawn(self, texts: list[str | None], keys: list[int]) -> list[bytes | None]:
+        """Every occurrence by its own draws."""
+        units = [_UNIT.findall(" " + t) if t else [] for t in texts]
+        ends = np.cumsum([len(u) for u in units])
+        flat = list(chain.from_iterable(units))
+        found = self.trees.follow(flat, np.concatenate([self.draws(k, len(u)) for k, u in zip(keys, units, strict=True)])) if flat else []
+        return [None if t is None else b"".join(found[b - len(u) : b]) for t, u, b in zip(texts, units, ends.tolist(), strict=True)]
+
+    def draws(self, key: int, n: int) -> np.ndarray:
+        """The skip digest's key of each of a document's first n units."""
+        own = c.mix(np.array([(key * _START + self.seed * _SEED) & _ALL], dtype=np.uint64))
+        return c.mix(np.arange(n, dtype=np.uint64) + own)
+
+    def drawn(self, unit: str, key: int) -> bytes:
+        """One occurrence of any unit, without its tree; a literal U+2581 is written as bytes."""
+        out: list[int] = []
+        at = 0
+        for i, piece in enumerate(unit.split(SPACE)):
+            out += [self.byte_ids[b] for b in SPACE.encode()] if i else []
+            out += self._ids(self._parts(piece.replace(" ", SPACE), (key + at * _SEED) & _ALL)) if piece else []
+            at += len(piece) + 1
+        return np.array(out, dtype=np.int32).tobytes()
+
     def encode(self, text: str, key: int) -> bytes:
         return self.encode_all([text], [key])[0]
 
@@ -193,16 +235,20 @@ class PieceCodec:
 
     def _many(self, group: list[str]) -> list[bytes]:
         """Short units of one length, all their agendas a step at a time; the same result as ``segment``."""
-        n = len(group[0]) - 1
         units = [g[:-1].replace(" ", SPACE) for g in group]
-        chars = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32).reshape(-1, n)
-        sym = self.pairs.char_ids[chars]
-        row = np.arange(len(units))
-        at = np.broadcast_to(np.arange(n + 1), (len(units), n + 1)).copy()
         key = np.zeros(len(units), dtype=np.uint64)
         if self.limit:
             salts = np.array([((self.seed * 64 + v) * _SEED) & _ALL for v in range(self.variants)], dtype=np.uint64)
             key = np.array([zlib.crc32(u.encode()) for u in units], dtype=np.uint64) * np.uint64(_SCATTER) + salts[[ord(g[-1]) - 48 for g in group]]
+        return self.run(units, key)
+
+    def run(self, units: list[str], key: np.ndarray) -> list[bytes]:
+        """Short units of one length, spaces written as U+2581, each by its key."""
+        n = len(units[0])
+        chars = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32).reshape(-1, n)
+        sym = self.pairs.char_ids[chars]
+        row = np.arange(len(units))
+        at = np.broadcast_to(np.arange(n + 1), (len(units), n + 1)).copy()
         out: list[bytes] = [b""] * len(units)
 
         def offers(left: np.ndarray, right: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,6 +308,101 @@ class PieceCodec:
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode()
 
 
+class _Trees:
+    """The courses that short units' agendas have taken, a tree a unit; grows as occurrences go down, begins anew above ``memo`` nodes."""
+
+    def __init__(self, codec: PieceCodec) -> None:
+        self.codec = codec
+        self.clear()
+
+    def clear(self) -> None:
+        self.roots: dict[str, int] = {}
+        #: By node, of which 0 stands for no node: the ids where the agenda is done, else None; and (unit, cuts, ranks of the candidates) until both branches are made.
+        self.ids: list[bytes | None] = [b""]
+        self.states: list[tuple | None] = [None]
+        self.spans = np.zeros(1024, dtype=np.uint64)
+        #: By node and whether the candidate is skipped: the next node, -1 if not made; a node that is done is its own.
+        self.next = np.full((1024, 2), -1, dtype=np.int64)
+        self.next[0] = 0
+
+    def _add(self, unit: str, at: list[int], agenda: list[int]) -> int:
+        node = len(self.ids)
+        if node == len(self.spans):
+            self.spans = np.concatenate([self.spans, np.zeros_like(self.spans)])
+            self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
+        low = min(agenda, default=NEVER)
+        if low == NEVER:
+            self.ids.append(np.array(self.codec._ids([unit[a:b] for a, b in zip(at, at[1:], strict=False)]), dtype=np.int32).tobytes())
+            self.states.append(None)
+            self.next[node] = node
+        else:
+            i = agenda.index(low)
+            self.ids.append(None)
+            self.states.append((unit, at, agenda))
+            self.spans[node] = (at[i] * _START + at[i + 1] * _MIDDLE + at[i + 2] * _END) & _ALL
+        return node
+
+    def _root(self, unit: str) -> int:
+        unit = unit.replace(" ", SPACE)
+        return self._add(unit, list(range(len(unit) + 1)), [self.codec.ranks.get(unit[i : i + 2], NEVER) for i in range(len(unit) - 1)])
+
+    def _branch(self, node: int, skipped: int) -> None:
+        unit, at, agenda = self.states[node]
+        at, agenda = at.copy(), agenda.copy()
+        i = agenda.index(min(agenda))
+        if skipped:
+            agenda[i] = NEVER
+        else:
+            rank = self.codec.ranks.get
+            del at[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(unit[at[i] : at[i + 2]], NEVER)
+            if i:
+                agenda[i - 1] = rank(unit[at[i - 1] : at[i + 1]], NEVER)
+        made = self._add(unit, at, agenda)  # may move the arrays
+        self.next[node, skipped] = made
+        if self.next[node, 1 - skipped] >= 0:
+            self.states[node] = None
+
+    def follow(self, units: list[str], draws: np.ndarray) -> list[bytes]:
+        """The ids of each occurrence."""
+        if len(self.ids) > self.codec.memo:
+            self.clear()
+        for unit, n in Counter(filterfalse(self.roots.__contains__, units)).items():
+            if n >= _OFTEN and len(unit) <= _SHORT and SPACE not in unit:
+                self.roots[unit] = self._root(unit)
+        node = np.fromiter(map(self.roots.get, units, repeat(0)), dtype=np.int64, count=len(units))
+        live = np.flatnonzero(self.next[node, 0] != node)
+        limit = np.uint64(self.codec.limit)
+        while len(live):
+            now = node[live]
+            x = draws[live] + self.spans[now]
+            skipped = ((((x ^ (x >> np.uint64(29))) * np.uint64(_SCATTER)) >> np.uint64(32)) < limit).astype(np.int64)
+            then = self.next[now, skipped]
+            new = np.flatnonzero(then < 0)
+            if len(new):
+                ways, sizes = np.unique(now[new] * 2 + skipped[new], return_counts=True)
+                for way in ways[sizes >= _OFTEN].tolist():
+                    self._branch(way >> 1, way & 1)
+                then[new] = np.maximum(self.next[now[new], skipped[new]], 0)
+            node[live] = then
+            live = live[self.next[then, 0] != then]
+        found = list(map(self.ids.__getitem__, node.tolist()))
+        by_length: dict[int, list[int]] = {}
+        for i in np.flatnonzero(node == 0).tolist():
+            unit = units[i]
+            if len(unit) > _SHORT or SPACE in unit:
+                found[i] = self.codec.drawn(unit, int(draws[i]))
+            else:
+                by_length.setdefault(len(unit), []).append(i)
+        for group in by_length.values():
+            for first in range(0, len(group), _ROWS):
+                part = group[first : first + _ROWS]
+                for i, ids in zip(part, self.codec.run([units[i].replace(" ", SPACE) for i in part], draws[part]), strict=True):
+                    found[i] = ids
+        return found
+
+
 class _PairTable:
     """Which piece two pieces make: an open-addressing table in numpy arrays, looked up many at a time."""
 
@@ -315,8 +456,8 @@ def _shared(spark, model_file: str):  # noqa: ANN001, ANN202
 _CODECS: dict[tuple, PieceCodec] = {}
 
 
-def _codec(shared, dropout: float, seed: int, variants: int) -> PieceCodec:  # noqa: ANN001
-    """A worker's codec, kept from task to task with what it has segmented."""
+def _codec(shared, dropout: float, seed: int, variants: int | None) -> PieceCodec:  # noqa: ANN001
+    """A worker's codec, kept from task to task with the trees it has grown."""
     name = (shared.id if hasattr(shared, "id") else 0, dropout, seed, variants)
     if name not in _CODECS:
         _CODECS.clear()
@@ -325,7 +466,7 @@ def _codec(shared, dropout: float, seed: int, variants: int) -> PieceCodec:  # n
 
 
 def encode_pieces(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL, dropout: float = 0.1, seed: int = 17, variants: int = 4, ids_out: str = "ids", check_out: str | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL, dropout: float = 0.1, seed: int = 17, variants: int | None = None, ids_out: str = "ids", check_out: str | None = None
 ) -> DataFrame:
     """docs with ``ids_out`` array<int>; and, if ``check_out`` is given, the text decoded from them again."""
     shared = _shared(docs.sparkSession, model_file)

@@ -89,6 +89,38 @@ def test_dropout_varies_reruns_agree_and_all_texts_come_back(docs, raw):
     assert all(r["t"] == r["text"] for r in back)
 
 
+def test_dropout_is_drawn_for_each_occurrence():
+    codec = piece_dropout.PieceCodec(*piece_dropout.read_pieces(), 0.1, 17, None)
+    n = 20_000
+    text = " ".join(["a"] * n)  # ' a' has one candidate merge, which is two pieces when skipped
+    ids = [np.frombuffer(codec.encode(text, k), dtype=np.int32) for k in range(3)]
+    assert all(0.09 < len(x) / n - 1 < 0.11 for x in ids) and len({x.tobytes() for x in ids}) == 3
+    assert all(codec.decode(x.tolist()) == text for x in ids)
+    r = random.Random(7)
+    for rate, seed in ((0.1, 1), (0.5, 2), (1.0, 3)):
+        codec = piece_dropout.PieceCodec(*piece_dropout.read_pieces(), rate, seed, None)
+        texts = [" ".join(r.choice(["internationalisation", "the", "x▁y", "b" * 60, "Ünïcode", "漢字", "  two", "1\n2"]) for _ in range(300)) for _ in range(4)]
+        for k, (t, got) in enumerate(zip(texts, codec.encode_all(texts, [0, 1, 2, 3]), strict=True)):  # down the trees as by the agenda
+            units = piece_dropout._UNIT.findall(" " + t)
+            assert got == b"".join(codec.drawn(u, int(x)) for u, x in zip(units, codec.draws(k, len(units)), strict=True))
+            assert codec.decode(got) == t
+    ways = {codec.encode("internationalisation", k) for codec in [piece_dropout.PieceCodec(*piece_dropout.read_pieces(), 0.3, 5, None)] for k in range(40)}
+    assert len(ways) > 4
+
+
+def test_encode_pieces_gives_a_frequent_word_more_than_four_ways(spark):
+    df = spark.createDataFrame([(1, " ".join(["internationalisation"] * 200))], "doc_id long, text string")
+    got = piece_dropout.encode_pieces(df, dropout=0.3).first()["ids"]
+    codec = piece_dropout.PieceCodec(*piece_dropout.read_pieces(), 0.0, 0)
+    ways, way = set(), []
+    for i in got:
+        if way and codec.raw[i].startswith(b" "):
+            ways.add(tuple(way))
+            way = []
+        way.append(i)
+    assert len(ways) > 4
+
+
 # 3
 def test_url_rules_against_all_combinations(spark):
     r = random.Random(3)
