@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -233,31 +235,52 @@ def interpolate(df: DataFrame, columns: Iterable[str], order: list[str], group:
     return rows.withColumns(out).drop("_at")
 
 
-def knn_impute(df: DataFrame, columns: Iterable[str], key: str, k: int = 5, weights: str = "uniform", max_donors: int = 50_000) -> DataFrame:
+def knn_impute(df: DataFrame, columns: Iterable[str], key: str, k: int = 5, weights: str = "uniform", block: int = 4096) -> DataFrame:
     """Mean of the k nearest donors' values, by distance over the numbers both rows have, scaled to the number of columns.
 
-    Donors are all rows up to ``max_donors``, beyond that so many by digest of the
-    key; rows with holes meet donors in blocks, a bounded number of donors a task.
+    Donors are all rows that have the value and a key, ties by key. Rows with holes meet them in
+    pairs of blocks, and only the k best of a block for each hole leave it.
     """
     names = [c for c in known(df, columns) if c in numeric_columns(df)]
-    n = df.count()
-    donors = df.select(F.col(key).alias("_d"), *[F.col(c).cast("double").alias(f"_d{i}") for i, c in enumerate(names)])
-    if n > max_donors:
-        donors = donors.orderBy(F.xxhash64("_d"), "_d").limit(max_donors)
-    holes = df.where(sum([F.col(c).isNull().cast("int") for c in names[1:]], F.col(names[0]).isNull().cast("int")) > 0).select(key, *names)
-    pairs = holes.join(F.broadcast(donors), F.col(key) != F.col("_d"))  # at most max_donors rows of numbers
-    shared = sum([(F.col(c).isNotNull() & F.col(f"_d{i}").isNotNull()).cast("int") for i, c in enumerate(names)][1:], (F.col(names[0]).isNotNull() & F.col("_d0").isNotNull()).cast("int"))
-    square = F.lit(0.0)
-    for i, c in enumerate(names):
-        square = square + F.coalesce(F.pow(F.col(c) - F.col(f"_d{i}"), 2), F.lit(0.0))
-    pairs = pairs.withColumn("_dist", F.when(shared > 0, F.sqrt(square * len(names) / shared))).where("_dist is not null")
-    out = df
-    for i, c in enumerate(names):
-        best = Window.partitionBy(key).orderBy("_dist", "_d")
-        near = pairs.where(F.col(c).isNull() & F.col(f"_d{i}").isNotNull()).withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= k)
-        w = F.lit(1.0) if weights == "uniform" else F.when(F.col("_dist") == 0, 1e12).otherwise(1 / F.col("_dist"))
-        fill = near.groupBy(key).agg((F.sum(F.col(f"_d{i}") * w) / F.sum(w)).alias("_fill"))
-        out = out.join(fill, key, "left").withColumn(c, F.coalesce(F.col(c).cast("double"), F.col("_fill"))).drop("_fill")
+    plain = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.array(*[F.col(c).cast("double") for c in names]).alias("v"))
+    holed = F.exists("v", lambda x: x.isNull())
+    holes = plain.where(holed)
+    nr, nq = (max(1, -(-x.count() // block)) for x in (plain, holes))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = plain.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(nr))).withColumn("qb", upto(nq)).withColumn("q", F.lit(False))
+    right = holes.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nq))).withColumn("b", upto(nr)).withColumn("q", F.lit(True))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[~pdf["q"]].sort_values("id"), pdf[pdf["q"]]
+        ai, bi = a["id"].to_numpy(), b["id"].to_numpy()
+        out = {"id": [], "c": [], "dist": [], "donor": [], "value": []}
+        if len(a) and len(b):
+            av, bv = (np.stack([np.asarray(v, dtype=float) for v in t["v"]]) for t in (a, b))
+            has = ~np.isnan(av)
+            for i, v in enumerate(bv):
+                own = ~np.isnan(v)
+                shared = (has & own).sum(1)
+                square = np.where(has & own, (av - v) ** 2, 0.0).sum(1)
+                dist = np.where((shared > 0) & (ai != bi[i]), np.sqrt(square * len(names) / np.maximum(shared, 1)), np.inf)
+                for j in np.flatnonzero(~own):
+                    able = np.flatnonzero(has[:, j] & np.isfinite(dist))
+                    if len(able) > k:
+                        able = able[dist[able] <= np.partition(dist[able], k - 1)[k - 1]]
+                    best = able[np.argsort(dist[able], kind="stable")[:k]]  # rows are in the key's order
+                    out["id"] += [bi[i]] * len(best)
+                    out["c"] += [int(j)] * len(best)
+                    out["dist"] += dist[best].tolist()
+                    out["donor"] += ai[best].tolist()
+                    out["value"] += av[best, j].tolist()
+        return pd.DataFrame(out)
+
+    of = dict(df.dtypes)[key]
+    found = left.unionByName(right).groupBy("b", "qb").applyInPandas(meet, f"id {of}, c int, dist double, donor {of}, value double")
+    w = F.lit(1.0) if weights == "uniform" else F.when(F.col("dist") == 0, 1e12).otherwise(1 / F.col("dist"))
+    near = found.withColumn("_k", F.row_number().over(Window.partitionBy("id", "c").orderBy("dist", "donor"))).where(F.col("_k") <= k)
+    fills = near.groupBy("id", "c").agg((F.sum(F.col("value") * w) / F.sum(w)).alias("fill"))
+    wide = fills.groupBy(F.col("id").alias("_id")).agg(*[F.max(F.when(F.col("c") == i, F.col("fill"))).alias(f"_fill{i}") for i in range(len(names))])
+    out = df.join(wide, F.col(key) == F.col("_id"), "left").withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_fill{i}")) for i, c in enumerate(names)})
     return apply_fills(out, fit_fills(df, names, "mean")).select(*df.columns)
 
 

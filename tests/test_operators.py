@@ -34,6 +34,14 @@ def test_knn_imputation_takes_the_near_rows(spark):
     assert got == pytest.approx(35.0)
 
 
+def test_knn_imputation_has_all_rows_of_a_large_table_as_donors(spark):
+    df = spark.range(60_000).selectExpr("id AS key", "double(id) AS a", "CASE WHEN id % 1500 = 700 THEN NULL ELSE id * 10.0D END AS b")
+    got = C.knn_impute(df, ["a", "b"], "key", k=2)
+    assert got.count() == 60_000
+    holes = got.where("key % 1500 = 700").collect()
+    assert len(holes) == 40 and all(r["b"] == pytest.approx(r["key"] * 10) for r in holes)
+
+
 def test_iterative_imputation_follows_the_line(spark):
     rows = [(float(i), 2.0 * i + 1 if i % 5 else None) for i in range(40)]
     out = C.iterative_impute(spark.createDataFrame(rows, "a double, b double"), ["a", "b"], 3).collect()
