@@ -164,7 +164,7 @@ def fit_features(train: DataFrame, decisions: Iterable[dict], target: str | None
 def _fit_feature(train: DataFrame, d: dict, c: str, target: str | None) -> dict:
     op, p = d["op"], {k: coerce(v) for k, v in d.items()}
     if op == "date_decompose":
-        return {"do": op, "column": c, "parts": S.decompose_date(train.limit(10_000), c, p.get("parts"))[1]}
+        return {"do": op, "column": c, "parts": S.decompose_date(train, c, p.get("parts"))[1]}
     if op == "cyclical_encode":
         return {"do": op, "column": c, "part": p.get("part", "month")}
     if op == "log_transform":

@@ -42,6 +42,12 @@ def test_knn_imputation_has_all_rows_of_a_large_table_as_donors(spark):
     assert len(holes) == 40 and all(r["b"] == pytest.approx(r["key"] * 10) for r in holes)
 
 
+def test_a_late_time_of_day_gives_the_hour_feature(spark):
+    df = spark.range(0, 12_000, 1, 1).selectExpr("timestamp_seconds(id * 86400 + IF(id = 11999, 3600, 0)) AS at")
+    frozen, notes = prepare.fit_features(df, [{"op": "date_decompose", "columns": ["at"]}])
+    assert not notes and "hour" in frozen[0]["parts"]
+
+
 def test_iterative_imputation_follows_the_line(spark):
     rows = [(float(i), 2.0 * i + 1 if i % 5 else None) for i in range(40)]
     out = C.iterative_impute(spark.createDataFrame(rows, "a double, b double"), ["a", "b"], 3).collect()
