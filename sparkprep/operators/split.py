@@ -83,10 +83,13 @@ def split(df: DataFrame, task: str, target: str, key: str, time: str | None = No
 
 
 def label_encode(df: DataFrame, label: str, name: str = "label_index") -> tuple[DataFrame, list[str]]:
-    """Classes as 0..k-1 in text order, or as they are if they are 0..k-1 already."""
-    found = [r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().orderBy(label).limit(10_001).collect()]
+    """Classes as 0..k-1 in text order, or as they are if they are 0..k-1 already; all of them, many by a join."""
+    found = [r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().orderBy(label).collect()]
     whole = found and all(isinstance(v, int) and not isinstance(v, bool) for v in found) and sorted(found) == list(range(len(found)))
     classes = [str(v) for v in found] if whole else sorted(str(v).lower() if isinstance(v, bool) else str(v) for v in found)
+    if len(classes) > 500:
+        table = df.sparkSession.createDataFrame(list(zip(classes, range(len(classes)), strict=True)), "_class string, _index int")
+        return df.join(table, F.col(label).cast("string") == F.col("_class"), "left").withColumn(name, F.col("_index")).drop("_class", "_index"), classes
     index = F.array_position(F.array(*map(F.lit, classes)), F.col(label).cast("string")) - 1
     return df.withColumn(name, F.when(index >= 0, index.cast("int"))), classes
 

@@ -3,7 +3,7 @@
 Each decision is a dict. Cleaning runs in one fixed safe order whatever the order of
 the request; a step that fails is noted and the rest go on. What was fitted is a
 JSON-able list of narrow steps, so replay is a chain of expressions (and joins with
-small mappings), the same for a batch and for a stream.
+mappings), the same for a batch and for a stream.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions import scalar as S
-from sparkprep.functions.tables import TIMES, numeric_columns
+from sparkprep.functions.tables import TIMES, numeric_columns, written
 from sparkprep.operators import clean as C
 from sparkprep.operators import encode as E
 
+#: Levels that a frozen mapping holds itself; a larger one is a table in the shared folder, which a saved model needs too.
+MOST_FROZEN = 10_000
 #: The safe order of cleaning actions.
 ORDER = {
     "drop_constant_column": 0, "drop_leakage_column": 1, "drop_column": 2, "drop_duplicate_rows": 5, "drop_rows_missing_target": 6, "strip_whitespace": 10, "normalise_categories": 11, "parse_datetime": 20, "cast_dtype": 21,
@@ -180,10 +182,12 @@ def _fit_feature(train: DataFrame, d: dict, c: str, target: str | None) -> dict:
     if op in ("target_encode", "frequency_encode"):
         table, prior = E.fit_target_means(train, c, target) if op == "target_encode" else (E.fit_frequencies(train, c), 0.0)
         value = "encoded" if op == "target_encode" else "frequency"
-        # the commonest levels only, so that what is frozen stays small
-        counts = train.groupBy(E.level(c).alias("level")).agg(F.count(F.lit(1)).alias("n"))
-        rows = table.join(counts, "level").orderBy(F.desc("n"), "level").limit(10_000).collect()
-        return {"do": "map", "column": c, "name": f"{c}_{'target' if op == 'target_encode' else 'frequency'}", "map": {r["level"]: r[value] for r in rows}, "default": prior}
+        step = {"do": "map", "column": c, "name": f"{c}_{'target' if op == 'target_encode' else 'frequency'}", "default": prior}
+        # all levels: few are frozen in the step, more as a table in the shared folder
+        rows = table.limit(MOST_FROZEN + 1).collect()
+        if len(rows) > MOST_FROZEN:
+            return step | {"table": written(table.select("level", F.col(value).alias("value")))}
+        return step | {"map": dict(sorted((r["level"], r[value]) for r in rows))}
     if op == "hash_encode":
         return {"do": op, "column": c, "n": int(p.get("n_buckets", p.get("n_features", 8)))}
     if op == "binning":
@@ -206,7 +210,7 @@ def apply_features(df: DataFrame, frozen: Iterable[dict]) -> tuple[DataFrame, li
             "date_decompose": lambda s=s, c=c, df=df: S.decompose_date(df, c, s["parts"])[0], "cyclical_encode": lambda s=s, c=c, df=df: S.cyclical(df, c, s["part"]),
             "log_transform": lambda s=s, c=c, df=df: S.log_transform(df, c, s["signed"]), "scale": lambda s=s, c=c, df=df: E.scale(df.withColumn(f"{c}_scaled", F.col(c)), {f"{c}_scaled": s["fitted"][c]}),
             "one_hot_encode": lambda s=s, c=c, df=df: E.one_hot(df, c, s["levels"]), "ordinal_encode": lambda s=s, c=c, df=df: E.ordinal(df, c, s["levels"]),
-            "map": lambda s=s, c=c, df=df: df.withColumn(s["name"], F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in s["map"].items() for x in kv]), E.level(c)), F.lit(s["default"]))) if len(s["map"]) <= 500 else _map_by_join(df, c, s),
+            "map": lambda s=s, c=c, df=df: df.withColumn(s["name"], F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in s["map"].items() for x in kv]), E.level(c)), F.lit(s["default"]))) if "map" in s and len(s["map"]) <= 500 else _map_by_join(df, c, s),
             "hash_encode": lambda s=s, c=c, df=df: E.hash_encode(df, c, s["n"]), "binning": lambda s=s, c=c, df=df: E.bin_codes(df, c, s["edges"]), "sqrt_transform": lambda c=c, df=df: S.sqrt_transform(df, c),
             "text_length": lambda c=c, df=df: S.text_length(df, c), "boxcox": lambda s=s, c=c, df=df: E.power_transform(df, c, s["fitted"]),
         }
@@ -216,8 +220,10 @@ def apply_features(df: DataFrame, frozen: Iterable[dict]) -> tuple[DataFrame, li
 
 
 def _map_by_join(df: DataFrame, c: str, s: dict) -> DataFrame:
+    if "table" in s:
+        return E.look_up(df, c, df.sparkSession.read.parquet(s["table"]), "value", s["name"], s["default"])
     table = df.sparkSession.createDataFrame(list(s["map"].items()), "level string, value double")
-    return E.look_up(df, c, F.broadcast(table), "value", s["name"], s["default"])  # at most 10 000 rows
+    return E.look_up(df, c, F.broadcast(table), "value", s["name"], s["default"])  # at most MOST_FROZEN rows
 
 
 class _Plan(Params):

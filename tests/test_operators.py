@@ -42,6 +42,25 @@ def test_knn_imputation_has_all_rows_of_a_large_table_as_donors(spark):
     assert len(holes) == 40 and all(r["b"] == pytest.approx(r["key"] * 10) for r in holes)
 
 
+def test_encoders_in_a_preparation_keep_all_levels(spark):
+    df = spark.range(21_000).selectExpr("id", "concat('u', id % 10500) AS user", "double(id % 10500 = 7) AS y")
+    model = prepare.Preparation([], [{"op": "frequency_encode", "columns": ["user"]}, {"op": "target_encode", "columns": ["user"]}], "y").fit(df)
+    out = model.transform(df.union(spark.sql("SELECT -1L, 'new', 0D")))
+    _, prior = E.fit_target_means(df, "user", "y")
+    for r in out.collect():
+        assert r["user_frequency"] == pytest.approx(0.0 if r["id"] < 0 else 1 / 10500)
+        assert r["user_target"] == pytest.approx(prior if r["id"] < 0 else (2 * (r["id"] % 10500 == 7) + 10 * prior) / 12)
+    assert out.count() == 21_001
+
+
+def test_label_encode_has_all_classes(spark):
+    df = spark.range(21_000).selectExpr("id", "lpad(id % 10500, 6, '0') AS c")
+    out, classes = V.label_encode(df, "c")
+    assert len(classes) == 10_500 and all(r["label_index"] == r["id"] % 10500 for r in out.collect())
+    out, classes = V.label_encode(df.selectExpr("id", "id % 10500 AS c"), "c")
+    assert len(classes) == 10_500 and all(r["label_index"] == r["c"] for r in out.collect())
+
+
 def test_a_late_time_of_day_gives_the_hour_feature(spark):
     df = spark.range(0, 12_000, 1, 1).selectExpr("timestamp_seconds(id * 86400 + IF(id = 11999, 3600, 0)) AS at")
     frozen, notes = prepare.fit_features(df, [{"op": "date_decompose", "columns": ["at"]}])
