@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkprep.functions.tables import global_running
+from sparkprep.functions.tables import durable, global_running, sample_rows, with_row_id
 
 #: Metrics for which less is better.
 LOWER_IS_BETTER = {"log_loss", "brier_score", "rmse", "mse", "mae", "median_absolute_error", "max_error", "mape", "smape", "davies_bouldin", "noise_fraction", "ece"}
@@ -123,11 +125,12 @@ def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "p
     return out
 
 
-def clustering_metrics(df: DataFrame, features: list[str], cluster: str, noise: int = -1, silhouette_rows: int = 2000) -> DataFrame:
+def clustering_metrics(df: DataFrame, features: list[str], cluster: str, noise: int = -1, silhouette_rows: int = 10_000, block: int = 2048) -> DataFrame:
     """One row noise_fraction, n_clusters, calinski_harabasz, davies_bouldin, silhouette.
 
     The first four come from centroid aggregates over all rows; the silhouette is the
-    exact Euclidean one of at most ``silhouette_rows`` rows drawn by digest.
+    exact Euclidean one of at most ``silhouette_rows`` rows drawn by a digest of their
+    number, copies among them, which meet in pairs of blocks.
     """
     x = [F.col(f).cast("double") for f in features]
     inside = df.where(F.col(cluster) != noise)
@@ -141,9 +144,26 @@ def clustering_metrics(df: DataFrame, features: list[str], cluster: str, noise:
     other = spread.select(F.col("k").alias("k2"), F.col("c").alias("c2"), F.col("s").alias("s2"))
     db = spread.join(other, F.col("k") != F.col("k2")).groupBy("k").agg(F.max(F.try_divide(F.col("s") + F.col("s2"), F.sqrt(dist2(F.col("c"), F.col("c2"))))).alias("r")).agg(F.avg("r").alias("davies_bouldin"))  # pairs of clusters
     noise_row = df.agg(F.avg((F.col(cluster) == noise).cast("double")).alias("noise_fraction"))
-    drawn = inside.select(F.col(cluster).alias("k"), here.alias("v")).withColumn("id", F.xxhash64("v", "k")).orderBy("id").limit(silhouette_rows)
-    two = drawn.join(F.broadcast(drawn.select(F.col("k").alias("k2"), F.col("v").alias("v2"), F.col("id").alias("id2"))), F.col("id") != F.col("id2"))  # a drawn, bounded set
-    mean = two.groupBy("id", "k", "k2").agg(F.avg(F.sqrt(dist2(F.col("v"), F.col("v2")))).alias("d")).groupBy("id", "k").agg(F.max(F.when(F.col("k") == F.col("k2"), F.col("d"))).alias("a"), F.min(F.when(F.col("k") != F.col("k2"), F.col("d"))).alias("b"))
+    numbered = with_row_id(inside.select(F.col(cluster).alias("k"), here.alias("v")), "id")
+    drawn = durable(sample_rows(numbered, silhouette_rows, "id"))
+    blocks = max(1, -(-drawn.count() // block))
+    own, every = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    dealt = drawn.withColumn("x", own).withColumn("y", every).withColumn("left", F.lit(True)).unionByName(drawn.withColumn("y", own).withColumn("x", every).withColumn("left", F.lit(False)))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["left"]], pdf[~pdf["left"]]
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": [], "k": [], "k2": [], "d": [], "n": []})
+        av, bv = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+        ks, at = np.unique(b["k"].to_numpy(), return_inverse=True)
+        of = np.eye(len(ks))[at]
+        d = np.concatenate([np.sqrt(((av[i : i + 128, None, :] - bv[None]) ** 2).sum(2)) @ of for i in range(0, len(av), 128)])
+        n = of.sum(0)[None, :] - (a["k"].to_numpy()[:, None] == ks[None, :]) * a["id"].isin(b["id"]).to_numpy()[:, None]  # not the row itself
+        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), len(ks)), "k": np.repeat(a["k"].to_numpy(), len(ks)), "k2": np.tile(ks, len(a)), "d": d.ravel(), "n": n.ravel()})
+
+    types = dict(drawn.dtypes)
+    two = dealt.groupBy("x", "y").applyInPandas(meet, f"id {types['id']}, k {types['k']}, k2 {types['k']}, d double, n double")
+    mean = two.groupBy("id", "k", "k2").agg(F.try_divide(F.sum("d"), F.sum("n")).alias("d")).groupBy("id", "k").agg(F.max(F.when(F.col("k") == F.col("k2"), F.col("d"))).alias("a"), F.min(F.when(F.col("k") != F.col("k2"), F.col("d"))).alias("b"))
     sil = mean.agg(F.avg(F.when(F.col("a").isNull(), 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))).alias("silhouette"))
     return noise_row.join(ch, how="cross").join(db, how="cross").join(sil, how="cross")
 

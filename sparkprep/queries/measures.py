@@ -124,6 +124,7 @@ book.add(
     (SELECT avg(r) FROM (SELECT x.k, max((x.s + y.s) / sqrt((x.ca - y.ca) ** 2 + (x.cb - y.cb) ** 2)) AS r FROM s x JOIN s y ON x.k <> y.k GROUP BY x.k)) AS davies_bouldin""",
     "noise_fraction calinski_harabasz davies_bouldin",
 )
+book.add("g8_silhouette", lambda s, d: G.clustering_metrics(read(s, d, "customer").selectExpr("c_custkey % 5 - 1 AS k", "c_acctbal + 900 * (c_custkey % 5) AS a", "c_nationkey * 1.0D AS b"), ["a", "b"], "k").select("silhouette"))
 book.add(
     "g9_anomaly",
     lambda s, d: G.anomaly_metrics(scored(s, d), "prediction", "score", "label"),

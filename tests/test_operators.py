@@ -61,6 +61,27 @@ def test_label_encode_has_all_classes(spark):
     assert len(classes) == 10_500 and all(r["label_index"] == r["c"] for r in out.collect())
 
 
+def test_silhouette_counts_copies_and_more_than_2000_rows(spark):
+    r = np.random.RandomState(4)
+    rows = [(float(k * 5), 0.0, k) for k in (0, 1) for _ in range(300)] + [(float(a), float(b), int(k)) for a, b, k in zip(r.normal(size=1800) * 3, r.normal(size=1800), r.randint(0, 3, 1800), strict=True)]
+    got = G.clustering_metrics(spark.createDataFrame([*rows, (9.0, 9.0, -1)], "a double, b double, k int"), ["a", "b"], "k", block=700).first()["silhouette"]
+    x, k = np.array([p[:2] for p in rows]), np.array([p[2] for p in rows])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    mean = np.stack([d[:, k == c].sum(1) / ((k == c).sum() - (k == c)) for c in range(3)], axis=1)
+    a = mean[np.arange(len(k)), k]
+    b = np.where(np.arange(3)[None] == k[:, None], np.inf, mean).min(1)
+    assert got == pytest.approx(np.mean((b - a) / np.maximum(a, b)))
+
+
+def test_outlier_queries_score_every_row(spark, sf):
+    from sparkprep import queries
+
+    n = spark.read.parquet(f"{sf}/customer.parquet").count()
+    assert queries.queries()["n14_isolation_forest"](spark, sf).count() == n
+    assert queries.queries()["n15_local_outlier_factor"](spark, sf).count() > 10
+    assert -1 <= queries.queries()["g8_silhouette"](spark, sf).first()["silhouette"] <= 1
+
+
 def test_a_late_time_of_day_gives_the_hour_feature(spark):
     df = spark.range(0, 12_000, 1, 1).selectExpr("timestamp_seconds(id * 86400 + IF(id = 11999, 3600, 0)) AS at")
     frozen, notes = prepare.fit_features(df, [{"op": "date_decompose", "columns": ["at"]}])
