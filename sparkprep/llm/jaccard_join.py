@@ -1,10 +1,11 @@
-"""N-gram Jaccard join: a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join: MinHash LSH bands with exact verification.
 
 1. Texts with the same word sequence form a class; one signature a class goes on.
-2. A signature is ``trees`` x ``max_depth`` minima. Each tree is a trie over the
-   prefixes of its part. Prefixes are matched at ``max_depth`` first and shortened
-   until ``1 - (1 - threshold**depth) ** trees`` reaches ``target_recall``; classes
-   that share a prefix of that length meet. Prefixes with one member go by a
+2. A signature is ``trees`` x ``max_depth`` minima. One prefix length for all
+   trees is worked out beforehand, the longest with which
+   ``1 - (1 - threshold**depth) ** trees`` reaches ``target_recall``; classes
+   that share a prefix of that length meet. No trie is built, and no prefix is
+   shortened by what was found: these are fixed bands, not a forest. Prefixes with one member go by a
    pre-aggregated count, and trees whose prefixes hold the very same members count once.
 3. Within a shared prefix, classes whose whole signatures agree nearly as much as
    the threshold asks (``margin`` standard deviations below it) are linked, and the
