@@ -1,6 +1,7 @@
-"""Substring dedup by compaction of a token de Bruijn graph.
+"""Substring dedup by repeated windows, in the place of a compacted de Bruijn graph.
 
-Edges are windows of ``length`` consecutive words. Only windows around a
+No k-mer edges, degrees or branching are worked out, and spans are not compared with
+the source text. Edges are windows of ``length`` consecutive words. Only windows around a
 *repeated sampled k-mer* can be repeated edges: from each window its k-mer of
 least digest is sampled, equal windows sample equal k-mers, so a window whose
 sampled k-mer is in one document only is left out without a shuffle of its own.
