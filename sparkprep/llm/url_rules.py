@@ -7,8 +7,10 @@ under its rarest token, a url looks up its tokens, and a listed rule fits if the
 has all its tokens. Given host and path rules are judged first; the longest wins.
 
 A url without ``://`` and a null url have empty host and path, no tokens, and are
-allowed. Repeated rows are judged alike. Without labelled urls no rule is mined. Extra columns are kept,
-whatever their names; one that is called like an output is replaced.
+allowed. Repeated rows are judged alike. Without labelled urls, as from an empty table, no rule is
+mined; an empty table of urls has no verdicts. Of given rules of equal length that fit, the one
+of the greater code points wins, then block over allow. Very long urls are read whole. Extra columns
+are kept, whatever their names; one that is called like an output is replaced.
 """
 
 from __future__ import annotations
@@ -54,8 +56,9 @@ def given_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str], ..
 def mine_rules(labelled: DataFrame, min_support: float = 0.01, min_count: int = 25, min_confidence: float = 0.6) -> DataFrame:
     """(anchor, tokens, confidence, support) from (tokens, bad).
 
-    A rule needs ``min_support`` of the labelled urls and ``min_count`` of them.
-    A rule whose tokens contain another's with at least its confidence is left out by matching the best only.
+    A rule needs ``min_support`` of the labelled urls and ``min_count`` of them. A rule is
+    pruned if another rule of at least its confidence has only tokens of its own, since that
+    one fits wherever it does.
     """
     baskets = c.durable(labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")))
     n = baskets.count()
@@ -64,6 +67,11 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.01, min_count: int =
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / max(1, n))), minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     counts = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
+    rules = c.durable(rules)
+    wide = rules.where(F.size("tokens") > 1).select(F.col("tokens").alias("of"), F.col("confidence").alias("own"), F.explode("tokens").alias("token"))
+    held = wide.join(rules.select("tokens", "confidence", F.col("tokens")[0].alias("token")), "token")
+    covered = held.where((F.size("tokens") < F.size("of")) & (F.col("confidence") >= F.col("own")) & (F.size(F.array_except("tokens", "of")) == 0)).select(F.col("of").alias("tokens"))
+    rules = rules.join(covered, "tokens", "left_anti")
     anchored = rules.select("tokens", "confidence", "support", F.explode("tokens").alias("token")).join(counts, "token")
     return anchored.groupBy("tokens", "confidence", "support").agg(F.min(F.struct("freq", "token")).alias("rarest")).select(F.col("rarest.token").alias("anchor"), "tokens", "confidence", "support")
 
