@@ -17,12 +17,15 @@ their whole agenda, many at a time, with the same draws and so the same result.
 
 Decoding joins the pieces' bytes and is exact for every text: characters that are
 no piece, line ends and a literal U+2581 among them, are encoded as byte pieces.
-A null text has null ids, an empty one none; repeated rows get the same pieces. Extra
+A null text has null ids, an empty one none; repeated rows get the same pieces. Candidates of
+equal rank go from left to right. An empty table has no pieces. A very long text is encoded whole;
+so is a very long unit, by a heap, in a time that grows as n log n. Extra
 columns are kept, whatever their names; one that is called like an output is replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import zlib
@@ -450,18 +453,21 @@ class _PairTable:
 
 
 def _shared(spark, model_file: str):  # noqa: ANN001, ANN202
-    return spark.sparkContext.broadcast(read_pieces(model_file))
+    """(digest of the model, the model for the tasks)."""
+    pieces = read_pieces(model_file)
+    return hashlib.sha256(repr(pieces).encode()).hexdigest(), spark.sparkContext.broadcast(pieces)
 
 
 _CODECS: dict[tuple, PieceCodec] = {}
 
 
 def _codec(shared, dropout: float, seed: int, variants: int | None) -> PieceCodec:  # noqa: ANN001
-    """A worker's codec, kept from task to task with the trees it has grown."""
-    name = (shared.id if hasattr(shared, "id") else 0, dropout, seed, variants)
+    """A worker's codec, kept from task to task with the trees it has grown; each model has its own."""
+    digest, pieces = shared
+    name = (digest, dropout, seed, variants)
     if name not in _CODECS:
         _CODECS.clear()
-        _CODECS[name] = PieceCodec(*shared.value, dropout, seed, variants)
+        _CODECS[name] = PieceCodec(*pieces.value, dropout, seed, variants)
     return _CODECS[name]
 
 
