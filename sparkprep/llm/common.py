@@ -30,15 +30,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` as the session has it. Only a local master, as in tests, may do without: all its tasks see /tmp."""
+    context = spark.sparkContext
+    set_to = context.getConf().get("spark.checkpoint.dir")
+    if set_to:
+        return set_to.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
 
-    ``spark.checkpoint.dir`` is used as set; a temporary folder stands in only
-    where nothing is set, as in local tests.
-    """
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the folder that the cluster shares."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -9,7 +9,8 @@ position.
 A row's identity is (id, digest of its text): repeated rows and rows that share an
 id are cleaned each by its own lines, and rows of one id count as one document;
 null ids count as one document. A null or empty text is one empty line. Lines
-whose key is empty are never dropped. Extra columns are kept, whatever their names; one
+whose key is empty are never dropped. A text of very many lines is handled whole, its
+lines by their positions; an empty table gives an empty result. Extra columns are kept, whatever their names; one
 that is called like an output is replaced.
 """
 
