@@ -6,14 +6,13 @@ return the columns of docs, extra ones included, whatever their names.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkprep.llm.common import Sealed
+from sparkprep.llm.common import Sealed, shared_folder
 from sparkprep.llm.jaccard_join import near_duplicates
 from sparkprep.llm.language_id import UNDETERMINED, fit_language_model, identify_language
 from sparkprep.llm.line_dedup import line_dedup
@@ -52,7 +51,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as many times as the mix takes it; repeated rows are told apart by a number."""
+    """Each row as many times as the mix takes it; repeated rows are told apart by a number.
+
+    Null, empty and blank texts have no words and are not taken. A null source is a source of its
+    own. Rows of one id and different texts are taken each by its own draw. An empty table stays empty.
+    """
     sealed = Sealed(docs)
     doc, source = sealed["doc_id"], sealed["source"]
     mix = mix_sources(docs).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("source").alias("_source"), "copies")
@@ -64,7 +67,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their pieces: copy (from 0), ids and n_pieces. Repeats of one document take different segmentations."""
+    """The documents with their pieces: copy (from 0), ids and n_pieces. Repeats of one document take different segmentations.
+
+    A null text has null ids and no pieces, an empty one no pieces. An empty table stays empty. A column
+    of the data called copy, ids or n_pieces is replaced.
+    """
     sealed = Sealed(docs)
     doc, text = sealed["doc_id"], sealed["text"]
     order = Window.partitionBy(doc, F.xxhash64(text)).orderBy(sealed["source"])
@@ -88,8 +95,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; intermediate tables go to the folder that the cluster shares."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-pipeline-", dir="/tmp")
-    folder = f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
