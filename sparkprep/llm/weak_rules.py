@@ -11,7 +11,9 @@ hot source or a very long text moves nothing. Everything is DataFrame functions;
 driver sees the estimates only.
 
 A null, empty or blank text has all statistics 0. Repeated rows are scored alike. An
-empty table gives an empty result. Extra columns are ignored but for the id.
+empty table gives an empty result. Extra columns are ignored but for the id. A posterior of
+exactly one half counts as good. A text may be as long as a row can hold; windows are
+known by 64-bit digests and all their positions.
 """
 
 from __future__ import annotations
@@ -25,42 +27,44 @@ from sparkprep.llm import common as c
 
 #: Characters that count as symbols; fixed by the contract of the statistic.
 SYMBOLS = "#*$%&|<>"
-#: Low bits of a packed window that hold its position.
-_POSITION_BITS = 24
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 5) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals, n_shouts, n_lines, n_distinct_words)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda line: F.length(F.translate(line, c.BLANKS, "")) > 0)
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.regexp_extract_all(text, F.lit(f"({c.WORD})"), F.lit(1)).alias("words"), lines.alias("lines"))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    lines = F.filter(F.split("text", "\n", -1), lambda line: F.trim(line, F.lit(c.BLANKS)) != "")
+    rows = rows.withColumns({"words": F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+", -1), ""), "lines": lines})
+
+    def found(pattern: str) -> Column:
+        return F.regexp_count("text", F.lit(pattern)).cast("long")
+
     rows = rows.select(
         "id",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate("text", c.BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        found(f"[{SYMBOLS}]").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        (F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_capitals"),
-        (F.length("text") - F.length(F.translate("text", "!?", ""))).cast("long").alias("n_shouts"),
+        found("[A-Z]").alias("n_capitals"),
+        found("[!?]").alias("n_shouts"),
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct_words"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("codes"),
     )
-    # a window's digest, its low bits given to its position: sorted, equal windows are neighbours
-    at = F.when(F.size("codes") >= window, F.sequence(F.lit(0), F.size("codes") - window)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("grams", F.transform(at, lambda i: F.xxhash64(*[F.get("codes", i + k) for k in range(window)])))
-    low = (1 << _POSITION_BITS) - 1
-    packed = F.sort_array(F.transform("grams", lambda g, i: g.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
-    rows = rows.drop("codes").withColumn("packed", packed)
+    at = F.when(F.size("codes") >= window, F.sequence(F.lit(1), F.size("codes") - (window - 1))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("grams", F.transform(at, lambda i: F.xxhash64(F.slice("codes", i, window)))).drop("codes")
+    # texts in which every window is found once, most of them, need no order
+    repeated = F.size(F.array_distinct("grams")) < F.size("grams")
+    rows = rows.withColumn("ordered", F.when(repeated, F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i")))))).drop("grams")
 
     def gram(i: Column) -> Column:
-        return F.get("grams", F.get("packed", i).bitwiseAND(F.lit(low)).cast("int"))
+        return F.get("ordered", i)["g"]
 
-    # a neighbour has the same window: then both positions repeat
-    repeats = F.filter("packed", lambda p, i: F.coalesce(gram(i) == gram(i - 1), F.lit(False)) | F.coalesce(gram(i) == gram(i + 1), F.lit(False)))
-    rows = rows.withColumn("repeats", repeats).drop("packed", "grams").withColumn("starts", F.sort_array(F.transform("repeats", lambda p: p.bitwiseAND(F.lit(low)))))
-    covered = F.aggregate(F.transform("starts", lambda s, i: F.least(F.lit(window).cast("long"), F.coalesce(F.get("starts", i + 1) - s, F.lit(window).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.withColumn("n_repeat_words", covered).drop("repeats", "starts")
+    # in order of (window, position) equal windows are neighbours: then both repeat
+    repeats = F.filter("ordered", lambda p, i: F.coalesce(gram(i - 1) == p["g"], F.lit(False)) | F.coalesce(gram(i + 1) == p["g"], F.lit(False)))
+    rows = rows.withColumn("starts", F.sort_array(F.transform(repeats, lambda p: p["i"]))).drop("ordered")
+    covered = F.aggregate(F.transform("starts", lambda s, i: F.least(F.lit(window), F.coalesce(F.get("starts", i + 1) - s, F.lit(window)))), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("starts")
 
 
 def default_rules() -> dict[str, Column]:
