@@ -1,50 +1,89 @@
 """Language ID: word-first backoff.
 
-A model holds, per language, the log frequency of its commonest words and of the
-character n-grams (``max_n`` down to 1) of its words. A word that the model knows
+A model holds, per language, the log frequency of its words and of the character
+n-grams (``max_n`` down to 1) of its words. A word that the model knows
 scores by its word frequencies; an unknown word is read left to right by its longest
 known n-grams, falling back to shorter ones where a longer one is unknown. A text
 scores the mean over its words, and the languages' shares of ``exp(sharpness * mean)``
-are its scores, so a score does not depend on the text's length.
+are its scores, so a score does not depend on the text's length. Equal scores go to the
+first language by code point.
 
-Training reads a bounded sample of labelled rows: at most about
-``max_docs_per_language`` documents of each language, by digest of their text.
-Word and n-gram tables are cut to the ``max_words`` and ``max_grams`` commonest a
-language, so the model's size is bounded by parameters. Prediction reads whole texts.
+Training reads a bounded sample of the labelled rows: about ``max_docs_per_language``
+different texts of each language at most, by digest of the text, of at most the
+``max_languages`` languages of the most rows. The model has every word and n-gram of
+that sample. Prediction reads whole texts, many at a time: words are known by
+64-bit digests, looked up in sorted arrays; only words that are unknown are spelt out,
+each once a worker.
 
-Words are runs of letters, lower-cased. A null text, or one without a letter, is
-``und`` with score 0. So is every text if nothing could be learned. Rows whose
-language or text is null teach nothing. Extra columns are kept, whatever their names; one
-that is called like an output is replaced. Repeated rows are judged alike.
+Words are runs of letters (Unicode's), lower-cased. A null text, or one without a letter, is
+``und`` with score 0. So is every text if nothing could be learned, as from an empty
+table. Rows whose language or text is null teach nothing. An empty table has no
+predictions. Very long texts are read in pieces that end at a word's end. Extra columns
+are kept, whatever their names; one that is called like an output is replaced. Repeated
+rows are judged alike.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.llm import common as c
 
-_LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
+#: Characters that are looked at together.
+_PIECE = 1 << 20
+#: A character that ends every word.
+_OUTSIDE = re.compile(r"[\W\d_]")
+
+
+@cache
+def _letter_table() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
+
+
+@cache
+def _letters() -> re.Pattern:
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], _letter_table(), [False]]).astype(np.int8)))
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in edges.reshape(-1, 2).tolist()) + "]+")
+
+
+def _digests(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return c.mix(c.spans_digest(points.astype(np.uint64) + np.uint64(1), starts, ends, c.word_base(0)) ^ (ends - starts).astype(np.uint64))
+
+
+def _points(texts: Iterable[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def words_digest(words: list[str]) -> np.ndarray:
+    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+    return _digests(_points(words), ends - [len(w) for w in words], ends) if words else np.zeros(0, dtype=np.uint64)
 
 
 class LanguageModel:
     """languages; words and grams: text -> log frequency in each language."""
 
     def __init__(self, languages: list[str], words: dict[str, tuple], grams: dict[str, tuple], max_n: int, sharpness: float) -> None:
-        self.languages, self.words, self.grams, self.max_n, self.sharpness = languages, words, grams, max_n, sharpness
-        self._memo: dict[str, tuple] = {}
+        self.languages, self.grams, self.max_n, self.sharpness = languages, grams, max_n, sharpness
+        keys = words_digest(list(words))
+        order = np.argsort(keys)
+        #: Known words by digest, in order, and their rows.
+        self.keys = keys[order]
+        self.table = np.array(list(words.values()), dtype=np.float64).reshape(len(words), len(languages))[order]
+        self._memo: dict[int, tuple] = {}
 
     def _by_grams(self, word: str) -> tuple:
-        """Mean log frequency of the longest known n-grams that cover an unknown word, a little below any known word's."""
+        """Mean log frequency of the longest known n-grams that cover an unknown word."""
         marked = f"<{word}>"
         sums, used, at, n = [0.0] * len(self.languages), 0, 0, len(marked)
         while at < n:
@@ -60,31 +99,74 @@ class LanguageModel:
         return tuple(x / used for x in sums) if used else tuple(sums)
 
     def word(self, word: str) -> tuple:
-        found = self.words.get(word)
-        if found is None:
-            found = self._memo.get(word)
-            if found is None:
-                if len(self._memo) > 200_000:
-                    self._memo.clear()
-                found = self._memo[word] = self._by_grams(word)
-        return found
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(_LETTERS.findall(text.lower())) if text else {}
-        if not counts or not self.languages:
-            return UNDETERMINED, 0.0
-        sums = [0.0] * len(self.languages)
-        for word, n in counts.items():
-            for i, x in enumerate(self.word(word)):
-                sums[i] += x * n
-        total = sum(counts.values())
-        best = max(sums)
-        shares = [math.exp(self.sharpness * (x - best) / total) for x in sums]
-        # ties go to the first language by code point
-        return self.languages[sums.index(best)], 1.0 / sum(shares)
-
-
-def _grams(max_n: int, max_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        return tuple(self._rows(words_digest([word]), lambda i: word)[0].tolist())
+
+    def _rows(self, digests: np.ndarray, spell: Callable[[int], str]) -> np.ndarray:
+        """The log frequencies of many words; ``spell`` gives the word at a place, where it must be known."""
+        out = np.empty((len(digests), len(self.languages)))
+        place = np.minimum(np.searchsorted(self.keys, digests), max(len(self.keys) - 1, 0))
+        known = self.keys[place] == digests if len(self.keys) else np.zeros(len(digests), dtype=bool)
+        out[known] = self.table[place[known]]
+        lost = np.flatnonzero(~known)
+        if len(lost):
+            new, first, back = np.unique(digests[lost], return_index=True, return_inverse=True)
+            if len(self._memo) > 200_000:
+                self._memo.clear()
+            rows = []
+            for digest, i in zip(new.tolist(), lost[first].tolist(), strict=True):
+                row = self._memo.get(digest)
+                if row is None:
+                    row = self._memo[digest] = self._by_grams(spell(i))
+                rows.append(row)
+            out[lost] = np.array(rows)[back]
+        return out
+
+    def _pieces(self, texts: list[str | None]) -> Iterator[tuple[list[str], list[int]]]:
+        """(lower-cased pieces, the text of each), of about _PIECE characters together."""
+        held, owners, size = [], [], 0
+        for i, text in enumerate(texts):
+            rest = text.lower() if text else ""
+            while rest:
+                cut = _OUTSIDE.search(rest, _PIECE) if len(rest) > _PIECE else None
+                piece, rest = (rest[: cut.start()], rest[cut.start() :]) if cut else (rest, "")
+                held.append(piece), owners.append(i)
+                size += len(piece)
+                if size >= _PIECE:
+                    yield held, owners
+                    held, owners, size = [], [], 0
+        if held:
+            yield held, owners
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """(language, score) of each text."""
+        sums, total = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), dtype=np.int64)
+        for pieces, owners in self._pieces(texts) if self.languages else ():
+            points = _points(pieces)
+            at = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+            letter = _letter_table()[points]
+            edge = np.zeros(len(points) + 1, dtype=bool)  # a new piece begins here
+            edge[at] = True
+            before, after = np.ones(len(points), dtype=bool), np.ones(len(points), dtype=bool)
+            before[1:], after[:-1] = ~letter[:-1], ~letter[1:]
+            starts = np.flatnonzero(letter & (before | edge[:-1]))
+            ends = np.flatnonzero(letter & (after | edge[1:])) + 1
+            if not len(starts):
+                continue
+            spell = lambda i, p=points, a=starts, b=ends: p[a[i] : b[i]].tobytes().decode("utf-32-le", "surrogatepass")
+            rows = self._rows(_digests(points, starts, ends), spell)
+            owner = np.array(owners)[np.searchsorted(at, starts, side="right") - 1]
+            total += np.bincount(owner, minlength=len(texts))
+            for j in range(len(self.languages)):
+                sums[:, j] += np.bincount(owner, weights=rows[:, j], minlength=len(texts))
+        if not self.languages:
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        best = sums.argmax(axis=1)  # the first of equals
+        shares = np.exp(self.sharpness * (sums - sums.max(axis=1)[:, None]) / np.maximum(total, 1)[:, None])
+        score = np.where(total > 0, 1.0 / shares.sum(axis=1), 0.0)
+        return [self.languages[b] if n else UNDETERMINED for b, n in zip(best.tolist(), total.tolist(), strict=True)], score
+
+
+def _grams(max_n: int, most_held: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts of words (kind 0) and of their n-grams (kind 1) of a task's texts, by language."""
 
     def flush(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
@@ -105,8 +187,8 @@ def _grams(max_n: int, max_words: int) -> Callable[[Iterator[pa.RecordBatch]], I
         counts: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.setdefault(lang, Counter()).update(_LETTERS.findall(text.lower()))
-                if sum(map(len, counts.values())) > max_words:
+                counts.setdefault(lang, Counter()).update(_letters().findall(text.lower()))
+                if sum(map(len, counts.values())) > most_held:
                     yield from flush(counts)
                     counts = {}
         yield from flush(counts)
@@ -120,51 +202,44 @@ def fit_language_model(
     lang_col: str = "lang",
     usable: Column | None = None,
     max_docs_per_language: int = 3000,
-    max_words: int = 20_000,
-    max_grams: int = 20_000,
+    max_languages: int = 1000,
     max_n: int = 4,
-    min_count: int = 2,
     sharpness: float = 3.0,
 ) -> LanguageModel:
+    """The bounds on the sample of labelled rows are ``max_docs_per_language`` and ``max_languages``; what the driver gets is that sample's counts."""
     labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), (F.lit(True) if usable is None else usable).alias("ok"))
     labelled = labelled.where("ok and text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()}  # one row a language
-    if not sizes:
-        return LanguageModel([], {}, {}, max_n, sharpness)
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, max_docs_per_language / n)).otherwise(share)
-    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(max_languages)
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    sample = labelled.join(sizes, "lang").where(place < max_docs_per_language / F.col("rows")).withColumn("key", F.xxhash64("text")).dropDuplicates(["lang", "key"])
     counts = sample.select("lang", "text").mapInArrow(_grams(max_n, 200_000), "lang string, kind int, item string, n long")
-    counts = counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    totals = Window.partitionBy("lang", "kind")
-    top = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
-    counts = counts.withColumn("total", F.sum("n").over(totals)).withColumn("place", F.row_number().over(top))
-    kept = counts.where(F.col("place") <= F.when(F.col("kind") == 0, max_words).otherwise(max_grams))
-    languages = list(sizes)
-    tables: list[dict[str, list]] = [{}, {}]
-    least: list[list[float]] = [[0.0] * len(languages), [0.0] * len(languages)]
-    for row in kept.select("lang", "kind", "item", "n", "total").collect():  # at most languages x (max_words + max_grams) rows
-        i = languages.index(row["lang"])
-        tables[row["kind"]].setdefault(row["item"], [None] * len(languages))[i] = math.log(row["n"] / row["total"])
-        least[row["kind"]][i] = math.log(0.5 / row["total"])
-    words, grams = ({item: tuple(least[k][i] if x is None else x for i, x in enumerate(row)) for item, row in sorted(t.items())} for k, t in enumerate(tables))
-    return LanguageModel(languages, words, grams, max_n, sharpness)
+    rows = counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    languages = sorted(rows["lang"].unique().tolist())
+    tables = []
+    for kind in (0, 1):
+        part = rows[rows["kind"] == kind]
+        totals = part.groupby("lang")["n"].sum().reindex(languages)
+        items, item = np.unique(part["item"].to_numpy(dtype=object), return_inverse=True)
+        logs = np.tile(np.log(0.5 / totals.to_numpy(dtype=float)), (len(items), 1))
+        lang = np.searchsorted(np.array(languages, dtype=object), part["lang"].to_numpy(dtype=object)) if len(part) else np.zeros(0, dtype=int)
+        logs[item, lang] = np.log(part["n"].to_numpy(dtype=float) / totals.to_numpy(dtype=float)[lang])
+        tables.append(dict(zip(items.tolist(), map(tuple, logs.tolist()), strict=True)))
+    return LanguageModel(languages, *tables, max_n, sharpness)
 
 
 def _predictor(shared):  # noqa: ANN001, ANN202
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = LanguageModel(*shared.value)
+        model = shared.value
         for series in texts:
-            yield pd.DataFrame([own.predict(t) for t in series.tolist()], columns=["lang", "score"])
+            lang, score = model.predict(series.tolist())
+            yield pd.DataFrame({"lang": lang, "score": score})
 
     return predict
 
 
 def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """docs with the predicted language and its score."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams, model.max_n, model.sharpness))
-    predict = F.pandas_udf(_predictor(shared), "lang string, score double")
+    predict = F.pandas_udf(_predictor(docs.sparkSession.sparkContext.broadcast(model)), "lang string, score double")
     sealed = c.Sealed(docs)
     found = sealed.df.withColumn("_found", predict(F.col(sealed[text_col])))
     return sealed.reopen(found, added={lang_out: F.col("_found.lang"), score_out: F.col("_found.score")})
