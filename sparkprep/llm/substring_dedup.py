@@ -1,23 +1,31 @@
-"""Substring dedup by repeated windows, in the place of a compacted de Bruijn graph.
-
-No k-mer edges, degrees or branching are worked out, and spans are not compared with
-the source text. Edges are windows of ``length`` consecutive words. Only windows around a
-*repeated sampled k-mer* can be repeated edges: from each window its k-mer of
-least digest is sampled, equal windows sample equal k-mers, so a window whose
-sampled k-mer is in one document only is left out without a shuffle of its own.
-Every repeated edge gets the smallest (document, position) it starts at as its
-source. Edges that follow each other in a document and whose sources follow each
-other as well form one nonbranching path; paths, each with source coordinates,
-are what the operator returns, and what is removed is the union of the paths.
-
-Documents that are later copies of a whole text are told by the text's digest: all
-their windows start in the first copy, so they make no edges.
-
-Digests are 128 bits, so an equal digest stands for an equal word sequence.
+"""Substring dedup over a compacted de Bruijn graph of token k-mers.
+
+1. Edges are the k-mers of ``length`` consecutive words; an edge leads from the node of its
+   first to the node of its last ``length - 1`` words. Only edges around a *repeated sampled
+   anchor* can be repeated: from each edge its run of ``k`` words of least digest is
+   sampled, equal edges sample equal anchors, so an edge whose anchor is in one
+   document only is left out without a shuffle of its own. Every repeated edge gets the smallest
+   (document, position) it starts at as its source.
+2. Degrees are counted by node. Where one repeated edge enters a node and one leaves it the path does
+   not branch. Edges that follow each other so in their source document form a run; runs that
+   follow each other over the texts of different sources are chained by pointer-jumping joins, in
+   as many rounds as the logarithm of the longest chain. Chains are the compacted paths; a circle is
+   left cut at its runs.
+3. Every later occurrence of a repeated edge is found by one join and folded into spans: a span
+   lies on one path, at an offset, and its segments have source coordinates.
+4. Each segment is verified: the source's words at the source coordinates go, in blocks, to
+   the documents that repeat them and are compared word by word. What is removed is the union of
+   the verified words.
+
+A hot edge, one that a third of all documents hold, is split: anchors carry a number of
+salts by their counts, equal edges carry equal numbers, and the edge's source is given out
+once a salt. Documents that are later copies of a whole text are told by the text's digest: all
+their edges start in the first copy, so they make none.
 
 Rows with a null id neither lose words nor are sources. Null and blank texts
 have no words. Rows that share an id count as one document as a source; each is
-cleaned by its own words. Extra columns are ignored.
+cleaned by its own words. Equal documents go by their ids; the same edge twice in one document
+is no repeat. Very long texts are read whole. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +34,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkprep.llm import common as c
@@ -74,110 +83,220 @@ def sampled_kmers(docs: DataFrame, id_col: str, text_col: str, length: int, k: i
     return rows.mapInArrow(run, "doc long, text_key long, kmer long")
 
 
-def _windows(length: int, k: int, removable_only: bool):
-    """Repeated-edge candidates of (doc, tag, text, kmers, later): those whose sampled k-mer is among the repeated ones."""
+#: An anchor in more documents than this is dealt to several salts.
+HOT = 4096
+#: Words of a source that go to be compared together.
+BLOCK = 64
+#: Positions in a packed (document, position).
+_PLACES = 1 << 31
+_EDGE = "doc long, tag int, pos int, from long, to long, salts int"
+
+
+def _edges(length: int, k: int, later_only: bool):  # noqa: ANN202
+    """Edges of (doc, tag, text, listed, copy) whose anchor is among the repeated ones that the row lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            wanted = batch.column(4 if removable_only else 3)
+            batch = batch.filter(pc.and_(pc.is_valid(batch.column(3)), pc.invert(batch.column(4))))
+            ids, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for first, last, raw, at in c.text_slices(batch.column(2)):
                 one, rows = c.word_digests(raw, at)
                 starts, row, kmer = _sampled(one, rows, length, k)
-                listed = wanted.slice(first, last - first)
-                flat = listed.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                listed = batch.column(3).slice(first, last - first)
+                flat = listed.flatten()
                 if not len(starts) or not len(flat):
                     continue
-                # a k-mer counts in the row that lists it
-                owner = np.repeat(np.arange(last - first), np.diff(listed.offsets.to_numpy()))
-                have = np.unique(c.mix(flat ^ c.mix(owner.astype(np.uint64) + np.uint64(1))))
+                # an anchor counts in the row that lists it
+                owner = np.repeat(np.arange(last - first), pc.list_value_length(listed).to_numpy(zero_copy_only=False))
+                anchor, salts = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("kmer", "salts"))
+                if later_only:
+                    wanted = flat.field("later").to_numpy(zero_copy_only=False)
+                    owner, anchor, salts = owner[wanted], anchor[wanted], salts[wanted]
+                    if not len(anchor):
+                        continue
+                have = c.mix(anchor.view(np.uint64) ^ c.mix(owner.astype(np.uint64) + np.uint64(1)))
+                order = np.argsort(have)
+                have, salts = have[order], salts[order]
                 want = c.mix(kmer ^ c.mix(row.astype(np.uint64) + np.uint64(1)))
                 place = np.minimum(np.searchsorted(have, want), len(have) - 1)
                 hit = have[place] == want
-                starts, row = starts[hit], row[hit]
-                two, _ = c.word_digests(raw, at, 1)
-                out = [ids[first:last][row], keys[first:last][row], (starts - rows[row]).astype(np.int32)]
-                out += [c.spans_digest(x, starts, starts + length, c.word_base(i)).view(np.int64) for i, x in enumerate((one, two))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["doc", "tag", "pos", "h1", "h2"])
+                starts, row, place = starts[hit], row[hit], place[hit]
+                nodes = [c.mix(c.spans_digest(one, starts + i, starts + i + length - 1, c.word_base(1))).view(np.int64) for i in (0, 1)]
+                out = [ids[first:last][row], tags[first:last][row], (starts - rows[row]).astype(np.int32), *nodes, salts[place].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["doc", "tag", "pos", "from", "to", "salts"])
 
     return run
 
 
-_WINDOW = "doc long, tag int, pos int, h1 long, h2 long"
-#: Positions in a packed (document, position).
-_PLACES = 1 << 31
-
-
-def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 24) -> tuple[DataFrame, DataFrame]:
-    """(keyed documents, paths).
-
-    Paths: doc, tag (31 bits of a digest of the text, for rows that share an id), start,
-    end (of the words covered), source_doc, source_start. Keyed documents: doc, tag,
-    text, the repeated k-mers of each, and whether it is a later copy of a whole text.
-    """
+def anchored(docs: DataFrame, id_col: str, text_col: str, length: int, k: int) -> DataFrame:
+    """(doc, tag, text, listed, copy): each row with the repeated anchors of its document, and whether it is a later copy of a whole text."""
     tag = F.xxhash64(text_col).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("tag")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), tag, F.md5(text_col).alias("whole"))
     firsts = rows.where("doc is not null and whole is not null").groupBy("whole").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    # later copies of whole texts lose all their windows, so they make no edges
     copies = rows.join(firsts, "whole").where("doc > low").groupBy("doc").agg(F.collect_set("tag").alias("copies"))
     kmers = sampled_kmers(docs, id_col, text_col, length, k)
-    repeated = kmers.groupBy("kmer").agg(F.min("doc").alias("low"), F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a != b").select("kmer", "low")
-    listed = (
-        kmers.select("doc", "kmer")
-        .join(repeated, "kmer")
-        .groupBy("doc")
-        .agg(F.collect_set("kmer").alias("kmers"), F.collect_set(F.when(F.col("low") < F.col("doc"), F.col("kmer"))).alias("later"))
-        .join(copies, "doc", "full")
-    )
-    listed = c.durable(listed)
-    keyed = (
+    repeated = kmers.groupBy("kmer").agg(F.min("doc").alias("low"), F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.count(F.lit(1)).alias("n")).where("a != b")
+    repeated = repeated.select("kmer", "low", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
+    each = kmers.select("doc", "kmer").join(repeated, "kmer").select("doc", F.struct("kmer", (F.col("low") < F.col("doc")).alias("later"), "salts").alias("one"))
+    listed = c.durable(each.groupBy("doc").agg(F.collect_set("one").alias("listed")).join(copies, "doc", "full"))
+    return (
         docs.select(F.col(id_col).cast("long").alias("doc"), tag, F.col(text_col).alias("text"))
         .join(listed.hint("shuffle_merge"), "doc", "left")
-        .select("doc", "tag", "text", "kmers", "later", F.coalesce(F.array_contains("copies", F.col("tag")), F.lit(False)).alias("copy"))
+        .select("doc", "tag", "text", "listed", F.coalesce(F.array_contains("copies", F.col("tag")), F.lit(False)).alias("copy"))
     )
-    some = keyed.where("kmers is not null and not copy").drop("copy")
-    place = F.col("doc").cast("decimal(38,0)") * _PLACES + F.col("pos")
-    edges = some.mapInArrow(_windows(length, k, False), _WINDOW)
-    sources = edges.groupBy("h1", "h2").agg(F.min(place.cast("decimal(38,0)")).alias("source"))
-    later = some.where(F.size("later") > 0).mapInArrow(_windows(length, k, True), _WINDOW)
-    repeats = later.join(sources, ["h1", "h2"]).where(F.col("source") < F.col("doc").cast("decimal(38,0)") * _PLACES)
-    repeats = repeats.select("doc", "tag", "pos", F.floor(F.col("source") / _PLACES).cast("long").alias("source_doc"), F.pmod("source", F.lit(_PLACES)).cast("int").alias("source_pos"))
+
+
+def repeated_edges(keyed: DataFrame, length: int, k: int) -> DataFrame:
+    """(from, to, salts, source_doc, source_pos, run, run_salts, inner): one row an edge that different documents hold, with its run in its source document."""
+    place = F.col("doc").cast("decimal(38,0)") * _PLACES
+    edges = keyed.mapInArrow(_edges(length, k, False), _EDGE)
+    edges = edges.groupBy("from", "to").agg(F.min((place + F.col("pos")).cast("decimal(38,0)")).alias("source"), F.max(place.cast("decimal(38,0)")).alias("high"), F.max("salts").alias("salts"))
+    edges = edges.where("high > source").select("from", "to", "salts", F.floor(F.col("source") / _PLACES).cast("long").alias("source_doc"), F.pmod("source", F.lit(_PLACES)).cast("int").alias("source_pos"))
+    ends = edges.select(F.explode(F.array(F.struct(F.col("from").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("to").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))).alias("e")).select("e.*")
+    inner = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).where("out = 1 and into = 1").select("node")
+    marked = edges.join(inner, F.col("from") == F.col("node"), "left").withColumn("inner", F.col("node").isNotNull()).drop("node")
+    order = Window.partitionBy("source_doc").orderBy("source_pos", "from", "to")
+    follows = F.col("inner") & (F.lag("source_pos").over(order) + 1 == F.col("source_pos")) & (F.lag("to").over(order) == F.col("from"))
+    numbered = marked.withColumn("begins", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("begins").over(order).cast("int")).drop("begins")
+    return numbered.withColumn("run_salts", F.max("salts").over(Window.partitionBy("source_doc", "run")))
+
+
+def compact(edges: DataFrame) -> DataFrame:
+    """(source_doc, run, run_pos, n_edges, run_salts, path_doc, path_run, base): each run with the nonbranching path it is part of and its offset there."""
+    runs = edges.groupBy("source_doc", "run").agg(
+        F.min("source_pos").alias("run_pos"), F.count(F.lit(1)).alias("n_edges"), F.max("run_salts").alias("run_salts"), F.min_by("from", "source_pos").alias("head"), F.max_by("to", "source_pos").alias("tail"), F.min_by("inner", "source_pos").alias("inner")
+    )
+    runs = c.durable(runs)
+    before = runs.select(F.col("tail").alias("head"), F.col("source_doc").alias("up_doc"), F.col("run").alias("up_run"), F.col("n_edges").alias("ahead"))
+    # the node is inner, so one run ends there
+    links = runs.where("inner").join(before, "head").where("source_doc != up_doc or run != up_run").select("source_doc", "run", "up_doc", "up_run", "ahead", F.lit(True).alias("moved"))
+    links = c.durable(links)
+    for _ in range(links.count().bit_length() + 1):
+        over = links.select(F.col("source_doc").alias("up_doc"), F.col("run").alias("up_run"), F.col("up_doc").alias("o_doc"), F.col("up_run").alias("o_run"), F.col("ahead").alias("more"))
+        links = c.durable(
+            links.join(over, ["up_doc", "up_run"], "left").select(
+                "source_doc", "run", F.coalesce("o_doc", "up_doc").alias("up_doc"), F.coalesce("o_run", "up_run").alias("up_run"), (F.col("ahead") + F.coalesce("more", F.lit(0))).alias("ahead"), F.col("o_doc").isNotNull().alias("moved")
+            )
+        )
+        if links.where("moved").isEmpty():
+            break
+    links = links.where("not moved").drop("moved")  # what still moves is a circle
+    return runs.join(links, ["source_doc", "run"], "left").select(
+        "source_doc", "run", "run_pos", "n_edges", "run_salts", F.coalesce("up_doc", "source_doc").alias("path_doc"), F.coalesce("up_run", "run").alias("path_run"), F.coalesce("ahead", F.lit(0)).alias("base")
+    )
+
+
+def _salted(df: DataFrame, salts: str) -> DataFrame:
+    """Each row once a salt."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col(salts) - 1)))
+
+
+def _salt(salts: str) -> Column:
+    return F.pmod(F.xxhash64("doc"), F.col(salts)).cast("int")
+
+
+def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 24) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(keyed documents, runs, spans).
+
+    Spans: doc, tag (31 bits of a digest of the text, for rows that share an id), start,
+    end (of the words covered), path_doc and path_run (the path's name), path_offset, and segments
+    (source_doc, run, run_pos, run_salts, source_start, at, n: n words of doc from ``at`` on are the source's from ``source_start`` on).
+    """
+    keyed = anchored(docs, id_col, text_col, length, k)
+    edges = c.durable(repeated_edges(keyed, length, k))
+    runs = compact(edges)
+    later = keyed.mapInArrow(_edges(length, k, True), _EDGE).withColumn("salt", _salt("salts")).drop("salts")
+    found = later.join(_salted(edges, "salts"), ["from", "to", "salt"]).where("source_doc < doc").select("doc", "tag", "pos", "source_doc", "source_pos", "run", "run_salts")
     order = Window.partitionBy("doc", "tag").orderBy("pos")
-    follows = (F.col("pos") == F.lag("pos").over(order) + 1) & (F.col("source_doc") == F.lag("source_doc").over(order)) & (F.col("source_pos") == F.lag("source_pos").over(order) + 1)
-    paths = (
-        repeats.withColumn("begins", F.when(follows, 0).otherwise(1))
+
+    def same(*names: str) -> Column:
+        out = F.lit(True)
+        for n in names:
+            out = out & (F.col(n) == F.lag(n).over(order))
+        return out
+
+    follows = same("source_doc", "run") & (F.col("pos") == F.lag("pos").over(order) + 1) & (F.col("source_pos") == F.lag("source_pos").over(order) + 1)
+    segments = (
+        found.withColumn("begins", F.when(follows, 0).otherwise(1))
+        .withColumn("span", F.sum("begins").over(order))
+        .groupBy("doc", "tag", "span")
+        .agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("edges"), F.min("source_doc").alias("source_doc"), F.min("run").alias("run"), F.min("source_pos").alias("source_start"), F.max("run_salts").alias("run_salts"))
+        .withColumn("salt", _salt("run_salts"))
+    )
+    placed = segments.join(_salted(runs, "run_salts").drop("run_salts", "n_edges"), ["source_doc", "run", "salt"]).withColumn("path_offset", F.col("base") + F.col("source_start") - F.col("run_pos"))
+    onward = same("path_doc", "path_run") & (F.col("pos") == F.lag("pos").over(order) + F.lag("edges").over(order)) & (F.col("path_offset") == F.lag("path_offset").over(order) + F.lag("edges").over(order))
+    segment = F.struct("source_doc", "run", "run_pos", "run_salts", "source_start", F.col("pos").alias("at"), (F.col("edges") + length - 1).alias("n"))
+    spans = (
+        placed.withColumn("begins", F.when(onward, 0).otherwise(1))
         .withColumn("path", F.sum("begins").over(order))
         .groupBy("doc", "tag", "path")
-        .agg(F.min("pos").alias("start"), (F.max("pos") + length).alias("end"), F.min("source_doc").alias("source_doc"), F.min("source_pos").alias("source_start"))
+        .agg(
+            F.min("pos").alias("start"), (F.max(F.col("pos") + F.col("edges")) + length - 1).alias("end"), F.min("path_doc").alias("path_doc"), F.min("path_run").alias("path_run"), F.min("path_offset").alias("path_offset"),
+            F.collect_list(segment).alias("segments"),
+        )
         .drop("path")
-    )
-    return keyed, paths
+    )
+    return keyed, runs, c.durable(spans)
+
+
+def _source_words(length: int):  # noqa: ANN202
+    """The words of each run of (doc, text, runs) by blocks of the source's positions; rows that share an id give theirs each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            batch = batch.filter(pc.is_valid(batch.column(2)))
+            for doc, text, runs in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                words = (text or "").encode().split()
+                for r in runs:
+                    end = min(r["run_pos"] + r["n_edges"] + length - 1, len(words))
+                    for b in range(r["run_pos"] // BLOCK, -(-end // BLOCK)):
+                        part = words[max(b * BLOCK, r["run_pos"]) : min((b + 1) * BLOCK, end)]
+                        for column, value in zip(out, (doc, r["run"], b, r["run_salts"], b" ".join(part).decode()), strict=True):
+                            column.append(value)
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["source_doc", "run", "b", "run_salts", "words"])
+
+    return run
+
+
+def source_words(keyed: DataFrame, runs: DataFrame, spans: DataFrame, length: int) -> DataFrame:
+    """(doc, checks): for each document the source's words that its segments have to equal."""
+    by_doc = runs.groupBy(F.col("source_doc").alias("doc")).agg(F.collect_list(F.struct("run", "run_pos", "n_edges", "run_salts")).alias("runs"))  # no more than a text has words
+    given = keyed.join(by_doc.hint("shuffle_merge"), "doc", "left").select("doc", "text", "runs").mapInArrow(_source_words(length), "source_doc long, run int, b int, run_salts int, words string")
+    asked = spans.select("doc", "tag", F.explode("segments").alias("s")).select("doc", "tag", "s.*")
+    last = F.col("source_start") + F.col("n")
+    asked = asked.withColumn("b", F.explode(F.sequence(F.floor(F.col("source_start") / BLOCK).cast("int"), F.floor((last - 1) / BLOCK).cast("int"))))
+    low = F.greatest(F.col("b") * BLOCK, "source_start")
+    check = F.struct("tag", (F.col("at") + low - F.col("source_start")).cast("int").alias("at"), (low - F.greatest(F.col("b") * BLOCK, "run_pos")).cast("int").alias("skip"), (F.least((F.col("b") + 1) * BLOCK, last) - low).cast("int").alias("n"))
+    asked = asked.withColumn("salt", _salt("run_salts")).select("doc", "source_doc", "run", "b", "salt", check.alias("check"))
+    return asked.join(_salted(given, "run_salts"), ["source_doc", "run", "b", "salt"]).groupBy("doc").agg(F.collect_list(F.struct("check.*", "words")).alias("checks"))
 
 
 def _clean(length: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for doc, tag, text, copy, spans in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+            out: list[list] = [[], [], [], [], []]
+            for doc, tag, text, copy, checks, n_paths in zip(*(col.to_pylist() for col in batch.columns), strict=True):
                 words = (text or "").encode().split()
                 keep = np.full(len(words), not (copy and len(words) >= length))
-                for span in spans or ():
-                    if span["tag"] == tag:
-                        keep[span["start"] : span["end"]] = False
+                for x in checks or ():
+                    if x["tag"] == tag and words[x["at"] : x["at"] + x["n"]] == x["words"].encode().split(b" ")[x["skip"] : x["skip"] + x["n"]]:
+                        keep[x["at"] : x["at"] + x["n"]] = False
                 left = words if keep.all() else [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-                for column, value in zip(out, (doc, len(words), len(words) - len(left), b" ".join(left).decode()), strict=True):
+                for column, value in zip(out, (doc, len(words), len(words) - len(left), b" ".join(left).decode(), sum(p == tag for p in n_paths or ())), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string())], ["doc", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string()), pa.array(out[4], pa.int64())], ["doc", "n_words", "n_removed", "kept", "n_paths"])
 
     return run
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 24) -> DataFrame:
-    """(id, n_words, n_removed, kept): every text without the words of its repeated paths, kept words joined by one space."""
-    keyed, paths = repeated_paths(docs, id_col, text_col, length, k)
-    spans = paths.groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "end")).alias("spans"))
-    joined = keyed.join(spans.hint("shuffle_merge"), "doc", "left").select("doc", "tag", "text", "copy", "spans")
-    return joined.mapInArrow(_clean(length), "doc long, n_words long, n_removed long, kept string").withColumnRenamed("doc", id_col)
+    """(id, n_words, n_removed, kept, n_paths): every text without the words it repeats, kept words joined by one space, and on how many stretches of compacted paths those lie."""
+    keyed, runs, spans = repeated_paths(docs, id_col, text_col, length, k)
+    checks = source_words(keyed, runs, spans, length).join(spans.groupBy("doc").agg(F.collect_list("tag").alias("paths")), "doc")
+    joined = keyed.join(checks.hint("shuffle_merge"), "doc", "left").select("doc", "tag", "text", "copy", "checks", "paths")
+    return joined.mapInArrow(_clean(length), "doc long, n_words long, n_removed long, kept string, n_paths long").withColumnRenamed("doc", id_col)
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
