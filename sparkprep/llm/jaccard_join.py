@@ -1,28 +1,34 @@
-"""N-gram Jaccard join: MinHash LSH bands with exact verification.
+"""N-gram Jaccard join: a MinHash LSH forest with exact verification.
 
 1. Texts with the same word sequence form a class; one signature a class goes on.
-2. A signature is ``trees`` x ``max_depth`` minima. One prefix length for all
-   trees is worked out beforehand, the longest with which
-   ``1 - (1 - threshold**depth) ** trees`` reaches ``target_recall``; classes
-   that share a prefix of that length meet. No trie is built, and no prefix is
-   shortened by what was found: these are fixed bands, not a forest. Prefixes with one member go by a
-   pre-aggregated count, and trees whose prefixes hold the very same members count once.
-3. Within a shared prefix, classes whose whole signatures agree nearly as much as
-   the threshold asks (``margin`` standard deviations below it) are linked, and the
-   links' connected components are the groups to verify. Prefixes shared by more
-   than ``max_bucket`` classes are not compared but become groups as they are:
-   groups may be too large, never too small.
-4. Within a group every pair's Jaccard similarity is computed exactly, from the
+2. A signature is ``trees`` x ``max_depth`` minima, a path down a prefix trie in each of
+   ``trees`` trees. Subtrees at the shortest prefix that any document can need, those with
+   two classes at least, are laid out in the trie's order: classes sorted by the rest of
+   their paths, so that a class's longest matched prefix is the longer one of those it
+   shares with its two neighbours.
+3. Prefixes are shortened a class at a time. A class asks with prefixes of ``max_depth``,
+   and by one minimum less until its own recall reaches the target: at that length it
+   met others in as many trees as a pair at the threshold does on average, so a partner
+   that is not met must miss both the class and those it met,
+   ``1 - (1 - threshold**depth) ** (2 * trees) >= target_recall``. Where a class meets too few
+   it goes on to the shortest prefix, at which a pair at the threshold meets by itself,
+   ``1 - (1 - threshold**depth) ** trees >= target_recall``. All classes answer at every length.
+4. Classes that meet and whose whole signatures agree nearly as much as the threshold
+   asks (``margin`` standard deviations below it) are linked, and the links' connected
+   components are the groups to verify. A subtree of more than ``bucket_block`` classes is
+   dealt into blocks and every pair of blocks is compared, so the links are the same.
+5. Within a group every pair's Jaccard similarity is computed exactly, from the
    whole texts' shingle sets. A group beyond ``block`` members or ``block_shingles``
    shingles is dealt into blocks, and pairs of blocks go to different tasks. Pairs
    are counted where they are verified; what leaves a task is one count a class
-   and a spanning forest of its links, so nothing grows with the square of a group.
+   and a tree of few branches over the classes it links, so nothing grows with the square of a group.
 
 Shingles are ``shingle`` consecutive words, unchanged; a text of fewer words has its
 whole word sequence as its one shingle. Texts without words (null, empty, blank)
 link to nothing. Rows of one id and different texts are different documents; repeated
 rows are copies of each other. A null id is no class's smallest id unless all are null.
-Extra columns are ignored. An empty table gives an empty result.
+A pair just at the threshold is linked. Very long texts are read whole, in 512 shingles at a
+time where their minima are taken. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkprep.llm import common as c
@@ -57,13 +63,38 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[bytes, np.ndarray
 
 
 def forest_depth(threshold: float, trees: int, max_depth: int, target_recall: float) -> int:
-    """The longest prefix at which pairs at the threshold meet in some tree with the target recall."""
+    """The shortest prefix that a document can need: the longest at which pairs at the threshold meet in some tree with the target recall."""
     depth = max_depth
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < target_recall:
         depth -= 1
     return depth
 
 
+def enough_trees(threshold: float, trees: int, shortest: int, max_depth: int, target_recall: float) -> dict[int, int]:
+    """prefix length -> in how many trees a class must have met others at that length to stop there."""
+    return {d: math.ceil(trees * threshold**d) for d in range(max_depth, shortest, -1) if 1 - (1 - threshold**d) ** (2 * trees) >= target_recall}
+
+
+def own_depths(met: DataFrame, shortest: int, max_depth: int, enough: dict[int, int]) -> DataFrame:
+    """(print, depth): the prefix length down to which each class asks, from (bucket, part, branch, print)."""
+    order = Window.partitionBy("bucket", "part").orderBy("branch")
+    steps = range(max_depth - shortest, 0, -1)
+
+    def shared(other: Column) -> Column:
+        """How many minima of the branch are those of a neighbour."""
+        out = F.lit(0)
+        for k in reversed(steps):
+            out = F.when(F.substring("branch", 1, 4 * k) == F.substring(other, 1, 4 * k), F.lit(k)).otherwise(out)
+        return out
+
+    longest = shortest + F.greatest(shared(F.lag("branch").over(order)), shared(F.lead("branch").over(order)))
+    matched = met.select("print", longest.alias("longest")).groupBy("print").agg(*[F.count_if(F.col("longest") >= d).alias(f"at{d}") for d in enough])
+    depth = F.lit(shortest)
+    for d in sorted(enough):
+        depth = F.when(F.col(f"at{d}") >= enough[d], F.lit(d)).otherwise(depth)
+    return matched.select("print", depth.alias("depth"))
+
+
 def _signatures(shingle: int, hashes: int):  # noqa: ANN202
     state = np.random.RandomState(20240607)
     a = state.randint(0, 1 << 32, size=(2, hashes), dtype=np.uint64)
@@ -87,32 +118,48 @@ def _signatures(shingle: int, hashes: int):  # noqa: ANN202
     return run
 
 
-def _bucket_links(hashes: int, need: float):  # noqa: ANN202
-    """Stars over the members of each bucket that are alike by their signatures."""
+def branching(names: list[bytes], width: int = 32) -> list[tuple[bytes, bytes]]:
+    """Edges of a tree over names in which no name has more than width + 1 edges: no hot key where edges are joined."""
+    return [(names[(i - 1) // width], names[i]) for i in range(1, len(names))]
+
+
+def _bucket_links(trees: int, max_depth: int, need: float):  # noqa: ANN202
+    """Trees over the classes of each unit that meet, at a length that either asks with, and are alike by their signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right = [], []
-        for bucket in c.by_runs(batches, "bucket"):
-            prints = bucket.column("print").to_pylist()
-            signs = np.frombuffer(b"".join(bucket.column("sign").to_pylist()), dtype=np.uint32).reshape(len(prints), hashes).astype(np.uint8)
+        edges: list[tuple[bytes, bytes]] = []
+        for unit in c.by_runs(batches, "unit"):
+            prints = unit.column("print").to_pylist()
+            signs = np.frombuffer(b"".join(unit.column("sign").to_pylist()), dtype=np.uint32).reshape(len(prints), trees * max_depth)
+            depth = unit.column("depth").to_numpy()
             rest = np.arange(len(prints))
             while len(rest) > 1:
                 queue, rest = [int(rest[0])], rest[1:]
-                root = queue[0]
+                found = [queue[0]]
                 while queue and len(rest):
-                    like = (signs[rest] == signs[queue.pop()]).sum(axis=1) >= need
-                    queue.extend(rest[like].tolist())
-                    left.extend(prints[root] for _ in range(int(like.sum())))
-                    right.extend(prints[i] for i in rest[like].tolist())
-                    rest = rest[~like]
-            if len(left) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
-                left, right = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+                    now = queue.pop()
+                    same = signs[rest] == signs[now]
+                    linked = same.sum(axis=1) >= need
+                    close = np.flatnonzero(linked)
+                    path = np.logical_and.accumulate(same[close].reshape(-1, trees, max_depth), axis=2).sum(axis=2).max(axis=1, initial=0)
+                    linked[close] = path >= np.minimum(depth[rest[close]], depth[now])
+                    queue += rest[linked].tolist()
+                    found += rest[linked].tolist()
+                    rest = rest[~linked]
+                if len(found) > 1:
+                    edges += branching([prints[i] for i in found])
+            if len(edges) > 5000:
+                yield _edges(edges)
+                edges = []
+        yield _edges(edges)
 
     return run
 
 
+def _edges(edges: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     """Sizes of the intersections of all sets of left with all of right."""
     out = np.zeros((len(left), len(right)), dtype=np.float64)
@@ -176,7 +223,7 @@ def _verify(shingle: int, threshold: float):  # noqa: ANN202
 
 
 def _forest(left: list[bytes], right: list[bytes], linked: np.ndarray, within: bool) -> list[tuple[bytes, bytes]]:
-    """A spanning forest of the linked pairs."""
+    """A tree over each set of classes that the linked pairs connect."""
     n = len(left)
     names = left if within else left + right
     root = list(range(len(names)))
@@ -187,15 +234,14 @@ def _forest(left: list[bytes], right: list[bytes], linked: np.ndarray, within: b
             x = root[x]
         return x
 
-    out = []
     for i in range(n):
         for j in np.flatnonzero(linked[i]).tolist():
-            j = j if within else j + n
-            a, b = find(i), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append((names[i], names[j]))
-    return out
+            a, b = find(i), find(j if within else j + n)
+            root[max(a, b)] = min(a, b)
+    parts: dict[int, list[bytes]] = {}
+    for i, name in enumerate(names):
+        parts.setdefault(find(i), []).append(name)
+    return [e for part in parts.values() for e in branching(part)]
 
 
 def near_duplicates(
@@ -208,7 +254,7 @@ def near_duplicates(
     max_depth: int = 6,
     target_recall: float = 0.999,
     margin: float = 4.0,
-    max_bucket: int = 4096,
+    bucket_block: int = 2048,
     block: int = 512,
     block_shingles: int = 1_000_000,
 ) -> DataFrame:
@@ -220,27 +266,31 @@ def near_duplicates(
     ``text_key`` a digest of the text, which tells rows of one id apart.
     """
     hashes = trees * max_depth
-    depth = forest_depth(threshold, trees, max_depth, target_recall)
+    shortest = forest_depth(threshold, trees, max_depth, target_recall)
+    enough = enough_trees(threshold, trees, shortest, max_depth, target_recall)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = c.durable(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signatures(shingle, hashes), "id long, text_key long, print binary, n_shingles int, sign binary"))
     classes = signed.where("print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign"))
     classes = c.durable(classes)
 
-    prefix = f"transform(sequence(0, {trees - 1}), t -> xxhash64(t, substring(sign, t * {max_depth * 4} + 1, {depth * 4})))"
-    members = classes.select("print", F.explode(F.expr(prefix)).alias("bucket"))
+    width = max_depth * 4
+    paths = f"transform(sequence(0, {trees - 1}), t -> struct(xxhash64(t, substring(sign, t * {width} + 1, {shortest * 4})) AS bucket, substring(sign, t * {width} + 1 + {shortest * 4}, {width - shortest * 4}) AS branch))"
+    members = classes.select("print", F.explode(F.expr(paths)).alias("at")).select("print", "at.bucket", "at.branch")
+    same = Window.partitionBy("m", "leader", "all")  # at most a row a tree
     shared = (
         members.groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("m"), F.min("print").alias("leader"), F.sum(F.xxhash64("print").cast("decimal(20,0)")).alias("all"))
         .where("m > 1")
-        .groupBy("m", "leader", "all")  # the same members in several trees
-        .agg(F.min("bucket").alias("bucket"))
-        .select("bucket", "m", "leader")
+        .select("bucket", F.ceil(F.col("m") / bucket_block).cast("int").alias("parts"), (F.min("bucket").over(same) == F.col("bucket")).alias("first"))
     )
-    met = c.durable(members.join(shared, "bucket"))
-    small = met.where(F.col("m") <= max_bucket).select("bucket", "print").join(classes.select("print", "sign"), "print")
+    met = c.durable(members.join(shared, "bucket").withColumn("part", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int")))
+    asking = own_depths(met, shortest, max_depth, enough)
     need = threshold * hashes - margin * math.sqrt(threshold * (1 - threshold) * hashes)
-    links = small.select("bucket", "print", "sign").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links(hashes, need), "a binary, b binary")
-    links = links.unionByName(met.where(F.col("m") > max_bucket).select(F.col("leader").alias("a"), F.col("print").alias("b")))
+    # subtrees of the same classes in several trees are compared once, whole signatures as they are
+    compared = met.where("first").select("bucket", "part", "parts", "print").join(asking.join(classes.select("print", "sign"), "print"), "print")
+    pairs = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.array("part")))
+    units = compared.withColumn("other", F.explode(pairs)).withColumn("unit", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")))
+    links = units.select("unit", "print", "sign", "depth").repartition("unit").sortWithinPartitions("unit").mapInArrow(_bucket_links(trees, max_depth, need), "a binary, b binary")
     groups = c.connected_components(links).withColumnRenamed("node", "print").withColumnRenamed("component", "grp")
 
     grouped = c.durable(groups.join(classes.drop("sign"), "print"))
