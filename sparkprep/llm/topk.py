@@ -2,17 +2,23 @@
 
 Vectors are dealt into blocks of about ``block`` rows and queries into blocks of
 ``query_block``; each pair of blocks is one task's unit, so both sides are bounded
-and every query meets every row. Within a block, each dimension's rows are sorted
-by value and cut into ``levels`` segments of one quantised impact. For a query all
-segments are ordered by the impact they can add, best first, and their rows'
-lower and upper score bounds grow a segment at a time. Processing stops only when
+and every query meets every row. A block's index is built once a block of queries. In it
+each dimension's rows are sorted by value and cut into ``levels`` posting segments of one quantised
+impact, the segment's least and greatest value. For a query the segments of all dimensions
+are processed by descending impact, the most they can add or take away. A row's score is then
+bounded by the segments it was met in, plus, for the dimensions in which it was not,
+the product of what is left of the query's and of the row's own length
+(Cauchy-Schwarz). Processing stops only when
 it is proven that no more than ``slack`` times k rows can still be among the best k,
 or when no segment is left; the rows that still can be are scored exactly.
 
 Components become floor(scale * x) with x as double; inner products are integers in
 64 bits. A vector that is null, or holds a null or non-finite component, takes no
 part. A shorter vector counts as ending in zeros. Ties go to the smaller id. Rows
-that share an id are candidates each; a query leaves out all rows of its own id.
+that share an id are candidates each; a query leaves out all rows of its own id, and queries
+of one id that differ are one query, whose best k are the best of all of theirs. Repeated queries
+are asked once. An empty table, or one without a query, gives an empty result. Extra columns are ignored.
+Where sums could leave the exact doubles, no bound is taken and all rows are scored.
 """
 
 from __future__ import annotations
@@ -35,43 +41,44 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int
 
 
 class ImpactIndex:
-    """Segments of one block of vectors: by dimension and level, rows and the least and greatest value."""
+    """Posting segments of one block of vectors: by dimension and level, rows and the least and greatest value."""
 
     def __init__(self, vectors: np.ndarray, levels: int) -> None:
         self.vectors = vectors
         n, d = vectors.shape
         order = np.argsort(vectors, axis=0, kind="stable")
         cuts = np.unique(np.linspace(0, n, min(levels, n) + 1).astype(int))
-        self.segments = [order[a:b, j] for j in range(d) for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.lengths = np.array(list(map(len, self.segments)), dtype=np.int64)
+        self.rows = order.T.ravel()  # dimension by dimension, by value
+        self.lengths = np.tile(np.diff(cuts), d)
+        self.ends = np.cumsum(self.lengths)
         self.dims = np.repeat(np.arange(d), len(cuts) - 1)
-        self.starts = np.arange(d) * (len(cuts) - 1)
-        self.low = np.array([vectors[s[0], j] for s, j in zip(self.segments, self.dims, strict=True)], dtype=np.float64)
-        self.high = np.array([vectors[s[-1], j] for s, j in zip(self.segments, self.dims, strict=True)], dtype=np.float64)
-        self.segment_of = np.empty((n, d), dtype=np.int64)  # the row's segment in each dimension
-        for i, (s, j) in enumerate(zip(self.segments, self.dims, strict=True)):
-            self.segment_of[s, j] = i
-
-    def possible(self, query: np.ndarray, k: int, slack: int, steps: int = 4) -> np.ndarray:
+        ordered = np.take_along_axis(vectors, order, axis=0).T.astype(np.float64)
+        self.low, self.high = ordered[:, cuts[:-1]].ravel(), ordered[:, cuts[1:] - 1].ravel()
+        self.impact = np.maximum(np.abs(self.low), np.abs(self.high))
+        #: The least square a row of the segment has in its dimension.
+        self.sure = np.where(self.low * self.high <= 0, 0.0, np.minimum(np.abs(self.low), np.abs(self.high))) ** 2
+        self.energy = (vectors.astype(np.float64) ** 2).sum(axis=1)
+
+    def possible(self, query: np.ndarray, k: int, slack: int, steps: int = 8) -> np.ndarray:
         """Rows that can be among the k best of this block, by proof."""
         n, d = self.vectors.shape
-        q = query[self.dims].astype(np.float64)
-        ends = np.abs(q) * np.maximum(np.abs(self.low), np.abs(self.high))
-        if n <= k * slack or not d or ends.sum() >= 2.0**52:  # beyond exact doubles no bound is taken
+        whole = query.astype(np.float64)
+        q, length = whole[self.dims], float((whole**2).sum())
+        if n <= k * slack or not d or max(length, self.energy.max()) >= 2.0**51 or (np.abs(q) * self.impact).sum() >= 2.0**51:
             return np.arange(n)
         least, most = np.minimum(q * self.low, q * self.high), np.maximum(q * self.low, q * self.high)
-        worst = np.minimum.reduceat(least, self.starts)[self.dims]
-        gain, sure = most - worst, least - worst  # what a segment adds at most and at least, above the dimension's worst
-        width = np.maximum.reduceat(most - least, self.starts)
-        lower, done = np.zeros(n), np.zeros(len(gain), dtype=bool)
-        for part in np.array_split(np.argsort(-gain, kind="stable"), steps):
-            rows = np.concatenate([self.segments[i] for i in part])
-            lower += np.bincount(rows, weights=np.repeat(sure[part], self.lengths[part]), minlength=n)
-            done[part] = True
-            # a row not yet met in a dimension gains at most what is left there, one that was met its segment's width
-            left = np.maximum.reduceat(np.where(done, 0.0, gain), self.starts)
-            upper = lower + left.sum() + done[self.segment_of] @ (width - left)
-            can = np.flatnonzero(upper >= np.partition(lower, n - k)[n - k])
+        lower, upper = np.zeros(n), np.zeros(n)
+        query_left, row_left = np.full(n, length), self.energy.copy()
+        order = np.argsort(-np.abs(q) * self.impact, kind="stable")
+        for part in np.array_split(order, steps):
+            lengths = self.lengths[part]
+            within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            rows = self.rows[np.repeat(self.ends[part] - lengths, lengths) + within]
+            for sums, add in ((lower, least), (upper, most), (query_left, -(q**2)), (row_left, -self.sure)):
+                sums += np.bincount(rows, weights=np.repeat(add[part], lengths), minlength=n)
+            left = np.sqrt(np.maximum(query_left, 0) * np.maximum(row_left, 0)) * (1 + 1e-9) + 1e-3
+            left[query_left < 0.5] = 0.0  # met in every dimension that counts
+            can = np.flatnonzero(upper + left >= np.partition(lower - left, n - k)[n - k])
             if len(can) <= k * slack:
                 break
         return can
@@ -107,7 +114,7 @@ def _search(k: int, levels: int, slack: int):  # noqa: ANN202
 
 
 def exact_top_k(
-    vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, block: int = 4096, query_block: int = 1024, levels: int = 16, slack: int = 8
+    vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, block: int = 4096, query_block: int = 16_384, levels: int = 64, slack: int = 8
 ) -> DataFrame:
     """(query_id, rank, id, score) of the rows for which ``queries`` holds, against all rows."""
     whole = integer_vectors(vectors, id_col, vector_col, scale)
