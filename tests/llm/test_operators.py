@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkprep.llm import jaccard_join, language_id, line_dedup, mixing, piece_dropout, quality_model, substring_dedup, topk, url_rules, weak_rules
 from sparkprep.llm.common import connected_components
+from tests.llm.conftest import words
 
 WS = " \t\n\x0b\x0c\r"
 
@@ -121,6 +122,49 @@ def test_encode_pieces_gives_a_frequent_word_more_than_four_ways(spark):
     assert len(ways) > 4
 
 
+def by_hand(unit, key, limit, ranks, ids):
+    """One unit's agenda as it is written down: the least rank first, from the left, each candidate skipped for good by its digest."""
+    mask = (1 << 64) - 1
+    parts, skipped = [(i, i + 1) for i in range(len(unit))], set()
+    while True:
+        can = []
+        for (a, b), (_, e) in zip(parts, parts[1:], strict=False):
+            x = (key + a * piece_dropout._START + b * piece_dropout._MIDDLE + e * piece_dropout._END) & mask
+            if (((x ^ (x >> 29)) * piece_dropout._SCATTER & mask) >> 32) < limit:
+                skipped.add((a, b, e))
+            if unit[a:e] in ranks and (a, b, e) not in skipped:
+                can.append((ranks[unit[a:e]], a, b, e))
+        if not can:
+            break
+        _, a, b, e = min(can)
+        parts = [(a, e) if p == (a, b) else p for p in parts if p != (b, e)]
+    return [i for a, b in parts for i in ([ids[unit[a:b]]] if unit[a:b] in ids else [])]
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.6])
+def test_dropout_against_the_agenda_by_hand(dropout):
+    ranks, ids, raw = piece_dropout.read_pieces()
+    codec = piece_dropout.PieceCodec(ranks, ids, raw, dropout, 23, None)
+    r = random.Random(5)
+    text = " ".join(r.choice(["internationalisation", "the", "banana", "of", "misunderstandings", "w" * 40]) for _ in range(400))
+    got = np.frombuffer(codec.encode(text, 77), dtype=np.int32).tolist()
+    units = [u.replace(" ", piece_dropout.SPACE) for u in piece_dropout._UNIT.findall(" " + text)]
+    want = [i for u, key in zip(units, codec.draws(77, len(units)).tolist(), strict=True) for i in by_hand(u, key, int(dropout * (1 << 32)), ranks, ids)]
+    assert got == want
+
+
+def test_two_models_in_one_worker_keep_apart(spark, monkeypatch):
+    ranks, ids, raw = piece_dropout.read_pieces()
+    few = {p: i for p, i in ids.items() if len(p) == 1}
+    df = spark.createDataFrame([(1, "internationalisation of banana")], "doc_id long, text string").coalesce(1)
+    whole = piece_dropout.encode_pieces(df, dropout=0.0).first()["ids"]
+    monkeypatch.setattr(piece_dropout, "read_pieces", lambda _="": ({p: ranks[p] for p in few}, few, raw))
+    single = piece_dropout.encode_pieces(df, dropout=0.0, check_out="back").first()
+    monkeypatch.undo()
+    assert len(single["ids"]) == len(" internationalisation of banana") > len(whole) and single["back"] == "internationalisation of banana"
+    assert piece_dropout.encode_pieces(df, dropout=0.0).first()["ids"] == whole
+
+
 # 3
 def test_url_rules_against_all_combinations(spark):
     r = random.Random(3)
@@ -148,6 +192,7 @@ def test_url_rules_against_all_combinations(spark):
                 good[frozenset(x for k, x in enumerate(t) if m >> k & 1)] += 1
     least = max(0.02, 5 / len(pages)) * len(pages)
     want = {c: good[c] / n for c, n in combos.items() if good[c] >= least and good[c] / n >= 0.7}
+    want = {k: v for k, v in want.items() if not any(o < k and x >= v for o, x in want.items())}  # contained rules of no less confidence stand for them
     found = {frozenset(x["tokens"]): x["confidence"] for x in rules.collect()}
     assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want) and found
     out = {x["page_id"]: x for x in url_rules.filter_urls(df, rules, url_rules.GIVEN).collect()}
@@ -172,10 +217,43 @@ def test_language_id_held_out_and_undetermined(spark, sf, docs):
 def test_language_backoff_goes_to_shorter_grams():
     model = language_id.LanguageModel(["x", "y"], {"abc": (-1.0, -9.0)}, {"zz": (-9.0, -2.0), "z": (-5.0, -5.0)}, 4, 1.0)
     assert model.word("abc") == (-1.0, -9.0)
+    langs, scores = model.predict(["abc abc", None, "12 ²", "zz zz abc", "zz"])
+    assert langs == ["x", "und", "und", "y", "y"] and scores[1] == scores[2] == 0.0
     assert model.word("zz") == (-9.0, -2.0)  # by the pair, the marks being unknown
     assert model.word("zzz") == pytest.approx(((-9.0 * 2 - 5.0) / 3, (-2.0 * 2 - 5.0) / 3))
 
 
+def test_language_against_word_by_word(spark, docs, raw, monkeypatch):
+    """Every text by a plain reading of the model, long texts in pieces too; the sample holds each text once."""
+    real = [(i, " ".join(random.Random(i).choice(pool.split()) for _ in range(40)), lang) for i in range(60) for lang, pool in (("en", "the cat and a dog went home"), ("de", "der hund und die katze gehen heim"))]
+    df = spark.createDataFrame(real + [(999, real[0][1], "en")] * 50, "doc_id long, text string, lang string")
+    model = language_id.fit_language_model(df)
+    once = language_id.fit_language_model(df.dropDuplicates(["text"]))
+    assert model.languages == ["de", "en"] and np.allclose(model.table, once.table) and model.grams == once.grams
+    counts = {lang: Counter(w for text in {t for _, t, x in real if x == lang} for w in text.split()) for lang in ("de", "en")}
+    known = {w: [np.log(c[w] / c.total() if w in c else 0.5 / c.total()) for c in counts.values()] for w in counts["de"] | counts["en"]}
+    assert all(np.allclose(model.word(w), known[w]) for w in known)
+    texts = [t for _, t, _ in real] + [r[1] for r in raw] + ["Der Cat " * 50 + "hundehome", "ÄÖ der", "ein Haus"]
+
+    def by_hand(text):
+        w = language_id._letters().findall((text or "").lower())
+        if not w:
+            return "und", 0.0
+        means = np.array([model.word(x) for x in w]).mean(axis=0)
+        p = np.exp(3.0 * means) / np.exp(3.0 * means).sum()
+        return model.languages[int(p.argmax())], p.max()
+
+    for piece in (1 << 20, 64):
+        monkeypatch.setattr(language_id, "_PIECE", piece)
+        langs, scores = model.predict(texts)
+        assert all(a == x and b == pytest.approx(y) for a, b, (x, y) in zip(langs, scores.tolist(), map(by_hand, texts), strict=True))
+
+
+def test_languages_beyond_the_bound_teach_nothing(spark):
+    df = spark.createDataFrame([(i, "word", f"l{i % 5}") for i in range(11)], "doc_id long, text string, lang string")
+    assert language_id.fit_language_model(df, max_languages=3).languages == ["l0", "l1", "l2"]
+
+
 # 5
 def test_quality_model_tells_planted_junk(spark, docs):
     r = random.Random(7)
@@ -224,6 +302,28 @@ def test_mixture_of_many_documents(spark):
     assert all(abs(a - b) <= 45 for a, b in by.values())
 
 
+def test_mixture_hangs_on_no_partition_and_longer_texts_are_likelier(spark):
+    texts = [(None if i % 2 else 5, f"w{i} x y z", "a") for i in range(40)] + [(7, "same words here", "a")] * 25 + [(i, "q " * 30, "b") for i in range(100, 140)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    picks = [some((r["doc_id"], r["text_key"], r["source"], r["taken"]) for r in mixing.mix_sources(df.repartition(n)).collect()) for n in (1, 3, 7)]
+    assert picks[0] == picks[1] == picks[2] and len(picks[0]) == len(texts)
+    assert len({t for i, _, s, t in picks[0] if s == "a" and i != 7}) > 1  # rows of one id draw apart
+    many = spark.range(6000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 97 as int))").alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    by, words_of, chosen = defaultdict(dict), Counter(), Counter()
+    for r in mixing.mix_sources(many).collect():
+        by[r["source"]][r["size"]] = r["inclusion"]
+        words_of[r["source"]] += r["inclusion"] * r["size"]
+        need = r["target"] - r["target"] // r["source_size"] * r["source_size"]
+        by[r["source"], "need"] = {0: need}
+        chosen[r["source"]] += r["copies"] * r["size"]
+        assert r["taken"] <= 3 * r["size"]
+        by[r["source"], "target"] = {0: r["target"]}
+    for s in ("s0", "s1", "s2"):
+        p = [x for _, x in sorted(by[s].items())]
+        assert p == sorted(p) and words_of[s] == pytest.approx(by[s, "need"][0]) and abs(chosen[s] - by[s, "target"][0]) <= 97
+    assert any(len(set(by[s].values())) > 10 for s in ("s0", "s1", "s2"))
+
+
 # 7
 @pytest.mark.parametrize("block", [16, 4096])
 def test_top_k_is_exact(spark, block):
@@ -243,6 +343,20 @@ def test_top_k_is_exact(spark, block):
     assert sorted(tuple(r) for r in got) == sorted(want)
 
 
+def test_the_index_rules_out_most_rows_of_a_given_table(spark):
+    """How many rows of the given vectors are scored, with the query's own settings, and that none of the best is lost."""
+    rows = topk.integer_vectors(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), "vec_id", "embedding", 1024).orderBy("id").toArrow()
+    v = np.stack(rows.column("v").to_numpy())
+    index, scored = topk.ImpactIndex(v, 64), []
+    for q in range(0, len(v), 100):
+        can = index.possible(v[q], 11, 8)
+        score = v @ v[q]
+        assert set(np.flatnonzero(score >= np.sort(score)[-11])) <= set(can)
+        scored.append(len(can) / len(v))
+    assert len(v) >= 1900 and np.mean(scored) < 0.2
+    print(f"scored {np.mean(scored):.3f}")
+
+
 # 8
 def test_statistics_of_quality_rules(docs, raw):
     got = some(tuple(r) for r in weak_rules.statistics(docs).select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect())
@@ -269,6 +383,26 @@ def test_votes_find_the_accuracies_of_planted_rules(spark):
     assert all(abs(t[-1, -1] - 0.6) < 0.12 and t[1, -1] < 0.06 for t in table.values())
 
 
+def test_posterior_against_expectation_maximisation_by_hand(spark, docs):
+    rules = weak_rules.default_rules()
+    rows = weak_rules.weak_quality(docs, rounds=6).select(*rules, "posterior").collect()
+    votes = np.array([[r[n] for n in rules] for r in rows])
+    prior, p = 0.8, {(k, v): np.full(votes.shape[1], weak_rules.START[k, v]) for k in (1, -1) for v in (1, -1)}
+
+    def good():
+        like = {k: np.where(votes == 1, p[k, 1], np.where(votes == -1, p[k, -1], 1.0)).prod(axis=1) for k in (1, -1)}
+        return prior * like[1] / (prior * like[1] + (1 - prior) * like[-1])
+
+    for _ in range(6):
+        g = good()
+        prior = min(0.999, max(0.001, g.mean()))
+        for k, w in ((1, g), (-1, 1 - g)):
+            n = {v: ((votes == v) * w[:, None]).sum(axis=0) + weak_rules.START[k, v] for v in (1, -1)}
+            for v in (1, -1):
+                p[k, v] = n[v] / (n[1] + n[-1])
+    assert np.allclose(good(), [r["posterior"] for r in rows])
+
+
 # 9
 @pytest.mark.parametrize(("length", "k"), [(50, 24), (8, 3)])
 def test_substring_dedup(docs, raw, length, k):
@@ -285,21 +419,67 @@ def test_substring_dedup(docs, raw, length, k):
         gone = {j for i in range(len(w) - length + 1) if r[0] is not None and first[tuple(w[i : i + length])] < r[0] for j in range(i, i + length)}
         want.append((r[0], len(w), len(gone), b" ".join(x for j, x in enumerate(w) if j not in gone).decode()))
     got = substring_dedup.substring_dedup(docs, length=length, k=k).collect()
-    assert some(tuple(r) for r in got) == some(want)
+    assert some((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == some(want)
     assert any(r["n_removed"] for r in got)
 
 
 def test_paths_hold_the_words_of_their_sources(docs, raw):
-    _, paths = substring_dedup.repeated_paths(docs, length=20, k=8)
+    _, _, spans = substring_dedup.repeated_paths(docs, length=20, k=8)
     texts = defaultdict(list)
     for r in raw:
         texts[r[0]].append(split(r[1]))
-    rows = paths.collect()
+    rows = spans.collect()
     assert rows
     for p in rows:
-        spans = [w[p["start"] : p["end"]] for w in texts[p["doc"]]]
-        sources = [w[p["source_start"] : p["source_start"] + p["end"] - p["start"]] for w in texts[p["source_doc"]]]
-        assert p["source_doc"] < p["doc"] and any(s in sources for s in spans)
+        assert min(x["at"] for x in p["segments"]) == p["start"] and max(x["at"] + x["n"] for x in p["segments"]) == p["end"]
+        for x in p["segments"]:
+            own = [w[x["at"] : x["at"] + x["n"]] for w in texts[p["doc"]]]
+            sources = [w[x["source_start"] : x["source_start"] + x["n"]] for w in texts[x["source_doc"]]]
+            assert x["source_doc"] < p["doc"] and any(o in sources for o in own)
+
+
+def test_nonbranching_paths_of_different_sources_become_one(spark):
+    """Document 3 repeats a stretch of 1 that goes on as a stretch of 2; a branch cuts a path, a circle has an end."""
+    w = words(31, 90).split()
+    texts = [(1, w[:60]), (2, w[30:]), (3, w), (4, w[:25] + words(32, 30).split()), (5, w[:25]), (6, (words(33, 6).split() * 9)[:50]), (7, (words(33, 6).split() * 9)[3:47])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    keyed, runs, spans = substring_dedup.repeated_paths(df, length=10, k=4)
+    edges = defaultdict(set)
+    for i, t in texts:
+        for p in range(len(t) - 9):
+            edges[tuple(t[p : p + 10])].add(i)
+    graph = {e for e, held in edges.items() if len(held) > 1}
+    into, out = Counter(e[1:] for e in graph), Counter(e[:-1] for e in graph)
+    lengths = []  # of the nonbranching paths, circles left out
+    for e in graph:
+        if not (into[e[:-1]] == 1 and out[e[:-1]] == 1):
+            n = 1
+            while into[e[1:]] == 1 and out[e[1:]] == 1:
+                e = next(f for f in graph if f[:-1] == e[1:])
+                n += 1
+            lengths.append(n)
+    got = defaultdict(int)
+    for r in runs.collect():
+        got[(r["path_doc"], r["path_run"])] += r["n_edges"]
+    assert sum(got.values()) == len(graph)
+    circle = len(graph) - sum(lengths)
+    assert circle == 6 and sorted(got.values()) == sorted([*lengths, circle])
+    assert any(len({r["source_doc"] for r in p}) == 2 for p in [[x for x in runs.collect() if (x["path_doc"], x["path_run"]) == k] for k in got])
+    third = [r for r in spans.collect() if r["doc"] == 3]
+    assert len(third) < sum(len(r["segments"]) for r in third)
+
+
+def test_words_at_the_source_are_compared(spark):
+    """A source whose words are others than the digests say loses nothing."""
+    df = spark.createDataFrame([(1, words(41, 30)), (2, words(41, 30) + " end")], "doc_id long, text string")
+    keyed, runs, spans = substring_dedup.repeated_paths(df, length=10, k=4)
+    wrong = keyed.withColumn("text", F.when(F.col("doc") == 1, F.lit(words(42, 30))).otherwise(F.col("text")))
+    for source, gone in ((keyed, 30), (wrong, 0)):
+        checks = substring_dedup.source_words(source, runs, spans, 10).collect()
+        clean = spark.createDataFrame(checks, "doc long, checks array<struct<tag:int,at:int,skip:int,n:int,words:string>>")
+        rows = keyed.join(clean, "doc", "left").select("doc", "tag", "text", "copy", "checks", F.array("tag").alias("paths"))
+        out = rows.mapInArrow(substring_dedup._clean(10), "doc long, n_words long, n_removed long, kept string, n_paths long").collect()
+        assert {r["doc"]: r["n_removed"] for r in out} == {1: 0, 2: gone}
 
 
 # 10
@@ -350,11 +530,39 @@ def test_near_duplicates_of_a_large_group(spark):
         texts.append((i, " ".join(w)))
     df = spark.createDataFrame(texts, "doc_id long, text string")
     want = some(brute_links(texts))
-    for options in ({"block": 32}, {"max_bucket": 10}):
+    for options in ({"block": 32}, {"bucket_block": 10}):
         got = jaccard_join.near_duplicates(df, **options).select("doc_id", "class_id", "n_links").collect()
         assert some(tuple(x) for x in got) == want
 
 
+def test_classes_shorten_their_prefixes_until_their_own_recall(spark):
+    rows = [("b1", 0, b"aaaaBBBB", b"x"), ("b1", 0, b"aaaaBBBB", b"y"), ("b1", 0, b"aaaaCCCC", b"z"), ("b1", 0, b"ddddCCCC", b"w"), ("b2", 0, b"aaaaBBBB", b"x"), ("b2", 0, b"aaaaBBBC", b"z"), ("b2", 1, b"aaaaBBBB", b"y")]
+    df = spark.createDataFrame(rows, "bucket string, part int, branch binary, print binary")
+    got = {bytes(r["print"]): r["depth"] for r in jaccard_join.own_depths(df, 4, 6, {6: 1, 5: 2}).collect()}
+    assert got == {b"x": 6, b"y": 6, b"z": 5, b"w": 4}
+    enough = jaccard_join.enough_trees(0.8, 16, 4, 6, 0.999)
+    assert enough == {6: 5, 5: 6} and all(1 - (1 - 0.8**d) ** 32 >= 0.999 for d in enough)
+
+
+def test_recall_on_the_given_table(spark):
+    """All pairs of 0.8 and more of a whole table, by the shingles they share."""
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [tuple(r) for r in real.collect()]
+    sets, holders, both = {}, defaultdict(list), Counter()
+    for i, t in texts:
+        sets[i] = shingles(t)
+        for x in sets[i]:
+            both.update((j, i) for j in holders[x])
+            holders[x].append(i)
+    want = {p for p, n in both.items() if n / (len(sets[p[0]]) + len(sets[p[1]]) - n) >= 0.8}
+    got = {r["doc_id"]: r for r in jaccard_join.near_duplicates(real).collect()}
+    links = Counter(i for p in want for i in p)
+    met = sum(got[a]["class_id"] == got[b]["class_id"] for a, b in want)
+    assert len(want) > 50 and met / len(want) >= 0.9
+    assert all(r["n_links"] <= links[i] for i, r in got.items()) and sum(r["n_links"] for r in got.values()) >= 0.9 * 2 * len(want)
+    print(f"recall {met} of {len(want)}")
+
+
 def test_forest_depth_is_the_longest_that_reaches_the_recall():
     d = jaccard_join.forest_depth(0.8, 16, 6, 0.999)
     assert 1 - (1 - 0.8**d) ** 16 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 16
