@@ -41,12 +41,24 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
 
 
+#: Shuffle files of a query are removed when it has ended, not when the driver happens to collect garbage.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that the cluster shares."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Cut the lineage with a checkpoint in the folder that the cluster shares, and free the shuffles that led to it."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    was = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        if was is None:
+            spark.conf.unset(_FREE_SHUFFLES)
+        else:
+            spark.conf.set(_FREE_SHUFFLES, was)
 
 
 def ascii_lower(column: Column) -> Column:
@@ -158,6 +170,23 @@ def by_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(kept)
 
 
+#: Keys of a join that go apart from the others, by broadcast.
+HOT_KEYS = 1024
+
+
+def join_hot_apart(left: DataFrame, right: DataFrame, key: str, weight: str, how: str) -> DataFrame:
+    """left joined (left, inner or left_semi) with right, which has each key once and in ``weight`` how many rows of left hold it.
+
+    The HOT_KEYS keys of the greatest weights are joined by a broadcast of so many rows, so their
+    rows of left stay where they are; the others are shuffled, and none of them can hold more
+    than one row in HOT_KEYS of all. ``right`` should be durable, it is read three times.
+    """
+    hot = right.orderBy(F.desc(weight), key).limit(HOT_KEYS)
+    apart = left.join(F.broadcast(hot.drop(weight)), key, "inner" if how == "left" else how)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return apart.unionByName(rest.join(right.drop(weight), key, how))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that has an edge; a component is named by its smallest node.
 
