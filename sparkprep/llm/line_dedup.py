@@ -4,7 +4,8 @@ Each text is split at ``\\n`` and exploded to (document, position, digest of the
 normalised line). Documents are counted per digest with partial aggregates, so a
 line that a third of all documents hold costs one row per task. Positions of lines
 over the threshold come back to their documents, which are put together again by
-position.
+position. The commonest lines, a bounded number of them, come back by broadcast, so no
+task gets all rows of a line that most documents hold. Lines are normalised and hashed once.
 
 A row's identity is (id, digest of its text): repeated rows and rows that share an
 id are cleaned each by its own lines, and rows of one id count as one document;
@@ -38,9 +39,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.length("_key") >= min_key_chars)
         .select("_doc", "_row", "_pos", F.unhex(F.md5("_key")).alias("_digest"))
     )
-    common = lines.groupBy("_digest").agg(F.count_distinct("_doc").alias("_n")).where(F.col("_n") >= min_documents).select("_digest")
-    # left_semi keeps the many lines on the side that adaptive execution may split
-    dropped = lines.join(common, "_digest", "left_semi").groupBy("_doc", "_row").agg(F.collect_set("_pos").alias("_gone"))
+    lines = c.durable(lines)
+    common = c.durable(lines.groupBy("_digest").agg(F.count_distinct("_doc").alias("_n")).where(F.col("_n") >= min_documents))
+    dropped = c.join_hot_apart(lines, common, "_digest", "_n", "left_semi").groupBy("_doc", "_row").agg(F.collect_set("_pos").alias("_gone"))
     rows = rows.withColumn("_row", F.xxhash64("_text")).join(dropped, ["_doc", "_row"], "left")
     rows = rows.withColumn("_lines", F.split("_text", "\n", -1)).withColumn("_n_lines", F.size("_lines").cast("long"))
     keep = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
