@@ -131,9 +131,9 @@ def _edges(length: int, k: int, later_only: bool):  # noqa: ANN202
 def anchored(docs: DataFrame, id_col: str, text_col: str, length: int, k: int) -> DataFrame:
     """(doc, tag, text, listed, copy): each row with the repeated anchors of its document, and whether it is a later copy of a whole text."""
     tag = F.xxhash64(text_col).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("tag")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), tag, F.md5(text_col).alias("whole"))
-    firsts = rows.where("doc is not null and whole is not null").groupBy("whole").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    copies = rows.join(firsts, "whole").where("doc > low").groupBy("doc").agg(F.collect_set("tag").alias("copies"))
+    rows = c.durable(docs.select(F.col(id_col).cast("long").alias("doc"), tag, F.md5(text_col).alias("whole")).where("doc is not null and whole is not null"))
+    firsts = c.durable(rows.groupBy("whole").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").drop("high"))
+    copies = c.join_hot_apart(rows, firsts, "whole", "n", "inner").where("doc > low").groupBy("doc").agg(F.collect_set("tag").alias("copies"))
     kmers = sampled_kmers(docs, id_col, text_col, length, k)
     repeated = kmers.groupBy("kmer").agg(F.min("doc").alias("low"), F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.count(F.lit(1)).alias("n")).where("a != b")
     repeated = repeated.select("kmer", "low", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
