@@ -312,10 +312,9 @@ def near_duplicates(
     smallest = named.groupBy("component").agg(F.min("rep").alias("class_id"))
     named = named.join(smallest, "component").select("print", "class_id").join(counts, "print")
     found = classes.select("print", "rep", "n").join(named, "print", "left")
-    found = found.select("print", F.coalesce("class_id", "rep").alias("class_id"), F.col("n").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    found = c.durable(found.select("print", "n", F.coalesce("class_id", "rep").alias("class_id"), F.col("n").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
     return (
-        signed.select("id", "text_key", "print")
-        .join(found, "print", "left")
+        c.join_hot_apart(signed.select("id", "text_key", "print"), found, "print", "n", "left")
         .select(F.col("id").alias(id_col), "text_key", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     )
 
