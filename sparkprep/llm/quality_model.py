@@ -10,7 +10,10 @@ its own from the shared weights, and the shards' weights are averaged.
 Training reads at most ``max_train_docs`` labelled rows, by digest of their id, and
 their whole texts; scoring reads whole texts of all rows. A null or empty text has no
 features and scores by the layer's bias. Without labelled rows every score is 0.5.
-Rows without a label teach nothing; repeated rows are scored alike.
+Rows without a label teach nothing; repeated rows are scored alike. A score of exactly 0.5
+predicts label 1. Very long texts are read whole. An empty table gives an empty result; an empty
+table of labels counts as one without labels. Extra columns are ignored, whatever their names: the
+result has the id and the score.
 """
 
 from __future__ import annotations

@@ -267,6 +267,58 @@ def test_quality_model_tells_planted_junk(spark, docs):
     assert all(0 <= x["score"] <= 1 for x in odd) and odd[0]["score"] is not None
 
 
+def test_features_and_scores_by_hand(raw):
+    """Every word and n-gram of every text is a feature once an occurrence; a score is the softmax of the layer on the mean vector."""
+    import pyarrow as pa
+
+    texts = [r[1] for r in raw] + ["a bb ccc dddd", " xyz ", "ab\ncd"]
+    state = np.random.RandomState(4)
+    model = quality_model.SubwordModel(state.normal(size=(512, 5)), state.normal(size=(2, 6)), (3, 4))
+    got = model.scores(pa.array(texts))
+    known = {}
+    for t, score in zip(texts, got.tolist(), strict=True):
+        words_ = split(t)
+        chars = "".join(" " if ch in WS else ch for ch in t or "")
+        grams = [chars[i : i + n] for n in (3, 4) for i in range(len(chars) - n + 1) if " " not in chars[i + 1 : i + n - 1]]
+        raw_, at = np.frombuffer((t or "").encode(), dtype=np.uint8), np.array([0, len((t or "").encode())])
+        bucket, row = quality_model.features(raw_, at, 512, (3, 4))
+        assert len(bucket) == len(words_) + len(grams) and not row.any()
+        for name, b in zip([*words_, *[("g", g) for g in grams]], bucket.tolist(), strict=True):
+            assert known.setdefault(name, b) == b  # one feature, one bucket
+            assert (b < 256) == isinstance(name, bytes)
+        mean = model.vectors[bucket].mean(axis=0) if len(bucket) else np.zeros(5)
+        out = model.layer @ np.append(mean, 1.0)
+        assert score == pytest.approx(np.exp(out[1]) / np.exp(out).sum())
+
+
+def test_a_step_of_descent_follows_the_gradient():
+    """One row, one pass: vectors and layer move by the rate against the numerical gradient of the log loss."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    state = np.random.RandomState(2)
+    vectors, layer = state.normal(size=(6, 3)).astype(np.float32), state.normal(size=(2, 4)).astype(np.float32)
+    shard = pa.table({"label": pa.array([1], pa.int32()), "buckets": pa.array([[0, 4]], pa.list_(pa.int32())), "counts": pa.array([[3.0, 1.0]], pa.list_(pa.float32()))})
+    out = quality_model._descend(SimpleNamespace(value=(vectors, layer)), 0.1, 0, 1)(shard)
+    new_v = np.frombuffer(out.column("vectors")[0].as_py(), dtype=np.float32).reshape(6, 3)
+    new_l = np.frombuffer(out.column("layer")[0].as_py(), dtype=np.float32).reshape(2, 4)
+
+    def loss(v, w):
+        z = w @ np.append(0.75 * v[0] + 0.25 * v[4], 1.0)
+        return np.log(np.exp(z).sum()) - z[1]
+
+    for now, new, at in ((vectors, new_v, 0), (layer, new_l, 1)):
+        for i in np.ndindex(*now.shape):
+            ends = []
+            for d in (1e-4, -1e-4):
+                args = [vectors.astype(float), layer.astype(float)]
+                args[at] = args[at].copy()
+                args[at][i] += d
+                ends.append(loss(*args))
+            assert new[i] - now[i] == pytest.approx(-0.1 * (ends[0] - ends[1]) / 2e-4, abs=2e-4)
+
+
 # 6
 def test_mixture_comes_near_its_targets(spark, docs, raw):
     rows = mixing.mix_sources(docs).collect()
