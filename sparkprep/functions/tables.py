@@ -19,11 +19,32 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session. Only a local master, all of whose tasks see /tmp, may do without."""
+    context = spark.sparkContext
+    set_to = context.getConf().get("spark.checkpoint.dir")
+    if set_to:
+        return set_to.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+
+
+def digest(key: str, seed: int = 0) -> Column:
+    """A hexadecimal digest of the key and the seed: an order by chance that any engine can repeat."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
+def unit(key: str, seed: int = 0) -> Column:
+    """The digest as a number between 0 and 1."""
+    return (F.conv(F.substring(digest(key, seed), 1, 13), 16, 10).cast("long") + 0.5) / 4503599627370496.0
+
+
 def _shared_folder(df: DataFrame) -> str:
-    """The cluster's shared folder; a temporary one where none is set."""
+    """The checkpoint folder, which is the cluster's shared one unless another was set."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -91,6 +112,34 @@ def global_running(df: DataFrame, order: list[Column], sums: Mapping[str, Column
     return out.select(*df.columns, *named)
 
 
+def in_ranges(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
+    """df with ``_range`` and ``_at``: rows dealt by ranges of the order, and their global number. ``order`` must tell all rows apart."""
+    numbered = global_running(df, order, {}, number="_at", partitions=partitions)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return durable(numbered.repartitionByRange(n, "_at").withColumn("_range", F.spark_partition_id()))
+
+
+def with_rows_before(dealt: DataFrame, reach: int) -> DataFrame:
+    """dealt and, as ``_edge`` rows, for each range the ``reach`` rows before it: a frame of so many rows then needs its own range only.
+
+    The last rows of the ranges, ``reach`` each, are all that can be before another; they are numbered, and each goes to the few ranges that begin within ``reach`` of it.
+    """
+    back = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc("_at")))
+    tails = dealt.withColumn("_back", back).where(F.col("_back") <= reach).drop("_back")
+    starts = dealt.groupBy(F.col("_range").alias("_to")).agg(F.min("_at").alias("_start"))  # a row a range
+    near = tails.join(F.broadcast(starts), (F.col("_range") < F.col("_to")) & (F.col("_at") >= F.col("_start") - reach))
+    edge = near.withColumn("_range", F.col("_to")).drop("_to", "_start").withColumn("_edge", F.lit(True))
+    return dealt.withColumn("_edge", F.lit(False)).unionByName(edge)
+
+
+def last_before(dealt: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """_of, then for each column i ``_v{i}`` and ``_p{i}``: the last value there is in earlier ranges and its number. A row a range."""
+    names = list(columns)
+    ends = dealt.groupBy(F.col("_range").alias("_of")).agg(*[x for i, c in enumerate(names) for x in (F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(f"v{i}"), F.max(F.when(F.col(c).isNotNull(), F.col("_at"))).alias(f"p{i}"))])
+    before = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    return ends.select("_of", *[F.last(f"{x}{i}", ignorenulls=True).over(before).alias(f"_{x}{i}") for i in range(len(names)) for x in "vp"])
+
+
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """A row number by the content of all columns: the same however the rows are partitioned; equal rows take their numbers in any order."""
     order = [F.col(c) if not isinstance(df.schema[c].dataType, T.MapType) else F.to_json(c) for c in df.columns]
@@ -99,7 +148,13 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """n rows without replacement by a digest of the key: repeatable under any partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(digest(key, seed), key).limit(n)
+
+
+def align(df: DataFrame, made: DataFrame, key: str) -> DataFrame:
+    """df with the other columns of made on the rows of the same key; rows that made does not have get nulls, and names that df has are left out."""
+    new = [c for c in made.columns if c != key and c not in df.columns]
+    return df.join(made.select(F.col(key).alias("_key"), *new), F.col(key) == F.col("_key"), "left").drop("_key")
 
 
 def capped(df: DataFrame, max_rows: int, order: list[str]) -> tuple[DataFrame, bool]:

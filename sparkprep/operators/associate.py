@@ -131,7 +131,7 @@ def target_associations(df: DataFrame, target: str, columns: Iterable[str] | Non
 def _counts(df: DataFrame, columns: list[str]) -> DataFrame:
     from sparkprep.operators.profile import column_counts
 
-    return column_counts(df, columns, approximate=True)
+    return column_counts(df, columns)
 
 
 def exact_copies(df: DataFrame, target: str, columns: Iterable[str] | None = None, tolerance: float = 1e-9) -> list[str]:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkprep.functions.tables import to_long
+from sparkprep.functions.tables import digest, to_long
 from sparkprep.operators.profile import fences
 
 
@@ -73,4 +73,4 @@ def line(df: DataFrame, time: str, value: str, step: str = "day", statistic: str
 
 def scatter(df: DataFrame, x: str, y: str, key: str, most: int = 6000, seed: int = 0) -> DataFrame:
     """x, y of at most so many rows, drawn by digest."""
-    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(most).select(x, y)
+    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).orderBy(digest(key, seed), key).limit(most).select(x, y)

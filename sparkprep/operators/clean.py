@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkprep.functions.tables import TIMES, durable, known, numeric_columns, string_columns
+from sparkprep.functions.tables import TIMES, durable, in_ranges, known, last_before, numeric_columns, string_columns
 from sparkprep.operators.profile import fences
 
 #: Texts that stand for a missing value once stripped and lower-cased.
@@ -203,7 +203,22 @@ def impute(df: DataFrame, columns: Iterable[str], strategy: str = "auto", fill_v
 
 
 def directional_fill(df: DataFrame, columns: Iterable[str], order: list[str], group: list[str] = (), backward: bool = False, limit: int | None = None, leftovers: bool = True) -> DataFrame:
-    """Forward or backward fill along ``order`` within ``group``, over at most ``limit`` rows; what is left gets the median or mode."""
+    """Forward or backward fill along ``order`` within ``group``, over at most ``limit`` rows; what is left gets the median or mode.
+
+    Without a group rows are dealt by ranges of the order, which must tell them apart, and a range gets the last values before it.
+    """
+    if not group:
+        names = known(df, columns)
+        dealt = in_ranges(df, [F.col(o).desc() if backward else F.col(o).asc() for o in order])
+        inside = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        rows = dealt.join(F.broadcast(last_before(dealt, names)), F.col("_range") == F.col("_of"))
+        made = {}
+        for i, c in enumerate(names):
+            own = F.last(F.when(F.col(c).isNotNull(), F.col("_at")), ignorenulls=True).over(inside)
+            value = F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_v{i}"))
+            made[c] = F.coalesce(F.col(c), value if limit is None else F.when(F.col("_at") - F.coalesce(own, F.col(f"_p{i}")) <= limit, value))
+        filled = rows.withColumns(made).select(*df.columns)
+        return apply_fills(filled, fit_fills(filled, made, "auto")) if leftovers else filled
     keys = [F.col(o).desc() if backward else F.col(o).asc() for o in order]
     over = Window.partitionBy(*group).orderBy(*keys)
     upto = over.rowsBetween(Window.unboundedPreceding, 0)
@@ -220,7 +235,23 @@ def directional_fill(df: DataFrame, columns: Iterable[str], order: list[str], gr
 
 
 def interpolate(df: DataFrame, columns: Iterable[str], order: list[str], group: list[str] = ()) -> DataFrame:
-    """Linear by row position within group, both ways; edges take the nearest value."""
+    """Linear by row position within group, both ways; edges take the nearest value. Without a group by ranges, as ``directional_fill``."""
+    if not group:
+        wanted = [c for c in known(df, columns) if c in numeric_columns(df)]
+        dealt = in_ranges(df, [F.col(o) for o in order])
+        turned = dealt.select("_range", (-F.col("_at")).alias("_at"), *wanted).withColumn("_range", -F.col("_range"))
+        after = last_before(turned, wanted)
+        after = after.select((-F.col("_of")).alias("_of2"), *[x for i in range(len(wanted)) for x in (F.col(f"_v{i}").alias(f"_w{i}"), (-F.col(f"_p{i}")).alias(f"_q{i}"))])
+        rows = dealt.join(F.broadcast(last_before(dealt, wanted)), F.col("_range") == F.col("_of")).join(F.broadcast(after), F.col("_range") == F.col("_of2"))
+        inside = Window.partitionBy("_range").orderBy("_at")
+        back, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+        made = {}
+        for i, c in enumerate(wanted):
+            at = F.when(F.col(c).isNotNull(), F.col("_at"))
+            p, pv = F.coalesce(F.last(at, ignorenulls=True).over(back), F.col(f"_p{i}")), F.coalesce(F.last(c, ignorenulls=True).over(back), F.col(f"_v{i}"))
+            n, nv = F.coalesce(F.first(at, ignorenulls=True).over(ahead), F.col(f"_q{i}")), F.coalesce(F.first(c, ignorenulls=True).over(ahead), F.col(f"_w{i}"))
+            made[c] = F.coalesce(F.col(c).cast("double"), pv + (nv - pv) * (F.col("_at") - p) / (n - p), pv, nv)
+        return rows.withColumns(made).select(*df.columns)
     over = Window.partitionBy(*group).orderBy(*order)
     back, ahead = over.rowsBetween(Window.unboundedPreceding, 0), over.rowsBetween(0, Window.unboundedFollowing)
     names = [c for c in known(df, columns) if c in numeric_columns(df)]

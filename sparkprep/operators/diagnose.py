@@ -63,21 +63,27 @@ def fairness_slices(df: DataFrame, attribute: str, label: str, prediction: str,
 
 
 def bootstrap_intervals(df: DataFrame, label: str, prediction: str, key: str, resamples: int = 300, seed: int = 0) -> DataFrame:
-    """One row low, high: 95 % interval of accuracy by Poisson resampling.
+    """metric, low, high: 95 % intervals of accuracy and, for labels 0 and 1, of precision, recall and F1 by Poisson resampling.
 
     A row's weight in a replicate is a Poisson(1) draw from a digest of its key, so all
     replicates are one grouped aggregate and no sample is ever drawn. Only counts by
     replicate leave a task.
     """
-    u = F.pmod(F.xxhash64(F.col(key), F.col("rep"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col("rep"), F.lit(":"), F.col(key).cast("string")))
+    u = (F.conv(F.substring(drawn, 1, 13), 16, 10).cast("long") + 0.5) / 4503599627370496.0
     weight, total, term = F.lit(0), 0.0, 0.36787944117144233
     for k in range(8):
         total += term
         term /= k + 1
         weight = weight + (u >= total).cast("int")
-    rows = df.select(key, (F.col(label) == F.col(prediction)).cast("double").alias("hit")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", weight)
-    reps = rows.groupBy("rep").agg(F.try_divide(F.sum(F.col("w") * F.col("hit")), F.sum("w")).alias("value"))
-    return reps.agg(F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"))
+    y, p = F.col(label).cast("string"), F.col(prediction).cast("string")
+    flags = [(y == p).alias("hit"), (y == "1").alias("actual"), (p == "1").alias("called")]
+    rows = df.select(key, *flags).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", weight)
+    add = lambda cond: F.sum(F.when(cond, F.col("w")).otherwise(0))
+    c = rows.groupBy("rep").agg(F.sum("w").alias("n"), add(F.col("hit")).alias("h"), add(F.col("actual") & F.col("called")).alias("tp"), add(F.col("called")).alias("pp"), add(F.col("actual")).alias("p"))
+    each = {"accuracy": (F.col("h"), F.col("n")), "precision": (F.col("tp"), F.col("pp")), "recall": (F.col("tp"), F.col("p")), "f1": (2 * F.col("tp"), F.col("pp") + F.col("p"))}
+    long = c.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.try_divide(a, b).alias("value")) for m, (a, b) in each.items()])).alias("r")).select("r.*")
+    return long.groupBy("metric").agg(F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"))
 
 
 def permutation_importance(df: DataFrame, features: Iterable[str], key: str, score: Callable[[DataFrame], float], repeats: int = 5, higher_is_better: bool = True) -> DataFrame:

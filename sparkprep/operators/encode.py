@@ -60,6 +60,26 @@ def fit_target_means(train: DataFrame, column: str, target: str, smoothing: floa
     return sums.select("level", ((F.col("s") + smoothing * F.lit(prior)) / (F.col("n") + smoothing)).alias("encoded")), prior
 
 
+def fit_target_folds(train: DataFrame, column: str, target: str, fold: str, smoothing: float = 10.0) -> tuple[DataFrame, dict[str, float]]:
+    """((fold, level, value), fold -> prior): each fold's level means over the other folds, and those over all rows as fold -1."""
+    y = F.col(target).cast("double")
+    by = train.where(y.isNotNull()).groupBy(level(column).alias("level"), F.col(fold).alias("fold")).agg(F.sum(y).alias("s"), F.count(y).alias("n"))
+    sums = {r["fold"]: (r["s"], r["n"]) for r in by.groupBy("fold").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}  # a row a fold
+    s, n = sum(x[0] for x in sums.values()), sum(x[1] for x in sums.values())
+    whole = s / n if n else 0.0
+    priors = {-1: whole} | {f: (s - a) / (n - b) if n > b else whole for f, (a, b) in sums.items()}
+    prior = F.create_map(*[F.lit(x) for kv in priors.items() for x in kv])
+    total = by.groupBy("level").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
+    value = lambda a, b, f: (a + smoothing * F.element_at(prior, f)) / (b + smoothing)
+    others = by.join(total, "level").where("tn > n").select("fold", "level", value(F.col("ts") - F.col("s"), F.col("tn") - F.col("n"), F.col("fold")).alias("value"))
+    # a level that a fold's rows do not hold is coded by all of its rows there, which are all of other folds
+    absent = total.crossJoin(F.broadcast(train.sparkSession.createDataFrame([(f,) for f in sums], "fold int"))).join(by.select("level", "fold"), ["level", "fold"], "left_anti") if sums else None  # a row a fold
+    out = others.unionByName(total.select(F.lit(-1).alias("fold"), "level", value(F.col("ts"), F.col("tn"), F.lit(-1)).alias("value")))
+    if absent is not None:
+        out = out.unionByName(absent.select("fold", "level", value(F.col("ts"), F.col("tn"), F.col("fold")).alias("value")))
+    return out, {str(f): p for f, p in priors.items()}
+
+
 def target_encode_out_of_fold(train: DataFrame, column: str, target: str, fold: str, smoothing: float = 10.0) -> DataFrame:
     """column_target: each row's level mean over the other folds, drawn to their mean; a level unseen there gets that mean."""
     keyed = train.withColumn("_key", level(column))
@@ -157,13 +177,14 @@ def fit_quantile_grid(train: DataFrame, column: str, n: int = 1000) -> list[floa
 def quantile_transform(df: DataFrame, column: str, grid: list[float], normal: bool = True) -> DataFrame:
     """column_quantile: place on the grid by interpolation (the mean from left and right where values repeat), as a normal score or in 0..1."""
     at, edge = np.linspace(0, 1, len(grid)), np.array(grid, dtype=float)
+    share = np.concatenate([np.geomspace(1e-7, 0.01, 2000)[:-1], np.linspace(0.01, 0.99, 20_001), (1 - np.geomspace(1e-7, 0.01, 2000)[::-1])[1:]])
+    score = np.array([NormalDist().inv_cdf(float(u)) for u in share]) if normal else share
 
     def place(x: pd.Series) -> pd.Series:
         v = x.to_numpy(dtype=float)
         p = 0.5 * (np.interp(v, edge, at) - np.interp(-v, -edge[::-1], -at[::-1]))
-        if normal:
-            inverse = NormalDist().inv_cdf
-            p = np.array([np.nan if np.isnan(u) else inverse(min(max(u, 1e-7), 1 - 1e-7)) for u in p])
+        if normal:  # by interpolation on a fine table of normal scores
+            p = np.interp(np.clip(p, 1e-7, 1 - 1e-7), share, score)
         return pd.Series(np.where(np.isnan(v), np.nan, p))
 
     made = F.pandas_udf(place, "double")(F.col(column).cast("double"))
@@ -270,6 +291,31 @@ def truncated_svd(df: DataFrame, columns: list[str], n_components: int, name: st
     return df.withColumns(out), [p.tolist() for p in parts]
 
 
+def fit_projection(train: DataFrame, columns: list[str], n_components: int, centred: bool) -> dict:
+    """centre, scale and components of the columns, nulls read as the mean, from one aggregate: principal components of standardised columns, else right singular vectors."""
+    means = train.agg(*[F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    mean = [means[f"m{i}"] for i in range(len(columns))]
+    x = [F.coalesce(F.col(c).cast("double"), F.lit(m)) - F.lit(m if centred else 0.0) for c, m in zip(columns, mean, strict=True)]
+    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    row = train.agg(F.count(F.lit(1)).alias("n"), *[F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
+    gram = np.zeros((len(x), len(x)))
+    for i, j in pairs:
+        gram[i, j] = gram[j, i] = row[f"g{i}_{j}"] or 0.0
+    scale = np.sqrt(np.diag(gram) / max(1, row["n"] - 1)) if centred else np.ones(len(x))
+    scale[scale == 0] = 1.0
+    values, vectors = np.linalg.eigh(gram / np.outer(scale, scale))
+    parts = vectors[:, np.argsort(-values)[: max(1, min(n_components, len(x)))]].T
+    parts = [p if p[abs(p).argmax()] >= 0 else -p for p in parts]
+    return {"centre": mean, "scale": scale.tolist(), "components": [p.tolist() for p in parts], "centred": centred}
+
+
+def project(df: DataFrame, columns: list[str], centre: list[float], scale: list[float], components: list[list[float]], name: str) -> DataFrame:
+    """name_1..: the columns on the components, as one expression each."""
+    offset = centre if name == "pca" else [0.0] * len(columns)
+    x = [(F.coalesce(F.col(c).cast("double"), F.lit(m)) - F.lit(o)) / F.lit(s) for c, m, o, s in zip(columns, centre, offset, scale, strict=True)]
+    return df.withColumns({f"{name}_{k + 1}": sum((F.lit(w) * v for w, v in zip(p[1:], x[1:], strict=True)), F.lit(p[0]) * x[0]) for k, p in enumerate(components)})
+
+
 def group_profile(df: DataFrame, by: str, column: str, statistics: Iterable[str], train: DataFrame | None = None) -> DataFrame:
     """Group statistics on each row: from training rows by a join, or over all rows by a window. A group not seen is null."""
     from sparkprep.operators.profile import group_statistics

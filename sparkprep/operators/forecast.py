@@ -11,8 +11,17 @@ from pyspark.sql import functions as F
 SEASONS = {"h": 24, "D": 7, "B": 5, "W": 52, "MS": 12, "M": 12, "QS": 4, "Q": 4}
 
 
-def seasonal_naive(df: DataFrame, series: str, time: str, value: str, season: int, horizon: int) -> DataFrame:
-    """(series, step, forecast): the last season again; a hole in it gets the series' mean."""
+def season_of(df: DataFrame, time: str) -> int:
+    """The season's length by the step of the stamps; 1 where the step has none."""
+    from sparkprep.operators.profile import temporal_statistics
+
+    row = temporal_statistics(df, time).first()
+    return SEASONS.get(row["frequency"], 1) if row else 1
+
+
+def seasonal_naive(df: DataFrame, series: str, time: str, value: str, season: int | None, horizon: int) -> DataFrame:
+    """(series, step, forecast): the last season again; a hole in it gets the series' mean. Without a season it comes from the stamps' step."""
+    season = season_of(df, time) if season is None else season
     back = F.row_number().over(Window.partitionBy(series).orderBy(F.col(time).desc()))
     last = df.withColumn("_b", back).where(F.col("_b") <= season).select(F.col(series).alias("_s"), (season - F.col("_b")).alias("_slot"), F.col(value).cast("double").alias("_v"))
     means = df.groupBy(series).agg(F.avg(value).alias("_mean"))

@@ -25,6 +25,19 @@ def append_once(spark: SparkSession, path: str, rows: DataFrame, key: list[str])
     (fresh if stored is None else fresh.join(stored, key, "left_anti")).write.mode("append").parquet(path)
 
 
+#: The history's tables and what tells their rows apart.
+TABLES = {"runs": ["run_id"], "experiments": ["run_id", "family"], "fingerprints": ["run_id"], "events": ["run_id", "sequence"]}
+
+
+def record(spark: SparkSession, folder: str, table: str, rows: DataFrame) -> None:
+    """Appends to one of the history's tables; what is stored already stays as it is."""
+    append_once(spark, f"{folder.rstrip('/')}/{table}", rows, TABLES[table])
+
+
+def history(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{folder.rstrip('/')}/{table}")
+
+
 def events_after(events: DataFrame, sequence: int, key: str = "sequence") -> DataFrame:
     return events.where(F.col(key) > sequence).orderBy(key)
 

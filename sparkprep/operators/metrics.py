@@ -106,6 +106,25 @@ def probability_metrics(df: DataFrame, label: str = "label", score: str = "score
     return df.agg(F.when(sound[0] & sound[1], loss).alias("log_loss"), F.when(sound[0] & sound[1], F.avg((p - y) * (p - y))).alias("brier_score"))
 
 
+def class_probability_metrics(df: DataFrame, label: str, scores: dict[str, str], eps: float = 1e-15) -> DataFrame:
+    """One row log_loss, brier_score over several classes; scores maps a class to its column. Null if a score is outside 0..1."""
+    y = F.col(label).cast("string")
+    p = {k: F.col(c).cast("double") for k, c in scores.items()}
+    own, square, sound = F.lit(None).cast("double"), F.lit(0.0), F.lit(True)
+    for k, v in p.items():
+        own = F.when(y == k, v).otherwise(own)
+        square = square + F.pow(v - (y == k).cast("double"), F.lit(2.0))
+        sound = sound & v.between(0, 1)
+    ok = F.bool_and(sound)
+    return df.where(y.isNotNull()).agg(F.when(ok, F.avg(-F.log(F.greatest(F.least(own, F.lit(1 - eps)), F.lit(eps))))).alias("log_loss"), F.when(ok, F.avg(square)).alias("brier_score"))
+
+
+def top_class(df: DataFrame, label: str, scores: dict[str, str]) -> DataFrame:
+    """confidence and hit of each row's likeliest class, the first of equals: what calibration takes of several classes."""
+    best = F.array_max(F.array(*[F.struct(F.col(c).cast("double").alias("p"), F.lit(-i).alias("first"), F.lit(k).alias("k")) for i, (k, c) in enumerate(scores.items())]))
+    return df.withColumn("_best", best).select(F.col("_best.p").alias("confidence"), (F.col("_best.k") == F.col(label).cast("string")).cast("int").alias("hit"))
+
+
 def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction", by: Iterable[str] = ()) -> DataFrame:
     """One row (a group): rmse, mse, mae, r2, explained_variance, median_absolute_error, max_error, mape, smape."""
     by = list(by)
@@ -169,14 +188,18 @@ def clustering_metrics(df: DataFrame, features: list[str], cluster: str, noise:
 
 
 def anomaly_metrics(df: DataFrame, outlier: str, score: str, label: str | None = None) -> DataFrame:
-    """One row outlier_fraction, mean_score, score_separation (inliers' mean less outliers'); with labels precision, recall, F1."""
+    """One row outlier_fraction, mean_score, score_separation (inliers' mean less outliers'); with labels precision, recall, F1, and roc_auc and average_precision of low scores for outliers."""
     out = F.col(outlier).cast("boolean")
     aggs = [F.avg(out.cast("double")).alias("outlier_fraction"), F.avg(score).alias("mean_score"), (F.avg(F.when(~out, F.col(score))) - F.avg(F.when(out, F.col(score)))).alias("score_separation")]
     if label:
         y = F.col(label).cast("boolean")
         hit, called, actual = F.count_if(out & y), F.count_if(out), F.count_if(y)
         aggs += [F.coalesce(F.try_divide(a, b), F.lit(0.0)).alias(n) for a, b, n in ((hit, called, "precision"), (hit, actual, "recall"), (2 * hit, called + actual, "f1"))]
-    return df.agg(*aggs)
+    one = df.agg(*aggs)
+    if not label:
+        return one
+    ranked = ranking_metrics(df.select(F.col(label).cast("int").alias("label"), (-F.col(score)).alias("score")))
+    return one.join(F.broadcast(ranked), how="cross")  # a row each
 
 
 def calibration(df: DataFrame, label: str = "label", score: str = "score", bins: int = 10) -> DataFrame:

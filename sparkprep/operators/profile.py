@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkprep.functions.tables import known, numeric_columns, string_columns, to_long
+from sparkprep.functions.tables import durable, known, numeric_columns, string_columns, to_long
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
@@ -19,22 +19,41 @@ def _hashable(df: DataFrame, column: str) -> Column:
     return F.to_json(column) if nested else F.col(column)
 
 
-def column_counts(df: DataFrame, columns: Iterable[str] | None = None, approximate: bool = False) -> DataFrame:
-    """column, n_rows, n_missing, missing_fraction, n_distinct, cardinality_ratio, is_constant."""
+def value_counts(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """column, whole, real, text, n: how often each value is in each column, nulls left out; and in a row of no column the number of rows.
+
+    One explode to narrow cells and one shuffle, in which counts are added up in the tasks first,
+    whatever the number of columns. Whole numbers are told apart as such, other numbers as doubles, all else as text.
+    """
+    cells = [F.struct(F.lit(None).cast("string").alias("column"), F.lit(None).cast("long").alias("whole"), F.lit(None).cast("double").alias("real"), F.lit(None).cast("string").alias("text"))]
+    for c in known(df, columns):
+        kind = df.schema[c].dataType
+        whole, real = isinstance(kind, T.IntegralType), isinstance(kind, T.DoubleType | T.FloatType)
+        cells.append(F.struct(
+            F.lit(c).alias("column"), (F.col(c).cast("long") if whole else F.lit(None).cast("long")).alias("whole"), (F.col(c).cast("double") if real else F.lit(None).cast("double")).alias("real"),
+            (F.lit(None).cast("string") if whole or real else _hashable(df, c).cast("string")).alias("text"),
+        ))
+    long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    return long.where("column is null or whole is not null or real is not null or text is not null").groupBy("column", "whole", "real", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _by_column(counts: DataFrame, names: list[str], aggregates: dict[str, Column]) -> DataFrame:
+    """column, n_rows and the aggregates of its counts: a row a name, also of a column without values."""
+    one = counts.agg(F.coalesce(F.sum(F.when(F.col("column").isNull(), F.col("n"))), F.lit(0)).alias("n_rows"))
+    each = one.select(F.explode(F.array(*map(F.lit, names))).alias("column"), "n_rows")
+    got = counts.where("column is not null").groupBy(F.col("column").alias("_c")).agg(*[v.alias(k) for k, v in aggregates.items()])
+    return each.join(got, F.col("column") == F.col("_c"), "left").drop("_c")
+
+
+def column_counts(df: DataFrame, columns: Iterable[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """column, n_rows, n_missing, missing_fraction, n_distinct, cardinality_ratio, is_constant; ``counts`` are the value counts, if they are at hand."""
     names = known(df, columns)
-    distinct = (lambda c: F.approx_count_distinct(c, 0.01)) if approximate else F.count_distinct
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, c in enumerate(names):
-        aggs += [F.count(c).alias(f"v{i}"), distinct(_hashable(df, c)).alias(f"d{i}")]
-    n = F.col("n")
-    fields = {}
-    for i, c in enumerate(names):
-        v, d = F.col(f"v{i}"), F.col(f"d{i}")
-        fields[c] = {
-            "n_rows": n, "n_missing": n - v, "missing_fraction": F.coalesce(F.try_divide(n - v, n), F.lit(0.0)),
-            "n_distinct": d, "cardinality_ratio": F.coalesce(F.try_divide(d, v), F.lit(0.0)), "is_constant": d <= 1,
-        }
-    return to_long(df.agg(*aggs), fields)
+    got = _by_column(value_counts(df, names) if counts is None else counts, names, {"v": F.sum("n"), "d": F.count(F.lit(1))})
+    n, v, d = F.col("n_rows"), F.coalesce("v", F.lit(0)), F.coalesce("d", F.lit(0))
+    return got.select(
+        "column", "n_rows", (n - v).alias("n_missing"), F.coalesce(F.try_divide(n - v, n), F.lit(0.0)).alias("missing_fraction"),
+        d.alias("n_distinct"), F.coalesce(F.try_divide(d, v), F.lit(0.0)).alias("cardinality_ratio"), (d <= 1).alias("is_constant"),
+    )
 
 
 def adjusted_skew(n: Column, g1: Column) -> Column:
@@ -66,31 +85,43 @@ def moments(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     return to_long(df.agg(*aggs), fields)
 
 
-def quantiles(df: DataFrame, columns: Iterable[str] | None = None, probabilities: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """column, q01.. with linear interpolation; exact."""
+def _quantile_rows(counts: DataFrame, probabilities: Iterable[float]) -> DataFrame:
+    """column, n, p, q: quantiles by linear interpolation, a row each.
+
+    Counts run up in a global order of (column, value), and the one or two values at each
+    wanted rank are picked by a join with the few ranks, so no task holds a column.
+    """
+    from sparkprep.functions.tables import global_running
+
+    numbers = counts.where("whole is not null or real is not null").select("column", F.coalesce(F.col("whole").cast("double"), "real").alias("v"), "n").groupBy("column", "v").agg(F.sum("n").alias("n"))
+    run = global_running(numbers, [F.col("column"), F.col("v")], {"_upto": F.col("n")})
+    ends = run.groupBy(F.col("column").alias("_c")).agg(F.sum("n").alias("_n"), F.max("_upto").alias("_max"))
+    ps = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
+    wanted = ends.select("_c", "_n", (F.col("_max") - F.col("_n")).alias("_before"), ps.alias("p")).withColumn("_rank", (F.col("_n") - 1) * F.col("p")).withColumn("_low", F.floor("_rank"))
+    upto = F.col("_upto") - F.col("_before")
+    hits = run.join(F.broadcast(wanted), (F.col("column") == F.col("_c")) & (upto - F.col("n") <= F.col("_low") + 1) & (F.col("_low") < upto))  # a row a column and probability
+    pick = lambda at: F.max(F.when((upto - F.col("n") <= at) & (at < upto), F.col("v")))
+    found = hits.groupBy("column", F.col("_n").alias("n"), "p", (F.col("_rank") - F.col("_low")).alias("part")).agg(pick(F.col("_low")).alias("a"), pick(F.col("_low") + 1).alias("b"))
+    return found.select("column", "n", "p", (F.col("a") + F.col("part") * (F.coalesce("b", "a") - F.col("a"))).alias("q"))
+
+
+def quantiles(df: DataFrame, columns: Iterable[str] | None = None, probabilities: tuple[float, ...] = QUANTILES, counts: DataFrame | None = None) -> DataFrame:
+    """column, q01.. with linear interpolation; exact, and no task holds a column's values."""
     names = [c for c in known(df, columns) if c in numeric_columns(df)]
-    aggs = [F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, probabilities))).alias(f"q{i}") for i, c in enumerate(names)]
-    fields = {c: {f"q{round(p * 100):02d}": F.col(f"q{i}")[k] for k, p in enumerate(probabilities)} for i, c in enumerate(names)}
-    return to_long(df.agg(*aggs), fields)
+    rows = _quantile_rows(value_counts(_numbers(df, names), names) if counts is None else counts, probabilities)
+    wide = rows.groupBy(F.col("column").alias("_c")).agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(f"q{round(p * 100):02d}") for p in probabilities])
+    each = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
+    return each.join(wide, F.col("column") == F.col("_c"), "left").drop("_c")
 
 
-def quantiles_by_rank(df: DataFrame, column: str, probabilities: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """probability, value: the same numbers as ``quantiles`` without holding a column's values in one task.
+def _numbers(df: DataFrame, names: list[str]) -> DataFrame:
+    """Numbers that are neither whole nor floating as doubles."""
+    return df.withColumns({c: F.col(c).cast("double") for c in names if isinstance(df.schema[c].dataType, T.DecimalType)})
 
-    Values are counted first, counts run up in a global order, and the one or two
-    values at each rank are picked by a join with the few wanted ranks.
-    """
-    from sparkprep.functions.tables import global_running
 
-    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    upto = global_running(counted, [F.col("value")], {"upto": F.col("n")})
-    total = upto.agg(F.max("upto")).first()[0] or 0
-    wanted = [(p, (total - 1) * p) for p in probabilities] if total else []
-    ranks = df.sparkSession.createDataFrame([(p, int(r), r - int(r)) for p, r in wanted], "probability double, low long, part double")
-    pick = lambda at: F.max(F.when((F.col("upto") - F.col("n") <= at) & (at < F.col("upto")), F.col("value")))
-    hits = upto.join(F.broadcast(ranks), (F.col("upto") - F.col("n") <= F.col("low") + 1) & (F.col("low") < F.col("upto")))
-    found = hits.groupBy("probability", "part").agg(pick(F.col("low")).alias("a"), pick(F.col("low") + 1).alias("b"))
-    return found.select("probability", (F.col("a") + F.col("part") * (F.coalesce("b", "a") - F.col("a"))).alias("value"))
+def quantiles_by_rank(df: DataFrame, column: str, probabilities: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """probability, value of one column."""
+    return _quantile_rows(value_counts(_numbers(df, [column]), [column]), probabilities).select(F.col("p").alias("probability"), F.col("q").alias("value"))
 
 
 def fences(df: DataFrame, columns: list[str], multiplier: float = 1.5) -> DataFrame:
@@ -102,20 +133,21 @@ def fences(df: DataFrame, columns: list[str], multiplier: float = 1.5) -> DataFr
     return df.agg(*aggs)
 
 
-def iqr_outliers(df: DataFrame, columns: Iterable[str] | None = None, multiplier: float = 1.5) -> DataFrame:
+def iqr_outliers(df: DataFrame, columns: Iterable[str] | None = None, multiplier: float = 1.5, counts: DataFrame | None = None) -> DataFrame:
     """column, lower, upper, n_outliers, outlier_fraction. Below four values none; without spread the bounds are the quartiles and nothing is outside."""
     names = [c for c in known(df, columns) if c in numeric_columns(df)]
-    bounds = F.broadcast(fences(df, names, multiplier))  # one row
-    joined = df.select(*names).join(bounds, how="cross") if names else df
-    aggs, fields = [], {}
-    for i, c in enumerate(names):
-        n, a, b = F.col(f"n{i}"), F.col(f"a{i}"), F.col(f"b{i}")
-        reach = F.when(b > a, F.lit(multiplier) * (b - a)).otherwise(0.0)
-        lo, hi = a - reach, b + reach
-        out = (n >= 4) & (b > a) & ((F.col(c) < lo) | (F.col(c) > hi))
-        aggs += [F.max(F.when(n >= 4, lo)).alias(f"lo{i}"), F.max(F.when(n >= 4, hi)).alias(f"hi{i}"), F.count_if(out).alias(f"o{i}"), F.max(n).alias(f"c{i}")]
-        fields[c] = {"lower": F.col(f"lo{i}"), "upper": F.col(f"hi{i}"), "n_outliers": F.col(f"o{i}"), "outlier_fraction": F.coalesce(F.try_divide(F.col(f"o{i}"), F.col(f"c{i}")), F.lit(0.0))}
-    return to_long(joined.agg(*aggs), fields)
+    if counts is None:
+        counts = durable(value_counts(_numbers(df, names), names))
+    rows = _quantile_rows(counts, (0.25, 0.75)).groupBy(F.col("column").alias("_q")).agg(F.max("n").alias("_n"), F.min("q").alias("a"), F.max("q").alias("b"))
+    v = F.coalesce(F.col("whole").cast("double"), "real")
+    reach = F.when(F.col("b") > F.col("a"), F.lit(multiplier) * (F.col("b") - F.col("a"))).otherwise(0.0)
+    joined = counts.where("whole is not null or real is not null").join(F.broadcast(rows), F.col("column") == F.col("_q"))  # a row a column
+    lo, hi = F.col("a") - reach, F.col("b") + reach
+    outside = (F.col("_n") >= 4) & (F.col("b") > F.col("a")) & ((v < lo) | (v > hi))
+    got = joined.groupBy(F.col("column").alias("_c")).agg(F.max(F.when(F.col("_n") >= 4, lo)).alias("lower"), F.max(F.when(F.col("_n") >= 4, hi)).alias("upper"), F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("o"), F.max("_n").alias("_all"))
+    each = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
+    out = each.join(got, F.col("column") == F.col("_c"), "left")
+    return out.select("column", "lower", "upper", F.coalesce("o", F.lit(0)).alias("n_outliers"), F.coalesce(F.try_divide("o", "_all"), F.lit(0.0)).alias("outlier_fraction"))
 
 
 def top_values(df: DataFrame, columns: Iterable[str] | None = None, k: int = 12) -> DataFrame:
@@ -211,16 +243,28 @@ def class_counts(df: DataFrame, target: str, max_classes: int = 50) -> DataFrame
     return counted.join(F.broadcast(total), how="cross").select("label", "n", (F.col("n") / F.col("total")).alias("share"), "imbalance", (F.col("imbalance") > 3).alias("imbalanced")).orderBy(F.desc("n"), "label").limit(max_classes)
 
 
+def target_summary(df: DataFrame, target: str, max_classes: int = 50) -> DataFrame:
+    """Of a continuous target its moments and quantiles in one row, else its classes."""
+    if target in numeric_columns(df) and df.where(F.col(target).isNotNull()).select(target).distinct().limit(max_classes + 1).count() > max_classes:
+        plain = _numbers(df, [target])
+        return moments(plain, [target]).join(quantiles(plain, [target]), "column")
+    return class_counts(df, target, max_classes)
+
+
 def profile_table(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """One row per column: counts, moments, quantiles and outliers where the column is numeric."""
+    """One row per column: counts, moments, quantiles and outliers where the column is numeric, string statistics where it is text.
+
+    The values are counted once; distinct values, quantiles and outliers come from the counts. A second scan takes the moments.
+    """
     names = known(df, columns)
-    out = column_counts(df, names)
-    if any(c in numeric_columns(df) for c in names):
-        for part in (moments(df, names).drop("n"), quantiles(df, names), iqr_outliers(df, names)):
+    numbers, texts = [c for c in names if c in numeric_columns(df)], [c for c in names if c in string_columns(df)]
+    plain = _numbers(df, numbers)
+    counts = durable(value_counts(plain, names))
+    out = column_counts(plain, names, counts)
+    if numbers:
+        for part in (moments(plain, numbers).drop("n"), quantiles(plain, numbers, counts=counts), iqr_outliers(plain, numbers, counts=counts)):
             out = out.join(part, "column", "left")
-    if any(c in string_columns(df) for c in names):
-        out = out.join(string_statistics(df, names), "column", "left")
-    return out
+    return out.join(string_statistics(df, texts), "column", "left") if texts else out
 
 
 def group_statistics(df: DataFrame, by: list[str], columns: list[str], statistics: Iterable[str]) -> DataFrame:

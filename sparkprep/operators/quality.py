@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions.tables import TIMES, numeric_columns, string_columns
+from sparkprep.functions.text import vocabulary_of
 from sparkprep.operators import profile as P
 
 
@@ -18,7 +19,7 @@ def _findings(df: DataFrame, rules: list[tuple]) -> DataFrame:
 def quality_findings(df: DataFrame, target: str | None = None, time: str | None = None) -> DataFrame:
     """code, severity, column, value. One row a finding; table-wide findings have a null column."""
     names = df.columns
-    counts = P.column_counts(df, names, approximate=False)
+    counts = P.column_counts(df, names)
     low, med, high, crit = (F.lit(x) for x in ("low", "medium", "high", "critical"))
     miss, card, distinct, n = F.col("missing_fraction"), F.col("cardinality_ratio"), F.col("n_distinct"), F.col("n_rows")
     texts, numbers = string_columns(df), numeric_columns(df)
@@ -108,7 +109,9 @@ def recommend_cleaning(df: DataFrame, target: str | None = None, leaks: tuple[st
                 strategy = "missing_category" if r["n_distinct"] > 15 or r["missing_fraction"] > 0.15 else "mode"
             else:
                 strategy = "forward_fill"
-            found.append({"action": "impute_missing", "columns": [c], "strategy": strategy})
+            # a time without an order of its own is filled along an identifier, else along all other columns
+            order = [x for x, y in counts.items() if x != c and y["cardinality_ratio"] >= 0.999 and not y["n_missing"]][:1] or [x for x in df.columns if x != c]
+            found.append({"action": "impute_missing", "columns": [c], "strategy": strategy} | ({"order": order} if strategy == "forward_fill" else {}))
         if c in out and (out[c]["outlier_fraction"] or 0) > 0.02 and not r["is_constant"] and c not in leaks:
             found.append({"action": "clip_outliers", "columns": [c]})
     return found
@@ -137,10 +140,14 @@ def recommend_features(df: DataFrame, target: str | None = None, task: str = "bi
                 found += [{"op": "text_length", "columns": [c]}, {"op": "tfidf", "columns": [c], "ngram_max": 2}]
             elif r["cardinality_ratio"] >= 0.95:
                 continue
+            elif r["n_distinct"] <= 64 and (scale := vocabulary_of(df, c))[0] == "ordinal":
+                found.append({"op": "ordinal_encode", "columns": [c], "order": scale[1]})
             elif r["n_distinct"] <= 15:
                 found.append({"op": "one_hot_encode", "columns": [c]})
             else:
-                found.append({"op": "frequency_encode" if task == "multiclass" or target is None else "target_encode", "columns": [c]})
+                found.append({"op": "frequency_encode" if task == "multiclass" or target not in numeric_columns(df) else "target_encode", "columns": [c]})
+    if len(numbers) > 1:
+        found.append({"op": "drop_correlated", "columns": numbers, "threshold": 0.95})
     return found
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkprep.functions.tables import global_running
+from sparkprep.functions.tables import digest as digest_of
+from sparkprep.functions.tables import global_running, unit
 
 
 def choose_strategy(task: str, time: str | None = None, group: str | None = None) -> tuple[str, str]:
@@ -38,7 +39,7 @@ def temporal_split(df: DataFrame, order: list[str], test: float = 0.2, validatio
 
 def grouped_split(df: DataFrame, group: str, test: float = 0.2, validation: float = 0.15, seed: int = 0, digest: Column | None = None) -> DataFrame:
     """Whole groups by a digest of their name: shares of groups, not of rows. Fewer than three groups fall back to a random split by the group's rows."""
-    key = F.xxhash64(F.col(group), F.lit(seed)) if digest is None else digest
+    key = digest_of(group, seed) if digest is None else digest
     groups = df.select(group).distinct().withColumn("_d", key)
     placed = global_running(groups, [F.col("_d"), F.col(group)], {}, number="_place")
     n = groups.agg(F.count(F.lit(1)).alias("_n"))
@@ -50,7 +51,7 @@ def grouped_split(df: DataFrame, group: str, test: float = 0.2, validation: floa
 
 def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2, validation: float = 0.15, seed: int = 0, digest: Column | None = None) -> DataFrame:
     """Each class is cut at its own quotas in an order by digest of the key. Places within a class come from the global order of (class, digest), so a hot class is spread over tasks."""
-    d = F.xxhash64(F.col(key), F.lit(seed)) if digest is None else digest
+    d = digest_of(key, seed) if digest is None else digest
     placed = global_running(df.withColumn("_d", d), [F.col(label).asc_nulls_first(), F.col("_d"), F.col(key)], {}, number="_at")
     sizes = placed.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     joined = placed.join(sizes, F.col(label).eqNullSafe(F.col("_l")))
@@ -59,7 +60,7 @@ def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2, val
 
 def random_split(df: DataFrame, key: str, test: float = 0.2, validation: float = 0.15, seed: int = 0) -> DataFrame:
     """By digest of the key: narrow, repeatable, no shuffle; shares hold in expectation."""
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    u = unit(key, seed)
     return df.withColumn("split", F.when(u < test, "test").when(u < test + validation, "validation").otherwise("train"))
 
 
@@ -72,7 +73,7 @@ def split(df: DataFrame, task: str, target: str, key: str, time: str | None = No
     if strategy == "stratified" and clean.groupBy(target).count().where("count < 2").limit(1).count():
         strategy, reason = "random", "a class has fewer than two rows"
     if strategy == "grouped":
-        g = clean.agg(F.approx_count_distinct(group).alias("g")).first()["g"]
+        g = clean.select(group).distinct().count()
         if g < 3 or g > 0.95 * n:
             strategy, reason = "random", "too few groups, or nearly one a row"
     made = {
@@ -82,6 +83,39 @@ def split(df: DataFrame, task: str, target: str, key: str, time: str | None = No
     return made, {"strategy": strategy, "reason": reason, "rows": n, "test": test, "validation": validation}
 
 
+class Holdout:
+    """Rows without repeats, split; the test part is sealed until ``finish``, which reads it once.
+
+    ``open`` holds the train and validation rows, and ``profile`` looks at the train rows alone, so
+    nothing that is decided before the end can come from a test row.
+    """
+
+    def __init__(self, df: DataFrame, task: str, target: str, key: str, **options) -> None:  # noqa: ANN003
+        whole, self.how = split(df, task, target, key, **options)
+        self.open = whole.where("split != 'test'")
+        self._sealed: DataFrame | None = whole.where("split = 'test'").drop("split")
+
+    @property
+    def train(self) -> DataFrame:
+        return self.open.where("split = 'train'").drop("split")
+
+    @property
+    def validation(self) -> DataFrame:
+        return self.open.where("split = 'validation'").drop("split")
+
+    def profile(self, columns: Iterable[str] | None = None) -> DataFrame:
+        from sparkprep.operators.profile import profile_table
+
+        return profile_table(self.train, columns)
+
+    def finish(self, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """What ``score`` makes of the test rows; a second call is an error."""
+        if self._sealed is None:
+            raise RuntimeError("the holdout has been read")
+        test, self._sealed = self._sealed, None
+        return score(test)
+
+
 def label_encode(df: DataFrame, label: str, name: str = "label_index") -> tuple[DataFrame, list[str]]:
     """Classes as 0..k-1 in text order, or as they are if they are 0..k-1 already; all of them, many by a join."""
     found = [r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().orderBy(label).collect()]
@@ -97,15 +131,15 @@ def label_encode(df: DataFrame, label: str, name: str = "label_index") -> tuple[
 def folds(df: DataFrame, strategy: str, key: str, n: int = 5, label: str | None = None, group: str | None = None, time: str | None = None, seed: int = 0) -> DataFrame:
     """A ``fold`` column 0..n-1: hash, per-class place, group hash, or blocks of time (train on earlier folds)."""
     if strategy == "grouped":
-        return df.withColumn("fold", F.pmod(F.xxhash64(F.col(group), F.lit(seed)), F.lit(n)).cast("int"))
+        return df.withColumn("fold", F.floor(unit(group, seed) * n).cast("int"))
     if strategy == "stratified":
-        placed = global_running(df.withColumn("_d", F.xxhash64(F.col(key), F.lit(seed))), [F.col(label).asc_nulls_first(), F.col("_d"), F.col(key)], {}, number="_at")
+        placed = global_running(df.withColumn("_d", digest_of(key, seed)), [F.col(label).asc_nulls_first(), F.col("_d"), F.col(key)], {}, number="_at")
         return placed.withColumn("fold", ((F.col("_at") - 1) % n).cast("int")).drop("_d", "_at")
     if strategy == "temporal":
         placed = global_running(df, [F.col(time), F.col(key)], {}, number="_at")
         size = df.agg(F.count(F.lit(1)).alias("_n"))
         return placed.join(F.broadcast(size), how="cross").withColumn("fold", F.floor((F.col("_at") - 1) * n / F.col("_n")).cast("int")).drop("_at", "_n")
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(n)).cast("int"))
+    return df.withColumn("fold", F.floor(unit(key, seed) * n).cast("int"))
 
 
 def fold_parts(df: DataFrame, fold: int, strategy: str = "random") -> tuple[DataFrame, DataFrame]:

@@ -1,15 +1,20 @@
 """Features of a row's past: ordered by time (and a tie-breaking key) within groups.
 
-A window that reads the target leaves out the row's own value (``shift`` 1).
+A window that reads the target leaves out the row's own value (``shift`` 1). Without a group
+rows are dealt by ranges of the order, and a range gets what it needs of those before it: the
+few rows that a lag or a rolling frame reaches back, or the totals of an expanding one. The order
+must then tell all rows apart. Only an expanding median without a group is one task's work.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
+from sparkprep.functions.tables import in_ranges, with_rows_before
 from sparkprep.operators.profile import adjusted_kurtosis, adjusted_skew
 
 MISSING_GROUP = "__MISSING__"
@@ -21,6 +26,15 @@ def _over(order: list[str], group: Iterable[str]):  # noqa: ANN202
     return Window.partitionBy(*[F.coalesce(F.col(g).cast("string"), F.lit(MISSING_GROUP)) for g in group]).orderBy(*order)
 
 
+def _reaching(df: DataFrame, order: list[str], reach: int, make: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+    """Columns over the whole order that look at most ``reach`` rows back."""
+    if not order:
+        raise ValueError("a history feature needs a time order")
+    dealt = with_rows_before(in_ranges(df, [F.col(o) for o in order]), reach)
+    made = make(Window.partitionBy("_range").orderBy("_at"))
+    return dealt.withColumns(made).where(~F.col("_edge")).select(*df.columns, *made)
+
+
 def _statistic(name: str, c: str, over) -> Column:  # noqa: ANN001
     x = F.col(c).cast("double")
     n = F.count(c).over(over)
@@ -34,30 +48,78 @@ def _statistic(name: str, c: str, over) -> Column:  # noqa: ANN001
 
 def lag_features(df: DataFrame, column: str, lags: Iterable[int], order: list[str], group: Iterable[str] = ()) -> DataFrame:
     """column_lag_k for each k; signs are ignored, zero is left out."""
-    over = _over(order, group)
-    return df.withColumns({f"{column}_lag_{abs(k)}": F.lag(column, abs(k)).over(over) for k in lags if k})
+    steps = [abs(k) for k in lags if k]
+
+    def make(over: WindowSpec) -> dict[str, Column]:
+        return {f"{column}_lag_{k}": F.lag(column, k).over(over) for k in steps}
+
+    return df.withColumns(make(_over(order, group))) if group else _reaching(df, order, max(steps, default=0), make)
 
 
 def rolling_features(df: DataFrame, column: str, windows: Iterable[int] = (3,), statistics: Iterable[str] = ("mean",), order: list[str] = (), group: Iterable[str] = (), shift: int = 0) -> DataFrame:
     """column_roll_n_statistic over the last n rows, from one value on."""
-    out = {}
-    for n in windows:
-        over = _over(order, group).rowsBetween(-(max(2, n) - 1) - shift, -shift)
-        out |= {f"{column}_roll_{n}_{s}": _statistic(s, column, over) for s in statistics}
-    return df.withColumns(out)
+    windows = list(windows)
+
+    def make(over: WindowSpec) -> dict[str, Column]:
+        return {f"{column}_roll_{n}_{s}": _statistic(s, column, over.rowsBetween(-(max(2, n) - 1) - shift, -shift)) for n in windows for s in statistics}
+
+    return df.withColumns(make(_over(order, group))) if group else _reaching(df, order, max(2, *windows) - 1 + shift, make)
 
 
 def diff_features(df: DataFrame, column: str, periods: Iterable[int] = (1,), order: list[str] = (), group: Iterable[str] = (), shift: int = 0) -> DataFrame:
     """column_diff_k: the value less the one k rows before; with a shift both move back."""
-    over = _over(order, group)
-    now = F.lag(column, shift).over(over) if shift else F.col(column)
-    return df.withColumns({f"{column}_diff_{k}": now - F.lag(column, shift + k).over(over) for k in map(abs, periods) if k})
+    steps = [abs(k) for k in periods if k]
+
+    def make(over: WindowSpec) -> dict[str, Column]:
+        now = F.lag(column, shift).over(over) if shift else F.col(column)
+        return {f"{column}_diff_{k}": now - F.lag(column, shift + k).over(over) for k in steps}
+
+    return df.withColumns(make(_over(order, group))) if group else _reaching(df, order, shift + max(steps, default=0), make)
 
 
 def expanding_features(df: DataFrame, column: str, statistics: Iterable[str] = ("mean",), order: list[str] = (), group: Iterable[str] = (), shift: int = 0) -> DataFrame:
     """column_expanding_statistic over the whole past."""
-    over = _over(order, group).rowsBetween(Window.unboundedPreceding, -shift)
-    return df.withColumns({f"{column}_expanding_{s}": _statistic(s, column, over) for s in statistics})
+    statistics = list(statistics)
+    if group or "median" in statistics:
+        over = _over(order, group).rowsBetween(Window.unboundedPreceding, -shift)
+        return df.withColumns({f"{column}_expanding_{s}": _statistic(s, column, over) for s in statistics})
+    if not order:
+        raise ValueError("a history feature needs a time order")
+    dealt = in_ranges(df, [F.col(o) for o in order])
+    centre = df.agg(F.coalesce(F.avg(F.col(column).cast("double")), F.lit(0.0)).alias("c")).first()["c"]
+    x = F.col(column).cast("double") - F.lit(centre)  # powers about the mean lose no digits
+    sums = {"n": F.when(x.isNotNull(), 1), **{f"p{k}": F.pow(x, F.lit(float(k))) for k in (1, 2, 3, 4)}}
+    ends = {"lo": F.min, "hi": F.max}
+    totals = dealt.groupBy(F.col("_range").alias("_of")).agg(*[F.sum(v).alias(k) for k, v in sums.items()], *[f(column).alias(k) for k, f in ends.items()])
+    before = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    offsets = totals.select("_of", *[F.sum(k).over(before).alias(f"_o_{k}") for k in sums], *[f(k).over(before).alias(f"_o_{k}") for k, f in ends.items()])
+    inside = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    run = dealt.join(F.broadcast(offsets), F.col("_range") == F.col("_of"))
+    run = run.withColumns({f"_{k}": F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.coalesce(f"_o_{k}", F.lit(0)) for k, v in sums.items()} | {"_lo": F.least(F.min(column).over(inside), "_o_lo"), "_hi": F.greatest(F.max(column).over(inside), "_o_hi")})
+    powers = _from_powers(centre)
+    made = {f"{column}_expanding_{s}": powers[s] for s in statistics}
+    out = run.withColumns(made)
+    if not shift:
+        return out.select(*df.columns, *made)
+    kept = with_rows_before(out.select(*df.columns, *made, "_range", "_at"), shift)
+    over = Window.partitionBy("_range").orderBy("_at")
+    return kept.withColumns({c: F.lag(c, shift).over(over) for c in made}).where(~F.col("_edge")).select(*df.columns, *made)
+
+
+def _from_powers(centre: float) -> dict[str, Column]:
+    """Statistics of what has been seen from its count, its sums of powers about ``centre`` and its ends."""
+    n, p1, p2, p3, p4 = (F.col(c) for c in ("_n", "_p1", "_p2", "_p3", "_p4"))
+    d = p1 / n
+    m2 = F.greatest(p2 / n - d * d, F.lit(0.0))
+    m3 = p3 / n - 3 * d * p2 / n + 2 * F.pow(d, F.lit(3.0))
+    m4 = p4 / n - 4 * d * p3 / n + 6 * d * d * p2 / n - 3 * F.pow(d, F.lit(4.0))
+    var = F.when(n > 1, m2 * n / (n - 1))
+    some = n > 0
+    out = {
+        "mean": d + centre, "sum": p1 + n * centre, "min": F.col("_lo").cast("double"), "max": F.col("_hi").cast("double"), "var": var, "std": F.sqrt(var), "count": n.cast("double"),
+        "skew": adjusted_skew(n, F.try_divide(m3, F.pow(m2, F.lit(1.5)))), "kurt": adjusted_kurtosis(n, F.try_divide(m4, m2 * m2) - 3),
+    }
+    return {k: F.when(some, v) for k, v in out.items()}
 
 
 def average_rank(df: DataFrame, column: str, name: str, group: Iterable[str] = ()) -> DataFrame:

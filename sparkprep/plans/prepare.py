@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions import scalar as S
-from sparkprep.functions.tables import TIMES, numeric_columns, written
+from sparkprep.functions.tables import TIMES, allocate, numeric_columns, written
 from sparkprep.operators import clean as C
 from sparkprep.operators import encode as E
 
@@ -51,7 +51,7 @@ def clean(df: DataFrame, decisions: Iterable[dict], target: str | None = None) -
     frozen: list[dict] = []
     notes: list[str] = []
     for d in sorted(decisions, key=lambda d: ORDER.get(d["action"], 99)):
-        p = {k: coerce(v) for k, v in d.items() if k not in ("action", "columns")}
+        p = {k: coerce(v) for k, v in d.items() if k not in ("action", "columns", "order", "group")} | {k: d[k] for k in ("order", "group") if k in d}
         columns = [c for c in d.get("columns") or [] if c in df.columns]
         missing = [c for c in d.get("columns") or [] if c not in df.columns]
         notes += [f"{d['action']}: no column {c}" for c in missing]
@@ -103,7 +103,7 @@ def _clean_step(df: DataFrame, action: str, columns: list[str], p: dict, target:
         if strategy == "leave_as_is":
             return df
         if strategy in ("forward_fill", "backward_fill", "interpolate"):
-            order, group = p["order"], p.get("group") or []
+            order, group = p.get("order") or [c for c in df.columns if c not in names and c != FOLD], p.get("group") or []
             out = C.interpolate(df, names, order, group) if strategy == "interpolate" else C.directional_fill(df, names, order, group, strategy == "backward_fill", p.get("limit"))
             frozen.append({"do": "fill", "fills": C.fit_fills(df, names, "auto")})  # a new row has no neighbours: it gets the median or mode
             return out
@@ -150,19 +150,97 @@ def _parse_frozen(df: DataFrame, step: dict) -> DataFrame:
     return df.withColumns({c: F.coalesce(*[F.try_to_timestamp(F.col(c).cast("string"), F.lit(f)) for f in forms]) for c in step["columns"]})
 
 
+#: Features made of several columns together.
+TOGETHER = ("ratio", "interaction", "polynomial", "geo_distance")
+#: What is done with all features when they are made, in this order.
+POST = ("variance_threshold", "drop_correlated", "select_k_best", "pca", "truncated_svd")
+#: Most feature columns of a plan.
+MOST_FEATURES = 600
+#: The column that tells a training row's fold while a plan is applied.
+FOLD = "_plan_fold"
+FOLDS = 5
+
+
+def with_fold(df: DataFrame, target: str | None) -> DataFrame:
+    """A row's fold by a digest of all it holds, so that equal rows share one; -1 for a row without the target, which is a new one."""
+    if not target or target not in df.columns:
+        return df.withColumn(FOLD, F.lit(-1))
+    return df.withColumn(FOLD, F.when(F.col(target).isNull(), -1).otherwise(F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in sorted(df.columns)]), F.lit(FOLDS))).cast("int"))
+
+
 def fit_features(train: DataFrame, decisions: Iterable[dict], target: str | None = None) -> tuple[list[dict], list[str]]:
-    """(frozen feature steps, notes). Statistics come from training rows only."""
+    """(frozen feature steps, notes). Statistics come from training rows only.
+
+    First the columns' features, then what is done with all of them: variance, collinear pairs, the k
+    best, principal components, truncated singular vectors. At most MOST_FEATURES columns are made.
+    """
     frozen: list[dict] = []
     notes: list[str] = []
+    decisions = list(decisions)
+    if FOLD not in train.columns:
+        train = with_fold(train, target)
     for d in decisions:
-        for c in [c for c in d.get("columns", []) if c in train.columns and c != target]:
+        columns = [c for c in d.get("columns", []) if c in train.columns and c != target]
+        for group in [columns] if d["op"] in TOGETHER else [[c] for c in columns]:
+            if not group or d["op"] in POST:
+                continue
             try:
-                frozen.append(_fit_feature(train, d, c, target))
-            except Exception as error:  # noqa: BLE001
-                notes.append(f"{d['op']} of {c} skipped: {str(error)[:120]}")
+                frozen.append(_fit_together(train, d, group) if d["op"] in TOGETHER else _fit_feature(train, d, group[0], target))
+            except Exception as error:  # noqa: BLE001  one feature's failure does not end the plan
+                notes.append(f"{d['op']} of {','.join(group)} skipped: {str(error)[:120]}")
+    names = apply_features(train, frozen)[1]
+    if len(names) > MOST_FEATURES:
+        notes.append(f"{len(names) - MOST_FEATURES} features beyond {MOST_FEATURES} left out")
+        frozen.append({"do": "keep", "of": names, "names": names[:MOST_FEATURES]})
+    for d in sorted((d for d in decisions if d["op"] in POST), key=lambda d: POST.index(d["op"])):
+        made, names = apply_features(train, frozen)
+        step = _fit_post(made, [n for n in names if n in numeric_columns(made)], d, target)
+        if step:
+            frozen.append(step)
     return frozen, notes
 
 
+def _fit_together(train: DataFrame, d: dict, columns: list[str]) -> dict:
+    op, p = d["op"], {k: coerce(v) for k, v in d.items()}
+    step = {"do": op, "columns": columns}
+    if op == "ratio":
+        return step | {"columns": columns[:2], "name": f"{columns[0]}_over_{columns[1]}"}
+    if op == "interaction":
+        numeric = all(c in numeric_columns(train) for c in columns)
+        name = "_x_".join(columns)
+        levels = [] if numeric else E.fit_levels(S.interaction(train, columns, False, name), name, min(50, int(p.get("max_categories", 50))))
+        return step | {"numeric": numeric, "name": name, "levels": levels}
+    if op == "polynomial":
+        return step | {"degree": int(p.get("degree", 2)), "interactions": bool(p.get("interactions", True))}
+    to = S.geo_distance(train, columns[0], columns[1], tuple(columns[2:4]) if len(columns) >= 4 else None)[1]
+    return step | {"to": list(to)}
+
+
+def _fit_post(made: DataFrame, names: list[str], d: dict, target: str | None) -> dict | None:
+    """The step that a selection or projection of the made features freezes; None where there is nothing to do."""
+    op, p = d["op"], {k: coerce(v) for k, v in d.items()}
+    if not names:
+        return None
+    if op == "variance_threshold":
+        low = set(E.low_variance_columns(made, names, float(p.get("threshold", 0.0))))
+        return {"do": "keep", "of": names, "names": [n for n in names if n not in low]}
+    if op == "drop_correlated":
+        from sparkprep.operators.associate import drop_correlated, pearson_pairs
+
+        pairs = [r.asDict() for r in pearson_pairs(made, names).where(F.col("r").isNotNull()).collect()]
+        strength = {}
+        if target in numeric_columns(made):
+            strength = {r["column"]: abs(r["f"]) for r in E.regression_f(made, names, target).where("f is not null").collect()}
+        gone = set(drop_correlated(pairs, strength, float(p.get("threshold", 0.95))))
+        return {"do": "keep", "of": names, "names": [n for n in names if n not in gone]}
+    if op == "select_k_best":
+        few = made.where(F.col(target).isNotNull()).select(target).distinct().limit(51).count() <= 50
+        scores = E.anova_f(made, names, target) if few else E.regression_f(made, names, target)
+        return {"do": "keep", "of": names, "names": E.select_k_best(scores, int(p.get("k", 20)))}
+    centred = op == "pca"
+    return {"do": "project", "of": names, "name": "pca" if centred else "svd", **E.fit_projection(made, names, int(p.get("n_components", 2)), centred)}
+
+
 def _fit_feature(train: DataFrame, d: dict, c: str, target: str | None) -> dict:
     op, p = d["op"], {k: coerce(v) for k, v in d.items()}
     if op == "date_decompose":
@@ -179,15 +257,27 @@ def _fit_feature(train: DataFrame, d: dict, c: str, target: str | None) -> dict:
     if op == "ordinal_encode":
         levels = p.get("order") or sorted(E.fit_levels(train, c, 1000))
         return {"do": op, "column": c, "levels": levels}
-    if op in ("target_encode", "frequency_encode"):
-        table, prior = E.fit_target_means(train, c, target) if op == "target_encode" else (E.fit_frequencies(train, c), 0.0)
-        value = "encoded" if op == "target_encode" else "frequency"
-        step = {"do": "map", "column": c, "name": f"{c}_{'target' if op == 'target_encode' else 'frequency'}", "default": prior}
-        # all levels: few are frozen in the step, more as a table in the shared folder
-        rows = table.limit(MOST_FROZEN + 1).collect()
-        if len(rows) > MOST_FROZEN:
-            return step | {"table": written(table.select("level", F.col(value).alias("value")))}
-        return step | {"map": dict(sorted((r["level"], r[value]) for r in rows))}
+    if op == "target_encode":
+        # rows that hold the target are coded by the other folds, new ones by all
+        table, priors = E.fit_target_folds(train, c, target, FOLD)
+        return {"do": "fold_map", "column": c, "name": f"{c}_target", "defaults": priors} | _frozen(table)
+    if op == "frequency_encode":
+        return {"do": "fold_map", "column": c, "name": f"{c}_frequency", "defaults": {"-1": 0.0}} | _frozen(E.fit_frequencies(train, c).select(F.lit(-1).alias("fold"), "level", F.col("frequency").alias("value")))
+    if op == "quantile_transform":
+        return {"do": op, "column": c, "grid": E.fit_quantile_grid(train, c, int(p.get("n_quantiles", 1000))), "normal": p.get("output", "normal") == "normal"}
+    if op == "tfidf":
+        from sparkprep.functions import text as X
+
+        grams = int(p.get("ngram_max", 1))
+        terms = X.tfidf_terms(train, c, int(p.get("max_features", 100)), grams, int(p.get("min_df", 2)))[0]
+        return {"do": op, "column": c, "ngram_max": grams, "terms": [[r["term"], r["idf"]] for r in terms.orderBy("term").collect()]}
+    if op == "group_aggregate":
+        statistics = list(p.get("statistics") or ["mean"])
+        from sparkprep.operators.profile import group_statistics
+
+        by = p["by"]
+        table = group_statistics(train.withColumn("level", E.level(by)), ["level"], [c], statistics)
+        return {"do": op, "column": c, "by": by, "statistics": statistics, "table": written(table)}
     if op == "hash_encode":
         return {"do": op, "column": c, "n": int(p.get("n_buckets", p.get("n_features", 8)))}
     if op == "binning":
@@ -199,31 +289,88 @@ def _fit_feature(train: DataFrame, d: dict, c: str, target: str | None) -> dict:
     raise ValueError(f"no such feature: {op}")
 
 
+def _frozen(table: DataFrame) -> dict:
+    """All rows of (fold, level, value): few in the step itself, more as a table in the shared folder, which a saved model needs too."""
+    rows = table.limit(MOST_FROZEN + 1).collect()
+    if len(rows) > MOST_FROZEN:
+        return {"table": written(table)}
+    return {"rows": sorted([r["fold"], r["level"], r["value"]] for r in rows)}
+
+
 def apply_features(df: DataFrame, frozen: Iterable[dict]) -> tuple[DataFrame, list[str]]:
-    """(df with the features, their names)."""
+    """(df with the features, their names). Rows without a fold count as new."""
     names: list[str] = []
+    own = FOLD in df.columns
+    df = df if own else df.withColumn(FOLD, F.lit(-1))
     for s in frozen:
-        c, before = s["column"], set(df.columns)
-        if c not in df.columns:
-            raise ValueError(f"missing columns: {c}")
+        if s["do"] in ("keep", "project"):
+            df, names = _apply_post(df, s, names)
+            continue
+        before = set(df.columns)
+        c = s.get("column") or s["columns"][0]
+        lost = [x for x in [*s.get("columns", [c]), *([s["by"]] if "by" in s else [])] if x not in df.columns]
+        if lost:
+            raise ValueError(f"missing columns: {', '.join(lost)}")
         do: dict[str, Callable[[], DataFrame]] = {
             "date_decompose": lambda s=s, c=c, df=df: S.decompose_date(df, c, s["parts"])[0], "cyclical_encode": lambda s=s, c=c, df=df: S.cyclical(df, c, s["part"]),
             "log_transform": lambda s=s, c=c, df=df: S.log_transform(df, c, s["signed"]), "scale": lambda s=s, c=c, df=df: E.scale(df.withColumn(f"{c}_scaled", F.col(c)), {f"{c}_scaled": s["fitted"][c]}),
             "one_hot_encode": lambda s=s, c=c, df=df: E.one_hot(df, c, s["levels"]), "ordinal_encode": lambda s=s, c=c, df=df: E.ordinal(df, c, s["levels"]),
-            "map": lambda s=s, c=c, df=df: df.withColumn(s["name"], F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in s["map"].items() for x in kv]), E.level(c)), F.lit(s["default"]))) if "map" in s and len(s["map"]) <= 500 else _map_by_join(df, c, s),
+            "fold_map": lambda s=s, c=c, df=df: _fold_map(df, c, s),
+            "quantile_transform": lambda s=s, c=c, df=df: E.quantile_transform(df, c, s["grid"], s["normal"]), "tfidf": lambda s=s, c=c, df=df: _tfidf(df, c, s), "group_aggregate": lambda s=s, c=c, df=df: _group_aggregate(df, c, s),
+            "ratio": lambda s=s, df=df: S.ratio(df, *s["columns"], s["name"]), "polynomial": lambda s=s, df=df: S.polynomial(df, s["columns"], s["degree"], s["interactions"]),
+            "interaction": lambda s=s, df=df: S.interaction(df, s["columns"], True, s["name"]) if s["numeric"] else E.one_hot(S.interaction(df, s["columns"], False, s["name"]), s["name"], s["levels"]).drop(s["name"]),
+            "geo_distance": lambda s=s, df=df: S.geo_distance(df, s["columns"][0], s["columns"][1], tuple(s["to"]), allocate(df.columns, f"{s['columns'][0]}_distance_km"))[0],
             "hash_encode": lambda s=s, c=c, df=df: E.hash_encode(df, c, s["n"]), "binning": lambda s=s, c=c, df=df: E.bin_codes(df, c, s["edges"]), "sqrt_transform": lambda c=c, df=df: S.sqrt_transform(df, c),
             "text_length": lambda c=c, df=df: S.text_length(df, c), "boxcox": lambda s=s, c=c, df=df: E.power_transform(df, c, s["fitted"]),
         }
         df = do[s["do"]]()
         names += [n for n in df.columns if n not in before]
-    return df, names
-
-
-def _map_by_join(df: DataFrame, c: str, s: dict) -> DataFrame:
-    if "table" in s:
-        return E.look_up(df, c, df.sparkSession.read.parquet(s["table"]), "value", s["name"], s["default"])
-    table = df.sparkSession.createDataFrame(list(s["map"].items()), "level string, value double")
-    return E.look_up(df, c, F.broadcast(table), "value", s["name"], s["default"])  # at most MOST_FROZEN rows
+    return (df if own else df.drop(FOLD)), names
+
+
+def _fold_map(df: DataFrame, c: str, s: dict) -> DataFrame:
+    """The value of (fold, level); a level that a fold does not know gets the fold's default."""
+    fold = F.when(F.col(FOLD).cast("string").isin(*s["defaults"]), F.col(FOLD)).otherwise(F.lit(-1))
+    default = F.try_element_at(F.create_map(*[F.lit(x) for k, v in s["defaults"].items() for x in (int(k), v)]), fold)
+    if "rows" in s and len(s["rows"]) <= 500:
+        if not s["rows"]:
+            return df.withColumn(s["name"], default)
+        known = F.create_map(*[F.lit(x) for k, v, x_ in s["rows"] for x in (f"{k}:{v}", x_)])
+        return df.withColumn(s["name"], F.coalesce(F.try_element_at(known, F.concat(fold, F.lit(":"), E.level(c))), default))
+    table = df.sparkSession.read.parquet(s["table"]) if "table" in s else F.broadcast(df.sparkSession.createDataFrame(s["rows"], "fold int, level string, value double"))  # at most MOST_FROZEN rows
+    table = table.select(F.col("fold").alias("_f"), F.col("level").alias("_l"), F.col("value").alias("_v"))
+    joined = df.withColumns({"_fk": fold, "_lk": E.level(c)}).join(table, (F.col("_fk") == F.col("_f")) & (F.col("_lk") == F.col("_l")), "left")
+    return joined.withColumn(s["name"], F.coalesce("_v", default)).drop("_fk", "_lk", "_f", "_l", "_v")
+
+
+def _tfidf(df: DataFrame, c: str, s: dict) -> DataFrame:
+    """A column a frozen term: (1 + ln tf) * idf, of length 1 a row."""
+    from sparkprep.functions import text as X
+
+    if not s["terms"]:
+        return df
+    terms, idf = F.array(*[F.lit(t) for t, _ in s["terms"]]), F.array(*[F.lit(float(w)) for _, w in s["terms"]])
+    words = df.withColumn("_w", X.tokens(F.col(c), s["ngram_max"]))
+    counts = F.transform(terms, lambda t: F.size(F.filter("_w", lambda w: w == t)))
+    raw = F.zip_with(counts, idf, lambda n, w: F.when(n > 0, (1 + F.log(n)) * w).otherwise(0.0))
+    words = words.withColumn("_w", raw).withColumn("_n", F.sqrt(F.aggregate(F.transform("_w", lambda x: x * x), F.lit(0.0), lambda a, x: a + x)))
+    return words.withColumns({f"{c}_tfidf_{i}": F.coalesce(F.try_divide(F.col("_w")[i], F.col("_n")), F.lit(0.0)) for i in range(len(s["terms"]))}).drop("_w", "_n")
+
+
+def _group_aggregate(df: DataFrame, c: str, s: dict) -> DataFrame:
+    table = df.sparkSession.read.parquet(s["table"]).withColumnRenamed("level", "_by").withColumnsRenamed({f"{c}_{k}": f"{c}_by_{s['by']}_{k}" for k in s["statistics"]})
+    return df.withColumn("_key", E.level(s["by"])).join(table, F.col("_key") == F.col("_by"), "left").drop("_key", "_by")
+
+
+def _apply_post(df: DataFrame, s: dict, names: list[str]) -> tuple[DataFrame, list[str]]:
+    lost = [n for n in s["of"] if n not in df.columns]
+    if lost:
+        raise ValueError(f"missing features: {', '.join(lost)}")
+    if s["do"] == "keep":
+        gone = set(s["of"]) - set(s["names"])
+        return df.drop(*gone), [n for n in names if n not in gone]
+    made = E.project(df, s["of"], s["centre"], s["scale"], s["components"], s["name"])
+    return made.drop(*s["of"]), [n for n in names if n not in s["of"]] + [f"{s['name']}_{k + 1}" for k in range(len(s["components"]))]
 
 
 class _Plan(Params):
@@ -233,29 +380,40 @@ class _Plan(Params):
 
 
 class Preparation(Estimator, _Plan, DefaultParamsReadable, DefaultParamsWritable):
-    """Cleaning and features fitted on a fold's own rows. Steps that drop rows, and features of a row's past, are no part of it."""
+    """Cleaning and features fitted on a fold's own rows.
+
+    Steps that drop rows, and features of a row's past, are no part of it. Fills along an
+    order are replaced by the median or mode, since a new row has no neighbours. Target encoding is coded
+    out of fold on rows that hold the target, training rows among them, and by all training rows on
+    rows that do not; where rows are split by time or group it is left out.
+    """
 
-    def __init__(self, cleaning: Iterable[dict] = (), features: Iterable[dict] = (), target: str = "") -> None:
+    def __init__(self, cleaning: Iterable[dict] = (), features: Iterable[dict] = (), target: str = "", strategy: str = "random") -> None:
         super().__init__()
         rows = {"drop_duplicate_rows", "drop_rows_missing_target", "remove_outlier_rows"}
-        self._set(cleaning=json.dumps([d for d in cleaning if d["action"] not in rows]), features=json.dumps(list(features)), target=target)
+        history = {"lag", "rolling", "diff", "expanding"} | ({"target_encode"} if strategy in ("temporal", "grouped") else set())
+        kept = [d | ({"strategy": "auto"} if d.get("strategy") in ("forward_fill", "backward_fill", "interpolate") else {}) for d in cleaning if d["action"] not in rows and d.get("strategy") != "drop_rows"]
+        self._set(cleaning=json.dumps(kept), features=json.dumps([d for d in features if d["op"] not in history]), target=target)
 
     def _fit(self, dataset: DataFrame) -> PreparationModel:
         target = self.getOrDefault("target") or None
-        cleaned, frozen, _ = clean(dataset, json.loads(self.getOrDefault("cleaning")), target)
-        made, _ = fit_features(cleaned, json.loads(self.getOrDefault("features")), target)
-        return PreparationModel(frozen, made)
+        cleaned, frozen, lost = clean(with_fold(dataset, target), json.loads(self.getOrDefault("cleaning")), target)
+        made, more = fit_features(cleaned, json.loads(self.getOrDefault("features")), target)
+        return PreparationModel(frozen, made, target or "", [*lost, *more])
 
 
 class PreparationModel(Model, _Plan, DefaultParamsReadable, DefaultParamsWritable):
-    """Replays what was frozen."""
+    """Replays what was frozen. ``notes`` says what of the plan could not be fitted."""
 
-    def __init__(self, frozen: Iterable[dict] = (), features: Iterable[dict] = ()) -> None:
+    notes = Param(Params._dummy(), "notes", "what was skipped", TypeConverters.toListString)
+
+    def __init__(self, frozen: Iterable[dict] = (), features: Iterable[dict] = (), target: str = "", notes: Iterable[str] = ()) -> None:
         super().__init__()
-        self._set(cleaning=json.dumps(list(frozen), default=str), features=json.dumps(list(features), default=str))
+        self._set(cleaning=json.dumps(list(frozen), default=str), features=json.dumps(list(features), default=str), target=target, notes=list(notes))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return apply_features(replay(dataset, json.loads(self.getOrDefault("cleaning"))), json.loads(self.getOrDefault("features")))[0]
+        dealt = with_fold(dataset, self.getOrDefault("target") or None)
+        return apply_features(replay(dealt, json.loads(self.getOrDefault("cleaning"))), json.loads(self.getOrDefault("features")))[0].drop(FOLD)
 
 
 def initial_features(df: DataFrame, target: str | None, identifiers: Iterable[str] = (), constants: Iterable[str] = (), leaks: Iterable[str] = (), group: str | None = None) -> list[tuple[str, str]]:
@@ -271,10 +429,12 @@ def initial_features(df: DataFrame, target: str | None, identifiers: Iterable[st
 def default_treatment(df: DataFrame, columns: Iterable[str], max_levels: int = 50) -> dict[str, str]:
     """What becomes of columns no decision names: numbers pass, texts of one level are dropped, of few levels one-hot, others excluded."""
     names = list(columns)
-    counts = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(names)]).first() if names else {}
     numbers = numeric_columns(df)
     out = {}
-    for i, c in enumerate(names):
-        passes = c in numbers or dict(df.dtypes)[c] == "boolean"
-        out[c] = "pass" if passes else "drop" if counts[f"d{i}"] <= 1 else "one_hot" if counts[f"d{i}"] <= max_levels else "exclude"
+    for c in names:
+        if c in numbers or dict(df.dtypes)[c] == "boolean":
+            out[c] = "pass"
+            continue
+        levels = df.where(F.col(c).isNotNull()).select(c).distinct().limit(max_levels + 1).count()  # exact up to the limit
+        out[c] = "drop" if levels <= 1 else "one_hot" if levels <= max_levels else "exclude"
     return out

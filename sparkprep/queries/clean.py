@@ -166,3 +166,63 @@ book.add(
     lambda s, d: W.top_per_group(read(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 2).drop("o_totalprice"),
     "SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INT AS place FROM orders QUALIFY place <= 2",
 )
+
+# the same without a group: one order over the whole table, in ranges
+EW = "ORDER BY ts, event_id"
+book.add(
+    "w1_lags_ungrouped",
+    lambda s, d: W.lag_features(gappy(s, d), "value", [1, -2, 7], ORDER).drop("ts", "user_id", "value"),
+    f"SELECT event_id, lag(value, 1) OVER w AS value_lag_1, lag(value, 2) OVER w AS value_lag_2, lag(value, 7) OVER w AS value_lag_7 FROM {EVENTS} WINDOW w AS ({EW})",
+    "value_lag_1 value_lag_2 value_lag_7",
+)
+MOST = {k: v for k, v in STATS.items() if k != "median"}
+
+
+def _whole(prefix: str, frame: str, stats: dict[str, str]) -> str:
+    cols = ", ".join(f"{'nullif(count(value) OVER w, 0)' if k == 'count' else f'{v}(value) OVER w'} AS {prefix}_{k}" for k, v in stats.items())
+    return f"SELECT event_id, {cols} FROM {EVENTS} WINDOW w AS ({EW} ROWS BETWEEN {frame})"
+
+
+for shift in (0, 1):
+    book.add(
+        f"w2_rolling_ungrouped_shift{shift}",
+        lambda s, d, shift=shift: W.rolling_features(gappy(s, d), "value", [3], STATS, ORDER, (), shift).drop("ts", "user_id", "value"),
+        _whole("value_roll_3", f"{2 + shift} PRECEDING AND {f'{shift} PRECEDING' if shift else 'CURRENT ROW'}", STATS),
+        " ".join(f"value_roll_3_{k}" for k in STATS),
+    )
+    book.add(
+        f"w3_diff_ungrouped_shift{shift}",
+        lambda s, d, shift=shift: W.diff_features(gappy(s, d), "value", [1, 2], ORDER, (), shift).drop("ts", "user_id", "value"),
+        f"SELECT event_id, lag(value, {shift}) OVER w - lag(value, {shift + 1}) OVER w AS value_diff_1, lag(value, {shift}) OVER w - lag(value, {shift + 2}) OVER w AS value_diff_2 FROM {EVENTS} WINDOW w AS ({EW})",
+        "value_diff_1 value_diff_2",
+    )
+    book.add(
+        f"w4_expanding_ungrouped_shift{shift}",
+        lambda s, d, shift=shift: W.expanding_features(gappy(s, d), "value", MOST, ORDER, (), shift).drop("ts", "user_id", "value"),
+        _whole("value_expanding", f"UNBOUNDED PRECEDING AND {f'{shift} PRECEDING' if shift else 'CURRENT ROW'}", MOST),
+        " ".join(f"value_expanding_{k}" for k in MOST),
+    )
+for back, name in ((False, "forward"), (True, "backward")):
+    w = f"ORDER BY ts {'DESC' if back else 'ASC'}, event_id {'DESC' if back else 'ASC'} ROWS UNBOUNDED PRECEDING"
+    book.add(
+        f"c10_{name}_fill_ungrouped",
+        lambda s, d, back=back: C.directional_fill(gappy(s, d), ["value"], ORDER, backward=back, limit=1, leftovers=False).select("event_id", "value"),
+        f"""WITH n AS (SELECT *, row_number() OVER ({w.replace(' ROWS UNBOUNDED PRECEDING', '')}) AS k FROM {EVENTS})
+  SELECT event_id, coalesce(value, CASE WHEN k - last_value(CASE WHEN value IS NOT NULL THEN k END IGNORE NULLS) OVER ({w}) <= 1 THEN last_value(value IGNORE NULLS) OVER ({w}) END) AS value FROM n""",
+        "value",
+    )
+book.add(
+    "c11_w5_interpolate_ungrouped",
+    lambda s, d: C.interpolate(gappy(s, d), ["value"], ORDER).select("event_id", "value"),
+    f"""WITH n AS (SELECT *, row_number() OVER ({EW}) AS k FROM {EVENTS}),
+  m AS (SELECT *, last_value(value IGNORE NULLS) OVER b AS pv, last_value(CASE WHEN value IS NOT NULL THEN k END IGNORE NULLS) OVER b AS p,
+    first_value(value IGNORE NULLS) OVER a AS nv, first_value(CASE WHEN value IS NOT NULL THEN k END IGNORE NULLS) OVER a AS q FROM n
+    WINDOW b AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+  SELECT event_id, coalesce(value, pv + (nv - pv) * (k - p) / (q - p)::DOUBLE, pv, nv) AS value FROM m""",
+    "value",
+)
+book.add(
+    "s14_coerce_dates",
+    lambda s, d: C.coerce_dates(read(s, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderpriority")).select("o_orderkey", F.col("day").cast("date").alias("day"), "o_orderpriority"),
+    "SELECT o_orderkey, o_orderdate::DATE AS day, o_orderpriority FROM orders",
+)

@@ -8,6 +8,7 @@ from sparkprep.functions import scalar as S
 from sparkprep.functions import text as X
 from sparkprep.functions.tables import read
 from sparkprep.operators import encode as E
+from sparkprep.plans.prepare import Preparation, apply_features, fit_features
 from sparkprep.queries.base import Book
 
 book = Book()
@@ -79,8 +80,11 @@ book.add(
 )
 book.add(
     "x4_semantic_type",
-    lambda s, d: X.semantic_types(read(s, d, "pages").select("url", F.concat(F.col("page_id").cast("string"), F.lit("@x.org")).alias("mail"), F.concat(F.col("page_id") % 99, F.lit("%")).alias("rate"), F.substring("html", 1, 9).alias("head"))),
-    """SELECT * FROM (VALUES ('url', 'url', 1.0), ('mail', 'email', 1.0), ('rate', 'percentage', 1.0), ('head', NULL, NULL)) t("column", semantic_type, match_fraction)""",
+    lambda s, d: X.semantic_types(read(s, d, "pages").select("url", F.concat(F.col("page_id").cast("string"), F.lit("@x.org")).alias("mail"), F.concat(F.col("page_id") % 99, F.lit("%")).alias("rate"), F.col("html").alias("head"))),
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS \"column\", CASE WHEN m >= {least} THEN '{kind}' END AS semantic_type, CASE WHEN m >= {least} THEN m END AS match_fraction FROM (SELECT avg(regexp_matches({value}, '{X.PATTERNS[kind]}')::INT) AS m FROM pages)"
+        for name, value, kind, least in (("url", "url", "url", 0.85), ("mail", "page_id || '@x.org'", "email", 0.85), ("rate", "page_id % 99 || '%'", "percentage", 0.85), ("head", "html", "url", 0.85))
+    ),
     "match_fraction",
 )
 book.add(
@@ -162,3 +166,105 @@ book.add(
     f"""SELECT o_orderkey, m AS price_by_o_custkey_mean, n AS price_by_o_custkey_count FROM {DUCK} LEFT JOIN (SELECT o_custkey, avg(price) AS m, count(price) AS n FROM {DUCK} WHERE fold <> 0 GROUP BY 1) USING (o_custkey)""",
     "price_by_o_custkey_mean",
 )
+
+
+# transforms fitted on all rows
+GRID = ", ".join(f"quantile_cont(price, {k / 4}) AS g{k}" for k in range(5))
+book.add(
+    "e8_quantile_transform",
+    lambda s, d: E.quantile_transform(o := orders(s, d), "price", E.fit_quantile_grid(o, "price", 4), normal=False).select("o_orderkey", "price_quantile"),
+    f"""SELECT o_orderkey, CASE WHEN price IS NULL THEN NULL WHEN price < g1 THEN (price - g0) / (g1 - g0) / 4 WHEN price < g2 THEN 0.25 + (price - g1) / (g2 - g1) / 4 WHEN price < g3 THEN 0.5 + (price - g2) / (g3 - g2) / 4 ELSE 0.75 + (price - g3) / (g4 - g3) / 4 END AS price_quantile
+  FROM {DUCK}, (SELECT {GRID} FROM {DUCK})""",
+    "price_quantile",
+)
+book.add(
+    "e8_quantile_normal_scores",
+    lambda s, d: E.quantile_transform(o := orders(s, d), "price", E.fit_quantile_grid(o, "price")).select("o_orderkey", "price_quantile"),
+)
+book.add("m6_power_transform", lambda s, d: E.power_transform(o := orders(s, d), "o_totalprice", E.fit_power(o, "o_totalprice")).select("o_orderkey", "o_totalprice_power"))
+book.add(
+    "e9_pca",
+    lambda s, d: E.pca(read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_quantity") * F.col("l_quantity")).alias("square")), ["l_quantity", "square"], 1)[0].select("l_orderkey", "l_linenumber", "pca_1"),
+    "SELECT l_orderkey, l_linenumber, ((l_quantity - a) / s + (l_quantity * l_quantity - b) / t) / sqrt(2) AS pca_1 FROM lineitem, (SELECT avg(l_quantity) AS a, stddev_samp(l_quantity) AS s, avg(l_quantity * l_quantity) AS b, stddev_samp(l_quantity * l_quantity) AS t FROM lineitem)",
+    "pca_1",
+)
+TURN = "(SELECT 0.5 * atan2(2 * sum(l_quantity * l_tax), sum(l_quantity * l_quantity) - sum(l_tax * l_tax)) AS w FROM lineitem)"
+book.add(
+    "e9_truncated_svd",
+    lambda s, d: E.truncated_svd(read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax"), ["l_quantity", "l_tax"], 1)[0].select("l_orderkey", "l_linenumber", "svd_1"),
+    f"SELECT l_orderkey, l_linenumber, cos(w) * l_quantity + sin(w) * l_tax AS svd_1 FROM lineitem, {TURN}",
+    "svd_1",
+)
+book.add(
+    "x2_tfidf_weights",
+    lambda s, d: X.tfidf(t := read(s, d, "documents"), "text", "doc_id", X.tfidf_terms(t, "text", max_features=20, stop_words=())[0], stop_words=()),
+    r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents),
+  f AS (SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY term HAVING count(DISTINCT doc_id) >= 2 ORDER BY count(*) DESC, term LIMIT 20),
+  r AS (SELECT doc_id, term, (1 + ln(count(*))) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + any_value(df))::DOUBLE) + 1) AS raw FROM t JOIN f USING (term) GROUP BY ALL)
+  SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM r""",
+    "weight",
+)
+book.add(
+    "x5_datetime_likeness",
+    lambda s, d: X.datetime_likeness(read(s, d, "orders").select(F.when(F.col("o_orderkey") % 9 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("soon").alias("day"), F.col("o_orderpriority").alias("order_date"))),
+    """SELECT 'day' AS "column", avg((o_orderkey % 9 <> 0)::INT) AS shape_fraction, avg((o_orderkey % 9 <> 0)::INT) AS parse_fraction, avg((o_orderkey % 9 <> 0)::INT) >= 0.85 AS is_datetime FROM orders
+  UNION ALL SELECT 'order_date', avg(regexp_matches(o_orderpriority, '^\\s*([0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4})')::INT), 0.0, false FROM orders""",
+    "shape_fraction parse_fraction",
+)
+SIZED = "CASE WHEN p_size < 17 THEN ' Small' WHEN p_size < 34 THEN 'MEDIUM' ELSE 'large' END"
+
+
+def vocabularies(spark, sf_dir):  # noqa: ANN001, ANN201
+    p = read(spark, sf_dir, "part").selectExpr(f"{SIZED} AS sized", "p_brand AS brand", "CASE WHEN p_size > 25 THEN 'yes' ELSE 'no' END AS big")
+    return spark.createDataFrame([(c, *X.vocabulary_of(p, c)) for c in p.columns], "column string, vocabulary string, levels array<string>").select("column", "vocabulary", F.concat_ws(",", "levels").alias("levels"))
+
+
+book.add(
+    "x6_vocabulary",
+    vocabularies,
+    f"""SELECT 'sized' AS "column", CASE WHEN bool_and(v IN ('small', 'medium', 'large')) AND count(DISTINCT v) >= 2 THEN 'ordinal' END AS vocabulary, string_agg(DISTINCT v, ',' ORDER BY list_position(['small', 'medium', 'large'], v)) AS levels FROM (SELECT lower(trim({SIZED})) AS v FROM part)
+  UNION ALL SELECT 'brand', CASE WHEN bool_and(lower(p_brand) IN ('yes', 'no', 'true', 'false')) THEN 'boolean' END, '' FROM part
+  UNION ALL SELECT 'big', CASE WHEN count(DISTINCT v) <= 2 THEN 'boolean' END, string_agg(DISTINCT v, ',' ORDER BY v) FROM (SELECT CASE WHEN p_size > 25 THEN 'yes' ELSE 'no' END AS v FROM part)""",
+)
+
+
+def planned(spark, sf_dir):  # noqa: ANN001, ANN201
+    """A feature plan with features of several columns, a group's mean, words' weights and a selection, fitted on four folds and applied to the fifth."""
+    o = orders(spark, sf_dir)
+    decisions = [
+        {"op": "ratio", "columns": ["o_totalprice", "o_custkey"]}, {"op": "interaction", "columns": ["o_custkey", "fold"]}, {"op": "polynomial", "columns": ["fold"], "degree": 2}, {"op": "interaction", "columns": ["o_orderstatus", "one"]},
+        {"op": "group_aggregate", "columns": ["o_totalprice"], "by": "o_orderstatus", "statistics": ["mean"]}, {"op": "log_transform", "columns": ["one"]}, {"op": "variance_threshold", "threshold": 0.0},
+    ]
+    o = o.withColumn("one", F.lit(1))
+    frozen, notes = fit_features(o.where("fold != 0"), decisions)
+    made, names = apply_features(o.where("fold = 0"), frozen)
+    assert not notes and "one_log" not in names, notes
+    return made.select("o_orderkey", F.col("o_totalprice_over_o_custkey").alias("ratio"), F.col("o_custkey_x_fold").alias("product"), F.col("`o_orderstatus_x_one=F|1`").cast("int").alias("crossed"), F.col("o_totalprice_by_o_orderstatus_mean").alias("group_mean"))
+
+
+book.add(
+    "e12_feature_plan",
+    planned,
+    f"""WITH o AS (SELECT * FROM {DUCK}), g AS (SELECT o_orderstatus, avg(o_totalprice) AS m FROM o WHERE fold <> 0 GROUP BY 1)
+  SELECT o_orderkey, o_totalprice / nullif(o_custkey, 0) AS ratio, (o_custkey * fold)::DOUBLE AS product, (o_orderstatus = 'F')::INT AS crossed, m AS group_mean FROM o JOIN g USING (o_orderstatus) WHERE fold = 0""",
+    "ratio product group_mean",
+)
+
+
+def coded(spark, sf_dir, target: bool):  # noqa: ANN001, ANN201
+    """Target encoding in a preparation of a label by chance: as new rows get it, or how it goes with the label on training rows."""
+    o = orders(spark, sf_dir).select("o_orderkey", "o_custkey", (F.conv(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 4), 16, 10).cast("long") % 2).cast("double").alias("chance"))
+    model = Preparation((), [{"op": "target_encode", "columns": ["o_custkey"]}], "chance").fit(o)
+    if not target:
+        return model.transform(o.drop("chance")).select("o_orderkey", "o_custkey_target")
+    return model.transform(o).agg((F.abs(F.corr("chance", "o_custkey_target")) < 0.1).alias("independent"), F.count("o_custkey_target").alias("n"))
+
+
+CHANCE = "(SELECT o_orderkey, o_custkey, (('0x' || substr(md5(o_orderkey::VARCHAR), 1, 4))::BIGINT % 2)::DOUBLE AS chance FROM orders)"
+book.add(
+    "e13_many_levels",
+    lambda s, d: coded(s, d, False),
+    f"SELECT o_orderkey, (sum(chance) OVER w + 10 * p) / (count(*) OVER w + 10) AS o_custkey_target FROM {CHANCE}, (SELECT avg(chance) AS p FROM {CHANCE}) WINDOW w AS (PARTITION BY o_custkey)",
+    "o_custkey_target",
+)
+book.add("e13_target_fold", lambda s, d: coded(s, d, True), "SELECT true AS independent, count(*) AS n FROM orders")

@@ -129,8 +129,10 @@ book.add(
     "g9_anomaly",
     lambda s, d: G.anomaly_metrics(scored(s, d), "prediction", "score", "label"),
     f"""SELECT avg(prediction) AS outlier_fraction, avg(score) AS mean_score, avg(score) FILTER (prediction = 0) - avg(score) FILTER (prediction = 1) AS score_separation, count(*) FILTER (prediction = 1 AND label = 1) / sum(prediction)::DOUBLE AS precision,
-  count(*) FILTER (prediction = 1 AND label = 1) / sum(label)::DOUBLE AS recall, 2 * count(*) FILTER (prediction = 1 AND label = 1) / (sum(label) + sum(prediction))::DOUBLE AS f1 FROM {DS}""",
-    "outlier_fraction mean_score score_separation precision recall f1",
+  count(*) FILTER (prediction = 1 AND label = 1) / sum(label)::DOUBLE AS recall, 2 * count(*) FILTER (prediction = 1 AND label = 1) / (sum(label) + sum(prediction))::DOUBLE AS f1,
+  (SELECT (sum(r) FILTER (label = 1) - any_value(p) * (any_value(p) + 1) / 2.0) / (any_value(p) * any_value(q)) FROM (SELECT label, rank() OVER (ORDER BY -score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r, sum(label) OVER () AS p, sum(1 - label) OVER () AS q FROM {DS})) AS roc_auc,
+  {AP.replace('ORDER BY score DESC', 'ORDER BY score')} AS average_precision FROM {DS}""",
+    "outlier_fraction mean_score score_separation precision recall f1 roc_auc average_precision",
 )
 BINS = f"(SELECT greatest(1, ceil(score * 10))::INT AS bin, count(*) AS n, avg(score) AS confidence, avg(label) AS accuracy FROM {DS} GROUP BY 1)"
 book.add("q2_k6_calibration", lambda s, d: G.calibration(scored(s, d)), f"SELECT * FROM {BINS}", "confidence accuracy")
@@ -148,3 +150,54 @@ book.add(
     f"SELECT c_nationkey, coalesce(len(list_intersect(coalesce(a, []), coalesce(b, []))) / nullif(len(list_distinct(list_concat(coalesce(a, []), coalesce(b, [])))), 0)::DOUBLE, 0.0) AS jaccard FROM {SEGMENTS}",
     "jaccard",
 )
+
+
+SHARES = {"F": "pf", "O": "po", "P": "pp"}
+SHARED = f"(SELECT *, score / 2 AS pf, (1 - score) / 2 AS po, 0.5 AS pp FROM {DS})"
+
+
+def shared(spark, sf_dir):  # noqa: ANN001, ANN201
+    return scored(spark, sf_dir).withColumns({"pf": F.col("score") / 2, "po": (1 - F.col("score")) / 2, "pp": F.lit(0.5)})
+
+
+OWN = "CASE o_orderstatus WHEN 'F' THEN pf WHEN 'O' THEN po ELSE pp END"
+book.add(
+    "g5_class_probabilities",
+    lambda s, d: G.class_probability_metrics(shared(s, d), "o_orderstatus", SHARES),
+    f"SELECT avg(-ln(greatest(least({OWN}, 1 - 1e-15), 1e-15))) AS log_loss, avg((pf - (o_orderstatus = 'F')::INT) ** 2 + (po - (o_orderstatus = 'O')::INT) ** 2 + (pp - (o_orderstatus = 'P')::INT) ** 2) AS brier_score FROM {SHARED}",
+    "log_loss brier_score",
+)
+book.add(
+    "q2_class_calibration",
+    lambda s, d: G.calibration(G.top_class(scored(s, d).withColumns({"pf": F.col("score"), "po": 1 - F.col("score")}), "o_orderstatus", {"F": "pf", "O": "po"}), "hit", "confidence"),
+    f"""SELECT greatest(1, ceil(c * 10))::INT AS bin, count(*) AS n, avg(c) AS confidence, avg(h) AS accuracy FROM (SELECT greatest(score, 1 - score) AS c, (o_orderstatus = CASE WHEN score >= 1 - score THEN 'F' ELSE 'O' END)::INT AS h FROM {DS}) GROUP BY 1""",
+    "confidence accuracy",
+)
+book.add(
+    "p7_drop_correlated",
+    lambda s, d: s.createDataFrame(
+        [(c,) for t in [line(s, d)] for c in A.drop_correlated([r.asDict() for r in A.pearson_pairs(t, ["l_quantity", "square", "l_tax"]).collect()], {r["a"]: abs(r["r"]) for r in A.pearson_pairs(t, ["l_quantity", "square", "l_tax", "l_extendedprice"]).where("b = 'l_extendedprice'").collect()})],
+        "dropped string",
+    ),
+    f"SELECT CASE WHEN abs(corr(l_quantity, l_extendedprice)) >= abs(corr(square, l_extendedprice)) THEN 'square' ELSE 'l_quantity' END AS dropped FROM {DUCK} HAVING abs(corr(l_quantity, square)) >= 0.95",
+)
+
+
+def judged(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Each priority's accuracy on even and odd orders as if they were trained on and held out, with the grade over the share of the larger class."""
+    from sparkprep.operators.diagnose import fit_verdict
+    from sparkprep.operators.quality import grade
+
+    hit = (F.col("label") == F.col("prediction")).cast("double")
+    even = F.col("o_orderkey") % 2 == 0
+    rows = scored(spark, sf_dir).groupBy("o_orderpriority").agg(F.avg(F.when(even, hit)).alias("train"), F.avg(F.when(~even, hit)).alias("held"), F.avg("label").alias("p")).collect()
+    return spark.createDataFrame([(r["o_orderpriority"], fit_verdict(r["train"], r["held"], "accuracy"), grade(r["held"], max(r["p"], 1 - r["p"]), "accuracy")) for r in rows], "o_orderpriority string, verdict string, grade string")
+
+
+book.add(
+    "q1_l9_verdict_and_grade",
+    judged,
+    f"""WITH t AS (SELECT o_orderpriority, avg((label = prediction)::INT) FILTER (o_orderkey % 2 = 0) AS a, avg((label = prediction)::INT) FILTER (o_orderkey % 2 <> 0) AS b, greatest(avg(label), 1 - avg(label)) AS base FROM {DS} GROUP BY 1)
+  SELECT o_orderpriority, CASE WHEN a - b >= 0.02 AND (a - b) / a >= 0.15 THEN 'overfitting' WHEN a < 0.6 THEN 'underfitting' ELSE 'good' END AS verdict,
+  CASE WHEN b <= base THEN 'F' WHEN b >= 0.9 THEN 'A' WHEN b >= 0.8 THEN 'B' WHEN b >= 0.7 THEN 'C' WHEN b >= 0.6 THEN 'D' ELSE 'F' END AS grade FROM t""",
+)

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import math
 import uuid
 
 from pyspark.sql import functions as F
 
-from sparkprep.functions.tables import capped, read
+from sparkprep.functions.tables import align, capped, read, shared_folder
 from sparkprep.operators import associate as A
 from sparkprep.operators import charts as K
 from sparkprep.operators import clean as C
 from sparkprep.operators import diagnose as Q
 from sparkprep.operators import forecast as N
 from sparkprep.operators import history as R
+from sparkprep.operators import metrics as G
 from sparkprep.operators import models as M
 from sparkprep.operators import neighbours as NB
 from sparkprep.operators import profile as P
@@ -34,8 +35,7 @@ def orders(spark, sf_dir):  # noqa: ANN001, ANN201
 
 def scratch(spark, name: str) -> str:  # noqa: ANN001
     """A new folder where all executors see it."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 book.add(
@@ -56,16 +56,55 @@ book.add(
     """SELECT o_orderkey, CASE WHEN k > n - round(n * 0.2) THEN 'test' WHEN k > n - round(n * 0.2) - round(n * 0.15) THEN 'validation' ELSE 'train' END AS split
   FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(o_orderkey::VARCHAR), o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)""",
 )
-book.add("v5_random_split", lambda s, d: V.partition_sizes(V.random_split(orders(s, d), "o_orderkey")))
-book.add("v6_u2_split", lambda s, d: V.partition_sizes(V.split(orders(s, d), "classification", "o_orderstatus", "o_orderkey")[0], ["o_orderstatus", "split"]))
-book.add("u3_disjoint_groups", lambda s, d: V.shared_groups(V.grouped_split(orders(s, d), "o_custkey"), "o_custkey"), "SELECT o_custkey, count(*) AS parts FROM orders WHERE false GROUP BY 1")
+#: A number between 0 and 1 by digest of an order, and an order's part by it, as the operators draw them.
+UNIT = "(('0x' || substr(md5('0:' || {key}::VARCHAR), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE"
+RANDOM = f"(SELECT *, CASE WHEN u < 0.2 THEN 'test' WHEN u < 0.35 THEN 'validation' ELSE 'train' END AS split FROM (SELECT *, {UNIT.format(key='o_orderkey')} AS u FROM orders))"
+STRATIFIED = """(SELECT *, CASE WHEN k > n - round(n * 0.2) THEN 'test' WHEN k > n - round(n * 0.2) - round(n * 0.15) THEN 'validation' ELSE 'train' END AS split
+  FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('0:' || o_orderkey::VARCHAR), o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders))"""
+book.add("v5_random_split", lambda s, d: V.random_split(orders(s, d), "o_orderkey").select("o_orderkey", "split"), f"SELECT o_orderkey, split FROM {RANDOM}")
+
+
+def driven(spark, sf_dir):  # noqa: ANN001, ANN201
+    made, how = V.split(orders(spark, sf_dir).unionByName(orders(spark, sf_dir).where("o_orderkey % 3 = 0")), "classification", "o_orderstatus", "o_orderkey")
+    return made.select("o_orderkey", "split", F.lit(how["strategy"]).alias("strategy"))
+
+
+book.add("v1_v6_u2_split", driven, f"SELECT o_orderkey, split, 'stratified' AS strategy FROM {STRATIFIED}")
+book.add("u3_disjoint_groups", lambda s, d: V.shared_groups(V.random_split(orders(s, d), "o_orderkey"), "o_custkey"), f"SELECT o_custkey, count(DISTINCT split) AS parts FROM {RANDOM} GROUP BY 1 HAVING count(DISTINCT split) > 1")
+book.add("u3_v3_groups_stay_together", lambda s, d: V.shared_groups(V.grouped_split(orders(s, d), "o_custkey"), "o_custkey"), "SELECT o_custkey, count(DISTINCT o_custkey) AS parts FROM orders GROUP BY 1 HAVING count(DISTINCT o_custkey) > 1")
+
+
+def sealed(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The train rows' mean, from their profile, as the forecast of the test rows."""
+    holdout = V.Holdout(orders(spark, sf_dir), "classification", "o_orderstatus", "o_orderkey")
+    mean = holdout.profile(["o_totalprice"]).first()["mean"]
+    return holdout.finish(lambda test: G.regression_metrics(test.withColumn("guess", F.lit(mean)), "o_totalprice", "guess").select("n", "rmse", "mae", F.lit(mean).alias("train_mean")))
+
+
+book.add(
+    "v7_sealed_holdout",
+    sealed,
+    f"SELECT count(*) AS n, sqrt(avg((o_totalprice - m) ** 2)) AS rmse, avg(abs(o_totalprice - m)) AS mae, max(m) AS train_mean FROM {STRATIFIED}, (SELECT avg(o_totalprice) AS m FROM {STRATIFIED} WHERE split = 'train') WHERE split = 'test'",
+    "rmse mae train_mean",
+)
 book.add("v8_label_encode", lambda s, d: V.label_encode(orders(s, d), "o_orderstatus")[0].select("o_orderkey", "label_index"), "SELECT o_orderkey, (dense_rank() OVER (ORDER BY o_orderstatus) - 1)::INT AS label_index FROM orders")
 book.add(
     "v9_temporal_folds",
     lambda s, d: V.folds(orders(s, d), "temporal", "o_orderkey", time="o_orderdate").select("o_orderkey", "fold"),
     "SELECT o_orderkey, floor((row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) * 5 / (count(*) OVER ())::DOUBLE)::INT AS fold FROM orders",
 )
-book.add("v9_stratified_folds", lambda s, d: V.partition_sizes(V.folds(orders(s, d), "stratified", "o_orderkey", label="o_orderstatus"), ["o_orderstatus", "fold"]))
+book.add(
+    "v9_stratified_folds",
+    lambda s, d: V.folds(orders(s, d), "stratified", "o_orderkey", label="o_orderstatus").select("o_orderkey", "fold"),
+    "SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderstatus NULLS FIRST, md5('0:' || o_orderkey::VARCHAR), o_orderkey) - 1) % 5)::INT AS fold FROM orders",
+)
+for _strategy, _key in (("grouped", "o_custkey"), ("random", "o_orderkey")):
+    book.add(f"v9_{_strategy}_folds", lambda s, d, w=_strategy: V.folds(orders(s, d), w, "o_orderkey", group="o_custkey").select("o_orderkey", "fold"), f"SELECT o_orderkey, floor({UNIT.format(key=_key)} * 5)::INT AS fold FROM orders")
+book.add(
+    "v8_many_classes",
+    lambda s, d: V.label_encode(orders(s, d), "o_orderdate")[0].select("o_orderkey", "label_index"),
+    "SELECT o_orderkey, (dense_rank() OVER (ORDER BY o_orderdate) - 1)::INT AS label_index FROM orders",
+)
 book.add("a20_class_counts", lambda s, d: V.partition_sizes(orders(s, d), ["o_orderstatus"]), "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
 book.add("u1_union_parts", lambda s, d: (t := V.random_split(orders(s, d), "o_orderkey")).where("split = 'train'").unionByName(t.where("split = 'validation'")).unionByName(t.where("split = 'test'")).select("o_orderkey"), "SELECT o_orderkey FROM orders")
 
@@ -79,7 +118,7 @@ def accuracy(df) -> float:  # noqa: ANN001
     return df.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
 
 
-book.add("n1_baseline", lambda s, d: labelled(s, d).groupBy("fold").agg(F.avg("label").alias("base")), "SELECT c_custkey % 5 AS fold, avg((c_acctbal / 1000 + c_custkey % 7 > 6)::INT) AS base FROM customer GROUP BY 1", "base")
+book.add("n1_baseline", lambda s, d: s.createDataFrame([(M.baseline(labelled(s, d), y, t), t) for y, t in (("label", "binary"), ("y", "regression"))], "base double, task string"), "SELECT avg((c_acctbal / 1000 + c_custkey % 7 > 6)::INT) AS base, 'binary' AS task FROM customer UNION ALL SELECT avg(c_acctbal * 2 + c_nationkey), 'regression' FROM customer", "base")
 book.add(
     "n2_linear_regression",
     lambda s, d: M.pipeline("linear", "regression", ["x1"]).fit(t := labelled(s, d).withColumn("label", F.col("y"))).transform(t).select("key", "prediction"),
@@ -88,6 +127,66 @@ book.add(
 )
 
 
+def _regressed(extra: str) -> str:
+    return f"SELECT c_custkey AS key, a + b * c_acctbal / 1000 AS prediction FROM customer, (SELECT regr_slope(c_acctbal * 2 + c_nationkey, c_acctbal / 1000) AS b, regr_intercept(c_acctbal * 2 + c_nationkey, c_acctbal / 1000) AS a FROM customer WHERE {extra})"
+
+
+def refitted(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Fitted on two parts, saved, read again and applied to all rows."""
+    t = labelled(spark, sf_dir).withColumn("label", F.col("y"))
+    path = scratch(spark, "model")
+    M.save_model(M.final_fit(t.where("fold in (1, 2)"), t.where("fold = 3"), "linear", "regression", ["x1"]), path, {"target": "y", "features": ["x1"]})
+    model, about = M.load_model(path)
+    return M.predict(model, t).select("key", "prediction", F.lit(about["target"]).alias("target"))
+
+
+book.add("n20_s17_n23_final_fit_saved", refitted, f"SELECT *, 'y' AS target FROM ({_regressed('c_custkey % 5 IN (1, 2, 3)')})", "prediction")
+
+
+def penalised(spark, sf_dir):  # noqa: ANN001, ANN201
+    t = labelled(spark, sf_dir).withColumn("label", F.col("y"))
+    made = None
+    for family in ("ridge", "lasso", "elastic_net", "random_forest", "gradient_boosting", "decision_tree"):
+        scored = M.predict(M.pipeline(family, "regression", ["x1", "x2"]).fit(t.where("fold != 0")), t.where("fold = 0"))
+        one = G.regression_metrics(scored, "y", "prediction").select(F.lit(family).alias("family"), "n", "r2")
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
+book.add("n3_regressors", penalised)
+book.add("n11_neural_network", lambda s, d: M.predict(M.pipeline("neural_network", "binary", ["x1", "x2"], hidden_layer_sizes=(8,), max_iter=50).fit((t := labelled(s, d)).where("fold != 0")), t.where("fold = 0")).select("key", "label", "prediction"))
+
+
+def native(spark, sf_dir):  # noqa: ANN001, ANN201
+    t = labelled(spark, sf_dir).withColumn("label", F.col("y"))
+    return spark.createDataFrame(Q.native_importances(M.pipeline("linear", "regression", ["x1", "x2"]).fit(t), ["x1", "x2"]), "feature string, share double")
+
+
+book.add(
+    "q9_native_importances",
+    native,
+    "SELECT f AS feature, w / sum(w) OVER () AS share FROM (SELECT 'x1' AS f, 2000 * stddev_samp(c_acctbal / 1000) AS w FROM customer UNION ALL SELECT 'x2', stddev_samp(c_nationkey::DOUBLE) FROM customer)",
+    "share",
+)
+
+
+def shortlisted(spark, sf_dir):  # noqa: ANN001, ANN201
+    rows = []
+    for table, task in (("customer", "binary"), ("orders", "multiclass"), ("part", "regression"), ("events", "anomaly")):
+        t = read(spark, sf_dir, table)
+        rows += [(table, i, x["family"]) for i, x in enumerate(L.shortlist_models(task, t.count(), len(t.columns)))]
+    return spark.createDataFrame(rows, "source string, place int, family string")
+
+
+_CLASSIFY = "(0, 'baseline'), (1, 'logistic'), (2, 'random_forest'), (3, 'gradient_boosting')"
+book.add(
+    "l8_shortlist_models",
+    shortlisted,
+    f"""SELECT source, place, family FROM (VALUES ('customer'), ('orders')) x(source), (VALUES {_CLASSIFY}) t(place, family) UNION ALL SELECT 'customer', 4, 'naive_bayes' FROM customer HAVING count(*) < 2000 UNION ALL SELECT 'orders', 4, 'naive_bayes' FROM orders HAVING count(*) < 2000
+  UNION ALL SELECT 'part', place, family FROM (VALUES (0, 'baseline'), (1, 'ridge'), (2, 'random_forest'), (3, 'gradient_boosting')) t(place, family) UNION ALL SELECT 'events', place, family FROM (VALUES (0, 'isolation_forest'), (1, 'local_outlier_factor')) t(place, family)""",
+)
+
+
 def candidates(spark, sf_dir):  # noqa: ANN001, ANN201
     df = labelled(spark, sf_dir)
     names = [{"family": f} for f in ("baseline", "logistic", "ridge", "decision_tree", "random_forest", "gradient_boosting", "svm", "naive_bayes", "no_such")]
@@ -98,10 +197,18 @@ def candidates(spark, sf_dir):  # noqa: ANN001, ANN201
 book.add("n3_n18_t3_candidates", candidates)
 book.add("n9_j5_nearest_neighbours", lambda s, d: NB.nearest(t := labelled(s, d), t.where("key % 50 = 0"), "key", ["x1", "x2"], 3), """WITH t AS (SELECT c_custkey AS key, c_acctbal / 1000 AS a, c_nationkey * 1.0::DOUBLE AS b FROM customer)
   SELECT q.key AS query, row_number() OVER (PARTITION BY q.key ORDER BY sqrt((q.a - t.a) ** 2 + (q.b - t.b) ** 2), t.key)::INT AS place, t.key AS id, sqrt((q.a - t.a) ** 2 + (q.b - t.b) ** 2) AS distance FROM t, t q WHERE q.key % 50 = 0 QUALIFY place <= 3""", "distance")
-book.add("n9_knn", lambda s, d: NB.knn_predict((t := labelled(s, d)).where("fold != 0"), t.where("fold = 0"), "key", ["x1", "x2"], "label", 5).groupBy("prediction").count())
-book.add("n12_kmeans", lambda s, d: M.predict(M.pipeline("kmeans", "clustering", ["x1", "x2"]).fit(t := labelled(s, d)), t).groupBy("prediction").count())
-book.add("n13_dbscan", lambda s, d: NB.dbscan(labelled(s, d), "key", ["x1", "x2"], 0.05, 3).groupBy("cluster").count())
-book.add("n14_isolation_forest", lambda s, d: NB.isolation_forest(t := labelled(s, d), t, "key", ["x1", "x2"], trees=20))
+book.add("n9_knn", lambda s, d: NB.knn_predict((t := labelled(s, d)).where("fold != 0"), t.where("fold = 0"), "key", ["x1", "x2"], "label", 5), """WITH t AS (SELECT c_custkey AS key, c_acctbal / 1000 AS a, c_nationkey * 1.0::DOUBLE AS b, (c_acctbal / 1000 + c_custkey % 7 > 6)::INT::DOUBLE AS y FROM customer),
+  n AS (SELECT q.key, t.y FROM t, t q WHERE q.key % 5 = 0 AND t.key % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY q.key ORDER BY sqrt((q.a - t.a) ** 2 + (q.b - t.b) ** 2), t.key) <= 5)
+  SELECT key, y AS prediction FROM n GROUP BY key, y QUALIFY row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, y) = 1""", "prediction")
+for _family in ("kmeans", "gaussian_mixture"):
+    book.add(f"n12_{_family}", lambda s, d, f=_family: M.predict(M.pipeline(f, "clustering", ["x1", "x2"]).fit(t := labelled(s, d)), t).select("key", F.col("prediction").alias("cluster")))
+book.add("n13_dbscan", lambda s, d: NB.dbscan(labelled(s, d), "key", ["x1", "x2"], 0.05, 3), """WITH RECURSIVE t AS (SELECT c_custkey AS key, c_acctbal / 1000 AS a, c_nationkey * 1.0::DOUBLE AS b FROM customer),
+  l AS (SELECT x.key AS x, y.key AS y FROM t x JOIN t y ON x.b = y.b AND abs(x.a - y.a) <= 0.0501 AND (x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b) <= 0.05 * 0.05::DOUBLE),
+  core AS (SELECT x AS key FROM l GROUP BY x HAVING count(*) >= 3), e AS (SELECT x, y FROM l WHERE x IN (FROM core) AND y IN (FROM core)),
+  reach AS (SELECT key, key AS low FROM core UNION SELECT e.x, r.low FROM reach r JOIN e ON e.y = r.key WHERE r.low < e.x),
+  c AS (SELECT key, min(low) AS cluster FROM reach GROUP BY key), b AS (SELECT l.x AS key, arg_min(c.cluster, c.key) AS near FROM l JOIN c ON c.key = l.y GROUP BY l.x)
+  SELECT t.key, coalesce(c.cluster, b.near, -1) AS cluster FROM t LEFT JOIN c USING (key) LEFT JOIN b USING (key)""")
+book.add("n14_isolation_forest", lambda s, d: NB.isolation_forest(t := labelled(s, d), t, "key", ["x1", "x2"]))
 book.add("n15_local_outlier_factor", lambda s, d: NB.local_outlier_factor((t := labelled(s, d)).where("fold != 0"), t.where("fold = 0"), "key", ["x1", "x2"], 10))
 
 
@@ -109,22 +216,16 @@ def daily(spark, sf_dir):  # noqa: ANN001, ANN201
     return read(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.sum("value").alias("value"))
 
 
-book.add(
-    "n16_seasonal_naive",
-    lambda s, d: N.seasonal_naive(daily(s, d), "event_type", "day", "value", 7, 10),
-    """WITH t AS (SELECT event_type, date_trunc('day', ts) AS day, sum(value) AS value FROM events GROUP BY ALL), l AS (SELECT event_type, 7 - row_number() OVER (PARTITION BY event_type ORDER BY day DESC) AS slot, value FROM t QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY day DESC) <= 7)
-  SELECT m.event_type, step::INT AS step, coalesce(l.value, m.v) AS forecast FROM (SELECT event_type, avg(value) AS v FROM t GROUP BY 1) m, range(1, 11) r(step) LEFT JOIN l ON l.event_type = m.event_type AND l.slot = (step - 1) % 7""",
-    "forecast",
-)
+SEASONAL = """WITH t AS (SELECT event_type, date_trunc('day', ts) AS day, sum(value) AS value FROM events GROUP BY ALL), l AS (SELECT event_type, 7 - row_number() OVER (PARTITION BY event_type ORDER BY day DESC) AS slot, value FROM t QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY day DESC) <= 7)
+  SELECT m.event_type, step::INT AS step, coalesce(l.value, m.v) AS forecast FROM (SELECT event_type, avg(value) AS v FROM t GROUP BY 1) m, range(1, 11) r(step) LEFT JOIN l ON l.event_type = m.event_type AND l.slot = (step - 1) % 7"""
+book.add("n16_seasonal_naive", lambda s, d: N.seasonal_naive(daily(s, d), "event_type", "day", "value", 7, 10), SEASONAL, "forecast")
+book.add("n16_season_from_step", lambda s, d: N.seasonal_naive(daily(s, d), "event_type", "day", "value", None, 10), SEASONAL, "forecast")
 book.add("n17_exponential_smoothing", lambda s, d: N.exponential_smoothing(daily(s, d), "event_type", "day", "value", 7, 5))
 book.add("n17_theta", lambda s, d: N.theta(daily(s, d), "event_type", "day", "value", 5))
 
 
-def halving(spark, sf_dir):  # noqa: ANN001, ANN201
-    return M.search(labelled(spark, sf_dir), "logistic", "binary", ["x1", "x2"], "accuracy", accuracy, "random", n_trials=2, n_folds=3)[1]
-
-
-book.add("n21_v10_search", halving)
+for _name, _method in (("n21_v10_search", "grid"), ("n22_halving", "halving")):
+    book.add(_name, lambda s, d, m=_method: M.search(labelled(s, d), "logistic", "binary", ["x1", "x2"], "accuracy", accuracy, m)[1])
 book.add(
     "q5_residuals",
     lambda s, d: Q.residual_statistics(scored(s, d), "y", "yhat").drop("normality_k2", "normality_p"),
@@ -144,16 +245,31 @@ book.add(
     f"SELECT o_orderkey, y, round(yhat, 2) AS yhat, abs(y - round(yhat, 2)) AS badness, o_orderpriority FROM {DS} ORDER BY badness DESC, o_orderkey LIMIT 5",
     "y yhat badness",
 )
-book.add("q3_bootstrap", lambda s, d: Q.bootstrap_intervals(scored(s, d), "label", "prediction", "o_orderkey", 50))
-book.add("q8_permutation_importance", lambda s, d: Q.permutation_importance(scored(s, d).select("o_orderkey", "score", "label", "yhat"), ["score", "yhat"], "o_orderkey", lambda t: accuracy(t.withColumn("prediction", (F.col("score") > 0.5).cast("int"))), 1))
+_DRAW = "(('0x' || substr(md5('0:' || rep::VARCHAR || ':' || o_orderkey::VARCHAR), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE"
+_POISSON = [sum(0.36787944117144233 / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+book.add(
+    "q3_bootstrap",
+    lambda s, d: Q.bootstrap_intervals(scored(s, d), "label", "prediction", "o_orderkey"),
+    f"""WITH w AS (SELECT rep, label, prediction, {' + '.join(f'(u >= {t!r}::DOUBLE)::INT' for t in _POISSON)} AS w FROM (SELECT rep, label, prediction, {_DRAW} AS u FROM {DS}, range(1, 301) r(rep))),
+  c AS (SELECT rep, sum(w) AS n, sum(w) FILTER (label = prediction) AS h, coalesce(sum(w) FILTER (label = 1 AND prediction = 1), 0) AS tp, coalesce(sum(w) FILTER (prediction = 1), 0) AS pp, coalesce(sum(w) FILTER (label = 1), 0) AS p FROM w GROUP BY rep),
+  m AS (SELECT 'accuracy' AS metric, h / n::DOUBLE AS v FROM c UNION ALL SELECT 'precision', tp / pp::DOUBLE FROM c UNION ALL SELECT 'recall', tp / p::DOUBLE FROM c UNION ALL SELECT 'f1', 2 * tp / (pp + p)::DOUBLE FROM c)
+  SELECT metric, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM m GROUP BY metric""",
+    "low high",
+)
+book.add("q8_permutation_importance", lambda s, d: Q.permutation_importance(scored(s, d).select("o_orderkey", "score", "label", "yhat"), ["score", "yhat"], "o_orderkey", lambda t: accuracy(t.withColumn("prediction", (F.col("score") > 0.5).cast("int")))))
 
 
 def dependence(spark, sf_dir):  # noqa: ANN001, ANN201
     df = labelled(spark, sf_dir).withColumn("label", F.col("y"))
-    return Q.partial_dependence(df, M.pipeline("linear", "regression", ["x1", "x2"]).fit(df), "x1", points=10)
+    return Q.partial_dependence(df, M.pipeline("linear", "regression", ["x1", "x2"]).fit(df), "x1")
 
 
-book.add("q10_partial_dependence", dependence)
+book.add(
+    "q10_partial_dependence",
+    dependence,
+    """SELECT a + (b - a) * k / 29 AS value, 2000 * (a + (b - a) * k / 29) + m AS mean_prediction FROM range(30) r(k), (SELECT quantile_cont(c_acctbal / 1000, 0.01) AS a, quantile_cont(c_acctbal / 1000, 0.99) AS b, avg(c_nationkey) AS m FROM customer)""",
+    "value mean_prediction",
+)
 
 
 def probes(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -161,15 +277,74 @@ def probes(spark, sf_dir):  # noqa: ANN001, ANN201
     return Q.what_if(df, M.pipeline("linear", "regression", ["x1", "x2"]).fit(df), ["x1", "x2"], "key")
 
 
-book.add("q11_what_if", probes)
 book.add(
-    "l4_quality_findings",
-    lambda s, d: L.quality_findings(read(s, d, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS price", "1 AS one", "CAST(o_custkey AS STRING) AS code", "o_totalprice * 2 AS twice", "o_totalprice", "o_orderstatus"), "o_orderstatus").where("code not in ('target_imbalanced')").select("code", "column", "severity"),
-    """SELECT * FROM (VALUES ('high_missingness', 'price', 'medium'), ('constant_column', 'one', 'medium'), ('high_cardinality_categorical', 'code', 'medium'), ('numeric_stored_as_text', 'code', 'medium'),
-  ('collinear_features', 'price,twice', 'low'), ('collinear_features', 'price,o_totalprice', 'low'), ('collinear_features', 'twice,o_totalprice', 'low')) t(code, "column", severity)""",
+    "q11_what_if",
+    probes,
+    """WITH t AS (SELECT c_custkey AS key, c_acctbal / 1000 AS a, c_nationkey * 1.0::DOUBLE AS b FROM customer), q AS (SELECT quantile_cont(a, 0.1) AS a1, quantile_cont(a, 0.5) AS a5, quantile_cont(a, 0.9) AS a9, quantile_cont(b, 0.1) AS b1, quantile_cont(b, 0.5) AS b5, quantile_cont(b, 0.9) AS b9 FROM t),
+  y AS (SELECT a, b FROM t, q ORDER BY abs(a - a5) / (a9 - a1) + abs(b - b5) / (b9 - b1), key LIMIT 1)
+  SELECT feature, moved_to, 2000 * a + b AS before, CASE feature WHEN 'x1' THEN 2000 * CASE moved_to WHEN 'p10' THEN a1 ELSE a9 END + b ELSE 2000 * a + CASE moved_to WHEN 'p10' THEN b1 ELSE b9 END END AS after
+  FROM y, q, (VALUES ('x1'), ('x2')) f(feature), (VALUES ('p10'), ('p90')) m(moved_to)""",
+    "before after",
 )
+FLAWED = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS price, 1 AS one, CAST(o_custkey AS {text}) AS code, o_totalprice * 2 AS twice, o_totalprice, o_orderstatus FROM {orders}"
+FD = f"({FLAWED.format(text='VARCHAR', orders='orders')})"
+
+
+def _findings_sql() -> str:
+    """Each rule on each column that it can be about."""
+    numbers, texts = ["o_orderkey", "price", "one", "twice", "o_totalprice"], ["code", "o_orderstatus"]
+    out = []
+
+    def rule(code: str, column: str, severity: str, source: str, when: str) -> None:
+        named = f"'{column}'" if column else "NULL::VARCHAR"
+        out.append(f"SELECT '{code}' AS code, {named} AS \"column\", {severity} AS severity FROM ({source}) WHERE {when}")
+
+    for c in numbers + texts:
+        n = f"SELECT count(*) AS n, count({c}) AS v, count(DISTINCT {c}) AS d, (count(*) - count({c})) / count(*)::DOUBLE AS m FROM {FD}"
+        rule("all_missing_column", c, "'high'", n, "m >= 1 AND n > 0")
+        rule("high_missingness", c, "CASE WHEN m >= 0.9 THEN 'critical' WHEN m >= 0.5 THEN 'high' WHEN m >= 0.2 THEN 'medium' ELSE 'low' END", n, "m >= 0.05 AND m < 1")
+        rule("constant_column", c, "'medium'", n, "d <= 1 AND m < 1")
+        if c in texts:
+            rule("high_cardinality_categorical", c, "'medium'", n, "d >= 50 AND d < 0.95 * v")
+            rule("identifier_column", c, "'low'", n, "d >= 0.999 * v AND n >= 20")
+            t = f"SELECT count(*) AS n, count({c}) AS v, count(try_cast(replace(trim({c}), ',', '') AS DOUBLE)) AS p, count(*) FILTER (NOT regexp_matches({c}, '\\S')) AS b, count(*) FILTER (regexp_matches({c}, '^\\s|\\s$') AND regexp_matches({c}, '\\S')) AS u FROM {FD}"
+            rule("numeric_stored_as_text", c, "'medium'", t, "p >= 0.9 * v AND v > 0")
+            rule("mixed_types", c, "'medium'", t, "p > 0 AND p < v AND p < 0.9 * v")
+            rule("blank_strings", c, "'low'", t, "b >= 0.01 * n")
+            rule("untrimmed_strings", c, "'low'", t, "u >= 0.01 * n")
+            continue
+        k = f"SELECT CASE WHEN var_pop({c}) = 0 THEN 0 ELSE abs(skewness({c})) END AS k FROM {FD}"
+        rule("skewed_numeric", c, "CASE WHEN k >= 5 THEN 'medium' ELSE 'low' END", k, "k >= 2")
+        o = f"SELECT count(*) FILTER (b > a AND ({c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a))) / count({c})::DOUBLE AS f FROM {FD}, (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM {FD})"
+        rule("outlier_heavy", c, "'medium'", o, "f >= 0.10")
+        z = f"SELECT max(n) FILTER (k = 1) AS n1, max(n) FILTER (k = 2) AS n2, count(*) AS d, sum(n) AS v, any_value(s) AS s, any_value(a) AS a FROM (SELECT {c}, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c}) AS k FROM {FD} WHERE {c} IS NOT NULL GROUP BY {c}), (SELECT stddev_samp({c}) AS s, avg({c}) AS a FROM {FD})"
+        rule("near_zero_variance", c, "'low'", z, "d > 1 AND (n1 > 19 * n2 AND d < 0.1 * v OR s = 0 OR abs(s / a) < 1e-4)")
+        for e in numbers[numbers.index(c) + 1 :]:
+            rule("collinear_features", f"{c},{e}", "'low'", f"SELECT CASE WHEN var_pop({c}) > 0 AND var_pop({e}) > 0 THEN abs(corr({c}, {e})) END AS r FROM {FD}", "round(r, 2) >= 0.95")
+    w = f"SELECT count(*) AS n, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {FD})) AS d, count(*) FILTER (price IS NULL) / (7.0 * count(*)) AS m FROM {FD}"
+    rule("duplicate_rows", "", "CASE WHEN d >= 0.2 * n THEN 'high' WHEN d >= 0.05 * n THEN 'medium' ELSE 'low' END", w, "d > 0")
+    rule("tiny_dataset", "", "'high'", w, "n < 50")
+    rule("small_dataset", "", "'medium'", w, "n >= 50 AND n < 200")
+    rule("more_features_than_rows", "", "'high'", w, "7 >= n")
+    rule("wide_dataset", "", "'medium'", w, "7 > 0.5 * n AND 7 < n")
+    rule("missing_cells", "", "'low'", w, "m >= 0.05")
+    y = f"SELECT count(*) AS k, min(n) AS least, max(n) / min(n)::DOUBLE AS i FROM (SELECT o_orderstatus, count(*) AS n FROM {FD} WHERE o_orderstatus IS NOT NULL GROUP BY 1)"
+    rule("target_missing_values", "o_orderstatus", "'high'", f"SELECT count(*) AS n FROM {FD} WHERE o_orderstatus IS NULL", "n > 0")
+    rule("target_constant", "o_orderstatus", "'critical'", y, "k <= 1")
+    rule("target_single_row_class", "o_orderstatus", "'high'", y, "k <= 50 AND least = 1")
+    rule("target_rare_class", "o_orderstatus", "'medium'", y, "k <= 50 AND least > 1 AND least < 10")
+    rule("target_imbalanced", "o_orderstatus", "CASE WHEN i > 10 THEN 'high' ELSE 'medium' END", y, "k <= 50 AND i > 3")
+    return " UNION ALL ".join(out)
+
+
+book.add("l4_quality_findings", lambda s, d: L.quality_findings(s.sql(FLAWED.format(text="STRING", orders="{orders}"), orders=read(s, d, "orders")), "o_orderstatus").select("code", "column", "severity"), _findings_sql())
 book.add("l5_l6_recommendations", lambda s, d: s.createDataFrame([(x["action"], ",".join(x["columns"])) for x in L.recommend_cleaning(orders(s, d), "o_orderstatus")] + [(x["op"], ",".join(x["columns"])) for x in L.recommend_features(orders(s, d), "o_orderstatus")], "decision string, columns string"))
-book.add("l7_infer_task", lambda s, d: s.createDataFrame([(t, L.infer_task(orders(s, d), t)["task"]) for t in ("o_orderstatus", "o_totalprice")], "target string, task string"), "SELECT * FROM (VALUES ('o_orderstatus', 'multiclass'), ('o_totalprice', 'regression')) t(target, task)")
+TASK = """SELECT '{c}' AS target, CASE WHEN k > 50 OR f AND k > 2 OR {number} AND k > 20 THEN 'regression' WHEN k <= 2 THEN 'binary' ELSE 'multiclass' END AS task FROM (SELECT count(DISTINCT {c}) AS k, {fraction} AS f FROM {t})"""
+book.add(
+    "l7_infer_task",
+    lambda s, d: s.createDataFrame([(c, L.infer_task(read(s, d, t), c)["task"]) for t, c in (("orders", "o_orderstatus"), ("orders", "o_totalprice"), ("orders", "o_custkey"), ("labels", "toxic"), ("part", "p_size"), ("documents", "lang"))], "target string, task string"),
+    " UNION ALL ".join(TASK.format(t=t, c=c, number=str(number).lower(), fraction=f"coalesce(bool_or({c} <> floor({c})), false)" if number else "false") for t, c, number in (("orders", "o_orderstatus", False), ("orders", "o_totalprice", True), ("orders", "o_custkey", True), ("labels", "toxic", True), ("part", "p_size", True), ("documents", "lang", False))),
+)
 
 
 def prepared(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -229,6 +404,19 @@ def appended(spark, sf_dir):  # noqa: ANN001, ANN201
 book.add("s18_j4_append_once", appended, "SELECT event_id, event_type FROM events")
 
 
+def recorded(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The same experiments recorded twice, the second time with more."""
+    folder = scratch(spark, "history")
+    t = runs(spark, sf_dir)
+    R.record(spark, folder, "experiments", t.where("run_id % 3 != 0"))
+    R.record(spark, folder, "experiments", t.withColumn("score", F.when(F.col("run_id") % 3 == 0, F.col("score")).otherwise(-1.0)))
+    R.record(spark, folder, "runs", t.select("run_id", "project").dropDuplicates(["run_id"]))
+    return R.history(spark, folder, "experiments").join(R.history(spark, folder, "runs").select("run_id"), "run_id")
+
+
+book.add("s18_run_tables", recorded, f"SELECT * FROM {RUNS}", "score")
+
+
 def fingerprints(spark, sf_dir):  # noqa: ANN001, ANN201
     made = None
     for name, target in (("orders", "o_orderstatus"), ("customer", "c_mktsegment"), ("part", "p_type"), ("events", "event_type")):
@@ -256,13 +444,37 @@ book.add("k3_bar", lambda s, d: K.bar(orders(s, d).withColumn("p", F.when(F.col(
 book.add("k3_missingness", lambda s, d: K.missingness(orders(s, d).withColumn("p", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority"))), ["p", "o_custkey"]), "SELECT 'p' AS \"column\", count(*) FILTER (o_orderkey % 7 = 0) AS n_missing, avg((o_orderkey % 7 = 0)::INT) AS fraction FROM orders UNION ALL SELECT 'o_custkey', 0, 0 FROM (SELECT 1)", "fraction")
 book.add("k4_heat_map", lambda s, d: K.heat_map(read(s, d, "lineitem"), ["l_quantity", "l_extendedprice"]), "SELECT a, b, CASE WHEN a = b THEN 1.0 ELSE r END AS r FROM (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem), (VALUES ('l_quantity'), ('l_extendedprice')) x(a), (VALUES ('l_quantity'), ('l_extendedprice')) y(b)", "r")
 book.add("k5_line", lambda s, d: K.line(orders(s, d), "o_orderdate", "o_totalprice", "month").select(F.date_format("t", "yyyy-MM").alias("month"), "value"), "SELECT strftime(o_orderdate, '%Y-%m') AS month, avg(o_totalprice) AS value FROM orders GROUP BY 1", "value")
-book.add("k5_scatter", lambda s, d: K.scatter(orders(s, d), "o_custkey", "o_totalprice", "o_orderkey", 500))
+book.add("k5_scatter", lambda s, d: K.scatter(orders(s, d), "o_custkey", "o_totalprice", "o_orderkey"), "SELECT o_custkey, o_totalprice FROM orders ORDER BY md5('0:' || o_orderkey::VARCHAR), o_orderkey LIMIT 6000", "o_totalprice")
 book.add("s4_flatten", lambda s, d: readers.flatten(read(s, d, "events").select("event_id", F.struct(F.col("user_id").alias("id"), F.struct("event_type", "value").alias("last")).alias("user"))), "SELECT event_id, user_id AS \"user.id\", event_type AS \"user.last.event_type\", value AS \"user.last.value\" FROM events", "user.last.value")
 book.add("s4_json_text", lambda s, d: read(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")), "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
 book.add("s5_parquet_columns", lambda s, d: readers.read_parquet(s, f"{d}/lineitem.parquet", ["l_returnflag", "no_such"]).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n")), "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
 book.add("s7_sql_over_files", lambda s, d: readers.query_files(s, "SELECT n_name, count(*) AS n FROM c JOIN n ON c_nationkey = n_nationkey GROUP BY n_name", c=f"{d}/customer.parquet", n=f"{d}/nation.parquet"), "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 book.add("s11_row_cap", lambda s, d: (t := capped(orders(s, d).select("o_orderkey"), 100, ["o_orderkey"]))[0].withColumn("truncated", F.lit(t[1])), "SELECT o_orderkey, true AS truncated FROM orders ORDER BY o_orderkey LIMIT 100")
-book.add("s12_s16_schema", lambda s, d: readers.describe_schema(read(s, d, "orders").toDF(*readers.normalise_headers([" o_orderkey ", "", "a", "a", "a_2", "z"]))).select("column", "nullable"), "SELECT * FROM (VALUES ('o_orderkey', false), ('column_1', false), ('a', false), ('a_3', false), ('a_2', false), ('z', false)) t(\"column\", nullable)")
+book.add(
+    "s12_s16_schema",
+    lambda s, d: readers.describe_schema(read(s, d, "orders").withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority"))).toDF(*readers.normalise_headers([" o_orderkey ", "", "a", "a", "a_2", "z"]))).select("column", "type", "nullable"),
+    """WITH n AS (UNPIVOT (SELECT count(*) > count(o_orderkey) AS o_orderkey, count(*) > count(o_custkey) AS o_custkey, count(*) > count(o_orderstatus) AS o_orderstatus, count(*) > count(o_totalprice) AS o_totalprice, count(*) > count(o_orderdate) AS o_orderdate,
+    count(*) > count(CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END) AS o_orderpriority FROM orders) ON COLUMNS(*) INTO NAME c VALUE nullable)
+  SELECT CASE c WHEN 'o_custkey' THEN 'column_1' WHEN 'o_orderstatus' THEN 'a' WHEN 'o_totalprice' THEN 'a_3' WHEN 'o_orderdate' THEN 'a_2' WHEN 'o_orderpriority' THEN 'z' ELSE c END AS "column",
+    CASE WHEN column_type = 'VARCHAR' THEN 'string' WHEN column_type = 'INTEGER' THEN 'int' WHEN column_type LIKE 'TIMESTAMP%' THEN 'timestamp_ntz' ELSE lower(column_type) END AS type, nullable FROM (DESCRIBE orders) d JOIN n ON d.column_name = n.c""",
+)
+book.add(
+    "s15_structural_validation",
+    lambda s, d: s.createDataFrame(readers.validate(read(s, d, "orders").selectExpr("o_orderkey AS `Unnamed: 0`", "CASE WHEN o_orderkey % 17 = 0 THEN 'x' ELSE CAST(o_custkey AS STRING) END AS code", "CASE WHEN o_totalprice < 0 THEN o_orderstatus END AS hollow", "o_orderpriority")), "level string, message string"),
+    """SELECT 'warning' AS level, 'column hollow is empty' AS message FROM orders HAVING count(*) FILTER (o_totalprice < 0) = 0 UNION ALL SELECT 'warning', 'column ' || column_name || ' looks like an exported index' FROM (DESCRIBE SELECT o_orderkey AS "Unnamed: 0", o_custkey FROM orders) WHERE regexp_full_match(lower(column_name), '(unnamed: ?\\d+|index|_c0|column_0)')
+  UNION ALL SELECT 'warning', 'column code mixes numbers and text' FROM orders HAVING count(*) FILTER (o_orderkey % 17 = 0) BETWEEN 1 AND count(*) - 1""",
+)
+book.add(
+    "s3_records",
+    lambda s, d: readers.extract_records(read(s, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_totalprice")).alias("records"))),
+    "SELECT o_orderkey, o_totalprice FROM orders",
+    "o_totalprice",
+)
+book.add(
+    "j3_align",
+    lambda s, d: align(orders(s, d).select("o_orderkey", "o_orderstatus"), V.random_split(orders(s, d), "o_orderkey").where("split != 'train'").select("o_orderkey", "split", F.lit("x").alias("o_orderstatus")), "o_orderkey"),
+    f"SELECT o_orderkey, o_orderstatus, CASE WHEN split <> 'train' THEN split END AS split FROM {RANDOM}",
+)
 
 
 def text_round_trip(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -286,11 +498,17 @@ book.add("s2_json_lines", json_round_trip, "SELECT c_custkey, c_mktsegment AS \"
 book.add(
     "x7_infer_kinds",
     lambda s, d: P.infer_kinds(read(s, d, "orders")).select("column", "kind"),
-    """SELECT * FROM (VALUES ('o_orderkey', 'identifier'), ('o_custkey', 'numeric_discrete'), ('o_orderstatus', 'categorical_nominal'), ('o_totalprice', 'numeric_continuous'), ('o_orderdate', 'datetime'), ('o_orderpriority', 'categorical_nominal')) t("column", kind)""",
+    """SELECT c AS "column", CASE WHEN d <= 1 THEN 'constant' WHEN u AND n >= 20 AND d >= 0.999 * n THEN 'identifier' WHEN u THEN 'numeric_discrete' ELSE 'numeric_continuous' END AS kind FROM (
+  SELECT 'o_orderkey' AS c, count(DISTINCT o_orderkey) AS d, count(*) AS n, true AS u FROM orders UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey), count(*), true FROM orders
+  UNION ALL SELECT 'o_totalprice', count(DISTINCT o_totalprice), count(*), bool_and(o_totalprice = floor(o_totalprice)) FROM orders)
+  UNION ALL SELECT c, CASE WHEN d <= 1 THEN 'constant' WHEN t THEN 'text' WHEN w THEN 'identifier' ELSE 'categorical_nominal' END FROM (
+  SELECT 'o_orderstatus' AS c, count(DISTINCT o_orderstatus) AS d, avg(len(regexp_extract_all(o_orderstatus, '\\S+'))) >= 5 AND count(DISTINCT o_orderstatus) > 0.5 * count(*) AS t, count(DISTINCT o_orderstatus) >= 0.999 * count(*) AND count(*) >= 20 AS w FROM orders
+  UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority), avg(len(regexp_extract_all(o_orderpriority, '\\S+'))) >= 5 AND count(DISTINCT o_orderpriority) > 0.5 * count(*), count(DISTINCT o_orderpriority) >= 0.999 * count(*) AND count(*) >= 20 FROM orders)
+  UNION ALL SELECT 'o_orderdate', CASE WHEN count(o_orderdate) = 0 THEN 'unknown' WHEN count(DISTINCT o_orderdate) <= 1 THEN 'constant' ELSE 'datetime' END FROM orders""",
 )
-book.add("q6_learning_curve", lambda s, d: Q.learning_curve(labelled(s, d).drop("fold"), lambda: M.pipeline("logistic", "binary", ["x1", "x2"]), accuracy, "key", 2, (0.5, 1.0)))
+book.add("q6_learning_curve", lambda s, d: Q.learning_curve(labelled(s, d).drop("fold"), lambda: M.pipeline("logistic", "binary", ["x1", "x2"]), accuracy, "key"))
 book.add("c13_knn_imputation", lambda s, d: C.knn_impute(read(s, d, "customer").selectExpr("c_custkey", "c_nationkey * 1.0D AS nation", "CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_acctbal END AS balance"), ["nation", "balance"], "c_custkey").select("c_custkey", "balance"))
-book.add("c14_iterative_imputation", lambda s, d: C.iterative_impute(read(s, d, "part").selectExpr("p_partkey", "p_retailprice", "CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_size END AS size"), ["p_retailprice", "size"], 2).select("p_partkey", "size"))
+book.add("c14_iterative_imputation", lambda s, d: C.iterative_impute(read(s, d, "part").selectExpr("p_partkey", "p_retailprice", "CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_size END AS size"), ["p_retailprice", "size"]).select("p_partkey", "size"))
 
 
 def target_report(spark, sf_dir):  # noqa: ANN001, ANN201

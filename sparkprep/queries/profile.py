@@ -126,4 +126,11 @@ book.add(
     """SELECT o_orderkey, row_number() OVER w AS place, sum(trunc(o_totalprice)::BIGINT) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS running_price FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey)""",
 
 )
-book.add("t6_sample_rows", lambda s, d: sample_rows(read(s, d, "orders"), 100, "o_orderkey").select("o_orderkey", "o_totalprice"))
+book.add("t6_sample_rows", lambda s, d: sample_rows(read(s, d, "orders"), 100, "o_orderkey").select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('0:' || o_orderkey::VARCHAR), o_orderkey LIMIT 100", "o_totalprice")
+
+book.add(
+    "a12_numeric_target",
+    lambda s, d: P.target_summary(lineitem(s, d), "l_discount", 5),
+    f"SELECT * FROM ({each(MOMENTS, ['l_discount'])}) JOIN ({each(QUANTILES, ['l_discount'])}) USING (\"column\")",
+    "mean std variance minimum maximum skew kurtosis zero_fraction negative_fraction " + QS,
+)

@@ -196,7 +196,7 @@ def normalise_headers(names: Iterable[str]) -> list[str]:
 
 
 def validate(df: DataFrame) -> list[tuple[str, str]]:
-    """(level, message): no rows or columns are errors; a lone column, empty columns and an exported index are warnings."""
+    """(level, message): no rows or columns are errors; a lone column, empty columns, an exported index and text that is numbers in part are warnings."""
     if not df.columns:
         return [("error", "no columns")]
     counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
@@ -206,6 +206,11 @@ def validate(df: DataFrame) -> list[tuple[str, str]]:
     empty = [c for i, c in enumerate(df.columns) if counts["n"] and not counts[f"c{i}"]]
     out += [("warning", f"column {c} is empty") for c in empty]
     out += [("warning", f"column {c} looks like an exported index") for c in df.columns if re.fullmatch(r"(unnamed: ?\d+|index|_c0|column_0)", c.lower())]
+    from sparkprep.functions.tables import string_columns
+    from sparkprep.operators.profile import number_text
+
+    if string_columns(df):
+        out += [("warning", f"column {r['column']} mixes numbers and text") for r in number_text(df).where("mixed").orderBy("column").collect()]
     return out
 
 

@@ -45,7 +45,7 @@ def test_knn_imputation_has_all_rows_of_a_large_table_as_donors(spark):
 def test_encoders_in_a_preparation_keep_all_levels(spark):
     df = spark.range(21_000).selectExpr("id", "concat('u', id % 10500) AS user", "double(id % 10500 = 7) AS y")
     model = prepare.Preparation([], [{"op": "frequency_encode", "columns": ["user"]}, {"op": "target_encode", "columns": ["user"]}], "y").fit(df)
-    out = model.transform(df.union(spark.sql("SELECT -1L, 'new', 0D")))
+    out = model.transform(df.union(spark.sql("SELECT -1L, 'new', 0D")).drop("y"))  # new rows do not have the target
     _, prior = E.fit_target_means(df, "user", "y")
     for r in out.collect():
         assert r["user_frequency"] == pytest.approx(0.0 if r["id"] < 0 else 1 / 10500)
@@ -161,8 +161,11 @@ def test_models_beat_the_baseline_and_round_trip(spark, tmp_path):
 
 def test_bootstrap_covers_the_accuracy(spark):
     df = spark.range(2000).select("id", (F.col("id") % 10 != 0).cast("int").alias("label"), F.lit(1).alias("prediction"))
-    low, high = Q.bootstrap_intervals(df, "label", "prediction", "id", 100).first()
-    assert low < 0.9 < high and high - low < 0.05
+    got = {r["metric"]: (r["low"], r["high"]) for r in Q.bootstrap_intervals(df, "label", "prediction", "id", 100).collect()}
+    for metric, value in (("accuracy", 0.9), ("precision", 0.9), ("f1", 1.8 / 1.9)):
+        low, high = got[metric]
+        assert low < value < high and high - low < 0.05
+    assert got["recall"] == (1.0, 1.0)
 
 
 def test_sources(spark, tmp_path):
@@ -218,3 +221,110 @@ def test_preparation_model_round_trips(spark, tmp_path):
     model.write().overwrite().save(str(tmp_path / "p"))
     again = prepare.PreparationModel.load(str(tmp_path / "p"))
     assert sorted(again.transform(df).collect()) == sorted(model.transform(df).collect())
+
+
+def test_a_label_by_chance_does_not_leak_into_its_encoding(spark):
+    df = spark.range(3000).select(F.col("id").alias("key"), F.concat(F.lit("u"), F.col("id")).alias("user"), (F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 4), 16, 10).cast("long") % 2).cast("double").alias("y"))
+    model = prepare.Preparation([], [{"op": "target_encode", "columns": ["user"]}], "y").fit(df)
+    assert abs(model.transform(df).agg(F.corr("y", "user_target")).first()[0] or 0.0) < 0.1
+    mean = df.agg(F.avg("y")).first()[0]
+    fresh = model.transform(df.drop("y").limit(50)).collect()
+    y = {r["user"]: r["y"] for r in df.collect()}
+    assert all(r["user_target"] == pytest.approx((y[r["user"]] + 10 * mean) / 11) for r in fresh)
+    assert "user_target" not in prepare.Preparation([], [{"op": "target_encode", "columns": ["user"]}], "y", "temporal").fit(df).transform(df).columns
+
+
+def test_fills_along_an_order_are_replaced_in_a_preparation(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else float(i)) for i in range(1, 12)], "key int, x double")
+    model = prepare.Preparation([{"action": "impute_missing", "columns": ["x"], "strategy": "forward_fill"}, {"action": "drop_duplicate_rows", "columns": []}], []).fit(df)
+    assert not model.getOrDefault("notes") and {r["x"] for r in model.transform(df).where("key % 3 = 0").collect()} == {df.agg(F.percentile("x", F.lit(0.5))).first()[0]}
+
+
+@pytest.mark.parametrize(("table", "target"), [("orders", "o_orderstatus"), ("customer", "c_acctbal"), ("part", "p_brand"), ("events", "event_type"), ("supplier", "s_acctbal"), ("lineitem", "l_returnflag")])
+def test_all_that_is_recommended_runs(spark, sf, table, target):
+    df = spark.read.parquet(f"{sf}/{table}.parquet").limit(400)
+    times = [c for c, t in df.dtypes if t.startswith(("timestamp", "date"))]
+    df = df.withColumns({c: F.when(F.xxhash64(c) % 5 != 0, F.col(c)) for c in times})
+    cleaned, frozen, notes = prepare.clean(df, L.recommend_cleaning(df, target), target)
+    assert not notes and cleaned.count()
+    assert all(cleaned.where(F.col(c).isNull()).count() == 0 for c in times)
+    steps, notes = prepare.fit_features(cleaned, L.recommend_features(cleaned, target, "regression" if target.endswith("acctbal") else "multiclass"), target)
+    assert not notes and steps
+    made, names = prepare.apply_features(prepare.replay(df, frozen), steps)
+    assert names and made.select(*[F.col(f"`{n}`") for n in names]).first() is not None
+
+
+def test_post_steps_of_a_feature_plan(spark):
+    state = np.random.RandomState(3)
+    x = state.normal(size=(200, 3))
+    rows = [(i, float(a), float(2 * a + 1e-3 * b), float(c), float(3 * c + a), "word alpha" if i % 2 else "word thing") for i, (a, b, c) in enumerate(x)]
+    df = spark.createDataFrame(rows, "key int, a double, b double, c double, y double, t string")
+    base = [{"op": "standard_scale", "columns": ["a", "b", "c"]}]
+    assert prepare.apply_features(df, prepare.fit_features(df, [*base, {"op": "drop_correlated"}], "y")[0])[1] in (["a_scaled", "c_scaled"], ["b_scaled", "c_scaled"])
+    assert prepare.apply_features(df, prepare.fit_features(df, [*base, {"op": "select_k_best", "k": 1}], "y")[0])[1] == ["c_scaled"]
+    made, names = prepare.apply_features(df, prepare.fit_features(df, [{"op": "pca", "n_components": 2}, *base], "y")[0])
+    z = (x2 := np.array([r[1:4] for r in rows])) - x2.mean(0)
+    z /= z.std(0, ddof=1)
+    load = np.linalg.svd(z, full_matrices=False)[2][0]
+    got = np.array([r["pca_1"] for r in made.orderBy("key").collect()])
+    assert names == ["pca_1", "pca_2"] and abs(np.corrcoef(got, z @ load)[0, 1]) == pytest.approx(1.0)
+    made, names = prepare.apply_features(df, prepare.fit_features(df, [{"op": "tfidf", "columns": ["t"]}, {"op": "quantile_transform", "columns": ["a"]}])[0])
+    row = made.orderBy("key").first()
+    # terms in order: alpha, thing, word; a length of 1 a row
+    assert names[:3] == ["t_tfidf_0", "t_tfidf_1", "t_tfidf_2"] and row["t_tfidf_0"] == 0 and row["t_tfidf_1"] ** 2 + row["t_tfidf_2"] ** 2 == pytest.approx(1.0) and "a_quantile" in names
+
+
+def test_a_plan_makes_at_most_600_columns(spark):
+    df = spark.createDataFrame([(float(i), float(i * i)) for i in range(50)], [f"x{k}" for k in range(2)])
+    wide = df.withColumns({f"z{k}": F.col("x0") * k for k in range(650)})
+    frozen, notes = prepare.fit_features(wide, [{"op": "sqrt_transform", "columns": [f"z{k}" for k in range(650)]}])
+    assert len(prepare.apply_features(wide, frozen)[1]) == 600 and notes
+
+
+def test_the_holdout_is_read_once(spark, sf):
+    holdout = V.Holdout(spark.read.parquet(f"{sf}/orders.parquet"), "classification", "o_orderstatus", "o_orderkey")
+    seen = {r["o_orderkey"] for r in holdout.open.select("o_orderkey").collect()}
+    test = {r["o_orderkey"] for r in holdout.finish(lambda t: t.select("o_orderkey")).collect()}
+    assert test and not seen & test
+    with pytest.raises(RuntimeError):
+        holdout.finish(lambda t: t)
+
+
+def test_windows_without_a_group_are_those_of_one_group(spark):
+    from sparkprep.operators import windows as W
+
+    df = spark.createDataFrame([(i, None if i % 4 == 1 else float((i * 37) % 23)) for i in range(60)], "t int, x double").repartition(7)
+    one = df.withColumn("g", F.lit("g"))
+    made = [
+        lambda d, g: W.lag_features(d, "x", [1, 5, 19], ["t"], g), lambda d, g: W.rolling_features(d, "x", [2, 9], ["mean", "median", "max"], ["t"], g, 1), lambda d, g: W.diff_features(d, "x", [1, 3], ["t"], g, 2),
+        lambda d, g: W.expanding_features(d, "x", ["mean", "std", "skew", "kurt", "min", "sum", "count"], ["t"], g, 1), lambda d, g: C.directional_fill(d, ["x"], ["t"], g, True), lambda d, g: C.interpolate(d, ["x"], ["t"], g),
+    ]
+    for make in made:
+        a, b = make(df, []).orderBy("t").collect(), make(one, ["g"]).drop("g").orderBy("t").collect()
+        assert len(a) == len(b) == 60
+        for x, y in zip(a, b, strict=True):
+            assert all(u == v or u is not None and v is not None and u == pytest.approx(v, abs=1e-9) for u, v in zip(x, y, strict=True))
+
+
+def test_profile_of_odd_columns(spark):
+    from sparkprep.operators import profile as P
+
+    df = spark.createDataFrame([(1, None, None, "a"), (2, None, 2.5, "a"), (9007199254740993, None, 4.0, None), (9007199254740992, None, 2.5, "b")], "big long, hollow double, x double, s string")
+    got = {r["column"]: r for r in P.profile_table(df).collect()}
+    assert got["big"]["n_distinct"] == 4 and got["hollow"]["n_missing"] == 4 and got["hollow"]["q50"] is None and got["hollow"]["is_constant"]
+    assert got["x"]["q50"] == 2.5 and got["x"]["q75"] == pytest.approx(3.25) and got["s"]["n_distinct"] == 2
+    empty = {r["column"]: r for r in P.profile_table(df.where("big < 0")).collect()}
+    assert len(empty) == 4 and empty["x"]["n_rows"] == 0 and empty["x"]["n_outliers"] == 0
+
+
+def test_a_cluster_without_a_checkpoint_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from sparkprep.functions.tables import shared_folder
+
+    class Conf:
+        def get(self, key):
+            return None
+
+    with pytest.raises(RuntimeError):
+        shared_folder(SimpleNamespace(sparkContext=SimpleNamespace(getConf=Conf, master="spark://host:7077")))

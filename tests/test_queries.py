@@ -23,8 +23,6 @@ def ordered(rows):
 
 @pytest.mark.parametrize("name", sorted(tabular.oracle_sql()))
 def test_query_gives_the_rows_of_its_sql(spark, duck, sf, name):
-    if name == "l4_quality_findings":
-        pytest.skip("its findings are stated for the larger tables")
     frame = tabular.queries()[name](spark, sf)
     columns = sorted(frame.columns)
     found = duck.sql(tabular.oracle_sql()[name])
