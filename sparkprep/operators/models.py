@@ -6,6 +6,7 @@ import itertools
 import json
 import random
 import time
+import warnings
 from collections.abc import Callable, Iterable
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -114,16 +115,19 @@ def leaderboard(results: DataFrame, metric: str) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, make: Callable[[], Pipeline], score: Scorer, n: int, strategy: str = "random") -> list[float]:
-    """A score a fold, the whole preparation fitted anew in each; folds that fail are left out."""
+    """A score a fold, the whole preparation fitted anew in each. A fold that fails is warned of and left out; if all do, that is an error."""
     from sparkprep.operators.split import fold_parts
 
-    out = []
+    out, failed = [], None
     for k in range(1 if strategy == "temporal" else 0, n):
         train, test = fold_parts(df, k, strategy)
         try:
             out.append(float(score(predict(make().fit(train), test))))
-        except Exception:  # noqa: BLE001
-            continue
+        except Exception as error:  # noqa: BLE001  one fold's failure does not end the others
+            failed = error
+            warnings.warn(f"fold {k} failed: {str(error)[:200]}", stacklevel=2)
+    if failed is not None and not out:
+        raise failed
     return out
 
 
@@ -143,7 +147,11 @@ def search(df: DataFrame, family: str, task: str, features: list[str], metric: s
     rows: list[tuple] = []
 
     def trial(p: dict, part: DataFrame) -> float | None:
-        values = cross_validate(part, lambda: pipeline(family, task, features, seed=seed, **p), score, n_folds)
+        try:
+            values = cross_validate(part, lambda: pipeline(family, task, features, seed=seed, **p), score, n_folds)
+        except Exception as error:  # noqa: BLE001  a point that cannot be fitted is a trial without a score
+            warnings.warn(f"{p} failed: {str(error)[:200]}", stacklevel=2)
+            values = []
         value = sum(values) / len(values) if values else None
         rows.append((json.dumps(p, sort_keys=True), value))
         return value

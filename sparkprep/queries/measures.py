@@ -124,7 +124,8 @@ book.add(
     (SELECT avg(r) FROM (SELECT x.k, max((x.s + y.s) / sqrt((x.ca - y.ca) ** 2 + (x.cb - y.cb) ** 2)) AS r FROM s x JOIN s y ON x.k <> y.k GROUP BY x.k)) AS davies_bouldin""",
     "noise_fraction calinski_harabasz davies_bouldin",
 )
-book.add("g8_silhouette", lambda s, d: G.clustering_metrics(read(s, d, "customer").selectExpr("c_custkey % 5 - 1 AS k", "c_acctbal + 900 * (c_custkey % 5) AS a", "c_nationkey * 1.0D AS b"), ["a", "b"], "k").select("silhouette"))
+book.add("g8_silhouette", lambda s, d: G.clustering_metrics(read(s, d, "customer").selectExpr("c_custkey % 5 - 1 AS k", "c_acctbal + 900 * (c_custkey % 5) AS a", "c_nationkey * 1.0D AS b"), ["a", "b"], "k").select("silhouette"), f"""WITH t AS (SELECT *, row_number() OVER () AS id FROM {CLUSTERS} WHERE k <> -1), m AS (SELECT x.id, x.k AS own, y.k AS k, sum(sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2)) / nullif(count(*) - (x.k = y.k)::INT, 0) AS d FROM t x, t y GROUP BY x.id, x.k, y.k)
+  SELECT avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM (SELECT id, max(d) FILTER (k = own) AS a, min(d) FILTER (k <> own) AS b FROM m GROUP BY id)""", "silhouette")
 book.add(
     "g9_anomaly",
     lambda s, d: G.anomaly_metrics(scored(s, d), "prediction", "score", "label"),

@@ -209,7 +209,11 @@ book.add("n13_dbscan", lambda s, d: NB.dbscan(labelled(s, d), "key", ["x1", "x2"
   c AS (SELECT key, min(low) AS cluster FROM reach GROUP BY key), b AS (SELECT l.x AS key, arg_min(c.cluster, c.key) AS near FROM l JOIN c ON c.key = l.y GROUP BY l.x)
   SELECT t.key, coalesce(c.cluster, b.near, -1) AS cluster FROM t LEFT JOIN c USING (key) LEFT JOIN b USING (key)""")
 book.add("n14_isolation_forest", lambda s, d: NB.isolation_forest(t := labelled(s, d), t, "key", ["x1", "x2"]))
-book.add("n15_local_outlier_factor", lambda s, d: NB.local_outlier_factor((t := labelled(s, d)).where("fold != 0"), t.where("fold = 0"), "key", ["x1", "x2"], 10))
+book.add("n15_local_outlier_factor", lambda s, d: NB.local_outlier_factor((t := labelled(s, d)).where("fold != 0"), t.where("fold = 0"), "key", ["x1", "x2"], 10), """WITH t AS (SELECT c_custkey AS key, c_acctbal / 1000 AS a, c_nationkey * 1.0::DOUBLE AS b FROM customer), r AS (SELECT * FROM t WHERE key % 5 <> 0),
+  own AS (SELECT q.key AS q, r.key AS id, sqrt((q.a - r.a) ** 2 + (q.b - r.b) ** 2) AS d FROM r q JOIN r ON q.key <> r.key QUALIFY row_number() OVER (PARTITION BY q.key ORDER BY sqrt((q.a - r.a) ** 2 + (q.b - r.b) ** 2), r.key) <= 10),
+  kd AS (SELECT q AS id, max(d) AS kd FROM own GROUP BY q), lrd AS (SELECT q AS id, 1 / greatest(avg(greatest(d, kd)), 1e-12) AS lrd FROM own JOIN kd USING (id) GROUP BY q),
+  near AS (SELECT q.key AS key, r.key AS id, sqrt((q.a - r.a) ** 2 + (q.b - r.b) ** 2) AS d FROM t q, r WHERE q.key % 5 = 0 QUALIFY row_number() OVER (PARTITION BY q.key ORDER BY sqrt((q.a - r.a) ** 2 + (q.b - r.b) ** 2), r.key) <= 10)
+  SELECT key, avg(lrd) * greatest(avg(greatest(d, kd)), 1e-12) AS lof FROM near JOIN kd USING (id) JOIN lrd USING (id) GROUP BY key""", "lof")
 
 
 def daily(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -507,7 +511,9 @@ book.add(
   UNION ALL SELECT 'o_orderdate', CASE WHEN count(o_orderdate) = 0 THEN 'unknown' WHEN count(DISTINCT o_orderdate) <= 1 THEN 'constant' ELSE 'datetime' END FROM orders""",
 )
 book.add("q6_learning_curve", lambda s, d: Q.learning_curve(labelled(s, d).drop("fold"), lambda: M.pipeline("logistic", "binary", ["x1", "x2"]), accuracy, "key"))
-book.add("c13_knn_imputation", lambda s, d: C.knn_impute(read(s, d, "customer").selectExpr("c_custkey", "c_nationkey * 1.0D AS nation", "CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_acctbal END AS balance"), ["nation", "balance"], "c_custkey").select("c_custkey", "balance"))
+book.add("c13_knn_imputation", lambda s, d: C.knn_impute(read(s, d, "customer").selectExpr("c_custkey", "c_nationkey * 1.0D AS nation", "CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_acctbal END AS balance"), ["nation", "balance"], "c_custkey").select("c_custkey", "balance"), """WITH t AS (SELECT c_custkey AS k, c_nationkey AS n, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_acctbal END AS b FROM customer),
+  f AS (SELECT q.k, avg(t.b) AS b FROM (SELECT q.k AS qk, t.k AS tk FROM t q JOIN t ON q.b IS NULL AND t.b IS NOT NULL AND q.k <> t.k QUALIFY row_number() OVER (PARTITION BY q.k ORDER BY abs(q.n - t.n), t.k) <= 5) m JOIN t q ON q.k = m.qk JOIN t ON t.k = m.tk GROUP BY q.k)
+  SELECT t.k AS c_custkey, coalesce(t.b, f.b) AS balance FROM t LEFT JOIN f ON f.k = t.k""", "balance")
 book.add("c14_iterative_imputation", lambda s, d: C.iterative_impute(read(s, d, "part").selectExpr("p_partkey", "p_retailprice", "CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_size END AS size"), ["p_retailprice", "size"]).select("p_partkey", "size"))
 
 
@@ -517,4 +523,5 @@ def target_report(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 book.add("a22_target_report", target_report)
-book.add("p5_p6_initial_features", lambda s, d: s.createDataFrame([(c, why, prepare.default_treatment(o, [c])[c]) for o in [orders(s, d)] for c, why in prepare.initial_features(o, "o_orderstatus", ["o_orderkey"])], "column string, reason string, treatment string"))
+book.add("p5_p6_initial_features", lambda s, d: s.createDataFrame([(c, why, prepare.default_treatment(o, [c])[c]) for o in [orders(s, d)] for c, why in prepare.initial_features(o, "o_orderstatus", ["o_orderkey"])], "column string, reason string, treatment string"), """SELECT 'o_orderkey' AS "column", 'identifier' AS reason, 'pass' AS treatment FROM orders HAVING count(*) >= 0 UNION ALL SELECT 'o_custkey', '', 'pass' FROM orders HAVING count(*) >= 0 UNION ALL SELECT 'o_totalprice', '', 'pass' FROM orders HAVING count(*) >= 0
+  UNION ALL SELECT c, r, CASE WHEN d <= 1 THEN 'drop' WHEN d <= 50 THEN 'one_hot' ELSE 'exclude' END FROM (SELECT 'o_orderdate' AS c, 'raw time' AS r, count(DISTINCT o_orderdate) AS d FROM orders UNION ALL SELECT 'o_orderstatus', 'target', count(DISTINCT o_orderstatus) FROM orders UNION ALL SELECT 'o_orderpriority', '', count(DISTINCT o_orderpriority) FROM orders)""")

@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Extensions and schemes by kind of source, and the keys under which records are looked for.
+#: Extensions by kind of source, and the keys under which records are looked for.
 EXTENSIONS = {"csv": "csv", "tsv": "csv", "txt": "csv", "psv": "csv", "json": "json", "jsonl": "json", "ndjson": "json", "parquet": "parquet", "pq": "parquet", "orc": "orc"}
-SCHEMES = {"s3": "s3", "s3a": "s3", "gs": "gcs", "gcs": "gcs", "abfs": "azure", "abfss": "azure", "az": "azure", "wasbs": "azure", "jdbc": "sql", "postgresql": "sql", "postgres": "sql", "mysql": "sql", "snowflake": "sql", "databricks": "sql"}
 RECORD_KEYS = ("data", "records", "results", "rows", "items", "value", "payload", "entries")
 _READ_ONLY = re.compile(r"^\s*(with|select|show|describe|explain|values|table)\b", re.IGNORECASE)
 _CHANGES = re.compile(r"\b(insert|update|delete|merge|drop|alter|create|truncate|grant|revoke|replace|call|copy)\b", re.IGNORECASE)
@@ -53,19 +52,26 @@ def sniff_delimiter(lines: list[str]) -> str:
     return best
 
 
+def _sound(column: str) -> Column:
+    """Whether a line was read as a row. It looks at a column too, for Spark parses no line of which the fault alone is asked."""
+    return F.col("_bad").isNull() & (F.coalesce(F.length(F.col(f"`{column}`").cast("string")), F.lit(0)) >= 0)
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, header: bool = True, columns: Iterable[str] | None = None, thousands: str | None = None, decimal: str = ".", na_values: str | None = None, **options) -> tuple[DataFrame, int]:  # noqa: ANN003
-    """(rows, number of malformed lines left out). The separator comes from the first lines; a byte order mark is taken off; utf-8 unless it does not decode."""
+    """(rows, number of malformed lines left out). The separator comes from the first lines; a byte order mark is taken off; utf-8 unless some line does not decode as such."""
     head = [r["value"] for r in spark.read.text(path).limit(50).collect()]  # a head of fifty lines
     sep = sniff_delimiter(head) if sep is None else sep
-    encoding = ("latin1" if any("\ufffd" in x for x in head) else "UTF-8") if encoding is None else encoding
+    if encoding is None:  # a line anywhere can tell; the search ends at the first
+        encoding = "UTF-8" if spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count() == 0 else "ISO-8859-1"
     if na_values is not None:
         options["nullValue"] = na_values
     options |= {"sep": sep, "encoding": encoding, "header": str(header).lower(), "escape": options.pop("escapechar", '"'), "multiLine": "false"}
     inferred = spark.read.options(**options, inferSchema="true", samplingRatio="1.0").csv(path).schema
     schema = T.StructType([*inferred, T.StructField("_bad", T.StringType())])
-    rows = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad").schema(schema).csv(path).cache()
-    bad = rows.where("_bad is not null").count()
-    out = rows.where("_bad is null").drop("_bad")
+    rows = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad").schema(schema).csv(path)
+    sound = _sound(inferred.names[0]) if inferred.names else F.col("_bad").isNull()
+    bad = rows.where(~sound).count()
+    out = rows.where(sound).drop("_bad")
     out = out.toDF(*normalise_headers([c.lstrip("\ufeff") for c in out.columns])) if header else out
     if thousands or decimal != ".":
         number = rf"^\s*[-+]?[0-9{re.escape(thousands or '')}]+({re.escape(decimal)}[0-9]+)?\s*$"
@@ -81,9 +87,12 @@ def read_json(spark: SparkSession, path: str, multi_line: bool | None = None, re
     if multi_line is None:
         first = next((r["value"].strip() for r in spark.read.text(path).limit(5).collect() if r["value"].strip()), "")
         multi_line = first.startswith("[") or first in ("{",) or not first.endswith("}")
-    raw = spark.read.json(path, multiLine=multi_line, columnNameOfCorruptRecord="_bad").cache()
-    bad = raw.where("_bad is not null").count() if "_bad" in raw.columns else 0
-    rows = raw.where("_bad is null").drop("_bad") if "_bad" in raw.columns else raw
+    raw = spark.read.json(path, multiLine=multi_line, columnNameOfCorruptRecord="_bad")
+    others = [c for c in raw.columns if c != "_bad"]
+    if "_bad" not in raw.columns or not others:
+        return flatten(extract_records(raw.drop("_bad"), records_path), separator), 0
+    sound = _sound(others[0])
+    bad, rows = raw.where(~sound).count(), raw.where(sound).drop("_bad")
     return flatten(extract_records(rows, records_path), separator), bad
 
 

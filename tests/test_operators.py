@@ -328,3 +328,34 @@ def test_a_cluster_without_a_checkpoint_folder_is_an_error():
 
     with pytest.raises(RuntimeError):
         shared_folder(SimpleNamespace(sparkContext=SimpleNamespace(getConf=Conf, master="spark://host:7077")))
+
+
+def test_a_late_line_tells_the_encoding(spark, tmp_path):
+    lines = ["id;name", *[f"{i};plain" for i in range(80)], "80;caf\u00e9"]
+    (tmp_path / "late.csv").write_bytes("\n".join(lines).encode("latin1"))
+    rows, bad = readers.read_delimited(spark, str(tmp_path / "late.csv"))
+    assert bad == 0 and rows.where("id = 80").first()["name"] == "caf\u00e9" and rows.count() == 81
+
+
+def test_a_fold_that_fails_is_told(spark):
+    df = spark.createDataFrame([(float(i), float(i % 2), i % 3) for i in range(30)], "x double, label double, fold int")
+
+    def score(t):
+        if t.where("fold = 1").count():
+            raise ValueError("no")
+        return 1.0
+
+    with pytest.warns(UserWarning, match="fold 1 failed"):
+        assert M.cross_validate(df, lambda: M.pipeline("logistic", "binary", ["x"]), score, 3) == [1.0, 1.0]
+    with pytest.raises(ValueError), pytest.warns(UserWarning):
+        M.cross_validate(df.where("fold = 1"), lambda: M.pipeline("logistic", "binary", ["x"]), lambda t: score(df), 1)
+
+
+def test_jdbc_reads_slices_and_refuses_changes(spark):
+    url = "jdbc:derby:memory:readers;create=true"
+    spark.range(100).selectExpr("CAST(id AS INT) AS k", "CAST(id * 2 AS DOUBLE) AS v").write.jdbc(url, "numbers")
+    got = readers.read_sql(spark, url, 'SELECT "k", "v" FROM numbers WHERE "k" < 50', partition={"column": "k", "lower": 0, "upper": 50, "number": 4})
+    assert got.count() == 50 and got.rdd.getNumPartitions() == 4 and got.agg(F.sum("v")).first()[0] == sum(2 * i for i in range(50))
+    assert readers.read_sql(spark, url, 'SELECT "k" FROM numbers', max_rows=7).count() == 7
+    with pytest.raises(ValueError):
+        readers.read_sql(spark, url, "DELETE FROM numbers")
