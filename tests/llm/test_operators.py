@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkprep.llm import jaccard_join, language_id, line_dedup, mixing, piece_dropout, quality_model, substring_dedup, topk, url_rules, weak_rules
+from sparkprep.llm import common, jaccard_join, language_id, line_dedup, mixing, piece_dropout, quality_model, substring_dedup, topk, url_rules, weak_rules
 from sparkprep.llm.common import connected_components
 from tests.llm.conftest import words
 
@@ -620,6 +620,28 @@ def test_forest_depth_is_the_longest_that_reaches_the_recall():
     assert 1 - (1 - 0.8**d) ** 16 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 16
 
 
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
+def test_hot_keys_go_apart_and_nothing_changes(spark, monkeypatch, how):
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
+    left = spark.createDataFrame([(k, i) for k, n in (("a", 50), ("b", 9), ("c", 3), ("d", 1), (None, 4)) for i in range(n)], "k string, i int")
+    right = spark.createDataFrame([("a", 50, "x"), ("b", 9, "y"), ("c", 3, "z"), ("e", 0, "w")], "k string, n int, v string")
+    got = common.join_hot_apart(left, right, "k", "n", how)
+    want = left.join(right.drop("n"), "k", how)
+    assert some(map(tuple, got.select(want.columns).collect())) == some(map(tuple, want.collect()))
+    assert common.join_hot_apart(left.limit(0), right, "k", "n", how).count() == 0
+
+
+def test_a_checkpoint_frees_its_shuffles_and_leaves_the_session_as_it_was(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    assert common.durable(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
+    assert spark.conf.get(key, None) == before
+    spark.conf.set(key, "false")
+    common.durable(spark.range(3))
+    assert spark.conf.get(key) == "false"
+    spark.conf.unset(key)
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 150)] + [(7, 7)]
     df = spark.createDataFrame(edges, "x long, y long").select(F.md5(F.col("x").cast("string")).alias("a"), F.md5(F.col("y").cast("string")).alias("b"))

@@ -11,7 +11,10 @@ from tests.llm.test_operators import brute_lines, brute_links, some
 
 def test_stages_keep_columns_rows_and_empty_tables(spark, sf, docs, empty, raw):
     for _, stage in P.STAGES[:-1]:
-        assert stage(spark, empty, sf).columns == empty.columns
+        made = stage(spark, empty, sf)
+        assert made.columns == empty.columns and made.count() == 0
+    last = P.pieces(spark, empty, sf)
+    assert {"copy", "n_pieces"} <= set(last.columns) and last.count() == 0
     cleaned = P.lines(spark, docs, sf)
     assert cleaned.columns == docs.columns
     assert some((r["doc_id"], r["text"]) for r in cleaned.collect()) == some(x[:2] for x in brute_lines(raw, 10))
