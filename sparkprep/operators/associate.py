@@ -31,18 +31,79 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.agg(F.count(F.lit(1)).alias("n"), correlation(F.col("rx"), F.col("ry")).alias("rho"))
 
 
+def spearman_pairs(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """a, b, rho of every pair. Columns without holes are ranked once each and all their pairs are one aggregate; a pair with holes is ranked on the rows that have both."""
+    names = list(columns)
+    holes = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"h{i}") for i, c in enumerate(names)]).first()
+    whole = [c for i, c in enumerate(names) if not holes[f"h{i}"]]
+    ranked = df.select(*names)
+    for i, c in enumerate(whole):
+        ranked = average_rank(ranked, c, f"_rank{i}")
+    aggs, fields = [], {}
+    for k, (i, j) in enumerate(combinations(range(len(whole)), 2)):
+        aggs.append(correlation(F.col(f"_rank{i}"), F.col(f"_rank{j}")).alias(f"r{k}"))
+        fields[f"{whole[i]}\x00{whole[j]}"] = {"a": F.lit(whole[i]), "b": F.lit(whole[j]), "rho": F.col(f"r{k}")}
+    out = to_long(ranked.agg(*aggs), fields, key="_pair").drop("_pair") if aggs else df.sparkSession.createDataFrame([], "a string, b string, rho double")
+    for a, b in combinations(names, 2):
+        if a not in whole or b not in whole:
+            out = out.unionByName(spearman(df, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "rho"))
+    return out
+
+
+def _cells(df: DataFrame, pairs: list[tuple[str, str]], numbers: bool) -> DataFrame:
+    """a, b, x, y of all the pairs' rows that have both: y as a number or as text."""
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("string").alias("x"), F.col(b).cast("double" if numbers else "string").alias("y")) for a, b in pairs]
+    return df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("x is not null and y is not null")
+
+
+def cramers_v_pairs(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """a, b, v of every pair of columns, from one count of all their cells."""
+    pairs = list(combinations(columns, 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, v double")
+    o = _cells(df, pairs, False).groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("o"))
+    nx, ny = o.groupBy("a", "b", "x").agg(F.sum("o").alias("nx")), o.groupBy("a", "b", "y").agg(F.sum("o").alias("ny"))
+    j = o.join(nx, ["a", "b", "x"]).join(ny, ["a", "b", "y"])
+    one = j.groupBy("a", "b").agg(F.sum("o").alias("n"), F.sum(F.col("o") * F.col("o") / (F.col("nx") * F.col("ny"))).alias("q"), F.count_distinct("x").alias("r"), F.count_distinct("y").alias("k"))
+    return one.select("a", "b", _corrected_v().alias("v"))
+
+
+def correlation_ratio_pairs(df: DataFrame, categories: Iterable[str], numbers: Iterable[str]) -> DataFrame:
+    """a, b, eta of every category with every number, from one aggregate by level."""
+    pairs = [(a, b) for b in numbers for a in categories]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, eta double")
+    y = F.col("y")
+    by = _cells(df, pairs, True).groupBy("a", "b", "x").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"))
+    t = by.groupBy("a", "b").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b2"))
+    return t.select("a", "b", _corrected_eta("b2").alias("eta"))
+
+
+def _corrected_v() -> Column:
+    """Cramér's V from n, q (the sum of o² / (row total x column total)), r and k."""
+    # chi2 / n = sum(o^2 / (na nb)) - 1
+    n, r, k = F.col("n"), F.col("r"), F.col("k")
+    phi = F.greatest(F.lit(0.0), F.col("q") - 1 - (k - 1) * (r - 1) / (n - 1))
+    rc, kc = r - (r - 1) * (r - 1) / (n - 1), k - (k - 1) * (k - 1) / (n - 1)
+    least = F.least(rc - 1, kc - 1)
+    return F.when((n >= 4) & (r >= 2) & (k >= 2) & (least > 0), F.sqrt(phi / least))
+
+
+def _corrected_eta(b: str) -> Column:
+    """The correlation ratio from n, k, s, q and the sum of s² / n by class."""
+    n, k = F.col("n"), F.col("k")
+    total, between = F.col("q") - F.col("s") * F.col("s") / n, F.col(b) - F.col("s") * F.col("s") / n
+    msw = (F.col("q") - F.col(b)) / (n - k)
+    return F.when((n >= 4) & (k >= 2) & (n - k >= 1) & (total > 0), F.sqrt(F.greatest(F.lit(0.0), (between - (k - 1) * msw) / total)))
+
+
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row n, v: bias-corrected, null below four rows or two levels. Only the table of counts is ever regrouped."""
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("o"))
     ra, rb = cells.groupBy("a").agg(F.sum("o").alias("na")), cells.groupBy("b").agg(F.sum("o").alias("nb"))
     joined = cells.join(ra, "a").join(rb, "b")
     one = joined.agg(F.sum("o").alias("n"), F.sum(F.col("o") * F.col("o") / (F.col("na") * F.col("nb"))).alias("q"), F.count_distinct("a").alias("r"), F.count_distinct("b").alias("k"))
-    # chi2 / n = sum(o^2 / (na nb)) - 1
-    n, r, k = F.col("n"), F.col("r"), F.col("k")
-    phi = F.greatest(F.lit(0.0), F.col("q") - 1 - (k - 1) * (r - 1) / (n - 1))
-    rc, kc = r - (r - 1) * (r - 1) / (n - 1), k - (k - 1) * (k - 1) / (n - 1)
-    least = F.least(rc - 1, kc - 1)
-    return one.select(n.cast("long").alias("n"), F.when((n >= 4) & (r >= 2) & (k >= 2) & (least > 0), F.sqrt(phi / least)).alias("v"))
+    return one.select(F.col("n").cast("long").alias("n"), _corrected_v().alias("v"))
 
 
 def correlation_ratio(df: DataFrame, category: str, number: str) -> DataFrame:
@@ -50,11 +111,7 @@ def correlation_ratio(df: DataFrame, category: str, number: str) -> DataFrame:
     x = F.col(number).cast("double")
     by = df.where(F.col(category).isNotNull() & x.isNotNull()).groupBy(category).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
     t = by.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
-    n, k = F.col("n"), F.col("k")
-    total, between = F.col("q") - F.col("s") * F.col("s") / n, F.col("b") - F.col("s") * F.col("s") / n
-    msw = (F.col("q") - F.col("b")) / (n - k)
-    eta = F.sqrt(F.greatest(F.lit(0.0), (between - (k - 1) * msw) / total))
-    return t.select(n.cast("long").alias("n"), F.when((n >= 4) & (k >= 2) & (n - k >= 1) & (total > 0), eta).alias("eta"))
+    return t.select(F.col("n").cast("long").alias("n"), _corrected_eta("b").alias("eta"))
 
 
 def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -182,15 +239,17 @@ def correlation_report(df: DataFrame, columns: Iterable[str] | None = None, top:
     names = known(df, columns)
     numbers, texts = [c for c in names if c in numeric_columns(df)], [c for c in names if c in string_columns(df)]
     rows: list[tuple] = []
-    for r in pearson_pairs(df, numbers).where("r is not null").collect() if len(numbers) > 1 else []:
-        rows.append((r["a"], r["b"], "pearson", r["r"]))
-        rho = _one(spearman(df, r["a"], r["b"]), "rho")
-        if rho is not None and abs(abs(rho) - abs(r["r"])) >= 0.10:
-            rows.append((r["a"], r["b"], "spearman", rho))
+    if len(numbers) > 1:
+        rho = {(r["a"], r["b"]): r["rho"] for r in spearman_pairs(df, numbers).collect()}  # a row a pair
+        for r in pearson_pairs(df, numbers).where("r is not null").collect():
+            rows.append((r["a"], r["b"], "pearson", r["r"]))
+            other = rho.get((r["a"], r["b"]))
+            if other is not None and other == other and abs(abs(other) - abs(r["r"])) >= 0.10:
+                rows.append((r["a"], r["b"], "spearman", other))
     if texts:
         few = [r["column"] for r in _counts(df, texts).where(F.col("n_distinct") <= max_levels).orderBy("column").collect()][:max_categories]
-        rows += [(a, b, "cramers_v", v) for a, b in combinations(few, 2) if (v := _one(cramers_v(df, a, b), "v")) is not None]
-        rows += [(a, b, "eta", v) for a in few for b in numbers if (v := _one(correlation_ratio(df, a, b), "eta")) is not None]
+        rows += [(r["a"], r["b"], "cramers_v", r["v"]) for r in cramers_v_pairs(df, few).where("v is not null").collect()]
+        rows += [(r["a"], r["b"], "eta", r["eta"]) for r in correlation_ratio_pairs(df, few, numbers).where("eta is not null").collect()]
     out = df.sparkSession.createDataFrame(rows, "a string, b string, method string, value double")
     return out.withColumn("collinear", F.col("method").isin("pearson", "spearman") & (F.round(F.abs("value"), 2) >= collinear)).orderBy(F.desc(F.abs("value")), "a", "b", "method").limit(top)
 

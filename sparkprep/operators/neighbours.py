@@ -115,7 +115,9 @@ def isolation_forest(train: DataFrame, df: DataFrame, key: str, features: list[s
     rows = _vectors(train, key, features)
     n = rows.count()
     share = min(1.0, max_samples / max(1, n))
-    drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where(F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000)
+    # a row is copied only to the trees that draw it
+    hits = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("id", t, F.lit(seed)), F.lit(1 << 40)) < share * (1 << 40))
+    drawn = rows.withColumn("tree", F.explode(hits))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         x, state = np.stack(pdf["v"].to_numpy()), np.random.RandomState(int(pdf["tree"].iloc[0]) + 7919 * seed)

@@ -243,6 +243,19 @@ def class_counts(df: DataFrame, target: str, max_classes: int = 50) -> DataFrame
     return counted.join(F.broadcast(total), how="cross").select("label", "n", (F.col("n") / F.col("total")).alias("share"), "imbalance", (F.col("imbalance") > 3).alias("imbalanced")).orderBy(F.desc("n"), "label").limit(max_classes)
 
 
+def profile_report(df: DataFrame, target: str | None = None, top: int = 12) -> dict[str, DataFrame]:
+    """The whole profile: table (one row), columns (with their kinds), top (commonest values), correlations (of numbers) and target."""
+    from sparkprep.operators.associate import pearson_pairs
+
+    numbers = numeric_columns(df)
+    out = {"table": table_overview(df), "columns": profile_table(df).join(infer_kinds(df), "column", "left"), "top": top_values(df, k=top)}
+    if len(numbers) > 1:
+        out["correlations"] = pearson_pairs(df, numbers)
+    if target:
+        out["target"] = target_summary(df, target)
+    return out
+
+
 def target_summary(df: DataFrame, target: str, max_classes: int = 50) -> DataFrame:
     """Of a continuous target its moments and quantiles in one row, else its classes."""
     if target in numeric_columns(df) and df.where(F.col(target).isNotNull()).select(target).distinct().limit(max_classes + 1).count() > max_classes:

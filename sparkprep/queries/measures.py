@@ -48,10 +48,16 @@ book.add(
 )
 ETA = f"""WITH g AS (SELECT avg({{x}}) AS m FROM {DUCK}), b AS (SELECT count({{x}}) AS n, avg({{x}}) AS m, var_pop({{x}}) * count({{x}}) AS w FROM {DUCK} GROUP BY l_returnflag), t AS (SELECT sum(n) AS n, count(*) AS k, sum(n * (b.m - g.m) ** 2) AS ssb, sum(w) AS ssw FROM b, g)
   SELECT 'l_returnflag' AS a, '{{x}}' AS b, 'eta' AS method, sqrt(greatest(0, (ssb - (k - 1) * ssw / (n - k)) / (ssb + ssw))) AS value, false AS collinear FROM t"""
+STEEP = f"(SELECT *, pow(l_quantity, 8) AS steep FROM {DUCK})"
+_PEARSON = "SELECT '{a}' AS a, '{b}' AS b, 'pearson' AS method, corr({a}, {b}) AS value FROM {t}"
+_SPEARMAN = "SELECT '{a}' AS a, '{b}' AS b, 'spearman' AS method, rho AS value FROM (SELECT corr(x, y) AS rho FROM {ranks}), (SELECT corr({a}, {b}) AS r FROM {t}) WHERE abs(abs(rho) - abs(r)) >= 0.10"
+_STEPS = list(combinations(["l_quantity", "square", "steep"], 2))
 book.add(
     "a17_correlation_report",
-    lambda s, d: A.correlation_report(line(s, d), ["l_quantity", "square", "l_returnflag"]).where("method != 'spearman'").where("value > 0.9"),
-    f"SELECT 'l_quantity' AS a, 'square' AS b, 'pearson' AS method, corr(l_quantity, square) AS value, true AS collinear FROM {DUCK}",
+    lambda s, d: A.correlation_report(line(s, d).withColumn("steep", F.pow("l_quantity", F.lit(8.0))), ["l_quantity", "square", "steep", "l_returnflag"]).withColumn("value", F.round("value", 6)),
+    "SELECT a, b, method, round(value, 6) AS value, method <> 'eta' AND round(abs(value), 2) >= 0.95 AS collinear FROM ("
+    + " UNION ALL ".join([_PEARSON.format(a=a, b=b, t=STEEP) for a, b in _STEPS] + [_SPEARMAN.format(a=a, b=b, t=STEEP, ranks=RANKS.format(a=a, b=b, t=STEEP)) for a, b in _STEPS] + ["SELECT * FROM (" + ETA.replace(DUCK, STEEP).format(x=x).replace(", false AS collinear", "") + ")" for x in ("l_quantity", "square", "steep")])
+    + ")",
     "value",
 )
 MI = """WITH c AS (SELECT {a} AS a, {b} AS b, count(*)::DOUBLE AS o FROM {t} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL), j AS (SELECT *, sum(o) OVER (PARTITION BY a) AS na, sum(o) OVER (PARTITION BY b) AS nb, sum(o) OVER () AS n FROM c),

@@ -134,3 +134,30 @@ book.add(
     f"SELECT * FROM ({each(MOMENTS, ['l_discount'])}) JOIN ({each(QUANTILES, ['l_discount'])}) USING (\"column\")",
     "mean std variance minimum maximum skew kurtosis zero_fraction negative_fraction " + QS,
 )
+
+
+def reported(spark, sf_dir):  # noqa: ANN001, ANN201
+    """The parts of a report on orders, each brought to (part, name, value)."""
+    r = P.profile_report(read(spark, sf_dir, "orders"), "o_orderstatus", 3)
+    parts = [
+        r["table"].select(F.lit("table").alias("part"), F.lit("n_duplicates").alias("name"), F.col("n_duplicates").cast("double").alias("value")),
+        r["columns"].select(F.lit("columns"), F.concat_ws(" ", "column", "kind"), F.col("n_distinct").cast("double")), r["top"].where("column = 'o_orderpriority'").select(F.lit("top"), "value", F.col("n").cast("double")),
+        r["correlations"].select(F.lit("correlations"), F.concat_ws(" ", "a", "b"), "r"), r["target"].select(F.lit("target"), "label", F.col("n").cast("double")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+_NUM = ("o_orderkey", "o_custkey", "o_totalprice")
+book.add(
+    "a18_report",
+    reported,
+    """WITH k AS (SELECT 'o_orderkey' AS c, count(DISTINCT o_orderkey) AS d, CASE WHEN count(DISTINCT o_orderkey) >= 0.999 * count(*) AND count(*) >= 20 THEN 'identifier' ELSE 'numeric_discrete' END AS kind FROM orders UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey), 'numeric_discrete' FROM orders
+  UNION ALL SELECT 'o_orderstatus', count(DISTINCT o_orderstatus), 'categorical_nominal' FROM orders UNION ALL SELECT 'o_totalprice', count(DISTINCT o_totalprice), 'numeric_continuous' FROM orders UNION ALL SELECT 'o_orderdate', count(DISTINCT o_orderdate), 'datetime' FROM orders UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority), 'categorical_nominal' FROM orders)
+  SELECT 'table' AS part, 'n_duplicates' AS name, (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM orders)))::DOUBLE AS value FROM orders UNION ALL SELECT 'columns', c || ' ' || kind, d::DOUBLE FROM k
+  UNION ALL (SELECT 'top', o_orderpriority, count(*)::DOUBLE FROM orders GROUP BY o_orderpriority ORDER BY count(*) DESC, o_orderpriority LIMIT 3) UNION ALL SELECT 'target', o_orderstatus, count(*)::DOUBLE FROM orders GROUP BY o_orderstatus UNION ALL """
+    + " UNION ALL ".join(f"SELECT 'correlations', '{a} {b}', corr({a}, {b}) FROM orders" for i, a in enumerate(_NUM) for b in _NUM[i + 1 :]),
+    "value",
+)
