@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkprep.functions.tables import durable
+from sparkprep.operators.encode import fit_scaler, scale
 
 
 def _vectors(df: DataFrame, key: str, features: list[str]) -> DataFrame:
@@ -55,8 +56,16 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, features: list[str],
     return found.withColumn("place", place).where(F.col("place") <= k).select("query", "place", "id", "distance")
 
 
-def knn_predict(train: DataFrame, df: DataFrame, key: str, features: list[str], label: str, k: int = 15, weights: str = "uniform", classify: bool = True) -> DataFrame:
-    """(key, prediction): the neighbours' vote (ties to the smaller label) or their mean."""
+def _scaled(train: DataFrame, features: list[str], *others: DataFrame) -> tuple[DataFrame, ...]:
+    """All frames with the features centred and scaled by the training rows."""
+    fitted = fit_scaler(train, features)
+    return tuple(scale(t, fitted) for t in (train, *others))
+
+
+def knn_predict(train: DataFrame, df: DataFrame, key: str, features: list[str], label: str, k: int = 15, weights: str = "uniform", classify: bool = True, scaled: bool = True) -> DataFrame:
+    """(key, prediction): the neighbours' vote (ties to the smaller label) or their mean. Distances are between scaled features."""
+    if scaled:
+        train, df = _scaled(train, features, df)
     near = nearest(train, df, key, features, k).join(train.select(F.col(key).cast("long").alias("id"), F.col(label).alias("_y")), "id")
     w = F.lit(1.0) if weights == "uniform" else 1 / F.greatest("distance", F.lit(1e-12))
     if not classify:
@@ -66,8 +75,10 @@ def knn_predict(train: DataFrame, df: DataFrame, key: str, features: list[str],
     return votes.withColumn("k", F.row_number().over(best)).where("k = 1").select(F.col("query").alias(key), F.col("_y").alias("prediction"))
 
 
-def local_outlier_factor(train: DataFrame, df: DataFrame, key: str, features: list[str], k: int = 20) -> DataFrame:
-    """(key, lof) of new rows against the training rows: mean reachability density of the neighbours over the row's own."""
+def local_outlier_factor(train: DataFrame, df: DataFrame, key: str, features: list[str], k: int = 20, scaled: bool = True) -> DataFrame:
+    """(key, lof) of new rows against the training rows: mean reachability density of the neighbours over the row's own. Distances are between scaled features."""
+    if scaled:
+        train, df = _scaled(train, features, df)
     own = durable(nearest(train, train, key, features, k, exclude_self=True))
     reach_k = own.groupBy(F.col("query").alias("id")).agg(F.max("distance").alias("kd"))
     density = own.join(reach_k, "id").groupBy(F.col("query").alias("id")).agg((1 / F.greatest(F.avg(F.greatest("distance", "kd")), F.lit(1e-12))).alias("lrd"))
@@ -75,12 +86,15 @@ def local_outlier_factor(train: DataFrame, df: DataFrame, key: str, features: li
     return near.groupBy(F.col("query").alias(key)).agg((F.avg("lrd") * F.greatest(F.avg(F.greatest("distance", "kd")), F.lit(1e-12))).alias("lof"))
 
 
-def dbscan(df: DataFrame, key: str, features: list[str], eps: float = 0.5, min_samples: int = 5) -> DataFrame:
+def dbscan(df: DataFrame, key: str, features: list[str], eps: float = 0.5, min_samples: int = 5, scaled: bool = True) -> DataFrame:
     """(key, cluster): cluster is the smallest key among its core rows, noise -1; a border row joins its smallest core neighbour's cluster.
 
     Rows meet by grid cells of side eps and their neighbours (for few features).
     Core rows' smallest labels spread along links, checkpointed, until none changes.
+    Distances are between scaled features.
     """
+    if scaled:
+        (df,) = _scaled(df, features)
     dims = len(features)
     base = _vectors(df, key, features)
     cells = base.withColumn("cell", F.transform("v", lambda x: F.floor(x / eps)))

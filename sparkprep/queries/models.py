@@ -197,19 +197,28 @@ def candidates(spark, sf_dir):  # noqa: ANN001, ANN201
 book.add("n3_n18_t3_candidates", candidates)
 book.add("n9_j5_nearest_neighbours", lambda s, d: NB.nearest(t := labelled(s, d), t.where("key % 50 = 0"), "key", ["x1", "x2"], 3), """WITH t AS (SELECT c_custkey AS key, c_acctbal / 1000 AS a, c_nationkey * 1.0::DOUBLE AS b FROM customer)
   SELECT q.key AS query, row_number() OVER (PARTITION BY q.key ORDER BY sqrt((q.a - t.a) ** 2 + (q.b - t.b) ** 2), t.key)::INT AS place, t.key AS id, sqrt((q.a - t.a) ** 2 + (q.b - t.b) ** 2) AS distance FROM t, t q WHERE q.key % 50 = 0 QUALIFY place <= 3""", "distance")
-book.add("n9_knn", lambda s, d: NB.knn_predict((t := labelled(s, d)).where("fold != 0"), t.where("fold = 0"), "key", ["x1", "x2"], "label", 5), """WITH t AS (SELECT c_custkey AS key, c_acctbal / 1000 AS a, c_nationkey * 1.0::DOUBLE AS b, (c_acctbal / 1000 + c_custkey % 7 > 6)::INT::DOUBLE AS y FROM customer),
+book.add("n9_knn", lambda s, d: NB.knn_predict((t := labelled(s, d)).where("fold != 0"), t.where("fold = 0"), "key", ["x1", "x2"], "label", 5, scaled=False), """WITH t AS (SELECT c_custkey AS key, c_acctbal / 1000 AS a, c_nationkey * 1.0::DOUBLE AS b, (c_acctbal / 1000 + c_custkey % 7 > 6)::INT::DOUBLE AS y FROM customer),
   n AS (SELECT q.key, t.y FROM t, t q WHERE q.key % 5 = 0 AND t.key % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY q.key ORDER BY sqrt((q.a - t.a) ** 2 + (q.b - t.b) ** 2), t.key) <= 5)
   SELECT key, y AS prediction FROM n GROUP BY key, y QUALIFY row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, y) = 1""", "prediction")
+_SPREAD = "s AS (SELECT stddev_pop(c_acctbal / 1000) AS sa, stddev_pop(c_nationkey::DOUBLE) AS sb FROM customer WHERE c_custkey % 5 <> 0)"
+book.add(
+    "n19_scaled_neighbours",
+    lambda s, d: NB.knn_predict((t := labelled(s, d)).where("fold != 0"), t.where("fold = 0"), "key", ["x1", "x2"], "y", 3, classify=False),
+    f"""WITH {_SPREAD}, t AS (SELECT c_custkey AS key, c_acctbal / 1000 / sa AS a, c_nationkey / sb AS b, c_acctbal * 2 + c_nationkey AS y FROM customer, s),
+  n AS (SELECT q.key, t.y FROM t, t q WHERE q.key % 5 = 0 AND t.key % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY q.key ORDER BY round((q.a - t.a) ** 2 + (q.b - t.b) ** 2, 12), t.key) <= 3)
+  SELECT key, avg(y) AS prediction FROM n GROUP BY key""",
+    "prediction",
+)
 for _family in ("kmeans", "gaussian_mixture"):
     book.add(f"n12_{_family}", lambda s, d, f=_family: M.predict(M.pipeline(f, "clustering", ["x1", "x2"]).fit(t := labelled(s, d)), t).select("key", F.col("prediction").alias("cluster")))
-book.add("n13_dbscan", lambda s, d: NB.dbscan(labelled(s, d), "key", ["x1", "x2"], 0.05, 3), """WITH RECURSIVE t AS (SELECT c_custkey AS key, c_acctbal / 1000 AS a, c_nationkey * 1.0::DOUBLE AS b FROM customer),
+book.add("n13_dbscan", lambda s, d: NB.dbscan(labelled(s, d), "key", ["x1", "x2"], 0.05, 3, scaled=False), """WITH RECURSIVE t AS (SELECT c_custkey AS key, c_acctbal / 1000 AS a, c_nationkey * 1.0::DOUBLE AS b FROM customer),
   l AS (SELECT x.key AS x, y.key AS y FROM t x JOIN t y ON x.b = y.b AND abs(x.a - y.a) <= 0.0501 AND (x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b) <= 0.05 * 0.05::DOUBLE),
   core AS (SELECT x AS key FROM l GROUP BY x HAVING count(*) >= 3), e AS (SELECT x, y FROM l WHERE x IN (FROM core) AND y IN (FROM core)),
   reach AS (SELECT key, key AS low FROM core UNION SELECT e.x, r.low FROM reach r JOIN e ON e.y = r.key WHERE r.low < e.x),
   c AS (SELECT key, min(low) AS cluster FROM reach GROUP BY key), b AS (SELECT l.x AS key, arg_min(c.cluster, c.key) AS near FROM l JOIN c ON c.key = l.y GROUP BY l.x)
   SELECT t.key, coalesce(c.cluster, b.near, -1) AS cluster FROM t LEFT JOIN c USING (key) LEFT JOIN b USING (key)""")
 book.add("n14_isolation_forest", lambda s, d: NB.isolation_forest(t := labelled(s, d), t, "key", ["x1", "x2"]))
-book.add("n15_local_outlier_factor", lambda s, d: NB.local_outlier_factor((t := labelled(s, d)).where("fold != 0"), t.where("fold = 0"), "key", ["x1", "x2"], 10), """WITH t AS (SELECT c_custkey AS key, c_acctbal / 1000 AS a, c_nationkey * 1.0::DOUBLE AS b FROM customer), r AS (SELECT * FROM t WHERE key % 5 <> 0),
+book.add("n15_local_outlier_factor", lambda s, d: NB.local_outlier_factor((t := labelled(s, d)).where("fold != 0"), t.where("fold = 0"), "key", ["x1", "x2"], 10, scaled=False), """WITH t AS (SELECT c_custkey AS key, c_acctbal / 1000 AS a, c_nationkey * 1.0::DOUBLE AS b FROM customer), r AS (SELECT * FROM t WHERE key % 5 <> 0),
   own AS (SELECT q.key AS q, r.key AS id, sqrt((q.a - r.a) ** 2 + (q.b - r.b) ** 2) AS d FROM r q JOIN r ON q.key <> r.key QUALIFY row_number() OVER (PARTITION BY q.key ORDER BY sqrt((q.a - r.a) ** 2 + (q.b - r.b) ** 2), r.key) <= 10),
   kd AS (SELECT q AS id, max(d) AS kd FROM own GROUP BY q), lrd AS (SELECT q AS id, 1 / greatest(avg(greatest(d, kd)), 1e-12) AS lrd FROM own JOIN kd USING (id) GROUP BY q),
   near AS (SELECT q.key AS key, r.key AS id, sqrt((q.a - r.a) ** 2 + (q.b - r.b) ** 2) AS d FROM t q, r WHERE q.key % 5 = 0 QUALIFY row_number() OVER (PARTITION BY q.key ORDER BY sqrt((q.a - r.a) ** 2 + (q.b - r.b) ** 2), r.key) <= 10)

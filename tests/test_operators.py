@@ -137,7 +137,7 @@ def test_dbscan_lof_and_forest_find_what_is_planted(spark):
     state = np.random.RandomState(4)
     rows = [(i, *map(float, state.normal([0, 0] if i < 60 else [10, 10], 0.3))) for i in range(120)] + [(500, 5.0, 5.0)]
     df = spark.createDataFrame(rows, "key long, x double, y double")
-    found = {r["key"]: r["cluster"] for r in NB.dbscan(df, "key", ["x", "y"], 0.8, 4).collect()}
+    found = {r["key"]: r["cluster"] for r in NB.dbscan(df, "key", ["x", "y"], 0.8, 4, scaled=False).collect()}
     assert found[500] == -1 and len({found[i] for i in range(60)}) <= 2 and found[0] != found[119]
     assert NB.isolation_forest(df, df, "key", ["x", "y"], 50).orderBy(F.desc("score")).first()["key"] == 500
     lof = {r["key"]: r["lof"] for r in NB.local_outlier_factor(df.where("key != 500"), df, "key", ["x", "y"], 10).collect()}
