@@ -22,7 +22,7 @@ from sparkprep.operators import quality as L
 from sparkprep.operators import split as V
 from sparkprep.plans import prepare
 from sparkprep.queries.base import Book
-from sparkprep.queries.measures import DS, scored
+from sparkprep.queries.measures import DS, MI, scored
 from sparkprep.sources import readers
 from sparkprep.streaming import score as Z
 
@@ -351,7 +351,17 @@ def _findings_sql() -> str:
 
 
 book.add("l4_quality_findings", lambda s, d: L.quality_findings(s.sql(FLAWED.format(text="STRING", orders="{orders}"), orders=read(s, d, "orders")), "o_orderstatus").select("code", "column", "severity"), _findings_sql())
-book.add("l5_l6_recommendations", lambda s, d: s.createDataFrame([(x["action"], ",".join(x["columns"])) for x in L.recommend_cleaning(orders(s, d), "o_orderstatus")] + [(x["op"], ",".join(x["columns"])) for x in L.recommend_features(orders(s, d), "o_orderstatus")], "decision string, columns string"))
+_OUT = "(SELECT count(*) FILTER (b > a AND ({c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a))) / count({c})::DOUBLE AS f, count(DISTINCT {c}) AS d, skewness({c}) AS k, min({c}) AS low FROM orders, (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM orders))"
+_DECIDED = [
+    "SELECT 'drop_duplicate_rows' AS decision, '' AS columns FROM orders HAVING count(*) > (SELECT count(*) FROM (SELECT DISTINCT * FROM orders))", "SELECT 'drop_rows_missing_target', 'o_orderstatus' FROM orders HAVING count(*) >= 0",
+    "SELECT unnest(['date_decompose', 'cyclical_encode']), 'o_orderdate' FROM (SELECT count(DISTINCT o_orderdate) AS d FROM orders) WHERE d > 1",
+    "SELECT CASE WHEN d <= 15 THEN 'one_hot_encode' ELSE 'frequency_encode' END, 'o_orderpriority' FROM (SELECT count(DISTINCT o_orderpriority) AS d, count(*) AS n FROM orders) WHERE d > 1 AND d < 0.95 * n",
+    "SELECT 'drop_correlated', 'o_orderkey,o_custkey,o_totalprice' FROM orders HAVING count(*) >= 0",
+]
+for _c in ("o_orderkey", "o_custkey", "o_totalprice"):
+    _o = _OUT.format(c=_c)
+    _DECIDED += [f"SELECT 'clip_outliers', '{_c}' FROM {_o} WHERE f > 0.02 AND d > 1", f"SELECT 'log_transform', '{_c}' FROM {_o} WHERE k > 1.5 AND low >= 0 AND d > 1", f"SELECT CASE WHEN f > 0.02 THEN 'robust_scale' ELSE 'standard_scale' END, '{_c}' FROM {_o} WHERE d > 1"]
+book.add("l5_l6_recommendations", lambda s, d: s.createDataFrame([(x["action"], ",".join(x["columns"])) for x in L.recommend_cleaning(orders(s, d), "o_orderstatus")] + [(x["op"], ",".join(x["columns"])) for x in L.recommend_features(orders(s, d), "o_orderstatus")], "decision string, columns string"), " UNION ALL ".join(_DECIDED))
 TASK = """SELECT '{c}' AS target, CASE WHEN k > 50 OR f AND k > 2 OR {number} AND k > 20 THEN 'regression' WHEN k <= 2 THEN 'binary' ELSE 'multiclass' END AS task FROM (SELECT count(DISTINCT {c}) AS k, {fraction} AS f FROM {t})"""
 book.add(
     "l7_infer_task",
@@ -531,6 +541,16 @@ def target_report(spark, sf_dir):  # noqa: ANN001, ANN201
     return A.target_report(spark, A.target_associations(df, "o_orderstatus", ["o_totalprice", "o_orderpriority"]), "o_orderstatus")
 
 
-book.add("a22_target_report", target_report)
+_BINNED = f"(SELECT o_orderstatus, len(list_filter(edges, lambda e: o_totalprice >= e)) AS bin FROM orders, (SELECT list_sort(list_distinct(quantile_cont(o_totalprice, [{', '.join(str(k / 20) for k in range(21))}])))[2:-2] AS edges FROM orders))"
+book.add(
+    "a22_target_report",
+    lambda s, d: target_report(s, d).withColumn("value", F.round("value", 6)),
+    f"""SELECT a, 'o_orderstatus' AS b, method, round(value, 6) AS value FROM (
+  SELECT 'o_orderpriority' AS a, 'mutual_information' AS method, normalised AS value FROM ({MI.format(a="o_orderpriority", b="o_orderstatus", t="orders")}) UNION ALL SELECT 'o_totalprice', 'mutual_information', normalised FROM ({MI.format(a="bin", b="o_orderstatus", t=_BINNED)})
+  UNION ALL SELECT 'o_totalprice', 'eta', sqrt(greatest(0, (ssb - (k - 1) * ssw / (n - k)) / (ssb + ssw))) FROM (SELECT sum(n) AS n, count(*) AS k, sum(n * (m - (SELECT avg(o_totalprice) FROM orders)) ** 2) AS ssb, sum(w) AS ssw FROM (SELECT count(*) AS n, avg(o_totalprice) AS m, var_pop(o_totalprice) * count(*) AS w FROM orders GROUP BY o_orderstatus))
+  UNION ALL SELECT 'o_orderpriority', 'cramers_v', sqrt(greatest(0, phi - (k - 1) * (r - 1) / (n - 1)) / least(r - (r - 1) ** 2 / (n - 1) - 1, k - (k - 1) ** 2 / (n - 1) - 1)) FROM (SELECT max(n) AS n, sum((o - na * nb / n) ** 2 / (na * nb / n)) / max(n) AS phi, count(DISTINCT x) AS r, count(DISTINCT y) AS k
+    FROM (SELECT *, sum(o) OVER (PARTITION BY x) AS na, sum(o) OVER (PARTITION BY y) AS nb, sum(o) OVER () AS n FROM (SELECT o_orderpriority AS x, o_orderstatus AS y, count(*)::DOUBLE AS o FROM orders GROUP BY ALL))))""",
+    "value",
+)
 book.add("p5_p6_initial_features", lambda s, d: s.createDataFrame([(c, why, prepare.default_treatment(o, [c])[c]) for o in [orders(s, d)] for c, why in prepare.initial_features(o, "o_orderstatus", ["o_orderkey"])], "column string, reason string, treatment string"), """SELECT 'o_orderkey' AS "column", 'identifier' AS reason, 'pass' AS treatment FROM orders HAVING count(*) >= 0 UNION ALL SELECT 'o_custkey', '', 'pass' FROM orders HAVING count(*) >= 0 UNION ALL SELECT 'o_totalprice', '', 'pass' FROM orders HAVING count(*) >= 0
   UNION ALL SELECT c, r, CASE WHEN d <= 1 THEN 'drop' WHEN d <= 50 THEN 'one_hot' ELSE 'exclude' END FROM (SELECT 'o_orderdate' AS c, 'raw time' AS r, count(DISTINCT o_orderdate) AS d FROM orders UNION ALL SELECT 'o_orderstatus', 'target', count(DISTINCT o_orderstatus) FROM orders UNION ALL SELECT 'o_orderpriority', '', count(DISTINCT o_orderpriority) FROM orders)""")
