@@ -173,9 +173,7 @@ def isolation_forest(train: DataFrame, df: DataFrame, key: str, features: list[s
                 total += t[at, 4] / max(_expected(size), 1e-12)
             yield pd.Series(2.0 ** (-total / max(1, len(shared.value))))
 
-    from pyspark.sql.pandas.functions import PandasUDFType
-
-    made = F.pandas_udf(score, "double", PandasUDFType.SCALAR_ITER)
+    made = F.pandas_udf(score, "double")
     return _vectors(df, key, features).select(F.col("id").alias(key), made("v").alias("score"))
 
 
