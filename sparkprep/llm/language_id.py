@@ -33,14 +33,15 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.llm import common as c
 
 UNDETERMINED = "und"
-#: Characters that are looked at together.
-_PIECE = 1 << 20
+#: Characters that are looked at together, and unknown words that a worker keeps.
+_PIECE, _KEPT = 1 << 18, 50_000
 #: A character that ends every word.
 _OUTSIDE = re.compile(r"[\W\d_]")
 
@@ -73,13 +74,14 @@ def words_digest(words: list[str]) -> np.ndarray:
 class LanguageModel:
     """languages; words and grams: text -> log frequency in each language."""
 
-    def __init__(self, languages: list[str], words: dict[str, tuple], grams: dict[str, tuple], max_n: int, sharpness: float) -> None:
+    def __init__(self, languages: list[str], words: dict[str, tuple] | tuple[list[str], np.ndarray], grams: dict[str, tuple], max_n: int, sharpness: float) -> None:
         self.languages, self.grams, self.max_n, self.sharpness = languages, grams, max_n, sharpness
-        keys = words_digest(list(words))
+        names, rows = (list(words), list(words.values())) if isinstance(words, dict) else words
+        keys = words_digest(names)
         order = np.argsort(keys)
         #: Known words by digest, in order, and their rows.
         self.keys = keys[order]
-        self.table = np.array(list(words.values()), dtype=np.float64).reshape(len(words), len(languages))[order]
+        self.table = np.array(rows, dtype=np.float64).reshape(len(names), len(languages))[order]
         self._memo: dict[int, tuple] = {}
 
     def _by_grams(self, word: str) -> tuple:
@@ -110,7 +112,7 @@ class LanguageModel:
         lost = np.flatnonzero(~known)
         if len(lost):
             new, first, back = np.unique(digests[lost], return_index=True, return_inverse=True)
-            if len(self._memo) > 200_000:
+            if len(self._memo) > _KEPT:
                 self._memo.clear()
             rows = []
             for digest, i in zip(new.tolist(), lost[first].tolist(), strict=True):
@@ -212,19 +214,21 @@ def fit_language_model(
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(max_languages)
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.join(sizes, "lang").where(place < max_docs_per_language / F.col("rows")).withColumn("key", F.xxhash64("text")).dropDuplicates(["lang", "key"])
-    counts = sample.select("lang", "text").mapInArrow(_grams(max_n, 200_000), "lang string, kind int, item string, n long")
-    rows = counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    languages = sorted(rows["lang"].unique().tolist())
-    tables = []
+    counts = sample.select("lang", "text").mapInArrow(_grams(max_n, 50_000), "lang string, kind int, item string, n long")
+    rows = counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).toArrow()
+    languages = sorted(rows.column("lang").unique().to_pylist())
+    place = {x: i for i, x in enumerate(languages)}
+    tables: list[tuple[list[str], np.ndarray]] = []
     for kind in (0, 1):
-        part = rows[rows["kind"] == kind]
-        totals = part.groupby("lang")["n"].sum().reindex(languages)
-        items, item = np.unique(part["item"].to_numpy(dtype=object), return_inverse=True)
-        logs = np.tile(np.log(0.5 / totals.to_numpy(dtype=float)), (len(items), 1))
-        lang = np.searchsorted(np.array(languages, dtype=object), part["lang"].to_numpy(dtype=object)) if len(part) else np.zeros(0, dtype=int)
-        logs[item, lang] = np.log(part["n"].to_numpy(dtype=float) / totals.to_numpy(dtype=float)[lang])
-        tables.append(dict(zip(items.tolist(), map(tuple, logs.tolist()), strict=True)))
-    return LanguageModel(languages, *tables, max_n, sharpness)
+        part = rows.filter(pc.equal(rows.column("kind"), kind)).combine_chunks()
+        items, langs = (part.column(c).combine_chunks().dictionary_encode() for c in ("item", "lang"))
+        lang = np.array([place[x] for x in langs.dictionary.to_pylist()], dtype=np.int64)[langs.indices.to_numpy()] if len(part) else np.zeros(0, dtype=np.int64)
+        n = part.column("n").to_numpy().astype(float)
+        totals = np.bincount(lang, weights=n, minlength=len(languages))
+        logs = np.tile(np.log(0.5 / np.maximum(totals, 1.0)), (len(items.dictionary), 1))
+        logs[items.indices.to_numpy(), lang] = np.log(n / totals[lang])
+        tables.append((items.dictionary.to_pylist(), logs))
+    return LanguageModel(languages, tables[0], dict(zip(tables[1][0], map(tuple, tables[1][1].tolist()), strict=True)), max_n, sharpness)
 
 
 def _predictor(shared):  # noqa: ANN001, ANN202
