@@ -28,13 +28,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, filterfalse, repeat
-from operator import add
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -82,19 +81,14 @@ def read_pieces(model_file: str = MODEL) -> tuple[dict[str, int], dict[str, int]
 
 
 class PieceCodec:
-    """Encodes and decodes texts; keeps the segmentations of up to ``memo`` units, or as many nodes of their trees.
+    """Encodes and decodes texts, each occurrence of a unit by its own draws; keeps up to ``memo`` nodes of the units' trees."""
 
-    With ``variants`` None each occurrence draws for itself, as ``encode_pieces`` has it; with a
-    number a unit has only so many segmentations, of which an occurrence takes one.
-    """
-
-    def __init__(self, ranks: dict[str, int], ids: dict[str, int], raw: list[bytes], dropout: float, seed: int, variants: int | None = 4, memo: int = 400_000) -> None:
-        self.ranks, self.ids, self.raw, self.variants, self.memo = ranks, ids, raw, variants if dropout > 0 else 1, memo
+    def __init__(self, ranks: dict[str, int], ids: dict[str, int], raw: list[bytes], dropout: float, seed: int, memo: int = 200_000) -> None:
+        self.ranks, self.ids, self.raw, self.memo = ranks, ids, raw, memo
         pieces = set(ids.values())
         self.byte_ids = {b[0]: i for i, b in enumerate(raw) if len(b) == 1 and i not in pieces}
         self.limit = int(dropout * (1 << 32))
         self.seed = seed
-        self.table: dict[str, bytes] = {}
         self.pairs = _PairTable(ranks, ids)
         self.trees = _Trees(self)
 
@@ -110,10 +104,6 @@ class PieceCodec:
                 return NEVER
         return rank
 
-    def segment(self, unit: str, variant: int) -> list[int]:
-        """Ids of one unit, whose spaces are written as U+2581."""
-        return self._ids(self._parts(unit, (zlib.crc32(unit.encode()) * _SCATTER + (self.seed * 64 + variant) * _SEED) & _ALL if self.limit else 0))
-
     def _parts(self, unit: str, key: int) -> list[str]:
         return self._by_scan(unit, key) if len(unit) <= _SHORT else self._by_heap(unit, key)
 
@@ -173,37 +163,8 @@ class PieceCodec:
             at = after[at]
         return out
 
-    def _names(self, text: str, key: int) -> list[str]:
-        """The text's units, each with the digit of the variant that this occurrence takes."""
-        units = _UNIT.findall(" " + text)
-        if self.variants == 1:
-            return list(map(add, units, "0" * len(units)))
-        n = np.arange(len(units), dtype=np.uint64) + np.uint64((key * _START + self.seed) & _ALL)
-        which = (c.mix(n) % np.uint64(self.variants)).astype(np.uint8) + np.uint8(48)
-        return list(map(add, units, which.tobytes().decode("latin-1")))
-
     def encode_all(self, texts: list[str | None], keys: list[int]) -> list[bytes | None]:
         """Each text's ids as 32-bit little-endian integers."""
-        if self.variants is None:
-            return self._encode_drawn(texts, keys)
-        names = [self._names(t, k) if t else [] for t, k in zip(texts, keys, strict=True)]
-        missing = set(filterfalse(self.table.__contains__, chain.from_iterable(names)))
-        if len(missing) + len(self.table) > self.memo:
-            self.table.clear()
-            missing = set(chain.from_iterable(names))
-        by_length: dict[int, list[str]] = {}
-        for name in missing:
-            if len(name) > _SHORT + 1 or SPACE in name:
-                self.table[name] = self._one(name)
-            else:
-                by_length.setdefault(len(name), []).append(name)
-        for group in by_length.values():
-            self.table.update(zip(group, self._many(group), strict=True))
-        found = self.table.__getitem__
-        return [None if t is None else b"".join(map(found, n)) for t, n in zip(texts, names, strict=True)]
-
-    def _encode_drawn(self, texts: list[str | None], keys: list[int]) -> list[bytes | None]:
-        """Every occurrence by its own draws."""
         units = [_UNIT.findall(" " + t) if t else [] for t in texts]
         ends = np.cumsum([len(u) for u in units])
         flat = list(chain.from_iterable(units))
@@ -228,23 +189,6 @@ class PieceCodec:
     def encode(self, text: str, key: int) -> bytes:
         return self.encode_all([text], [key])[0]
 
-    def _one(self, name: str) -> bytes:
-        """Any unit; a literal U+2581 is written as bytes."""
-        out: list[int] = []
-        for i, piece in enumerate(name[:-1].split(SPACE)):
-            out += [self.byte_ids[b] for b in SPACE.encode()] if i else []
-            out += self.segment(piece.replace(" ", SPACE), ord(name[-1]) - 48) if piece else []
-        return np.array(out, dtype=np.int32).tobytes()
-
-    def _many(self, group: list[str]) -> list[bytes]:
-        """Short units of one length, all their agendas a step at a time; the same result as ``segment``."""
-        units = [g[:-1].replace(" ", SPACE) for g in group]
-        key = np.zeros(len(units), dtype=np.uint64)
-        if self.limit:
-            salts = np.array([((self.seed * 64 + v) * _SEED) & _ALL for v in range(self.variants)], dtype=np.uint64)
-            key = np.array([zlib.crc32(u.encode()) for u in units], dtype=np.uint64) * np.uint64(_SCATTER) + salts[[ord(g[-1]) - 48 for g in group]]
-        return self.run(units, key)
-
     def run(self, units: list[str], key: np.ndarray) -> list[bytes]:
         """Short units of one length, spaces written as U+2581, each by its key."""
         n = len(units[0])
@@ -461,18 +405,18 @@ def _shared(spark, model_file: str):  # noqa: ANN001, ANN202
 _CODECS: dict[tuple, PieceCodec] = {}
 
 
-def _codec(shared, dropout: float, seed: int, variants: int | None) -> PieceCodec:  # noqa: ANN001
+def _codec(shared, dropout: float, seed: int) -> PieceCodec:  # noqa: ANN001
     """A worker's codec, kept from task to task with the trees it has grown; each model has its own."""
     digest, pieces = shared
-    name = (digest, dropout, seed, variants)
+    name = (digest, dropout, seed)
     if name not in _CODECS:
         _CODECS.clear()
-        _CODECS[name] = PieceCodec(*pieces.value, dropout, seed, variants)
+        _CODECS[name] = PieceCodec(*pieces.value, dropout, seed)
     return _CODECS[name]
 
 
 def encode_pieces(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL, dropout: float = 0.1, seed: int = 17, variants: int | None = None, ids_out: str = "ids", check_out: str | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL, dropout: float = 0.1, seed: int = 17, ids_out: str = "ids", check_out: str | None = None
 ) -> DataFrame:
     """docs with ``ids_out`` array<int>; and, if ``check_out`` is given, the text decoded from them again."""
     shared = _shared(docs.sparkSession, model_file)
@@ -480,7 +424,7 @@ def encode_pieces(
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, dropout, seed, variants)
+        codec = _codec(shared, dropout, seed)
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
@@ -504,16 +448,12 @@ def decode_pieces(encoded: DataFrame, ids_col: str = "ids", model_file: str = MO
     """encoded with the text of its ids."""
     shared = _shared(encoded.sparkSession, model_file)
 
-    def run(ids):  # noqa: ANN001, ANN202
-        import pandas as pd
-
+    def run(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in ids:
-            codec = _codec(shared, 0.0, 0, 1)
+            codec = _codec(shared, 0.0, 0)
             yield pd.Series([None if x is None else codec.decode(list(x)) for x in series], dtype=object)
 
-    from pyspark.sql.pandas.functions import PandasUDFType
-
-    return encoded.withColumn(text_out, F.pandas_udf(run, "string", PandasUDFType.SCALAR_ITER)(F.col(ids_col)))
+    return encoded.withColumn(text_out, F.pandas_udf(run, "string")(F.col(ids_col)))
 
 
 def op2_piece_dropout(spark, sf_dir: str) -> DataFrame:
