@@ -78,8 +78,7 @@ def test_pieces_equal_the_library_without_dropout_and_decode_exactly(raw):
 def test_dropout_varies_reruns_agree_and_all_texts_come_back(docs, raw):
     codec = piece_dropout.PieceCodec(*piece_dropout.read_pieces(), 0.3, 5)
     ways = {codec.encode("internationalisation", k) for k in range(40)}
-    assert 1 < len(ways) <= 4
-    assert all(codec._one(name) == ids for name, ids in list(codec.table.items()))  # all at once as one by one
+    assert len(ways) > 4
     out = piece_dropout.encode_pieces(docs, dropout=0.2, check_out="back")
     rows = out.select("doc_id", "text", "ids", "back").collect()
     assert len(rows) == len(raw) and all(r["text"] == r["back"] for r in rows)
@@ -91,7 +90,7 @@ def test_dropout_varies_reruns_agree_and_all_texts_come_back(docs, raw):
 
 
 def test_dropout_is_drawn_for_each_occurrence():
-    codec = piece_dropout.PieceCodec(*piece_dropout.read_pieces(), 0.1, 17, None)
+    codec = piece_dropout.PieceCodec(*piece_dropout.read_pieces(), 0.1, 17)
     n = 20_000
     text = " ".join(["a"] * n)  # ' a' has one candidate merge, which is two pieces when skipped
     ids = [np.frombuffer(codec.encode(text, k), dtype=np.int32) for k in range(3)]
@@ -99,13 +98,13 @@ def test_dropout_is_drawn_for_each_occurrence():
     assert all(codec.decode(x.tolist()) == text for x in ids)
     r = random.Random(7)
     for rate, seed in ((0.1, 1), (0.5, 2), (1.0, 3)):
-        codec = piece_dropout.PieceCodec(*piece_dropout.read_pieces(), rate, seed, None)
+        codec = piece_dropout.PieceCodec(*piece_dropout.read_pieces(), rate, seed)
         texts = [" ".join(r.choice(["internationalisation", "the", "x▁y", "b" * 60, "Ünïcode", "漢字", "  two", "1\n2"]) for _ in range(300)) for _ in range(4)]
         for k, (t, got) in enumerate(zip(texts, codec.encode_all(texts, [0, 1, 2, 3]), strict=True)):  # down the trees as by the agenda
             units = piece_dropout._UNIT.findall(" " + t)
             assert got == b"".join(codec.drawn(u, int(x)) for u, x in zip(units, codec.draws(k, len(units)), strict=True))
             assert codec.decode(got) == t
-    ways = {codec.encode("internationalisation", k) for codec in [piece_dropout.PieceCodec(*piece_dropout.read_pieces(), 0.3, 5, None)] for k in range(40)}
+    ways = {codec.encode("internationalisation", k) for codec in [piece_dropout.PieceCodec(*piece_dropout.read_pieces(), 0.3, 5)] for k in range(40)}
     assert len(ways) > 4
 
 
@@ -144,7 +143,7 @@ def by_hand(unit, key, limit, ranks, ids):
 @pytest.mark.parametrize("dropout", [0.1, 0.6])
 def test_dropout_against_the_agenda_by_hand(dropout):
     ranks, ids, raw = piece_dropout.read_pieces()
-    codec = piece_dropout.PieceCodec(ranks, ids, raw, dropout, 23, None)
+    codec = piece_dropout.PieceCodec(ranks, ids, raw, dropout, 23)
     r = random.Random(5)
     text = " ".join(r.choice(["internationalisation", "the", "banana", "of", "misunderstandings", "w" * 40]) for _ in range(400))
     got = np.frombuffer(codec.encode(text, 77), dtype=np.int32).tolist()
