@@ -105,10 +105,10 @@ def _quantile_rows(counts: DataFrame, probabilities: Iterable[float]) -> DataFra
     return found.select("column", "n", "p", (F.col("a") + F.col("part") * (F.coalesce("b", "a") - F.col("a"))).alias("q"))
 
 
-def quantiles(df: DataFrame, columns: Iterable[str] | None = None, probabilities: tuple[float, ...] = QUANTILES, counts: DataFrame | None = None) -> DataFrame:
-    """column, q01.. with linear interpolation; exact, and no task holds a column's values."""
+def quantiles(df: DataFrame, columns: Iterable[str] | None = None, probabilities: tuple[float, ...] = QUANTILES, rows: DataFrame | None = None) -> DataFrame:
+    """column, q01.. with linear interpolation; exact, and no task holds a column's values. ``rows`` are the quantiles a row each, if they are at hand."""
     names = [c for c in known(df, columns) if c in numeric_columns(df)]
-    rows = _quantile_rows(value_counts(_numbers(df, names), names) if counts is None else counts, probabilities)
+    rows = _quantile_rows(value_counts(_numbers(df, names), names), probabilities) if rows is None else rows
     wide = rows.groupBy(F.col("column").alias("_c")).agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(f"q{round(p * 100):02d}") for p in probabilities])
     each = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
     return each.join(wide, F.col("column") == F.col("_c"), "left").drop("_c")
@@ -133,12 +133,12 @@ def fences(df: DataFrame, columns: list[str], multiplier: float = 1.5) -> DataFr
     return df.agg(*aggs)
 
 
-def iqr_outliers(df: DataFrame, columns: Iterable[str] | None = None, multiplier: float = 1.5, counts: DataFrame | None = None) -> DataFrame:
+def iqr_outliers(df: DataFrame, columns: Iterable[str] | None = None, multiplier: float = 1.5, counts: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
     """column, lower, upper, n_outliers, outlier_fraction. Below four values none; without spread the bounds are the quartiles and nothing is outside."""
     names = [c for c in known(df, columns) if c in numeric_columns(df)]
     if counts is None:
         counts = durable(value_counts(_numbers(df, names), names))
-    rows = _quantile_rows(counts, (0.25, 0.75)).groupBy(F.col("column").alias("_q")).agg(F.max("n").alias("_n"), F.min("q").alias("a"), F.max("q").alias("b"))
+    rows = (_quantile_rows(counts, (0.25, 0.75)) if rows is None else rows.where("p in (0.25, 0.75)")).groupBy(F.col("column").alias("_q")).agg(F.max("n").alias("_n"), F.min("q").alias("a"), F.max("q").alias("b"))
     v = F.coalesce(F.col("whole").cast("double"), "real")
     reach = F.when(F.col("b") > F.col("a"), F.lit(multiplier) * (F.col("b") - F.col("a"))).otherwise(0.0)
     joined = counts.where("whole is not null or real is not null").join(F.broadcast(rows), F.col("column") == F.col("_q"))  # a row a column
@@ -275,7 +275,8 @@ def profile_table(df: DataFrame, columns: Iterable[str] | None = None) -> DataFr
     counts = durable(value_counts(plain, names))
     out = column_counts(plain, names, counts)
     if numbers:
-        for part in (moments(plain, numbers).drop("n"), quantiles(plain, numbers, counts=counts), iqr_outliers(plain, numbers, counts=counts)):
+        rows = durable(_quantile_rows(counts, QUANTILES))  # a row a column and probability
+        for part in (moments(plain, numbers).drop("n"), quantiles(plain, numbers, rows=rows), iqr_outliers(plain, numbers, counts=counts, rows=rows)):
             out = out.join(part, "column", "left")
     return out.join(string_statistics(df, texts), "column", "left") if texts else out
 
