@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkprep.functions import text as X
-from sparkprep.functions.tables import allocate, sample_rows, with_row_id
+from sparkprep.functions.tables import allocate, durable, sample_rows, with_row_id
 from sparkprep.operators import clean as C
 from sparkprep.operators import diagnose as Q
 from sparkprep.operators import encode as E
@@ -244,8 +244,9 @@ def test_fills_along_an_order_are_replaced_in_a_preparation(spark):
 def test_all_that_is_recommended_runs(spark, sf, table, target):
     df = spark.read.parquet(f"{sf}/{table}.parquet").limit(400)
     times = [c for c, t in df.dtypes if t.startswith(("timestamp", "date"))]
-    df = df.withColumns({c: F.when(F.xxhash64(c) % 5 != 0, F.col(c)) for c in times})
+    df = durable(df.withColumns({c: F.when(F.xxhash64(c) % 5 != 0, F.col(c)) for c in times}))
     cleaned, frozen, notes = prepare.clean(df, L.recommend_cleaning(df, target), target)
+    cleaned = durable(cleaned)
     assert not notes and cleaned.count()
     assert all(cleaned.where(F.col(c).isNull()).count() == 0 for c in times)
     steps, notes = prepare.fit_features(cleaned, L.recommend_features(cleaned, target, "regression" if target.endswith("acctbal") else "multiclass"), target)
