@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkprep.llm import jaccard_join, language_id, line_dedup, mixing, piece_dropout, quality_model, substring_dedup, topk, url_rules, weak_rules
+from sparkprep.llm import jaccard_join, language_id, line_dedup, merkle, mixing, piece_dropout, quality_model, substring_dedup, topk, url_rules, weak_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_weak_rules": weak_rules.op8_weak_rules,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+        "op11_merkle_manifest": merkle.op11_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op6_mix_sources": mixing.ORACLE_SQL, "op7_exact_top_k": topk.ORACLE_SQL, "op9_substring_dedup": substring_dedup.ORACLE_SQL}
+    return {
+        "op1_line_dedup": line_dedup.ORACLE_SQL,
+        "op6_mix_sources": mixing.ORACLE_SQL,
+        "op7_exact_top_k": topk.ORACLE_SQL,
+        "op9_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op11_merkle_manifest": merkle.ORACLE_SQL,
+    }
