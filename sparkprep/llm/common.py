@@ -124,9 +124,9 @@ def text_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         first = last
 
 
-def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, offsets of rows among the words) of the words of a slice."""
-    blank = _BLANK[raw]
+def word_spans(raw: np.ndarray, at: np.ndarray, gaps: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, offsets of rows among the words) of the words of a slice; ``gaps`` has the bytes that are in no word."""
+    blank = gaps[raw]
     n = len(raw)
     edge = np.zeros(n + 1, dtype=bool)  # a new row begins here
     edge[at] = True
@@ -139,12 +139,16 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, at)
 
 
+def bytes_digest(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit digest of each span of bytes."""
+    digest = spans_digest(raw.astype(np.uint64) + np.uint64(1), starts, ends, _BYTE_BASES[which])
+    return mix(digest ^ (ends - starts).astype(np.uint64))
+
+
 def word_digests(raw: np.ndarray, at: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit digest of each word, offsets of rows among the words)."""
     starts, ends, rows = word_spans(raw, at)
-    values = raw.astype(np.uint64) + np.uint64(1)
-    digest = spans_digest(values, starts, ends, _BYTE_BASES[which])
-    return mix(digest ^ (ends - starts).astype(np.uint64)), rows
+    return bytes_digest(raw, starts, ends, which), rows
 
 
 def word_base(which: int) -> int:

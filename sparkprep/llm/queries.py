@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkprep.llm import jaccard_join, language_id, line_dedup, merkle, mixing, piece_dropout, quality_model, substring_dedup, topk, url_rules, weak_rules
+from sparkprep.llm import chat_format, jaccard_join, language_id, line_dedup, merkle, mixing, phrases, piece_dropout, quality_model, substring_dedup, topk, url_rules, weak_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
         "op11_merkle_manifest": merkle.op11_merkle_manifest,
+        "op12_phrases": phrases.op12_phrases,
+        "op13_chat_format": chat_format.op13_chat_format,
     }
 
 
@@ -32,4 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_exact_top_k": topk.ORACLE_SQL,
         "op9_substring_dedup": substring_dedup.ORACLE_SQL,
         "op11_merkle_manifest": merkle.ORACLE_SQL,
+        "op12_phrases": phrases.ORACLE_SQL,
+        "op13_chat_format": chat_format.ORACLE_SQL,
     }
