@@ -184,6 +184,18 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 40
     return out
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a class: equal rows, which the join brings to one task, once."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        keep = []
+        for name, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            keep.append(n == 1 or name not in seen)
+            if n > 1:
+                seen.add(name)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def _verify(shingle: int, threshold: float):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in c.by_runs(batches, "unit"):
@@ -270,7 +282,7 @@ def near_duplicates(
     enough = enough_trees(threshold, trees, shortest, max_depth, target_recall)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = c.durable(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signatures(shingle, hashes), "id long, text_key long, print binary, n_shingles int, sign binary"))
-    classes = signed.where("print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign"))
+    classes = signed.where("print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.min(F.struct("id", "text_key")).alias("held_by"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign"))
     classes = c.durable(classes)
 
     width = max_depth * 4
@@ -297,9 +309,12 @@ def near_duplicates(
     deal = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s"))
     deal = deal.select("grp", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("s") / block_shingles)).cast("int").alias("blocks"))
     dealt = grouped.join(deal, "grp").withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
-    texts = dealt.select("print", "grp", "rep", "n", "blocks", "block").join(rows, F.col("rep").eqNullSafe(F.col("id")))
+    wanted = dealt.select("print", "grp", "n", "blocks", "block", F.col("held_by.id").alias("held_id"), F.col("held_by.text_key").alias("held_key"))
+    # rows that share an id, or have none, are told apart by their texts
+    texts = wanted.join(rows.withColumn("key", F.xxhash64("text")), (F.col("held_key") == F.col("key")) & F.col("held_id").eqNullSafe(F.col("id"))).select("print", "grp", "n", "blocks", "block", "text")
     units = (
-        texts.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        texts.mapInArrow(_once, texts.schema)
+        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .withColumn("unit", F.concat_ws(":", F.hex("grp"), F.least("block", "other"), F.greatest("block", "other")))
         .select("unit", "print", "n", "block", "other", "text")
         .repartition("unit")

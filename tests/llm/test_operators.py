@@ -648,3 +648,21 @@ def test_connected_components(spark):
     got = {names[r["node"]]: r["component"] for r in connected_components(df).collect()}
     assert {got[i] for i in range(1, 41)} == {min(h for h, i in names.items() if 1 <= i <= 40)}
     assert {got[i] for i in range(100, 150)} == {min(h for h, i in names.items() if 100 <= i < 150)}
+
+
+def test_near_copies_without_ids_or_of_one_id_cost_what_others_do(spark):
+    import time
+
+    base = words(77, 120).split()
+
+    def table(of):
+        texts = [" ".join([*base[: i % 100], f"w{i}", *base[i % 100 :]]) for i in range(1600)] + [" ".join(base)] * 400
+        return spark.createDataFrame([(of(i), t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+
+    took = {}
+    for name, of in (("own", lambda i: i), ("none", lambda i: None), ("one", lambda i: 7)):
+        began = time.time()
+        found = jaccard_join.near_duplicates(table(of)).groupBy("class_id").agg(F.count("*").alias("n"), F.min("n_links").alias("low"), F.max("n_copies").alias("copies")).collect()
+        took[name] = time.time() - began
+        assert [(r["n"], r["low"], r["copies"]) for r in found] == [(2000, 1999, 400)]
+    assert took["none"] < 3 * took["own"] + 5 and took["one"] < 3 * took["own"] + 5
