@@ -180,7 +180,7 @@ def format_chats(
             yield encoded()
 
     named = rows.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = ["conv_id", "turn", "role", F.xxhash64("text")]
+    order = ["conv_id", "turn", "role", F.left("text", F.lit(64))]  # whole texts order the rows of a range only
     dealt = named.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("conv_id", "role", "text")
     return dealt.mapInArrow(run, f"conv_id {conv.simpleString()}, part long, alone boolean, n_turns long, formatted string, ids array<int>, loss_mask array<boolean>")
 
