@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkprep.sources import delimited as D
+
 #: Extensions by kind of source, and the keys under which records are looked for.
 EXTENSIONS = {"csv": "csv", "tsv": "csv", "txt": "csv", "psv": "csv", "json": "json", "jsonl": "json", "ndjson": "json", "parquet": "parquet", "pq": "parquet", "orc": "orc"}
 RECORD_KEYS = ("data", "records", "results", "rows", "items", "value", "payload", "entries")
@@ -52,27 +54,44 @@ def sniff_delimiter(lines: list[str]) -> str:
     return best
 
 
-def _sound(column: str) -> Column:
-    """Whether a line was read as a row. It looks at a column too, for Spark parses no line of which the fault alone is asked."""
-    return F.col("_bad").isNull() & (F.coalesce(F.length(F.col(f"`{column}`").cast("string")), F.lit(0)) >= 0)
-
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, header: bool = True, columns: Iterable[str] | None = None, thousands: str | None = None, decimal: str = ".", na_values: str | None = None, quotechar: str = '"', escapechar: str | None = None, comment: str | None = None) -> tuple[DataFrame, int]:
+    """(rows, number of malformed records left out).
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, header: bool = True, columns: Iterable[str] | None = None, thousands: str | None = None, decimal: str = ".", na_values: str | None = None, **options) -> tuple[DataFrame, int]:  # noqa: ANN003
-    """(rows, number of malformed lines left out). The separator comes from the first lines; a byte order mark is taken off; utf-8 unless some line does not decode as such."""
-    head = [r["value"] for r in spark.read.text(path).limit(50).collect()]  # a head of fifty lines
+    A record may hold line ends inside quotes. One of more fields than the header is malformed, as is
+    a quote that never ends; one of fewer fields has nulls in the others. Rows and their number come from one plan. The separator
+    is told from the head of the first file by name; a byte order mark is taken off; utf-8 unless some line does
+    not decode as such. Types are those that all values of sound records have.
+    """
+    head = D.head_lines(spark, path)
     sep = sniff_delimiter(head) if sep is None else sep
+    escape = escapechar or quotechar
+    lines = spark.read.text(path)
     if encoding is None:  # a line anywhere can tell; the search ends at the first
-        encoding = "UTF-8" if spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count() == 0 else "ISO-8859-1"
-    if na_values is not None:
-        options["nullValue"] = na_values
-    options |= {"sep": sep, "encoding": encoding, "header": str(header).lower(), "escape": options.pop("escapechar", '"'), "multiLine": "false"}
-    inferred = spark.read.options(**options, inferSchema="true", samplingRatio="1.0").csv(path).schema
-    schema = T.StructType([*inferred, T.StructField("_bad", T.StringType())])
-    rows = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad").schema(schema).csv(path)
-    sound = _sound(inferred.names[0]) if inferred.names else F.col("_bad").isNull()
-    bad = rows.where(~sound).count()
-    out = rows.where(sound).drop("_bad")
-    out = out.toDF(*normalise_headers([c.lstrip("\ufeff") for c in out.columns])) if header else out
+        encoding = "UTF-8" if lines.where(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
+    if encoding.upper().replace("_", "-") not in ("UTF-8", "UTF8"):
+        if len("\n,".encode(encoding)) != 2:
+            raise ValueError(f"{encoding} does not tell lines by single bytes")
+        lines = lines.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
+    fields = D.first_record([x for x in head if not (comment and x.startswith(comment))], sep, quotechar, escape)
+    if not fields:
+        return spark.createDataFrame([], T.StructType()), 0
+    names = [f"_c{i}" for i in range(len(fields))]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_bad"]])
+    options = {"sep": sep, "quote": quotechar, "escape": escape, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "maxCharsPerColumn": "-1", "columnPruning": "false"}
+    options |= ({"nullValue": na_values} if na_values is not None else {}) | ({"comment": comment} if comment else {})
+    if D.spans_lines(lines, sep, quotechar, escape):
+        found, unended = D.records(lines, sep, quotechar, escape)
+        found = found.where(~F.col("first")) if header else found
+        found = found.where(~F.startswith("record", F.lit(comment))) if comment else found
+        record = F.when(F.col("first"), F.ltrim("record", F.lit("\ufeff"))).otherwise(F.col("record"))
+        rows = found.select(F.from_csv(record, F.lit(schema.toDDL()), options | {"multiLine": "true"}).alias("_r"), F.col("record")).select("_r.*", "record").withColumn("_bad", F.when(F.col("_bad").isNotNull(), F.col("record"))).drop("record")
+    else:
+        rows, unended = spark.read.options(**options, encoding=encoding, header=str(header).lower(), enforceSchema="true").schema(schema).csv(path), 0
+    sound = F.col("_bad").isNull() | (D.fields_in(F.col("_bad"), sep, quotechar, escape) <= len(names))
+    sound = sound & (F.coalesce(F.length(names[0]), F.lit(0)) >= 0)  # Spark refuses to read for the fault alone
+    bad = rows.where(~sound).count() + unended
+    out = D.typed(rows.where(sound).drop("_bad"))
+    out = out.toDF(*normalise_headers(fields)) if header else out
     if thousands or decimal != ".":
         number = rf"^\s*[-+]?[0-9{re.escape(thousands or '')}]+({re.escape(decimal)}[0-9]+)?\s*$"
         texts = [f.name for f in out.schema if isinstance(f.dataType, T.StringType)]
@@ -83,15 +102,16 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encod
 
 
 def read_json(spark: SparkSession, path: str, multi_line: bool | None = None, records_path: str | None = None, separator: str = ".") -> tuple[DataFrame, int]:
-    """(flat rows, number of lines left out): a whole document or one document a line."""
+    """(flat rows, number of lines left out): a whole document or one document a line, as the first file by name begins."""
     if multi_line is None:
-        first = next((r["value"].strip() for r in spark.read.text(path).limit(5).collect() if r["value"].strip()), "")
+        first = next((x.strip() for x in D.head_lines(spark, path) if x.strip()), "")
         multi_line = first.startswith("[") or first in ("{",) or not first.endswith("}")
     raw = spark.read.json(path, multiLine=multi_line, columnNameOfCorruptRecord="_bad")
     others = [c for c in raw.columns if c != "_bad"]
     if "_bad" not in raw.columns or not others:
         return flatten(extract_records(raw.drop("_bad"), records_path), separator), 0
-    sound = _sound(others[0])
+    # Spark parses no line of which the fault alone is asked, so all columns are looked at
+    sound = F.col("_bad").isNull() & (F.coalesce(F.length(F.to_json(F.struct(*others))), F.lit(0)) >= 0)
     bad, rows = raw.where(~sound).count(), raw.where(sound).drop("_bad")
     return flatten(extract_records(rows, records_path), separator), bad
 
