@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkprep.functions.quantiles import column_quantiles
 from sparkprep.functions.tables import digest, to_long
 from sparkprep.operators.profile import fences
 
@@ -25,8 +26,8 @@ def histogram(df: DataFrame, column: str, bins: int = 40, by: str | None = None)
 def box_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, q1, median, q3, whisker_low, whisker_high (the ends inside 1.5 spreads), n_outside."""
     bounds = F.broadcast(fences(df, columns))
-    medians = F.broadcast(df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(columns)]))
-    rows = df.join(bounds, how="cross").join(medians, how="cross")
+    medians = column_quantiles(df, {c: F.col(c) for c in columns}, [0.5])
+    rows = df.join(bounds, how="cross").withColumns({f"m{i}": F.lit(medians[c][0]).cast("double") for i, c in enumerate(columns)})
     aggs, fields = [], {}
     for i, c in enumerate(columns):
         a, b = F.col(f"a{i}"), F.col(f"b{i}")

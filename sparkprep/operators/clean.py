@@ -9,10 +9,11 @@ from collections.abc import Iterable, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkprep.functions.quantiles import column_quantiles
 from sparkprep.functions.tables import TIMES, durable, in_ranges, known, last_before, numeric_columns, string_columns
 from sparkprep.operators.profile import fences
 
@@ -130,24 +131,34 @@ def normalise_categories(df: DataFrame, columns: Iterable[str], lowercase: bool
     return df.withColumns(out)
 
 
-def parse_datetime(df: DataFrame, columns: Iterable[str], format: str | None = None, unit: str | None = None, dayfirst: bool = False) -> DataFrame:
-    """By unit (s, ms, us), by format, else by the usual forms in order; what does not parse is null, and a column in which nothing parses is left as it is."""
+def as_datetime(column: str, format: str | None = None, unit: str | None = None, dayfirst: bool = False) -> Column:
+    """The column as a time: by unit (s, ms, us), by format, else by the usual forms in order; null where it does not parse."""
+    if unit is not None:
+        scale = {"s": 1_000_000, "ms": 1_000, "us": 1}[unit]
+        return F.timestamp_micros((F.col(column).try_cast("double") * scale).cast("long"))
     days = ("dd/MM/yyyy", "dd-MM-yyyy", "MM/dd/yyyy") if dayfirst else ("MM/dd/yyyy", "MM-dd-yyyy", "dd/MM/yyyy")
     forms = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", *days, "dd MMM yyyy", "yyyyMMdd")
-    made = {}
-    for c in known(df, columns):
-        if isinstance(df.schema[c].dataType, TIMES):
-            continue
-        if unit is not None:
-            scale = {"s": 1_000_000, "ms": 1_000, "us": 1}[unit]
-            made[c] = F.timestamp_micros((F.col(c).try_cast("double") * scale).cast("long"))
-        else:
-            text = F.trim(F.col(c).cast("string"))
-            made[c] = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in ((format,) if format else forms)])
-    if not made:
-        return df
-    parsed = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(made.values())]).first()
-    return df.withColumns({c: v for i, (c, v) in enumerate(made.items()) if parsed[f"n{i}"]})
+    text = F.trim(F.col(column).cast("string"))
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in ((format,) if format else forms)])
+
+
+def parsing_columns(df: DataFrame, columns: Iterable[str], format: str | None = None, unit: str | None = None, dayfirst: bool = False) -> list[str]:
+    """The columns, not times yet, in which something parses."""
+    names = [c for c in known(df, columns) if not isinstance(df.schema[c].dataType, TIMES)]
+    if not names:
+        return []
+    parsed = df.agg(*[F.count(as_datetime(c, format, unit, dayfirst)).alias(f"n{i}") for i, c in enumerate(names)]).first()
+    return [c for i, c in enumerate(names) if parsed[f"n{i}"]]
+
+
+def apply_datetime(df: DataFrame, columns: Iterable[str], format: str | None = None, unit: str | None = None, dayfirst: bool = False) -> DataFrame:
+    """The columns as times, whatever they hold; what are times already stay."""
+    return df.withColumns({c: as_datetime(c, format, unit, dayfirst) for c in known(df, columns) if not isinstance(df.schema[c].dataType, TIMES)})
+
+
+def parse_datetime(df: DataFrame, columns: Iterable[str], format: str | None = None, unit: str | None = None, dayfirst: bool = False) -> DataFrame:
+    """``apply_datetime`` for the columns in which something parses; others are left as they are."""
+    return apply_datetime(df, parsing_columns(df, columns, format, unit, dayfirst), format, unit, dayfirst)
 
 
 def cast_types(df: DataFrame, types: Mapping[str, str]) -> tuple[DataFrame, dict[str, int]]:
@@ -171,11 +182,14 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
 def fit_fills(df: DataFrame, columns: Iterable[str], strategy: str, fill_value: object = None) -> dict[str, object]:
     """What to put for nulls: mean, median, mode, constant, missing_category, or auto (median for numbers, else mode)."""
     names, numbers = known(df, columns), numeric_columns(df)
-    aggs, fills = [], {}
+    aggs, fills, medians = [], {}, []
     for c in names:
         kind = ("median" if c in numbers else "mode") if strategy == "auto" or strategy in ("mean", "median") and c not in numbers else strategy
         if kind in ("mean", "median"):
-            aggs.append((F.avg(c) if kind == "mean" else F.percentile(F.col(c).cast("double"), F.lit(0.5))).alias(c))
+            if kind == "mean":
+                aggs.append(F.avg(c).alias(c))
+            else:
+                medians.append(c)
         elif kind == "mode":
             fills |= modes(df, [c])
         elif kind == "constant":
@@ -184,6 +198,8 @@ def fit_fills(df: DataFrame, columns: Iterable[str], strategy: str, fill_value:
             fills[c] = MISSING if c not in numbers else 0
     if aggs:
         fills |= df.agg(*aggs).first().asDict()
+    if medians:
+        fills |= {c: q[0] for c, q in column_quantiles(df, {c: F.col(c) for c in medians}, [0.5]).items()}
     return {c: v for c, v in fills.items() if v is not None}
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkprep.functions.quantiles import column_quantiles
 from sparkprep.functions.tables import correlation
 from sparkprep.operators.metrics import LOWER_IS_BETTER, classification_metrics, metric_name
 
@@ -126,7 +127,7 @@ def native_importances(model, names: list[str], sources: dict[str, str] | None =
 
 def partial_dependence(df: DataFrame, model, feature: str, prediction: str = "prediction", points: int = 30) -> DataFrame:  # noqa: ANN001
     """value, mean_prediction over a grid of the feature's range between its 1st and 99th percentile."""
-    ends = df.agg(F.percentile(F.col(feature).cast("double"), F.array(F.lit(0.01), F.lit(0.99))).alias("q")).first()["q"]
+    ends = column_quantiles(df, {feature: F.col(feature)}, [0.01, 0.99])[feature]
     grid = F.array(*[F.lit(ends[0] + (ends[1] - ends[0]) * k / (points - 1)) for k in range(points)])
     rows = df.withColumn("_value", F.explode(grid)).withColumn(feature, F.col("_value"))
     return model.transform(rows).groupBy(F.col("_value").alias("value")).agg(F.avg(prediction).alias("mean_prediction")).orderBy("value")
@@ -135,17 +136,17 @@ def partial_dependence(df: DataFrame, model, feature: str, prediction: str = "pr
 def what_if(df: DataFrame, model, features: list[str], key: str, prediction: str = "prediction") -> DataFrame:  # noqa: ANN001
     """feature, moved_to, before, after: the row nearest the medians with one feature at its 10th or 90th percentile."""
     names = features[:3]
-    q = df.agg(*[F.percentile(F.col(f).cast("double"), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias(f"q{i}") for i, f in enumerate(names)]).first()
+    q = column_quantiles(df, {f: F.col(f) for f in names}, [0.1, 0.5, 0.9])
     far = F.lit(0.0)
-    for i, f in enumerate(names):
-        lo, mid, hi = q[f"q{i}"]
+    for f in names:
+        lo, mid, hi = q[f]
         far = far + F.abs(F.col(f) - mid) / ((hi - lo) or 1.0)
     typical = df.orderBy(far, key).limit(1)
     before = model.transform(typical).select(F.col(prediction).alias("before"))
     out = None
-    for i, f in enumerate(names):
+    for f in names:
         for k, tag in ((0, "p10"), (2, "p90")):
-            one = model.transform(typical.withColumn(f, F.lit(q[f"q{i}"][k]).cast(df.schema[f].dataType))).select(F.lit(f).alias("feature"), F.lit(tag).alias("moved_to"), F.col(prediction).alias("after"))
+            one = model.transform(typical.withColumn(f, F.lit(q[f][k]).cast(df.schema[f].dataType))).select(F.lit(f).alias("feature"), F.lit(tag).alias("moved_to"), F.col(prediction).alias("after"))
             out = one if out is None else out.unionByName(one)
     return out.join(F.broadcast(before), how="cross").select("feature", "moved_to", "before", "after")
 

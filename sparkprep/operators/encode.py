@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkprep.functions.quantiles import column_quantiles, grid_quantiles
+
 MISSING_LEVEL = "__MISSING__"
 
 
@@ -122,8 +124,8 @@ def fit_bins(train: DataFrame, column: str, n: int = 5, strategy: str = "quantil
     n = min(50, max(2, n))
     x = F.col(column).cast("double")
     if strategy == "quantile":
-        row = train.agg(F.percentile(x, F.array(*[F.lit(k / n) for k in range(n + 1)])).alias("q")).first()["q"]
-        return sorted(set(row))[1:-1] if row else []
+        row = column_quantiles(train, {"x": x}, [k / n for k in range(n + 1)])["x"]
+        return sorted(set(row))[1:-1] if row[0] is not None else []
     if strategy == "uniform":
         a, b = train.agg(F.min(x), F.max(x)).first()
         return [] if a is None or a == b else [a + (b - a) * k / n for k in range(1, n)]
@@ -144,22 +146,23 @@ def bin_codes(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
 
 
 def fit_scaler(train: DataFrame, columns: Iterable[str], method: str = "standard") -> dict[str, dict[str, float]]:
-    """Fill, centre and scale of each column from one aggregate: standard (population spread), minmax or robust. No spread scales by 1."""
+    """Fill, centre and scale of each column: standard (population spread), minmax or robust. No spread scales by 1; nulls are filled by the median."""
     names = list(columns)
+    holes = train.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(names)]).first()
+    holed = [c for i, c in enumerate(names) if holes[f"c{i}"] < holes["n"]]
+    # new rows may have nulls where training rows have none
+    medians = column_quantiles(train, {c: F.col(c) for c in names}, [0.5])
+    fills = {c: medians[c][0] if medians[c][0] is not None else 0.0 for c in names}
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(fills[c])) if c in holed else F.col(c).cast("double") for c in names}
     aggs = []
-    for i, c in enumerate(names):
-        x = F.col(c).cast("double")
-        aggs += [F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}")]
-    med = train.agg(*aggs).first()
-    fills = {c: (med[f"q{i}"][1] if med[f"q{i}"] else 0.0) for i, c in enumerate(names)}
-    aggs = []
-    for i, c in enumerate(names):  # statistics of the filled column
-        x = F.coalesce(F.col(c).cast("double"), F.lit(fills[c]))
-        aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}")]
+    for i, x in enumerate(filled.values()):
+        aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
     row = train.agg(*aggs).first()
+    quartiles = column_quantiles(train, filled, [0.25, 0.5, 0.75]) if method == "robust" else {}
     out = {}
     for i, c in enumerate(names):
-        q = row[f"q{i}"] or [0.0, 0.0, 0.0]
+        q = quartiles.get(c) or [0.0, 0.0, 0.0]
+        q = [0.0, 0.0, 0.0] if q[0] is None else q
         centre, scale = {"standard": (row[f"m{i}"], row[f"s{i}"]), "minmax": (row[f"a{i}"], (row[f"b{i}"] or 0) - (row[f"a{i}"] or 0)), "robust": (q[1], q[2] - q[0])}[method]
         out[c] = {"fill": fills[c], "centre": centre or 0.0, "scale": scale or 1.0}
     return out
@@ -171,7 +174,7 @@ def scale(df: DataFrame, fitted: dict[str, dict[str, float]]) -> DataFrame:
 
 def fit_quantile_grid(train: DataFrame, column: str, n: int = 1000) -> list[float]:
     """Values at n + 1 even probabilities."""
-    return train.agg(F.percentile(F.col(column).cast("double"), F.array(*[F.lit(k / n) for k in range(n + 1)])).alias("q")).first()["q"] or []
+    return grid_quantiles(train, F.col(column), n)
 
 
 def quantile_transform(df: DataFrame, column: str, grid: list[float], normal: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 
 import numpy as np
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkprep.functions.quantiles import column_quantiles, group_medians
 from sparkprep.functions.tables import durable, global_running, sample_rows, with_row_id
 
 #: Metrics for which less is better.
@@ -138,10 +140,15 @@ def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "p
     out = (rows.groupBy(*by) if by else rows).agg(
         F.count(F.lit(1)).alias("n"), F.sqrt(mse).alias("rmse"), mse.alias("mse"), F.avg(e).alias("mae"),
         (1 - F.try_divide(F.sum(F.col("e") * F.col("e")), F.var_pop("y") * F.count("y"))).alias("r2"), (1 - F.try_divide(F.var_pop("e"), F.var_pop("y"))).alias("explained_variance"),
-        F.percentile(e, F.lit(0.5)).alias("median_absolute_error"), F.max(e).alias("max_error"),
+        F.max(e).alias("max_error"),
         F.when(F.count_if(usable) >= 0.5 * F.count(F.lit(1)), F.avg(F.when(usable, e / F.abs("y")))).alias("mape"), F.avg(F.coalesce(F.try_divide(2 * e, size), F.lit(0.0))).alias("smape"),
     )
-    return out
+    names = [*by, "n", "rmse", "mse", "mae", "r2", "explained_variance", "median_absolute_error", "max_error", "mape", "smape"]
+    if not by:
+        return out.withColumn("median_absolute_error", F.lit(column_quantiles(rows, {"e": e}, [0.5])["e"][0]).cast("double")).select(*names)
+    middle = group_medians(rows, by, {"median_absolute_error": e}).withColumnsRenamed({b: f"_by{i}" for i, b in enumerate(by)})
+    same = functools.reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)])
+    return out.join(middle, same).select(*names)
 
 
 def clustering_metrics(df: DataFrame, features: list[str], cluster: str, noise: int = -1, silhouette_rows: int = 10_000, block: int = 2048) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkprep.functions.quantiles import column_quantiles, group_medians
 from sparkprep.functions.tables import durable, known, numeric_columns, string_columns, to_long
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -126,11 +128,9 @@ def quantiles_by_rank(df: DataFrame, column: str, probabilities: tuple[float, ..
 
 def fences(df: DataFrame, columns: list[str], multiplier: float = 1.5) -> DataFrame:
     """One row of n, q1, q3 per column index, as n{i}, a{i}, b{i}."""
-    aggs = []
-    for i, c in enumerate(columns):
-        q = F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75)))
-        aggs += [F.count(c).alias(f"n{i}"), q[0].alias(f"a{i}"), q[1].alias(f"b{i}")]
-    return df.agg(*aggs)
+    found = column_quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.75])
+    ends = [x for i, c in enumerate(columns) for x in (F.lit(found[c][0]).cast("double").alias(f"a{i}"), F.lit(found[c][1]).cast("double").alias(f"b{i}"))]
+    return df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).select("*", *ends)
 
 
 def iqr_outliers(df: DataFrame, columns: Iterable[str] | None = None, multiplier: float = 1.5, counts: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
@@ -284,10 +284,16 @@ def profile_table(df: DataFrame, columns: Iterable[str] | None = None) -> DataFr
 def group_statistics(df: DataFrame, by: list[str], columns: list[str], statistics: Iterable[str]) -> DataFrame:
     """Group aggregates by their usual names, as ``column_statistic``."""
     make = {
-        "mean": F.avg, "std": F.stddev_samp, "var": F.var_samp, "min": F.min, "max": F.max, "sum": F.sum, "count": F.count, "nunique": F.count_distinct, "median": lambda c: F.percentile(c, F.lit(0.5)),
+        "mean": F.avg, "std": F.stddev_samp, "var": F.var_samp, "min": F.min, "max": F.max, "sum": F.sum, "count": F.count, "nunique": F.count_distinct,
         "skew": lambda c: adjusted_skew(F.count(c), F.skewness(c)),
     }
-    return df.groupBy(*by).agg(*[make[s](F.col(c)).alias(f"{c}_{s}") for c in columns for s in statistics])
+    wanted = list(statistics)
+    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *[make[s](F.col(c)).alias(f"{c}_{s}") for c in columns for s in wanted if s != "median"])
+    if "median" in wanted:
+        middle = group_medians(df, by, {f"{c}_median": F.col(c) for c in columns}).withColumnsRenamed({b: f"_by{i}" for i, b in enumerate(by)})
+        same = functools.reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)])
+        out = out.join(middle, same)
+    return out.select(*by, *[f"{c}_{s}" for c in columns for s in wanted])
 
 
 def infer_kinds(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:

@@ -11,19 +11,22 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable
 
-from pyspark.ml import Estimator, Model
+from pyspark.errors import AnalysisException
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.param.shared import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions import scalar as S
-from sparkprep.functions.tables import TIMES, allocate, numeric_columns, written
+from sparkprep.functions.tables import TIMES, allocate, global_running, numeric_columns, written
 from sparkprep.operators import clean as C
 from sparkprep.operators import encode as E
 
-#: Levels that a frozen mapping holds itself; a larger one is a table in the shared folder, which a saved model needs too.
+#: Levels that a frozen mapping holds itself; a larger one is a table in the shared folder, and below the model's own path when that is saved.
 MOST_FROZEN = 10_000
+#: A decision that does not fit the data or names what there is not; a failing job or a fault of the code is none and is raised.
+IMPOSSIBLE = (ValueError, KeyError, IndexError, AnalysisException)
 #: The safe order of cleaning actions.
 ORDER = {
     "drop_constant_column": 0, "drop_leakage_column": 1, "drop_column": 2, "drop_duplicate_rows": 5, "drop_rows_missing_target": 6, "strip_whitespace": 10, "normalise_categories": 11, "parse_datetime": 20, "cast_dtype": 21,
@@ -59,7 +62,7 @@ def clean(df: DataFrame, decisions: Iterable[dict], target: str | None = None) -
             continue
         try:
             df = _clean_step(df, d["action"], columns, p, target, frozen)
-        except Exception as error:  # noqa: BLE001  one step's failure does not end the plan
+        except IMPOSSIBLE as error:  # such a step does not end the plan
             notes.append(f"{d['action']} skipped: {str(error)[:120]}")
     return df, frozen, notes
 
@@ -80,8 +83,10 @@ def _clean_step(df: DataFrame, action: str, columns: list[str], p: dict, target:
         frozen.append({"do": "normalise", "columns": columns, "mapping": p.get("mapping")})
         return C.normalise_categories(df, columns, mapping=p.get("mapping"))
     if action == "parse_datetime":
-        frozen.append({"do": "parse", "columns": columns, "format": p.get("format"), "unit": p.get("unit")})
-        return C.parse_datetime(df, columns, p.get("format"), p.get("unit"), bool(p.get("dayfirst")))
+        how = {"format": p.get("format"), "unit": p.get("unit"), "dayfirst": bool(p.get("dayfirst"))}
+        parsing = C.parsing_columns(df, columns, **how)  # the others are left as they are, here and in replays
+        frozen.append({"do": "parse", "columns": parsing, **how})
+        return C.apply_datetime(df, parsing, **how)
     if action == "cast_dtype":
         frozen.append({"do": "cast", "types": {c: p.get("dtype", "string") for c in columns}})
         return C.cast_types(df, {c: p.get("dtype", "string") for c in columns})[0]
@@ -132,7 +137,7 @@ def replay(df: DataFrame, frozen: Iterable[dict]) -> DataFrame:
         elif do == "normalise":
             df = C.normalise_categories(df, step["columns"], mapping=step.get("mapping"))
         elif do == "parse":
-            df = _parse_frozen(df, step)
+            df = C.apply_datetime(df, step["columns"], step["format"], step["unit"], step["dayfirst"])
         elif do == "cast":
             df = df.withColumns({c: F.col(c).try_cast(C.TYPE_NAMES.get(t, t)) for c, t in step["types"].items() if c in df.columns})
         elif do == "clip":
@@ -142,27 +147,19 @@ def replay(df: DataFrame, frozen: Iterable[dict]) -> DataFrame:
     return df
 
 
-def _parse_frozen(df: DataFrame, step: dict) -> DataFrame:
-    forms = (step["format"],) if step.get("format") else ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy")
-    if step.get("unit"):
-        scale = {"s": 1_000_000, "ms": 1_000, "us": 1}[step["unit"]]
-        return df.withColumns({c: F.timestamp_micros((F.col(c).try_cast("double") * scale).cast("long")) for c in step["columns"]})
-    return df.withColumns({c: F.coalesce(*[F.try_to_timestamp(F.col(c).cast("string"), F.lit(f)) for f in forms]) for c in step["columns"]})
-
-
 #: Features made of several columns together.
 TOGETHER = ("ratio", "interaction", "polynomial", "geo_distance")
 #: What is done with all features when they are made, in this order.
 POST = ("variance_threshold", "drop_correlated", "select_k_best", "pca", "truncated_svd")
 #: Most feature columns of a plan.
 MOST_FEATURES = 600
-#: The column that tells a training row's fold while a plan is applied.
+#: The column that tells a training row's fold while a plan is fitted. No other rows have folds.
 FOLD = "_plan_fold"
 FOLDS = 5
 
 
 def with_fold(df: DataFrame, target: str | None) -> DataFrame:
-    """A row's fold by a digest of all it holds, so that equal rows share one; -1 for a row without the target, which is a new one."""
+    """A training row's fold by a digest of all it holds, so that equal rows share one; -1 for a row without the target."""
     if not target or target not in df.columns:
         return df.withColumn(FOLD, F.lit(-1))
     return df.withColumn(FOLD, F.when(F.col(target).isNull(), -1).otherwise(F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in sorted(df.columns)]), F.lit(FOLDS))).cast("int"))
@@ -186,7 +183,7 @@ def fit_features(train: DataFrame, decisions: Iterable[dict], target: str | None
                 continue
             try:
                 frozen.append(_fit_together(train, d, group) if d["op"] in TOGETHER else _fit_feature(train, d, group[0], target))
-            except Exception as error:  # noqa: BLE001  one feature's failure does not end the plan
+            except IMPOSSIBLE as error:  # such a feature does not end the plan
                 notes.append(f"{d['op']} of {','.join(group)} skipped: {str(error)[:120]}")
     names = apply_features(train, frozen)[1]
     if len(names) > MOST_FEATURES:
@@ -255,10 +252,13 @@ def _fit_feature(train: DataFrame, d: dict, c: str, target: str | None) -> dict:
     if op == "one_hot_encode":
         return {"do": op, "column": c, "levels": E.fit_levels(train, c, int(p.get("max_categories", 50)))}
     if op == "ordinal_encode":
-        levels = p.get("order") or sorted(E.fit_levels(train, c, 1000))
-        return {"do": op, "column": c, "levels": levels}
+        if p.get("order"):
+            return {"do": op, "column": c, "levels": p["order"]}
+        levels = train.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("level")).distinct()
+        codes = global_running(levels, [F.col("level")], {}, number="n").select(F.lit(-1).alias("fold"), "level", (F.col("n") - 1).cast("double").alias("value"))
+        return {"do": "fold_map", "column": c, "name": f"{c}_ordinal", "defaults": {"-1": -1.0}, "as": "long"} | _frozen(codes)
     if op == "target_encode":
-        # rows that hold the target are coded by the other folds, new ones by all
+        # the training rows of this fit are coded by the other folds, all others by all
         table, priors = E.fit_target_folds(train, c, target, FOLD)
         return {"do": "fold_map", "column": c, "name": f"{c}_target", "defaults": priors} | _frozen(table)
     if op == "frequency_encode":
@@ -290,7 +290,7 @@ def _fit_feature(train: DataFrame, d: dict, c: str, target: str | None) -> dict:
 
 
 def _frozen(table: DataFrame) -> dict:
-    """All rows of (fold, level, value): few in the step itself, more as a table in the shared folder, which a saved model needs too."""
+    """All rows of (fold, level, value): few in the step itself, more as a table in the shared folder."""
     rows = table.limit(MOST_FROZEN + 1).collect()
     if len(rows) > MOST_FROZEN:
         return {"table": written(table)}
@@ -330,6 +330,9 @@ def apply_features(df: DataFrame, frozen: Iterable[dict]) -> tuple[DataFrame, li
 
 def _fold_map(df: DataFrame, c: str, s: dict) -> DataFrame:
     """The value of (fold, level); a level that a fold does not know gets the fold's default."""
+    if "as" in s:
+        kept = {k: v for k, v in s.items() if k != "as"}
+        return _fold_map(df, c, kept).withColumn(s["name"], F.col(s["name"]).cast(s["as"]))
     fold = F.when(F.col(FOLD).cast("string").isin(*s["defaults"]), F.col(FOLD)).otherwise(F.lit(-1))
     default = F.try_element_at(F.create_map(*[F.lit(x) for k, v in s["defaults"].items() for x in (int(k), v)]), fold)
     if "rows" in s and len(s["rows"]) <= 500:
@@ -383,9 +386,10 @@ class Preparation(Estimator, _Plan, DefaultParamsReadable, DefaultParamsWritable
     """Cleaning and features fitted on a fold's own rows.
 
     Steps that drop rows, and features of a row's past, are no part of it. Fills along an
-    order are replaced by the median or mode, since a new row has no neighbours. Target encoding is coded
-    out of fold on rows that hold the target, training rows among them, and by all training rows on
-    rows that do not; where rows are split by time or group it is left out.
+    order are replaced by the median or mode, since a new row has no neighbours; training rows are filled as new ones
+    will be. ``fit_transform`` gives the training rows with target encodings out of fold; the model itself knows no
+    folds and codes whatever rows it gets by all training rows, whether they hold the target or not. Where rows
+    are split by time or group target encoding is left out.
     """
 
     def __init__(self, cleaning: Iterable[dict] = (), features: Iterable[dict] = (), target: str = "", strategy: str = "random") -> None:
@@ -395,25 +399,80 @@ class Preparation(Estimator, _Plan, DefaultParamsReadable, DefaultParamsWritable
         kept = [d | ({"strategy": "auto"} if d.get("strategy") in ("forward_fill", "backward_fill", "interpolate") else {}) for d in cleaning if d["action"] not in rows and d.get("strategy") != "drop_rows"]
         self._set(cleaning=json.dumps(kept), features=json.dumps([d for d in features if d["op"] not in history]), target=target)
 
-    def _fit(self, dataset: DataFrame) -> PreparationModel:
+    def fit_transform(self, dataset: DataFrame) -> tuple[PreparationModel, DataFrame]:
+        """(model, training rows with their features). A training row's fold is drawn here, once, and goes with it through all steps."""
         target = self.getOrDefault("target") or None
-        cleaned, frozen, lost = clean(with_fold(dataset, target), json.loads(self.getOrDefault("cleaning")), target)
+        dealt = with_fold(dataset, target)
+        _, frozen, lost = clean(dealt, json.loads(self.getOrDefault("cleaning")), target)
+        cleaned = replay(dealt, frozen)
         made, more = fit_features(cleaned, json.loads(self.getOrDefault("features")), target)
-        return PreparationModel(frozen, made, target or "", [*lost, *more])
+        coded, names = apply_features(cleaned, made)
+        return PreparationModel(frozen, made, target or "", [*lost, *more], names), coded.drop(FOLD)
+
+    def _fit(self, dataset: DataFrame) -> PreparationModel:
+        return self.fit_transform(dataset)[0]
+
+
+class _PreparationWriter(DefaultParamsWriter):
+    """Mapping tables go below the model's own path, so that the model can be moved and outlives the folder it was fitted in."""
+
+    def saveImpl(self, path: str) -> None:
+        steps = json.loads(self.instance.getOrDefault("features"))
+        for i, step in enumerate(steps):
+            if "table" in step:
+                self.sparkSession.read.parquet(step["table"]).write.parquet(f"{path}/tables/{i}")
+                step["table"] = f"{i}"
+        saved = self.instance.copy()
+        saved._set(features=json.dumps(steps))
+        DefaultParamsWriter(saved).saveImpl(path)
+
+    def save(self, path: str) -> None:
+        inside = [s["table"] for s in json.loads(self.instance.getOrDefault("features")) if s.get("table", "").startswith(f"{path.rstrip('/')}/")]
+        if inside:
+            raise ValueError(f"the model's own tables are in {path}: save it elsewhere")
+        super().save(path)
 
 
-class PreparationModel(Model, _Plan, DefaultParamsReadable, DefaultParamsWritable):
-    """Replays what was frozen. ``notes`` says what of the plan could not be fitted."""
+class _PreparationReader(DefaultParamsReader):
+    def load(self, path: str) -> PreparationModel:
+        model = super().load(path)
+        steps = json.loads(model.getOrDefault("features"))
+        model._set(features=json.dumps([s | ({"table": f"{path.rstrip('/')}/tables/{s['table']}"} if "table" in s else {}) for s in steps]))
+        return model
+
+
+class PreparationModel(Model, _Plan, MLReadable, MLWritable):
+    """Replays what was frozen, the same for a row whatever else it holds. ``notes`` says what of the plan could not be fitted, ``made`` names the features."""
 
     notes = Param(Params._dummy(), "notes", "what was skipped", TypeConverters.toListString)
+    made = Param(Params._dummy(), "made", "names of the features", TypeConverters.toListString)
 
-    def __init__(self, frozen: Iterable[dict] = (), features: Iterable[dict] = (), target: str = "", notes: Iterable[str] = ()) -> None:
+    def __init__(self, frozen: Iterable[dict] = (), features: Iterable[dict] = (), target: str = "", notes: Iterable[str] = (), made: Iterable[str] = ()) -> None:
         super().__init__()
-        self._set(cleaning=json.dumps(list(frozen), default=str), features=json.dumps(list(features), default=str), target=target, notes=list(notes))
+        self._set(cleaning=json.dumps(list(frozen), default=str), features=json.dumps(list(features), default=str), target=target, notes=list(notes), made=list(made))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        dealt = with_fold(dataset, self.getOrDefault("target") or None)
-        return apply_features(replay(dealt, json.loads(self.getOrDefault("cleaning"))), json.loads(self.getOrDefault("features")))[0].drop(FOLD)
+        return apply_features(replay(dataset.drop(FOLD), json.loads(self.getOrDefault("cleaning"))), json.loads(self.getOrDefault("features")))[0]
+
+    def write(self) -> _PreparationWriter:
+        return _PreparationWriter(self)
+
+    @classmethod
+    def read(cls) -> _PreparationReader:
+        return _PreparationReader(cls)
+
+
+class Prepared:
+    """A preparation and the pipeline after it: what is trained sees codes out of fold, what is scored the model's own."""
+
+    def __init__(self, preparation: Preparation, then: Callable[[list[str]], Pipeline]) -> None:
+        """``then`` makes the pipeline from the names of the features."""
+        self.preparation, self.then = preparation, then
+
+    def fit(self, train: DataFrame) -> PipelineModel:
+        model, coded = self.preparation.fit_transform(train)
+        rest = self.then(model.getOrDefault("made")).fit(coded)
+        return PipelineModel([model, *rest.stages])
 
 
 def initial_features(df: DataFrame, target: str | None, identifiers: Iterable[str] = (), constants: Iterable[str] = (), leaks: Iterable[str] = (), group: str | None = None) -> list[tuple[str, str]]:

@@ -252,12 +252,12 @@ book.add(
 
 
 def coded(spark, sf_dir, target: bool):  # noqa: ANN001, ANN201
-    """Target encoding in a preparation of a label by chance: as new rows get it, or how it goes with the label on training rows."""
+    """Target encoding in a preparation of a label by chance: as all rows get it from the model, or how it goes with the label on training rows."""
     o = orders(spark, sf_dir).select("o_orderkey", "o_custkey", (F.conv(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 4), 16, 10).cast("long") % 2).cast("double").alias("chance"))
-    model = Preparation((), [{"op": "target_encode", "columns": ["o_custkey"]}], "chance").fit(o)
+    model, trained = Preparation((), [{"op": "target_encode", "columns": ["o_custkey"]}], "chance").fit_transform(o)
     if not target:
         return model.transform(o.drop("chance")).select("o_orderkey", "o_custkey_target")
-    return model.transform(o).agg((F.abs(F.corr("chance", "o_custkey_target")) < 0.1).alias("independent"), F.count("o_custkey_target").alias("n"))
+    return trained.agg((F.abs(F.corr("chance", "o_custkey_target")) < 0.1).alias("independent"), F.count("o_custkey_target").alias("n"))
 
 
 CHANCE = "(SELECT o_orderkey, o_custkey, (('0x' || substr(md5(o_orderkey::VARCHAR), 1, 4))::BIGINT % 2)::DOUBLE AS chance FROM orders)"

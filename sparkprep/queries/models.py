@@ -391,6 +391,66 @@ book.add(
 )
 
 
+#: A date in six forms by the order's key, and what does not parse.
+SAID = "CASE o_orderkey % 7 WHEN 0 THEN concat(' ', date_format(o_orderdate, 'yyyy-MM-dd'), ' ') WHEN 1 THEN date_format(o_orderdate, 'yyyy/MM/dd') WHEN 2 THEN date_format(o_orderdate, 'dd-MM-yyyy') WHEN 3 THEN date_format(o_orderdate, 'yyyyMMdd') WHEN 4 THEN date_format(o_orderdate, 'dd MMM yyyy') WHEN 5 THEN date_format(o_orderdate, 'dd/MM/yyyy') ELSE 'never' END"
+
+
+def parsed_again(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Dates of many forms, days first, seconds and an unparsable column: fitted, and replayed on other rows as a batch and as a stream."""
+    df = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(SAID).alias("said"), F.col("o_orderdate").cast("timestamp").cast("long").cast("string").alias("seconds"), F.lit("none").alias("none"))
+    model = prepare.Preparation([{"action": "parse_datetime", "columns": ["said", "none"], "dayfirst": "true"}, {"action": "parse_datetime", "columns": ["seconds"], "unit": "s"}]).fit(df.where("o_orderkey % 5 != 0"))
+    new, base = df.where("o_orderkey % 5 = 0"), scratch(spark, "dates")
+    new.repartition(3, "o_orderkey").write.parquet(f"{base}/in")
+    Z.score_stream(Z.read_stream(spark, f"{base}/in", new), model, f"{base}/out", f"{base}/state").awaitTermination()
+    both = model.transform(new).withColumn("how", F.lit("batch")).unionByName(spark.read.parquet(f"{base}/out").withColumn("how", F.lit("stream")))
+    return both.select("how", "o_orderkey", F.date_format("said", "yyyy-MM-dd").alias("said"), F.date_format("seconds", "yyyy-MM-dd").alias("seconds"), "none")
+
+
+book.add(
+    "c16_parse_replay",
+    parsed_again,
+    "SELECT how, o_orderkey, CASE WHEN o_orderkey % 7 < 6 THEN strftime(o_orderdate, '%Y-%m-%d') END AS said, strftime(o_orderdate, '%Y-%m-%d') AS seconds, 'none' AS none FROM orders, (SELECT unnest(['batch', 'stream']) AS how) WHERE o_orderkey % 5 = 0",
+)
+
+
+def codes_of_new_rows(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Held-out rows as they are, without labels, with labels turned over, and with a column more: a row each, coded by the training rows alone."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", (F.col("o_orderstatus") == "F").cast("double").alias("y"))
+    model = prepare.Preparation((), [{"op": "target_encode", "columns": ["o_orderpriority"]}, {"op": "ordinal_encode", "columns": ["o_orderpriority"]}], "y").fit(o.where("o_orderkey % 5 != 0"))
+    new = o.where("o_orderkey % 5 = 0")
+    ways = {"as they are": new, "absent": new.drop("y"), "turned": new.withColumn("y", 1 - F.col("y")), "more": new.withColumn("more", F.lit(1))}
+    made = [model.transform(t).select(F.lit(way).alias("way"), "o_orderkey", "o_orderpriority_target", "o_orderpriority_ordinal") for way, t in ways.items()]
+    return made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
+
+
+book.add(
+    "e13_held_out_codes",
+    codes_of_new_rows,
+    """WITH o AS (SELECT *, (o_orderstatus = 'F')::DOUBLE AS y FROM orders), t AS (SELECT * FROM o WHERE o_orderkey % 5 <> 0), p AS (SELECT avg(y) AS p FROM t),
+  m AS (SELECT o_orderpriority, (sum(y) + 10 * any_value(p)) / (count(*) + 10) AS v, row_number() OVER (ORDER BY o_orderpriority) - 1 AS k FROM t, p GROUP BY 1)
+  SELECT way, o_orderkey, v AS o_orderpriority_target, k AS o_orderpriority_ordinal FROM o JOIN m USING (o_orderpriority), (SELECT unnest(['as they are', 'absent', 'turned', 'more']) AS way) WHERE o_orderkey % 5 = 0""",
+    "o_orderpriority_target",
+)
+
+
+def moved_model(spark, sf_dir):  # noqa: ANN001, ANN201
+    """A preparation with tables, saved and loaded again: it reads its own tables only."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    model = prepare.Preparation((), [{"op": "group_aggregate", "columns": ["o_totalprice"], "by": "o_custkey", "statistics": ["mean", "median"]}, {"op": "ordinal_encode", "columns": ["o_custkey"]}]).fit(o)
+    path = scratch(spark, "preparation")
+    model.save(path)
+    again = prepare.PreparationModel.load(path)
+    return again.transform(o).select("o_orderkey", F.col("o_totalprice_by_o_custkey_mean").alias("mean"), F.col("o_totalprice_by_o_custkey_median").alias("median"), F.col("o_custkey_ordinal").alias("code"))
+
+
+book.add(
+    "s17_moved_preparation",
+    moved_model,
+    "SELECT o_orderkey, avg(o_totalprice) OVER w AS mean, quantile_cont(o_totalprice, 0.5) OVER w AS median, dense_rank() OVER (ORDER BY o_custkey::VARCHAR) - 1 AS code FROM orders WINDOW w AS (PARTITION BY o_custkey)",
+    "mean median",
+)
+
+
 def streamed(spark, sf_dir):  # noqa: ANN001, ANN201
     """The same preparation on a stream of the parts."""
     df = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")
@@ -509,6 +569,23 @@ def text_round_trip(spark, sf_dir):  # noqa: ANN001, ANN201
 book.add("s1_delimited_text", text_round_trip, "SELECT c_custkey::INT AS c_custkey, c_mktsegment, c_acctbal FROM customer", "c_acctbal")
 
 
+def quoted_line_ends(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Records over two lines, doubled quotes, and records of a field too many; the number of malformed records on each row."""
+    path = scratch(spark, "quoted")
+    record = F.concat(F.col("c_custkey"), F.lit(',"'), F.col("c_mktsegment"), F.lit('\nsays ""'), F.col("c_nationkey"), F.lit('"", and",'), F.col("c_acctbal"), F.when(F.col("c_custkey") % 10 == 3, ",more").otherwise(""))
+    read(spark, sf_dir, "customer").select(record.alias("value")).write.text(path)
+    rows, bad = readers.read_delimited(spark, path, header=False)
+    return rows.toDF("c_custkey", "said", "c_acctbal").withColumn("bad", F.lit(bad).cast("long"))
+
+
+book.add(
+    "s1_quoted_line_ends",
+    quoted_line_ends,
+    """SELECT c_custkey::INT AS c_custkey, c_mktsegment || chr(10) || 'says "' || c_nationkey || '", and' AS said, c_acctbal, (SELECT count(*) FROM customer WHERE c_custkey % 10 = 3) AS bad FROM customer WHERE c_custkey % 10 <> 3""",
+    "c_acctbal",
+)
+
+
 def json_round_trip(spark, sf_dir):  # noqa: ANN001, ANN201
     path = scratch(spark, "json")
     read(spark, sf_dir, "customer").select("c_custkey", F.struct("c_mktsegment", "c_acctbal").alias("c")).write.json(path)
