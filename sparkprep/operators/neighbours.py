@@ -1,8 +1,8 @@
 """Neighbour-based operators: nearest neighbours in blocks, their vote, local outlier factor, DBSCAN, isolation forest.
 
-Queries and rows meet in pairs of blocks, as in a blocked theta join: a row is sent
-to each block of queries once, a task holds one pair of blocks, and only the k best
-of a block leave it.
+Rows lie in blocks around pivots. A query goes to the blocks that the triangle inequality
+does not rule out for it, a task holds one block and its queries, and only the k
+best of a block leave it.
 """
 
 from __future__ import annotations
@@ -22,13 +22,42 @@ def _vectors(df: DataFrame, key: str, features: list[str]) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), F.array(*[F.col(f).cast("double") for f in features]).alias("v")).where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, key: str, features: list[str], k: int, exclude_self: bool = False, block: int = 4096) -> DataFrame:
-    """(query, place, id, distance): the k nearest rows of every query by Euclidean distance, ties by id."""
-    r, q = _vectors(rows, key, features), _vectors(queries, key, features)
-    nr, nq = max(1, -(-r.count() // block)), max(1, -(-q.count() // block))
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = r.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(nr))).withColumn("qb", upto(nq)).withColumn("q", F.lit(False))
-    right = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nq))).withColumn("b", upto(nr)).withColumn("q", F.lit(True))
+#: Most pivots: their vectors and cells' radii are all that every task gets.
+MOST_PIVOTS = 4096
+
+
+def _pivots(rows: DataFrame, n: int) -> np.ndarray:
+    """n rows by digest of their ids, different ones."""
+    some = rows.groupBy("v").agg(F.min("id").alias("id")).orderBy(F.xxhash64("id"), "id").limit(n).collect()
+    return np.array([r["v"] for r in some], dtype=float)
+
+
+def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of rows to all pivots, by differences so that small ones keep their digits."""
+    return np.sqrt(np.stack([((x - p) ** 2).sum(1) for p in pivots], axis=1))
+
+
+def _celled(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(id, v) with the nearest pivot's number and distance."""
+    shared = df.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for v in batches:
+            cell, dist = [np.zeros(0, dtype=np.int32)], [np.zeros(0)]
+            for at in range(0, len(v), 1024):
+                d = _to_pivots(np.stack(v.iloc[at : at + 1024].to_numpy()), shared.value)
+                cell.append(d.argmin(1).astype(np.int32))
+                dist.append(d.min(1))
+            yield pd.DataFrame({"cell": np.concatenate(cell), "far": np.concatenate(dist)})
+
+    return df.withColumn("_c", F.pandas_udf(run, "cell int, far double")(F.col("v"))).select("id", "v", "_c.cell", "_c.far")
+
+
+def _best_of(rows: DataFrame, asking: DataFrame, k: int, exclude_self: bool, block: int) -> DataFrame:
+    """(query, id, distance): the k best of each block for every query that comes to it. Both have the block, (cell, part); a block that many queries come to is dealt."""
+    shares = asking.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("shares"))
+    left = rows.select("id", "v", "cell", "part").join(shares, ["cell", "part"]).withColumn("share", F.explode(F.expr("sequence(0, shares - 1)"))).withColumn("q", F.lit(False))
+    right = asking.select("id", "v", "cell", "part").join(shares, ["cell", "part"]).withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")).withColumn("q", F.lit(True))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[~pdf["q"]], pdf[pdf["q"]]
@@ -51,7 +80,65 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, features: list[str],
                 out.append((np.full(len(best), bi[at + i]), ai[near[best]], exact[best]))
         return pd.DataFrame({"query": np.concatenate([o[0] for o in out]), "id": np.concatenate([o[1] for o in out]), "distance": np.concatenate([o[2] for o in out])})
 
-    found = left.unionByName(right).groupBy("b", "qb").applyInPandas(meet, "query long, id long, distance double")
+    columns = ["cell", "part", "share", "id", "v", "q"]
+    return left.select(*columns).unionByName(right.select(*columns)).groupBy("cell", "part", "share").applyInPandas(meet, "query long, id long, distance double")
+
+
+def _visits(asking: DataFrame, bounds: DataFrame, pivots: np.ndarray, radii: dict[int, float], parts: dict[int, int]) -> DataFrame:
+    """The blocks, but its first, that a query's bound does not rule out: (id, v, cell, part).
+
+    ``bounds`` has a query's k-th best distance so far. No row of a cell is nearer than the distance to the
+    cell's pivot less the cell's radius; a cell is left out only where that is beyond the bound.
+    """
+    shared = asking.sparkSession.sparkContext.broadcast((pivots, radii, parts))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots, radii, parts = shared.value
+        cells = np.array(sorted(radii))
+        reach = np.array([radii[c] for c in cells])
+        for pdf in batches:
+            for at in range(0, len(pdf), 1024):
+                some = pdf.iloc[at : at + 1024]
+                d = _to_pivots(np.stack(some["v"].to_numpy()), pivots[cells])
+                bound = some["bound"].fillna(np.inf).to_numpy()[:, None]
+                open_ = d - reach <= bound + 1e-9 * (1 + d + reach)
+                q, c = np.nonzero(open_)
+                n = np.array([parts[x] for x in cells[c]], dtype=int)
+                q, cell = np.repeat(q, n), np.repeat(cells[c], n)
+                part = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)
+                again = (cell == some["cell"].to_numpy()[q]) & (part == some["part"].to_numpy()[q])
+                q, cell, part = q[~again], cell[~again], part[~again]
+                yield pd.DataFrame({"id": some["id"].to_numpy()[q], "v": list(some["v"].to_numpy()[q]), "cell": cell.astype(np.int32), "part": part.astype(np.int32)})
+
+    known = asking.join(bounds.select(F.col("query").alias("id"), "bound"), "id", "left").select("id", "v", "cell", "part", "bound")
+    return known.mapInPandas(run, "id long, v array<double>, cell int, part int")
+
+
+def nearest(rows: DataFrame, queries: DataFrame, key: str, features: list[str], k: int, exclude_self: bool = False, block: int = 4096) -> DataFrame:
+    """(query, place, id, distance): the k nearest rows of every query by Euclidean distance, ties by id; exact.
+
+    Rows lie in cells around pivots, at most MOST_PIVOTS of them, and large cells in parts, so each row is in one
+    block of about ``block`` rows. A query looks at one block of its own cell first; its k-th best distance
+    there rules out, by the triangle inequality, most other cells for it, and it goes to those that are left.
+    """
+    r, q = durable(_vectors(rows, key, features)), _vectors(queries, key, features)
+    n = r.count()
+    if not n:
+        return r.select(F.col("id").alias("query"), F.lit(1).alias("place"), "id", F.lit(0.0).alias("distance")).limit(0)
+    pivots = _pivots(r, min(MOST_PIVOTS, max(1, n // block)))
+    dealt = _celled(r, pivots)
+    sizes = {s["cell"]: (s["n"], s["far"]) for s in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}  # a row a pivot
+    parts = {c: -(-m // (2 * block)) for c, (m, _) in sizes.items()}
+    of_cell = F.element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), F.col("cell"))
+    part = F.pmod(F.xxhash64("id"), of_cell).cast("int")
+    dealt = durable(dealt.withColumn("part", part))
+    asking = durable(_celled(q, pivots).where(F.col("cell").isin(list(parts))).withColumn("part", part))
+    found = _best_of(dealt, asking, k, exclude_self, block)
+    if sum(parts.values()) > 1:
+        found = durable(found)
+        bounds = found.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound"))
+        visits = durable(_visits(asking, bounds, pivots, {c: far for c, (_, far) in sizes.items()}, parts))
+        found = found.unionByName(_best_of(dealt, visits, k, exclude_self, block))
     place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
     return found.withColumn("place", place).where(F.col("place") <= k).select("query", "place", "id", "distance")
 
