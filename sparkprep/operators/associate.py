@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkprep.functions.tables import correlation, known, numeric_columns, to_long
+from sparkprep.functions.tables import correlation, durable, global_running, known, numeric_columns, to_long
+from sparkprep.operators.profile import _numbers, _quantile_rows, column_counts, value_counts
 from sparkprep.operators.windows import average_rank
 
 
@@ -148,43 +150,103 @@ def _one(df: DataFrame, column: str) -> float | None:
     return None if row is None or row[column] is None or row[column] != row[column] else float(row[column])
 
 
-def target_associations(df: DataFrame, target: str, columns: Iterable[str] | None = None, task: str = "classification", min_rows: int = 20) -> list[dict]:
-    """column, method, score, coefficients of each feature against the target; the strongest measure is the score."""
+def target_associations(df: DataFrame, target: str, columns: Iterable[str] | None = None, task: str = "classification", min_rows: int = 20, bins: int = 20) -> list[dict]:
+    """column, method, score, coefficients of each feature against the target; the strongest measure is the score.
+
+    All features go through the same few jobs, however many there are: counts by value for their levels and
+    bin edges, one long table of (feature, level or bin, class) with counts and sums for the measures made of cells, and counts
+    by (feature, value) in one global order for AUC or ranks. A row a feature comes to the driver.
+    """
+    names = [c for c in known(df, columns) if c != target]
+    if not names:
+        return []
+    numbers, whole = set(numeric_columns(df)), df.where(F.col(target).isNotNull())
+    classes = task == "classification"
+    by_value = durable(value_counts(_numbers(df, [c for c in [*names, target] if c in numbers]), [*names, target]))
+    levels = {r["column"]: r for r in column_counts(df, names, counts=by_value).collect()}
+    few = [c for c in names if c not in numbers and levels[c]["n_distinct"] <= max(20, 0.1 * levels[c]["n_rows"])]
+    numeric = [c for c in names if c in numbers] if classes or target in numbers else []
+    edges: dict[str, set] = {c: set() for c in [*numeric, *([] if classes else [target])]}
+    for r in _quantile_rows(by_value.where(F.col("column").isin(list(edges))), [k / bins for k in range(bins + 1)]).collect():
+        edges[r["column"]].add(r["q"])
+
+    def binned(c: str) -> Column:
+        inner = sorted(edges[c])[1:-1]
+        return F.size(F.filter(F.array(*map(F.lit, inner)), lambda e: e <= F.col(c))).cast("string") if inner else F.when(F.col(c).isNotNull(), F.lit("0"))
+
+    nothing, y = F.lit(None).cast("double"), F.col(target).cast("string") if classes else binned(target) if target in numbers else F.lit(None).cast("string")
+    t = nothing if classes else F.col(target).cast("double")
+    cells = [F.struct(F.lit(c).alias("f"), F.when(F.col(c).isNotNull(), binned(c) if c in numbers else F.col(c).cast("string")).alias("a"), y.alias("b"), (F.col(c).cast("double") if c in numbers else nothing).alias("x"), t.alias("t")) for c in [*numeric, *few]]
+    if not cells:
+        return []
+    long = whole.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("a IS NOT NULL")
+    one = durable(long.groupBy("f", "a", "b").agg(F.count(F.lit(1)).cast("double").alias("o"), *[v for k in "xt" for v in (F.sum(k).alias(f"s{k}"), F.sum(F.col(k) * F.col(k)).alias(f"q{k}"))]))
+    sums = [F.sum("o").alias("o"), *[F.sum(f"{m}{k}").alias(f"{m}{k}") for k in "xt" for m in "sq"]]
+    ra, rb = durable(one.groupBy("f", "a").agg(*sums)), durable(one.groupBy("f", "b").agg(*sums))
+    n = rb.groupBy("f").agg(F.sum("o").alias("n"))  # a row a feature
+    joined = one.select("f", "a", "b", "o").join(ra.select("f", "a", F.col("o").alias("na")), ["f", "a"]).join(rb.select("f", "b", F.col("o").alias("nb")), ["f", "b"]).join(n, "f")
+    together = joined.groupBy("f").agg(
+        F.max("n").alias("n"), F.sum(F.col("o") / F.col("n") * F.log(F.col("o") * F.col("n") / (F.col("na") * F.col("nb")))).alias("mi"),
+        F.sum(F.col("o") * F.col("o") / (F.col("na") * F.col("nb"))).alias("q"), F.count_distinct("a").alias("r"), F.count_distinct("b").alias("k"),
+    )
+    entropy = rb.join(n, "f").groupBy("f").agg((-F.sum(F.col("o") / F.col("n") * F.log(F.col("o") / F.col("n")))).alias("entropy"))
+    got = {r["f"]: r.asDict() for r in together.withColumn("v", _corrected_v()).join(entropy, "f").collect()}
+    # the number's spread between classes, or the target's between levels
+    spread = (rb if classes else ra).select("f", F.col("o").alias("n"), F.col("sx" if classes else "st").alias("s"), F.col("qx" if classes else "qt").alias("q"))
+    spread = spread.groupBy("f").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b2"))
+    eta = {r["f"]: r["eta"] for r in spread.select("f", _corrected_eta("b2").alias("eta")).collect()}
+    ranked: dict[str, float | None] = {}
+    linear: dict[str, float | None] = {}
+    if classes and numeric:
+        kinds = [r[0] for r in whole.select(target).distinct().orderBy(target).limit(3).collect()]
+        if len(kinds) == 2:
+            ranked = _aucs(long.where(F.col("x").isNotNull()).select("f", F.col("x").alias("s"), (F.col("b") == F.lit(str(kinds[1])) if isinstance(kinds[1], str) else F.col("b") == F.lit(kinds[1]).cast("string")).alias("p")))
+    elif numeric:
+        linear = {r["f"]: r["r"] for r in long.where(F.col("x").isNotNull()).groupBy("f").agg(F.when(F.count(F.lit(1)) >= 8, correlation(F.col("x"), F.col("t"))).alias("r")).collect()}
+        ranked = _rank_correlations(long.where(F.col("x").isNotNull()).select("f", "x", "t"))
     found = []
-    levels = {r["column"]: r for r in _counts(df, [c for c in known(df, columns) if c != target]).collect()}
-    n = df.count()
-    for c, row in levels.items():
-        numeric = c in numeric_columns(df)
-        pairs = df.where(F.col(c).isNotNull() & F.col(target).isNotNull())
-        few = row["n_distinct"] <= max(20, 0.1 * n)
-        if pairs.limit(min_rows).count() < min_rows:
+    for c, g in got.items():
+        if g["n"] < min_rows:
             continue
-        measures: dict[str, float | None] = {}
-        if task == "classification":
-            if numeric:
-                measures["mutual_information"] = _one(mutual_information(discretise(df, c), c, target), "normalised")
-                measures["eta"] = _one(correlation_ratio(df, target, c), "eta")
-                classes = [r[0] for r in df.where(F.col(target).isNotNull()).select(target).distinct().orderBy(target).limit(3).collect()]
-                if len(classes) == 2:
-                    auc = _one(single_auc(df.withColumn("_y", (F.col(target) == F.lit(classes[1])).cast("int")), c, "_y"), "auc")
-                    measures["auc"] = None if auc is None else 2 * abs(auc - 0.5)
-            elif few:
-                measures["mutual_information"] = _one(mutual_information(df, c, target), "normalised")
-                measures["cramers_v"] = _one(cramers_v(df, c, target), "v")
-        elif numeric:
-            r = _one(pearson_pairs(df, [c, target]), "r")
-            rho = _one(spearman(df, c, target), "rho")
-            info = _one(mutual_information(discretise(discretise(df, c), target), c, target), "mi")
-            measures |= {"pearson": r and abs(r), "spearman": rho and abs(rho), "mutual_information": None if info is None else (1 - 2.718281828459045 ** (-2 * info)) ** 0.5}
-        elif few:
-            measures["eta"] = _one(correlation_ratio(df, c, target), "eta")
-        kept = {k: v for k, v in measures.items() if v is not None}
+        normalised = g["mi"] / g["entropy"] if g["entropy"] else 0.0
+        if classes and c in numbers:
+            auc = ranked.get(c)
+            measures = {"mutual_information": normalised, "eta": eta[c], "auc": None if auc is None else 2 * abs(auc - 0.5)}
+        elif classes:
+            measures = {"mutual_information": normalised, "cramers_v": g["v"]}
+        elif c in numbers:
+            r, rho = linear.get(c), ranked.get(c)
+            measures = {"pearson": None if r is None else abs(r), "spearman": None if rho is None else abs(rho), "mutual_information": (1 - math.exp(-2 * g["mi"])) ** 0.5 if g["mi"] > 0 else 0.0}
+        else:
+            measures = {"eta": eta[c]}
+        kept = {k: v for k, v in measures.items() if v is not None and v == v}
         if kept:
             best = max(sorted(kept), key=kept.get)
             found.append({"column": c, "method": best, "score": kept[best], "coefficients": kept})
     return sorted(found, key=lambda x: (-x["score"], x["column"]))
 
 
+def _aucs(long: DataFrame) -> dict[str, float | None]:
+    """Feature -> AUC from rows of (f, s, p): counts by (feature, value) in one global order."""
+    counted = long.groupBy("f", "s").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col("p").cast("double")).alias("p"))
+    run = global_running(counted, [F.col("f"), F.col("s")], {"upto": F.col("n") - F.col("p")})
+    negatives = F.col("n") - F.col("p")
+    one = run.groupBy("f").agg(F.sum("p").alias("p"), F.sum(negatives).alias("q"), F.min(F.col("upto") - negatives).alias("before"), F.sum(F.col("p") * (F.col("upto") - negatives / 2)).alias("u"))
+    return {r["f"]: r["auc"] for r in one.select("f", F.try_divide(F.col("u") - F.col("before") * F.col("p"), F.col("p") * F.col("q")).alias("auc")).collect()}
+
+
+def _rank_correlations(long: DataFrame) -> dict[str, float | None]:
+    """Feature -> Pearson's r of the average ranks of x and t among the feature's rows, from counts by (feature, value) in one global order each."""
+    for value in ("x", "t"):
+        counted = long.groupBy(F.col("f").alias("_f"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        # where a feature's ranks begin does not matter to a correlation
+        ranks = global_running(counted, [F.col("_f"), F.col("_v")], {"_upto": F.col("_n")}).select("_f", "_v", (F.col("_upto") - F.col("_n") / 2).alias(f"rank_{value}"))
+        long = long.join(ranks, (F.col("f") == F.col("_f")) & (F.col(value) == F.col("_v"))).drop("_f", "_v")
+    middle = long.groupBy("f").agg(F.avg("rank_x").alias("mx"), F.avg("rank_t").alias("mt"))
+    both = long.join(middle, "f").groupBy("f").agg(correlation(F.col("rank_x") - F.col("mx"), F.col("rank_t") - F.col("mt")).alias("rho"))
+    return {r["f"]: r["rho"] for r in both.collect()}
+
+
 def _counts(df: DataFrame, columns: list[str]) -> DataFrame:
     from sparkprep.operators.profile import column_counts
 

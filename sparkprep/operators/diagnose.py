@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions.quantiles import column_quantiles
-from sparkprep.functions.tables import correlation
+from sparkprep.functions.tables import correlation, durable, global_running
 from sparkprep.operators.metrics import LOWER_IS_BETTER, classification_metrics, metric_name
 
 
@@ -87,24 +90,48 @@ def bootstrap_intervals(df: DataFrame, label: str, prediction: str, key: str, re
     return long.groupBy("metric").agg(F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"))
 
 
+def permuted(n: int, seed: str) -> Callable[[Column], Column]:
+    """A permutation of 0..n-1 by formula: a keyed scrambling of as many bits as n has, walked on from values beyond n until one is inside."""
+    bits = max(2, (n - 1).bit_length())
+    half, mask = bits // 2 + bits % 2, (1 << bits) - 1
+    keys = [int.from_bytes(hashlib.sha256(f"{seed}:{k}".encode()).digest()[:8], "big") & mask for k in range(8)]
+
+    def scramble(x: np.ndarray) -> np.ndarray:
+        for multiplier, shift in zip(keys[::2], keys[1::2], strict=True):
+            x = (x * np.uint64(multiplier | 1) + np.uint64(shift)) & np.uint64(mask)  # modulo 2 ** 64 keeps the low bits right
+            x ^= x >> np.uint64(half)
+        return x
+
+    def run(numbers: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in numbers:
+            x = scramble(part.to_numpy().astype(np.uint64))
+            while (out := x >= np.uint64(n)).any():
+                x[out] = scramble(x[out])
+            yield pd.Series(x.astype(np.int64))
+
+    return F.pandas_udf(run, "long")
+
+
 def permutation_importance(df: DataFrame, features: Iterable[str], key: str, score: Callable[[DataFrame], float], repeats: int = 5, higher_is_better: bool = True) -> DataFrame:
     """feature, importance (normalised to 1), std: the fall of the score when a column is shuffled.
 
-    A shuffled column comes from a join of two global orders: by key, and by a digest of it.
+    Rows are numbered once, by key. A repeat is one join: each row meets the row that a permutation of the
+    numbers, a formula, moves to it, and a feature's score takes that row's value of the feature.
     """
-    from sparkprep.functions.tables import global_running
-
-    base = score(df)
-    placed = global_running(df, [F.col(key)], {}, number="_at")
+    names, base = list(features), score(df)
+    placed = durable(global_running(df, [F.col(key)], {}, number="_at"))
+    n = placed.count()
+    drops: dict[str, list[float]] = {f: [] for f in names}
+    for r in range(repeats):
+        moved = placed.select((F.col("_at") - 1).alias("_from"), *[F.col(f).alias(f"_moved{i}") for i, f in enumerate(names)]).withColumn("_to", permuted(n, str(r))(F.col("_from")) + 1)
+        met = durable(placed.join(moved.drop("_from"), F.col("_at") == F.col("_to")))
+        for i, f in enumerate(names):
+            value = score(met.withColumn(f, F.col(f"_moved{i}")).select(*df.columns))
+            drops[f].append(base - value if higher_is_better else value - base)
     found = []
-    for f in features:
-        drops = []
-        for r in range(repeats):
-            moved = global_running(df.select(F.col(f).alias("_v"), F.xxhash64(F.col(key), F.lit(f), F.lit(r)).alias("_d"), F.col(key).alias("_key")), [F.col("_d"), F.col("_key")], {}, number="_at").select("_at", "_v")
-            value = score(placed.join(moved, "_at").withColumn(f, F.col("_v")).drop("_at", "_v"))
-            drops.append(base - value if higher_is_better else value - base)
-        mean = sum(drops) / len(drops)
-        found.append((f, max(0.0, mean), (sum((x - mean) ** 2 for x in drops) / len(drops)) ** 0.5))
+    for f, fell in drops.items():
+        mean = sum(fell) / len(fell)
+        found.append((f, max(0.0, mean), (sum((x - mean) ** 2 for x in fell) / len(fell)) ** 0.5))
     total = sum(x[1] for x in found) or 1.0
     return df.sparkSession.createDataFrame([(f, m / total, s) for f, m, s in found], "feature string, importance double, std double").orderBy(F.desc("importance"), "feature")
 
