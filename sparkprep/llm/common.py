@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,15 +46,13 @@ def shared_folder(spark: SparkSession) -> str:
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that the cluster shares, and free the shuffles that led to it."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that end in here free their shuffles."""
     was = spark.conf.get(_FREE_SHUFFLES, None)
     spark.conf.set(_FREE_SHUFFLES, "true")
     try:
-        return df.select("*").checkpoint()
+        yield
     finally:
         if was is None:
             spark.conf.unset(_FREE_SHUFFLES)
@@ -61,6 +60,15 @@ def durable(df: DataFrame) -> DataFrame:
             spark.conf.set(_FREE_SHUFFLES, was)
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the folder that the cluster shares, and free the shuffles that led to it."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    with freed_shuffles(spark):
+        return df.select("*").checkpoint()
+
+
 def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -1,16 +1,18 @@
 """Phrase collocation mining by stripes: each prefix keys an associative counter of the words after it.
 
-A stripe of the prefix ``a b`` says how often each word follows it inside a piece; an
-element without a word counts the occurrences after which no phrase can be frequent
-(a piece's end, or a word that the filter below rules out). So one structure gives all:
-its elements are the counts of phrases one word longer, its sum is the count of the prefix,
-its greatest element is the most frequent longer phrase that begins with the prefix, and the
-same elements, read by their words without the first one, give the most frequent one that ends with it.
-A phrase is never more frequent than one inside it, so these two decide about all longer phrases.
+The stripe of ``a b`` says how often each word follows it inside a piece. The stripes of all
+prefixes that begin with one word are nested in one: its elements are the ways to go on, ``b`` and
+``b c`` and ``b c d``, so a prefix's stripe are the elements one word longer than its own. This one
+structure gives all: an element is the count of a phrase, and of a longer prefix; the stripe of no prefix has the words'
+own counts, and in an element without a word those that no frequent phrase can hold, so its sum is the number of all
+words; the greatest element of a prefix's stripe is the most frequent longer phrase that begins with it, and the
+same elements, read without the first word, give the most frequent one that ends with it. A phrase is never
+more frequent than one inside it, so these two decide about all longer phrases.
 
 Tasks build stripes of their own rows with numbered words, so a word that is everywhere
-costs one stripe a task; stripes are merged element by element where they meet. A stripe
-is cut into segments by its next words, as many as the corpus's size calls for, so none grows past a bound.
+costs one stripe a task; stripes travel in shards by their prefixes and are merged element by element where they
+meet. A stripe is cut into segments by its next words, and there are as many segments and shards as the
+corpus's size calls for, so none grows past a bound.
 
 Most phrases of a corpus occur once. A first pass counts all phrases of one to ``max_words`` words
 in hashed buckets; a phrase whose bucket stays under the threshold cannot reach it and gets no
@@ -40,11 +42,11 @@ from sparkprep.llm import common as c
 #: Buckets of the filter: 2 ** LEAST_BITS to 2 ** MOST_BITS; they are merged in blocks of 2 ** 16.
 LEAST_BITS, MOST_BITS = 20, 29
 #: Buckets, and stripes' elements, that a task holds before it passes them on.
-HELD = 1 << 22
-#: Bytes of text for one segment of a stripe.
-SEGMENT_BYTES = 1 << 28
-#: A task numbers at most so many words before it starts anew: three numbers fit in one integer.
-_WORDS = 20
+HELD = 1 << 23
+#: Bytes of text for one segment of a stripe, and shards for so many bytes.
+SEGMENT_BYTES, SHARDS = 1 << 28, 512
+#: A task numbers at most 2 ** _WORDS words before it starts anew: _PACKED numbers fit in one integer.
+_WORDS, _PACKED = 20, 3
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 _BREAK = np.zeros(256, dtype=bool)
@@ -134,8 +136,9 @@ def _frequent_buckets(texts: DataFrame, bits: int, min_count: int, max_words: in
     counted = texts.mapInArrow(count, "block int, n int, counts binary")
     merged = counted.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
     out = bytearray(1 << (bits - 3))
-    for row in merged.collect():  # a bit a bucket, 64 MB at most
-        out[row.block << 13 : (row.block + 1) << 13] = row.bits
+    with c.freed_shuffles(texts.sparkSession):
+        for row in merged.collect():  # a bit a bucket, 64 MB at most
+            out[row.block << 13 : (row.block + 1) << 13] = row.bits
     return bytes(out)
 
 
@@ -144,7 +147,8 @@ class _Stripes:
 
     def __init__(self, lang: str, max_words: int) -> None:
         self.lang, self.numbers, self.words = lang, {}, [None]
-        self.met: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(max_words - 1)]
+        self.met: list[list[np.ndarray]] = [[] for _ in range(max_words)]  # by length, the last with its last words apart
+        self.last: list[np.ndarray] = []
         self.n = 0
 
     def add(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, alive: list[np.ndarray]) -> int:
@@ -160,15 +164,18 @@ class _Stripes:
         offsets = np.concatenate([[0], np.cumsum(ends[kept] - starts[kept])]).astype(np.int32)
         told = pa.StringArray.from_buffers(len(kept), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
         numbers = np.array([self._number(w) for w in told.dictionary.to_pylist()], dtype=np.uint64)
-        at = np.zeros(len(starts) + len(alive), dtype=np.uint64)  # zero where there is no word that counts
+        at = np.zeros(len(starts), dtype=np.uint64)
         at[kept] = numbers[told.indices.to_numpy()]
-        total = 0
+        self.met[0].append(at[kept].astype(np.uint32))
+        total = len(kept)
         for m in range(1, len(alive)):
-            of = np.flatnonzero(alive[m - 1])
-            prefix = at[of]
-            for k in range(1, m):
-                prefix = (prefix << np.uint64(_WORDS + 1)) | at[of + k]
-            self.met[m - 1].append((prefix, np.where(alive[m][of], at[of + m], np.uint64(0))))
+            of = np.flatnonzero(alive[m])
+            phrase = at[of]
+            for k in range(1, min(m, _PACKED - 1) + 1):
+                phrase = (phrase << np.uint64(_WORDS + 1)) | at[of + k]
+            self.met[m].append(phrase)
+            if m == _PACKED:
+                self.last.append(at[of + m])
             total += len(of)
         return total
 
@@ -180,81 +187,135 @@ class _Stripes:
         return found
 
     def told(self, segments: int) -> Iterator[pa.RecordBatch]:
-        """The stripes as rows (lang, prefix, segment, nexts, counts); the number of all words is the stripe of no prefix."""
-        yield _stripe_batch(pa.array([self.lang]), pa.array([None], pa.string()), np.zeros(1, dtype=np.int32), np.array([0, 1]), pa.array([None], pa.string()), np.array([self.n]))
+        """The stripes, packed by shards."""
         words = pa.array(self.words, pa.string())
         raw = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
         at = np.frombuffer(words.buffers()[1], dtype=np.int32)[: len(words) + 1].astype(np.int64)
-        segment_of = (c.bytes_digest(raw, at[:-1], at[1:]) % np.uint64(segments)).astype(np.int32)
-        segment_of[0] = 0
-        for m, met in enumerate(self.met, 1):
-            if not sum(len(p) for p, _ in met):
-                continue
-            prefixes, prefix = np.unique(np.concatenate([p for p, _ in met]), return_inverse=True)
-            element, counts = np.unique((prefix.astype(np.uint64) << np.uint64(_WORDS + 1)) | np.concatenate([n for _, n in met]), return_counts=True)
-            prefix, after = (element >> np.uint64(_WORDS + 1)).astype(np.int64), (element & np.uint64((2 << _WORDS) - 1)).astype(np.int64)
-            segment = segment_of[after]
-            if segments > 1:
-                order = np.lexsort((segment, prefix))
-                prefix, after, segment, counts = prefix[order], after[order], segment[order], counts[order]
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (segment[1:] != segment[:-1])])), len(prefix))
-            of = prefixes[prefix[cuts[:-1]]]
-            parts = [words.take(pa.array(((of >> np.uint64((_WORDS + 1) * (m - 1 - k))) & np.uint64((2 << _WORDS) - 1)).astype(np.int64))) for k in range(m)]
-            text = pc.binary_join_element_wise(*parts, " ") if m > 1 else parts[0]
-            yield _stripe_batch(pa.array([self.lang] * len(of)), text, segment[cuts[:-1]], cuts, words.take(pa.array(after)), counts)
-
-
-def _stripe_batch(lang: pa.Array, prefix: pa.Array, segment: np.ndarray, cuts: np.ndarray, nexts: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+        digest = c.bytes_digest(raw, at[:-1], at[1:])
+        digest[0] = 0  # what is no word
+        own = np.bincount(np.concatenate(self.met[0]), minlength=len(words)) if self.met[0] else np.zeros(1, dtype=np.int64)
+        own[0] = self.n - own.sum()
+        shards = np.uint64(segments * SHARDS)
+        yield from self._packed(None, np.zeros(len(own), dtype=np.int64), digest[: len(own)] % shards, words, own)
+        low = np.uint64((2 << _WORDS) - 1)
+        firsts, counts, paths, second = [], [], [], []
+        for m, met in enumerate(self.met[1:], 1):
+            phrase = np.concatenate(met) if met else np.zeros(0, dtype=np.uint64)
+            if m < _PACKED:
+                phrase, times = np.unique(phrase, return_counts=True)
+                numbers = [phrase >> np.uint64((_WORDS + 1) * (m - k)) & low for k in range(m + 1)]
+            else:
+                prefixes, prefix = np.unique(phrase, return_inverse=True)
+                element, times = np.unique((prefix.astype(np.uint64) << np.uint64(_WORDS + 1)) | (np.concatenate(self.last) if met else phrase), return_counts=True)
+                of = prefixes[element >> np.uint64(_WORDS + 1)]
+                numbers = [*(of >> np.uint64((_WORDS + 1) * (m - 1 - k)) & low for k in range(m)), element & low]
+            numbers = [x.astype(np.int64) for x in numbers]
+            firsts.append(numbers[0])
+            second.append(numbers[1])
+            counts.append(times)
+            path = [words.take(pa.array(x)) for x in numbers[1:]]
+            paths.append(pc.binary_join_element_wise(*path, " ") if m > 1 else path[0])
+        if firsts:
+            first, segment = np.concatenate(firsts), digest[np.concatenate(second)] % np.uint64(segments)
+            yield from self._packed(words, first, c.mix(digest[first] + segment) % shards, pa.concat_arrays(paths), np.concatenate(counts))
+
+    def _packed(self, prefixes: pa.Array | None, prefix: np.ndarray, shard: np.ndarray, nexts: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A row a shard from elements: the prefixes of its stripes, their sizes, and all their elements."""
+        order = np.lexsort((prefix, shard))
+        order = order[counts[order] > 0]
+        prefix, shard = prefix[order], shard[order].astype(np.int32)
+        if not len(order):
+            return
+        new_shard = np.concatenate([[True], shard[1:] != shard[:-1]])
+        stripes = np.append(np.flatnonzero(new_shard | np.concatenate([[True], prefix[1:] != prefix[:-1]])), len(prefix))
+        rows = np.append(np.flatnonzero(new_shard), len(prefix))
+        told = pa.nulls(len(stripes) - 1, pa.string()) if prefixes is None else prefixes.take(pa.array(prefix[stripes[:-1]]))
+        of_rows, of_elements = pa.array(np.searchsorted(stripes, rows).astype(np.int32)), pa.array(rows.astype(np.int32))
+        lists = [pa.ListArray.from_arrays(of_rows, told), pa.ListArray.from_arrays(of_rows, pa.array(np.diff(stripes).astype(np.int32)))]
+        lists += [pa.ListArray.from_arrays(of_elements, x) for x in (nexts.take(pa.array(order)), pa.array(counts[order].astype(np.int64)))]
+        yield pa.RecordBatch.from_arrays([pa.array([self.lang] * (len(rows) - 1)), pa.array(shard[rows[:-1]]), *lists], ["lang", "shard", "prefixes", "sizes", "nexts", "counts"])
+
+
+def _stripe_batch(lang: pa.Array, shard: pa.Array, prefix: pa.Array, cuts: np.ndarray, nexts: pa.Array, counts: pa.Array) -> pa.RecordBatch:
     cuts = pa.array(cuts.astype(np.int32))
-    lists = [pa.ListArray.from_arrays(cuts, nexts), pa.ListArray.from_arrays(cuts, pa.array(counts.astype(np.int64)))]
-    return pa.RecordBatch.from_arrays([lang, prefix, pa.array(segment), *lists], ["lang", "prefix", "segment", "nexts", "counts"])
+    lists = [pa.ListArray.from_arrays(cuts, nexts), pa.ListArray.from_arrays(cuts, counts)]
+    return pa.RecordBatch.from_arrays([lang, shard, prefix, *lists], ["lang", "shard", "prefix", "nexts", "counts"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A row a stripe."""
+    lang, shard, prefixes, sizes, nexts, counts = batch.columns
+    row = pa.array(np.repeat(np.arange(batch.num_rows), pc.list_value_length(prefixes).to_numpy(zero_copy_only=False)))
+    cuts = np.concatenate([[0], np.cumsum(sizes.flatten().to_numpy())])
+    return _stripe_batch(lang.take(row), shard.take(row), prefixes.flatten(), cuts, nexts.flatten(), counts.flatten())
 
 
 def _merged(table: pa.Table) -> pa.RecordBatch:
-    """Stripes sorted by (lang, prefix, segment), those of one key added up element by element."""
-    keys = [table.column(x).combine_chunks() for x in ("lang", "prefix", "segment")]
-    new = np.zeros(table.num_rows, dtype=bool)
-    new[0] = True
-    for key in keys:
-        codes = pc.fill_null(key.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
-        new[1:] |= codes[1:] != codes[:-1]
-    first = np.flatnonzero(new)
-    nexts, counts = table.column("nexts").combine_chunks(), table.column("counts").combine_chunks()
+    """Stripes of one prefix and shard added up element by element."""
+    lang, shard, prefix, nexts, counts = (x.combine_chunks() for x in table.columns)
+    named, begun = lang.dictionary_encode(), prefix.dictionary_encode()
+    own = pc.fill_null(begun.indices, len(begun.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+    key = (shard.to_numpy().astype(np.int64) * len(named.dictionary) + named.indices.to_numpy()) * (len(begun.dictionary) + 1) + own
+    _, first, stripe = np.unique(key, return_index=True, return_inverse=True)
     told = nexts.flatten().dictionary_encode()
     code = pc.fill_null(told.indices, len(told.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.repeat(np.cumsum(new) - 1, pc.list_value_length(nexts).to_numpy(zero_copy_only=False))
     width = len(told.dictionary) + 1
-    element, back = np.unique(row * width + code, return_inverse=True)
+    element, back = np.unique(np.repeat(stripe, pc.list_value_length(nexts).to_numpy(zero_copy_only=False)) * width + code, return_inverse=True)
     sums = np.zeros(len(element), dtype=np.int64)
     np.add.at(sums, back, counts.flatten().to_numpy())
     words = pa.concat_arrays([told.dictionary, pa.array([None], pa.string())])
-    cuts = np.searchsorted(element, np.arange(len(first) + 1) * width)
     at = pa.array(first)
-    return _stripe_batch(keys[0].take(at), keys[1].take(at), keys[2].take(at).to_numpy(), cuts, words.take(pa.array(element % width)), sums)
+    return _stripe_batch(lang.take(at), shard.take(at), prefix.take(at), np.searchsorted(element, np.arange(len(first) + 1) * width), words.take(pa.array(element % width)), pa.array(sums))
+
+
+def _summed(stripe: pa.RecordBatch, min_count: int) -> pa.RecordBatch:
+    """Merged stripes with the sum of their elements of a word or none, ``total``, and of their elements the frequent ones, each with the greatest of those one word longer, ``right``."""
+    nexts, counts = stripe.column(3).flatten(), stripe.column(4).flatten().to_numpy()
+    row = np.repeat(np.arange(stripe.num_rows), pc.list_value_length(stripe.column(3)).to_numpy(zero_copy_only=False))
+    longer = pc.fill_null(pc.match_substring(nexts, " "), False).to_numpy(zero_copy_only=False)
+    totals = np.zeros(stripe.num_rows, dtype=np.int64)
+    np.add.at(totals, row[~longer], counts[~longer])
+    kept = np.flatnonzero((counts >= min_count) & pc.is_valid(nexts).to_numpy(zero_copy_only=False))
+    paths, row, counts, longer = nexts.take(pa.array(kept)), row[kept], counts[kept], longer[kept]
+    codes = pa.concat_arrays([paths, pc.replace_substring_regex(paths, " [^ ]*$", "")]).dictionary_encode()
+    code, width = codes.indices.to_numpy().astype(np.int64), len(codes.dictionary) + 1
+    own, above = row * width + code[: len(kept)], row * width + code[len(kept) :]
+    order = np.argsort(own)
+    at = order[np.searchsorted(own[order], above[longer])]  # a frequent phrase's prefix is frequent, and in the same segment
+    right = np.zeros(len(kept), dtype=np.int64)
+    np.maximum.at(right, at, counts[longer])
+    cuts = pa.array(np.searchsorted(row, np.arange(stripe.num_rows + 1)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(cuts, x) for x in (paths, pa.array(counts), pa.array(right))]
+    return pa.RecordBatch.from_arrays([stripe.column(0), stripe.column(2), pa.array(totals), *lists], ["lang", "prefix", "total", "nexts", "counts", "right"])
 
 
 def _merge_stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges sorted stripes as they come; the last key stays open."""
+    """Merges packed stripes sorted by (lang, shard) as they come; the last shard stays open."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        held.append(batch)
-        size += len(batch.column(3).values)
+        if not batch.num_rows:
+            continue
+        held.append(_unpacked(batch))
+        size += len(held[-1].column(3).values)
         if size >= HELD // 4:
             done = _merged(pa.Table.from_batches(held))
-            if done.num_rows > 1:
-                yield done.slice(0, done.num_rows - 1)
-            held = [done.slice(done.num_rows - 1)]
+            last = pc.and_(pc.equal(done.column(0), batch.column(0)[-1]), pc.equal(done.column(1), batch.column(1)[-1]))
+            yield done.filter(pc.invert(last))
+            held = [done.filter(last)]
             size = len(held[0].column(3).flatten())
-    if held and any(b.num_rows for b in held):
-        yield _merged(pa.Table.from_batches([b for b in held if b.num_rows]))
+    if held:
+        yield _merged(pa.Table.from_batches(held))
 
 
 def stripes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 30, max_words: int = 4) -> DataFrame:
-    """lang, prefix, segment, total, nexts, counts: the merged stripes of prefixes of 1 to ``max_words`` - 1 words, and of no prefix (null), whose total is the number of words.
+    """lang, prefix, total, nexts, counts, right: the merged stripes, nested by their first word (``prefix``), and that of no prefix (null), whose totals add up to the number of words.
 
-    ``total`` counts the prefix where any word of the segment, or none, follows; nexts and counts hold the words that follow it at least ``min_count`` times.
+    nexts has the one to ``max_words`` - 1 words that go on from the prefix at least ``min_count`` times, for no prefix
+    the words themselves; counts how often they do, right how often the most frequent phrase one word longer does.
     """
+    if not 2 <= max_words <= _PACKED + 1:
+        raise ValueError(f"phrases have 2 to {_PACKED + 1} words")
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max((size // 16).bit_length(), LEAST_BITS), MOST_BITS)
@@ -283,12 +344,10 @@ def stripes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min
         for one in held.values():
             yield from one.told(segments)
 
-    kind = "lang string, prefix string, segment int, nexts array<string>, counts array<long>"
-    key = ["lang", "prefix", "segment"]
-    merged = texts.mapInArrow(build, kind).repartition(*key).sortWithinPartitions(*key).mapInArrow(_merge_stripes, kind)
-    frequent = F.filter(F.arrays_zip("nexts", "counts"), lambda x: x["nexts"].isNotNull() & (x["counts"] >= min_count))
-    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)
-    return merged.select(*key, total.alias("total"), frequent.alias("_f")).select(*key, "total", F.col("_f.nexts").alias("nexts"), F.col("_f.counts").alias("counts"))
+    packed = texts.mapInArrow(build, "lang string, shard int, prefixes array<string>, sizes array<int>, nexts array<string>, counts array<long>")
+    merge = lambda batches: (_summed(x, min_count) for x in _merge_stripes(batches) if x.num_rows)
+    merged = packed.repartition("lang", "shard").sortWithinPartitions("lang", "shard").mapInArrow(merge, "lang string, prefix string, total long, nexts array<string>, counts array<long>, right array<long>")
+    return merged.where((F.size("nexts") > 0) | F.col("prefix").isNull())
 
 
 def _exact(x: str | Column) -> Column:
@@ -307,17 +366,19 @@ def phrases(
     sizes = found.where("prefix IS NULL").groupBy("lang").agg(F.sum("total").alias("n"))
     prefixes = found.where("prefix IS NOT NULL")
     keyed = lambda phrase: F.concat("lang", F.lit("\t"), phrase)  # noqa: E731  (no word holds a tab)
-    known = prefixes.groupBy(keyed(F.col("prefix")).alias("key")).agg(F.sum("total").alias("f"), F.max(F.array_max("counts")).alias("right_most")).where(F.col("f") >= min_count)
-    longer = prefixes.select("lang", "prefix", F.explode(F.arrays_zip("nexts", "counts")).alias("x")).select("lang", F.concat("prefix", F.lit(" "), F.col("x.nexts")).alias("phrase"), F.col("x.counts").alias("a"))
+    words = found.where("prefix IS NULL").select("lang", F.explode(F.arrays_zip("nexts", "counts")).alias("x")).select(keyed(F.col("x.nexts")).alias("key"), F.col("x.counts").alias("f"))
+    longer = prefixes.select("lang", "prefix", F.explode(F.arrays_zip("nexts", "counts", "right")).alias("x"))
+    longer = longer.select("lang", F.concat("prefix", F.lit(" "), F.col("x.nexts")).alias("phrase"), F.col("x.counts").alias("a"), F.col("x.right").alias("right_most"))
     longer = c.durable(longer.withColumn("words", F.split("phrase", " ", -1)).withColumn("key", keyed(F.col("phrase"))))
     tails = longer.where(F.size("words") > 2).groupBy(keyed(F.array_join(F.slice("words", F.lit(2), F.size("words")), " ")).alias("key")).agg(F.max("a").alias("left_most"))
-    met = longer.join(known.select("key", "right_most"), "key", "left").join(tails, "key", "left")
+    met = longer.join(tails, "key", "left")
     most = F.coalesce(F.greatest("right_most", "left_most"), F.lit(0))
     kept = c.durable(met.where(100 * _exact(most) < subsumed_percent * _exact("a")).select("key", "lang", "phrase", "words", "a"))
     cut = kept.where("size(words) > 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.size("words") - 1)))
     side = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.array_join(F.slice("words", F.lit(1), F.col("k")), " ").alias("of")), F.struct(F.lit("r").alias("side"), F.array_join(F.slice("words", F.col("k") + 1, F.size("words")), " ").alias("of"))))
     asked = cut.select("key", "lang", "phrase", "a", "k", side.alias("x")).select(F.col("key").alias("whole"), "lang", "phrase", "a", "k", "x.side", keyed(F.col("x.of")).alias("key"))
-    answers = c.durable(known.select("key", "f").join(asked.groupBy("key").agg(F.count("*").alias("asked")), "key"))
+    known = words.unionByName(longer.select("key", F.col("a").alias("f")))
+    answers = c.durable(known.join(asked.groupBy("key").agg(F.count("*").alias("asked")), "key"))
     told = c.join_hot_apart(asked, answers, "key", "asked", "inner")
     counts = {f"{s}{k}": F.max(F.when((F.col("side") == s) & (F.col("k") == k), F.col("f"))) for k in range(1, max_words) for s in "lr"}
     scored = told.groupBy("lang", "phrase").agg(F.max("a").alias("a"), *[v.alias(n) for n, v in counts.items()])
