@@ -7,13 +7,16 @@ best of a block leave it.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkprep.functions.components import components
 from sparkprep.functions.tables import durable
 from sparkprep.operators.encode import fit_scaler, scale
 
@@ -173,35 +176,114 @@ def local_outlier_factor(train: DataFrame, df: DataFrame, key: str, features: li
     return near.groupBy(F.col("query").alias(key)).agg((F.avg("lrd") * F.greatest(F.avg(F.greatest("distance", "kd")), F.lit(1e-12))).alias("lof"))
 
 
+#: Cells of a side from whose corner to corner is eps are used up to so many features; with more there are too many cells next to one.
+MOST_CELL_FEATURES = 4
+#: Rows of a cell that one task compares with others'.
+CELL_BLOCK = 4096
+
+
+def _distance_within(eps: float) -> Column:
+    square = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return square <= eps * eps
+
+
+def _near_core(thin: DataFrame, pairs: DataFrame, points: DataFrame, eps: float) -> DataFrame:
+    """(id, cell, other, near): rows of thin cells with the points within eps in the cells next to theirs. Large cells are dealt in parts."""
+    asked = thin.join(pairs, "cell").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("id", "v", "cell", "other", "part")
+    there = points.select(F.col("cell").alias("other"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("near"), F.col("v").alias("w"))
+    return asked.join(there, ["other", "part"]).where(_distance_within(eps)).select("id", "cell", "other", "near")
+
+
+def _box_distances(dims: int) -> tuple[Column, Column]:
+    """Squares of the least and greatest distance between boxes (lo, hi) and (lo2, hi2)."""
+    least, most = F.lit(0.0), F.lit(0.0)
+    for i in range(dims):
+        gap = F.greatest(F.lit(0.0), F.col("lo")[i] - F.col("hi2")[i], F.col("lo2")[i] - F.col("hi")[i])
+        span = F.greatest(F.col("hi")[i] - F.col("lo2")[i], F.col("hi2")[i] - F.col("lo")[i])
+        least, most = least + gap * gap, most + span * span
+    return least, most
+
+
+def _full_links(full: DataFrame, pairs: DataFrame, eps: float, side: float, dims: int) -> DataFrame:
+    """(cell, other) of full cells that have points within eps of each other, told by boxes around points, halved until all pairs are decided; no pairs of points are made."""
+    least, most = _box_distances(dims)
+    linked = None
+    open_pairs = pairs.where("cell < other").select("cell", "other", F.lit("").alias("sub"), F.lit("").alias("sub2"))
+    level = 0
+    while True:
+        # a box's name is its place among the halved cells, after its parent's
+        places = [F.expr(f"array_join(transform(v, x -> cast(pmod(floor(x / {side / 2**k!r}D), 2) AS string)), '')") for k in range(1, level + 1)]
+        named = full.withColumn("sub", F.concat(*places) if places else F.lit(""))
+        ends = lambda f: F.array(*[f(F.col("v")[i]) for i in range(dims)])
+        boxes = durable(named.groupBy("cell", "sub").agg(ends(F.min).alias("lo"), ends(F.max).alias("hi")))
+        parent = F.expr(f"left(sub, length(sub) - {dims})") if level else F.lit("")
+        mine = boxes.withColumn("parent", parent)
+        yours = boxes.select(F.col("cell").alias("other"), F.col("sub").alias("sub2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")).withColumn("parent2", F.expr(f"left(sub2, length(sub2) - {dims})") if level else F.lit(""))
+        asked = open_pairs.withColumnsRenamed({"sub": "parent", "sub2": "parent2"})
+        met = durable(asked.join(mine, ["cell", "parent"]).join(yours, ["other", "parent2"]).withColumns({"least": least, "most": most}).where(F.col("least") <= eps * eps).select("cell", "other", "sub", "sub2", "least", "most"))
+        sure = met.where((F.col("most") <= eps * eps) | (F.col("least") == F.col("most"))).select("cell", "other").distinct()
+        linked = sure if linked is None else linked.unionByName(sure)
+        linked = durable(linked)
+        open_pairs = durable(met.join(linked.distinct(), ["cell", "other"], "left_anti").select("cell", "other", "sub", "sub2"))
+        if open_pairs.isEmpty():
+            return linked
+        level += 1
+
+
 def dbscan(df: DataFrame, key: str, features: list[str], eps: float = 0.5, min_samples: int = 5, scaled: bool = True) -> DataFrame:
     """(key, cluster): cluster is the smallest key among its core rows, noise -1; a border row joins its smallest core neighbour's cluster.
 
-    Rows meet by grid cells of side eps and their neighbours (for few features).
-    Core rows' smallest labels spread along links, checkpointed, until none changes.
-    Distances are between scaled features.
+    Cells have a side of eps / sqrt(features), so all rows of a cell are within eps of each other: in a full cell, of
+    min_samples rows or more, all are core without a look at pairs, and only rows of thin cells meet rows of the
+    cells next to theirs. Cells are linked where core rows of two are within eps, two full ones by the boxes of
+    their rows; clusters are the components of cells. With more than MOST_CELL_FEATURES features rows meet in cells of
+    side eps. Distances are between scaled features.
     """
     if scaled:
         (df,) = _scaled(df, features)
     dims = len(features)
+    if dims > MOST_CELL_FEATURES:
+        return _dbscan_by_links(df, key, features, eps, min_samples)
+    side = eps / math.sqrt(dims) * (1 - 1e-12)
+    base = _vectors(df, key, features).withColumn("place", F.transform("v", lambda x: F.floor(x / side).cast("long")))
+    base = durable(base.withColumn("cell", F.md5(F.array_join(F.transform("place", lambda x: x.cast("string")), ","))))
+    sizes = base.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.any_value("place").alias("place"))
+    sizes = durable(sizes.withColumn("parts", F.ceil(F.col("n") / CELL_BLOCK).cast("int")))
+    width = math.ceil(math.sqrt(dims))
+    steps = [s for s in itertools.product(range(-width, width + 1), repeat=dims) if sum(max(0, abs(x) - 1) ** 2 for x in s) <= dims]
+    spread = sizes.withColumn("_s", F.explode(F.array(*[F.array(*[F.lit(x).cast("long") for x in s]) for s in steps])))
+    spread = spread.select("cell", F.col("n").alias("own"), F.zip_with("place", "_s", lambda c, s: c + s).alias("_to"))
+    pairs = durable(spread.join(sizes.select(F.col("place").alias("_to"), F.col("cell").alias("other"), "n", "parts"), "_to").select("cell", "own", "other", "n", "parts"))
+    points = base.select("id", "v", "cell").join(sizes.select("cell", "n", "parts"), "cell")
+    thin, full = durable(points.where(F.col("n") < min_samples)), points.where(F.col("n") >= min_samples)
+    around = pairs.where(F.col("own") < min_samples).select("cell", "other", "parts")
+    enough = durable(_near_core(thin.select("id", "v", "cell"), around, points, eps).groupBy("id").agg(F.count(F.lit(1)).alias("near")).where(F.col("near") >= min_samples).select("id"))
+    core = durable(full.select("id", "v", "cell", "parts").unionByName(thin.join(enough, "id").select("id", "v", "cell", "parts")))
+    near = durable(_near_core(thin.select("id", "v", "cell"), around, core, eps).groupBy("id", "cell").agg(F.min("near").alias("first"), F.collect_set("other").alias("others")))  # as many cells as lie around one
+    mine = near.join(enough, "id").select("cell", F.explode("others").alias("other"))
+    between = pairs.where((F.col("own") >= min_samples) & (F.col("n") >= min_samples)).select("cell", "other")
+    links = mine.unionByName(_full_links(full.select("v", "cell"), between, eps, side, dims)).select(F.col("cell").alias("a"), F.col("other").alias("b"))
+    named = core.select("id", "cell").join(components(links).withColumnRenamed("node", "cell"), "cell", "left").select("id", F.coalesce("component", "cell").alias("component"))
+    label = durable(named.join(named.groupBy("component").agg(F.min("id").alias("label")), "component").select("id", "label"))
+    border = near.join(label.select("id"), "id", "left_anti").select("id", "first").join(label.toDF("first", "edge"), "first").select("id", "edge")
+    out = base.select("id").join(label, "id", "left").join(border, "id", "left")
+    return out.select(F.col("id").alias(key), F.coalesce("label", "edge", F.lit(-1)).alias("cluster"))
+
+
+def _dbscan_by_links(df: DataFrame, key: str, features: list[str], eps: float, min_samples: int) -> DataFrame:
+    """Core rows' links as such, met in cells of side eps."""
+    dims = len(features)
     base = _vectors(df, key, features)
     cells = base.withColumn("cell", F.transform("v", lambda x: F.floor(x / eps)))
     shift = F.array(*[F.array(*[F.lit(int(d)) for d in np.unravel_index(i, (3,) * dims)]) for i in range(3**dims)])
     spread = cells.withColumn("_s", F.explode(shift)).withColumn("cell", F.zip_with("cell", "_s", lambda c, s: c + s - 1)).select("cell", F.col("id").alias("other"), F.col("v").alias("w"))
-    square = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    links = durable(cells.join(spread, "cell").where(square <= eps * eps).select("id", "other"))
+    links = durable(cells.join(spread, "cell").where(_distance_within(eps)).select("id", "other"))
     core = links.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select("id")
-    inner = durable(links.join(core, "id").join(core.withColumnRenamed("id", "other"), "other").select("id", "other"))
-    label = core.withColumn("label", F.col("id"))
-    while True:
-        told = inner.join(label.withColumnRenamed("id", "other").withColumnRenamed("label", "low"), "other").groupBy("id").agg(F.min("low").alias("low"))
-        new = label.join(told, "id", "left").select("id", F.least("label", F.coalesce("low", "label")).alias("label"), "label")
-        new = durable(new.toDF("id", "label", "was"))
-        # a label follows its own label: chains shorten by half a round
-        hop = new.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        moved = durable(new.join(hop, "label", "left").select("id", F.least("label", F.coalesce("further", "label")).alias("label"), "was"))
-        label = moved.select("id", "label")
-        if moved.where("label != was").isEmpty():
-            break
+    inner = links.join(core, "id").join(core.withColumnRenamed("id", "other"), "other")
+    name = lambda c: F.md5(F.col(c).cast("string"))
+    found = components(inner.select(name("id").alias("a"), name("other").alias("b")))
+    named = core.withColumn("node", name("id")).join(found, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
+    label = durable(named.join(named.groupBy("component").agg(F.min("id").alias("label")), "component").select("id", "label"))
     border = links.join(label.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min(F.struct("other", "label")).alias("m")).select("id", F.col("m.label").alias("near"))
     out = base.select("id").join(label, "id", "left").join(border, "id", "left")
     return out.select(F.col("id").alias(key), F.coalesce("label", "near", F.lit(-1)).alias("cluster"))

@@ -25,18 +25,21 @@ def value_counts(df: DataFrame, columns: Iterable[str] | None = None) -> DataFra
     """column, whole, real, text, n: how often each value is in each column, nulls left out; and in a row of no column the number of rows.
 
     One explode to narrow cells and one shuffle, in which counts are added up in the tasks first,
-    whatever the number of columns. Whole numbers are told apart as such, other numbers as doubles, all else as text.
+    whatever the number of columns; cells have their column's number, names are put on afterwards. Whole numbers are told apart as such, other numbers as doubles, all else as text.
     """
-    cells = [F.struct(F.lit(None).cast("string").alias("column"), F.lit(None).cast("long").alias("whole"), F.lit(None).cast("double").alias("real"), F.lit(None).cast("string").alias("text"))]
-    for c in known(df, columns):
+    names = known(df, columns)
+    cells = [F.struct(F.lit(0).alias("k"), F.lit(None).cast("long").alias("whole"), F.lit(None).cast("double").alias("real"), F.lit(None).cast("string").alias("text"))]
+    for k, c in enumerate(names, 1):
         kind = df.schema[c].dataType
         whole, real = isinstance(kind, T.IntegralType), isinstance(kind, T.DoubleType | T.FloatType)
         cells.append(F.struct(
-            F.lit(c).alias("column"), (F.col(c).cast("long") if whole else F.lit(None).cast("long")).alias("whole"), (F.col(c).cast("double") if real else F.lit(None).cast("double")).alias("real"),
+            F.lit(k).alias("k"), (F.col(c).cast("long") if whole else F.lit(None).cast("long")).alias("whole"), (F.col(c).cast("double") if real else F.lit(None).cast("double")).alias("real"),
             (F.lit(None).cast("string") if whole or real else _hashable(df, c).cast("string")).alias("text"),
         ))
     long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-    return long.where("column is null or whole is not null or real is not null or text is not null").groupBy("column", "whole", "real", "text").agg(F.count(F.lit(1)).alias("n"))
+    counted = long.where("k = 0 or whole is not null or real is not null or text is not null").groupBy("k", "whole", "real", "text").agg(F.count(F.lit(1)).alias("n"))
+    named = F.array(F.lit(None).cast("string"), *map(F.lit, names))
+    return counted.select(F.get(named, F.col("k")).alias("column"), "whole", "real", "text", "n")
 
 
 def _by_column(counts: DataFrame, names: list[str], aggregates: dict[str, Column]) -> DataFrame:
@@ -107,13 +110,11 @@ def _quantile_rows(counts: DataFrame, probabilities: Iterable[float]) -> DataFra
     return found.select("column", "n", "p", (F.col("a") + F.col("part") * (F.coalesce("b", "a") - F.col("a"))).alias("q"))
 
 
-def quantiles(df: DataFrame, columns: Iterable[str] | None = None, probabilities: tuple[float, ...] = QUANTILES, rows: DataFrame | None = None) -> DataFrame:
-    """column, q01.. with linear interpolation; exact, and no task holds a column's values. ``rows`` are the quantiles a row each, if they are at hand."""
+def quantiles(df: DataFrame, columns: Iterable[str] | None = None, probabilities: tuple[float, ...] = QUANTILES, found: dict[str, list] | None = None) -> DataFrame:
+    """column, q01.. with linear interpolation; exact, and no task holds a column's values. ``found`` are the columns' quantiles, if they are at hand."""
     names = [c for c in known(df, columns) if c in numeric_columns(df)]
-    rows = _quantile_rows(value_counts(_numbers(df, names), names), probabilities) if rows is None else rows
-    wide = rows.groupBy(F.col("column").alias("_c")).agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(f"q{round(p * 100):02d}") for p in probabilities])
-    each = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
-    return each.join(wide, F.col("column") == F.col("_c"), "left").drop("_c")
+    found = column_quantiles(df, {c: F.col(c) for c in names}, probabilities) if found is None else found
+    return df.sparkSession.createDataFrame([(c, *found[c]) for c in names], ", ".join(["column string", *[f"q{round(p * 100):02d} double" for p in probabilities]]))
 
 
 def _numbers(df: DataFrame, names: list[str]) -> DataFrame:
@@ -133,21 +134,26 @@ def fences(df: DataFrame, columns: list[str], multiplier: float = 1.5) -> DataFr
     return df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).select("*", *ends)
 
 
-def iqr_outliers(df: DataFrame, columns: Iterable[str] | None = None, multiplier: float = 1.5, counts: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
-    """column, lower, upper, n_outliers, outlier_fraction. Below four values none; without spread the bounds are the quartiles and nothing is outside."""
+def iqr_outliers(df: DataFrame, columns: Iterable[str] | None = None, multiplier: float = 1.5, quartiles: dict[str, tuple] | None = None) -> DataFrame:
+    """column, lower, upper, n_outliers, outlier_fraction. Below four values none; without spread the bounds are the quartiles and nothing is outside.
+
+    One scan counts what is outside; ``quartiles`` (25 and 75 %) are taken if they are at hand.
+    """
     names = [c for c in known(df, columns) if c in numeric_columns(df)]
-    if counts is None:
-        counts = durable(value_counts(_numbers(df, names), names))
-    rows = (_quantile_rows(counts, (0.25, 0.75)) if rows is None else rows.where("p in (0.25, 0.75)")).groupBy(F.col("column").alias("_q")).agg(F.max("n").alias("_n"), F.min("q").alias("a"), F.max("q").alias("b"))
-    v = F.coalesce(F.col("whole").cast("double"), "real")
-    reach = F.when(F.col("b") > F.col("a"), F.lit(multiplier) * (F.col("b") - F.col("a"))).otherwise(0.0)
-    joined = counts.where("whole is not null or real is not null").join(F.broadcast(rows), F.col("column") == F.col("_q"))  # a row a column
-    lo, hi = F.col("a") - reach, F.col("b") + reach
-    outside = (F.col("_n") >= 4) & (F.col("b") > F.col("a")) & ((v < lo) | (v > hi))
-    got = joined.groupBy(F.col("column").alias("_c")).agg(F.max(F.when(F.col("_n") >= 4, lo)).alias("lower"), F.max(F.when(F.col("_n") >= 4, hi)).alias("upper"), F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("o"), F.max("_n").alias("_all"))
-    each = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
-    out = each.join(got, F.col("column") == F.col("_c"), "left")
-    return out.select("column", "lower", "upper", F.coalesce("o", F.lit(0)).alias("n_outliers"), F.coalesce(F.try_divide("o", "_all"), F.lit(0.0)).alias("outlier_fraction"))
+    ends = column_quantiles(df, {c: F.col(c) for c in names}, (0.25, 0.75)) if quartiles is None else quartiles
+    aggs, bounds = [], {}
+    for i, c in enumerate(names):
+        x, (a, b) = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), ends[c]
+        reach = multiplier * (b - a) if a is not None and b > a else 0.0
+        bounds[c] = (None, None) if a is None else (a - reach, b + reach)
+        aggs += [F.count(x).alias(f"n{i}"), (F.count_if((x < bounds[c][0]) | (x > bounds[c][1])) if reach else F.lit(0).cast("long")).alias(f"o{i}")]
+    row = df.agg(*aggs).first() if names else None
+    out = []
+    for i, c in enumerate(names):
+        n, o = row[f"n{i}"], row[f"o{i}"]
+        some = n >= 4
+        out.append((c, *(bounds[c] if some else (None, None)), o if some else 0, o / n if some else 0.0))
+    return df.sparkSession.createDataFrame(out, "column string, lower double, upper double, n_outliers long, outlier_fraction double")
 
 
 def top_values(df: DataFrame, columns: Iterable[str] | None = None, k: int = 12) -> DataFrame:
@@ -267,16 +273,16 @@ def target_summary(df: DataFrame, target: str, max_classes: int = 50) -> DataFra
 def profile_table(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """One row per column: counts, moments, quantiles and outliers where the column is numeric, string statistics where it is text.
 
-    The values are counted once; distinct values, quantiles and outliers come from the counts. A second scan takes the moments.
+    Only distinct values take a shuffle, of counts by value; moments, quantiles and outliers are scans.
     """
     names = known(df, columns)
     numbers, texts = [c for c in names if c in numeric_columns(df)], [c for c in names if c in string_columns(df)]
     plain = _numbers(df, numbers)
-    counts = durable(value_counts(plain, names))
-    out = column_counts(plain, names, counts)
+    out = column_counts(plain, names)
     if numbers:
-        rows = durable(_quantile_rows(counts, QUANTILES))  # a row a column and probability
-        for part in (moments(plain, numbers).drop("n"), quantiles(plain, numbers, rows=rows), iqr_outliers(plain, numbers, counts=counts, rows=rows)):
+        found = column_quantiles(plain, {c: F.col(c) for c in numbers}, QUANTILES)
+        ends = {c: (q[QUANTILES.index(0.25)], q[QUANTILES.index(0.75)]) for c, q in found.items()}
+        for part in (moments(plain, numbers).drop("n"), quantiles(plain, numbers, found=found), iqr_outliers(plain, numbers, quartiles=ends)):
             out = out.join(part, "column", "left")
     return out.join(string_statistics(df, texts), "column", "left") if texts else out
 

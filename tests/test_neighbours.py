@@ -57,3 +57,48 @@ def test_most_blocks_are_never_looked_at(spark, monkeypatch):
     monkeypatch.setattr(NB, "_visits", visits)
     NB.nearest(o, o.where("key % 10 = 0"), "key", ["a", "b"], 5, block=256).count()
     assert seen and seen[0][0] < seen[0][1] / 3, seen
+
+
+def brute_clusters(rows, eps, least):
+    x = np.array([v for _, v in rows])
+    ids = [i for i, _ in rows]
+    near = [set(np.flatnonzero(((x - p) ** 2).sum(1) <= eps * eps).tolist()) for p in x]
+    core = [len(n) >= least for n in near]
+    root = list(range(len(x)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, others in enumerate(near):
+        for b in others:
+            if core[a] and core[b]:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    low = {}
+    for a in range(len(x)):
+        if core[a]:
+            low[find(a)] = min(low.get(find(a), ids[a]), ids[a])
+    out = {}
+    for a in range(len(x)):
+        seen = sorted((ids[b], b) for b in near[a] if core[b])
+        out[ids[a]] = low[find(a)] if core[a] else low[find(seen[0][1])] if seen else -1
+    return out
+
+
+@pytest.mark.parametrize(("dims", "eps", "least"), [(1, 0.05, 4), (2, 0.2, 5), (3, 0.5, 4), (5, 0.9, 4)])
+def test_dbscan_equals_a_brute_force(spark, monkeypatch, dims, eps, least):
+    monkeypatch.setattr(NB, "CELL_BLOCK", 7)
+    r = np.random.default_rng(dims)
+    x = np.concatenate([r.normal(size=(150, dims)), r.normal(size=(60, dims)) * 0.05 + 2.0, np.full((20, dims), -2.0), np.full((3, dims), 9.0)])
+    rows = [(int(i) + 5, v.tolist()) for i, v in zip(r.permutation(len(x)), x, strict=True)]
+    names = [f"f{i}" for i in range(dims)]
+    df = spark.createDataFrame([(i, *v) for i, v in rows], ", ".join(["key long", *[f"{n} double" for n in names]])).repartition(3)
+    got = {r["key"]: r["cluster"] for r in NB.dbscan(df, "key", names, eps, least, scaled=False).collect()}
+    assert got == brute_clusters(rows, eps, least)
+
+
+def test_dbscan_of_very_dense_cells_makes_no_pairs(spark):
+    df = spark.range(120_000).selectExpr("id AS key", "CASE WHEN id % 2 = 0 THEN 0.001 * (id % 97) ELSE 0.4 + 0.001 * (id % 89) END AS a", "0.0D AS b").unionByName(spark.sql("SELECT 999999L AS key, 50.0D AS a, 50.0D AS b"))
+    got = {(r["cluster"], r["n"]) for r in NB.dbscan(df, "key", ["a", "b"], 0.35, 5, scaled=False).groupBy("cluster").agg(F.count("*").alias("n")).collect()}
+    assert got == {(0, 120_000), (-1, 1)}
