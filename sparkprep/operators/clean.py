@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from sparkprep.functions.quantiles import column_quantiles
 from sparkprep.functions.tables import TIMES, durable, in_ranges, known, last_before, numeric_columns, string_columns
-from sparkprep.operators.profile import fences
+from sparkprep.operators.profile import fences, value_counts
 
 #: Texts that stand for a missing value once stripped and lower-cased.
 NULL_TOKENS = ("", "-", "--", "?", "n/a", "na", "nan", "none", "null", "nil", "unknown", "missing")
@@ -171,9 +171,14 @@ def cast_types(df: DataFrame, types: Mapping[str, str]) -> tuple[DataFrame, dict
 
 
 def modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
-    """Commonest value of each column, the smallest of equals."""
-    out = {}
-    for c in columns:
+    """Commonest value of each column, the smallest of equals: one job for all numbers and texts, one a column of other types."""
+    plain = [c for c in columns if isinstance(df.schema[c].dataType, T.IntegralType | T.DoubleType | T.FloatType | T.StringType)]
+    out: dict[str, object] = dict.fromkeys(columns)
+    if plain:
+        least = F.min(F.struct((-F.col("n")).alias("n"), "whole", "real", "text"))
+        for r in value_counts(df, plain).where("column is not null").groupBy("column").agg(least.alias("m")).collect():  # a row a column
+            out[r["column"]] = next(v for v in (r["m"]["whole"], r["m"]["real"], r["m"]["text"]) if v is not None)
+    for c in [c for c in columns if c not in plain]:
         top = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").limit(1).first()
         out[c] = None if top is None else top["v"]
     return out

@@ -485,6 +485,20 @@ def initial_features(df: DataFrame, target: str | None, identifiers: Iterable[st
     return [(f.name, reasons.get(f.name, "raw time" if isinstance(f.dataType, TIMES) else "")) for f in df.schema]
 
 
+def profiled_features(df: DataFrame, target: str, group: str | None = None) -> list[tuple[str, str]]:
+    """``initial_features`` with identifiers and constants from the columns' kinds, and as leaks what tells the target with critical severity."""
+    from sparkprep.operators.associate import leakage_findings, target_associations
+    from sparkprep.operators.profile import infer_kinds
+    from sparkprep.operators.quality import infer_task
+
+    kinds = {r["column"]: r["kind"] for r in infer_kinds(df).collect()}
+    named = {kind: [c for c, k in kinds.items() if k == kind and c not in (target, group)] for kind in ("identifier", "constant")}
+    rest = [c for c in df.columns if c not in (target, group, *named["identifier"], *named["constant"])]
+    found = target_associations(df, target, rest, "regression" if infer_task(df, target)["task"] == "regression" else "classification")
+    leaks = [r["column"] for r in leakage_findings(df, target, found, rest).where("severity = 'critical'").collect()]
+    return initial_features(df, target, named["identifier"], named["constant"], leaks, group)
+
+
 def default_treatment(df: DataFrame, columns: Iterable[str], max_levels: int = 50) -> dict[str, str]:
     """What becomes of columns no decision names: numbers pass, texts of one level are dropped, of few levels one-hot, others excluded."""
     names = list(columns)

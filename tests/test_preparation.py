@@ -99,3 +99,15 @@ def test_a_fault_in_a_plan_is_noted_and_a_failing_job_is_raised(spark, monkeypat
     monkeypatch.setattr(prepare.C, "strip_whitespace", fails)
     with pytest.raises(RuntimeError):
         prepare.clean(df, [{"action": "strip_whitespace", "columns": ["c"]}])
+
+
+def test_features_are_projected_from_the_profile(spark):
+    df = spark.range(300).selectExpr("id AS key", "'x' AS same", "double(md5(string(id)) < '8') AS label", "id * 37 % 101 * 1.5D AS value", "double(md5(string(id)) < '8') * 3 + 1 AS leak", "concat('u', id) AS user")
+    got = dict(prepare.profiled_features(df, "label"))
+    assert got == {"key": "identifier", "same": "constant", "label": "target", "value": "", "leak": "leakage", "user": "identifier"}
+
+
+def test_modes_of_all_columns(spark):
+    rows = [(1, 2.5, "b", None, True), (1, 2.5, "a", None, False), (2, 1.5, "a", None, True), (2, None, "b", None, None)]
+    df = spark.createDataFrame(rows, "i int, d double, s string, n string, t boolean")
+    assert prepare.C.modes(df, df.columns) == {"i": 1, "d": 2.5, "s": "a", "n": None, "t": True}
