@@ -2,19 +2,22 @@
 
 A window that reads the target leaves out the row's own value (``shift`` 1). Without a group
 rows are dealt by ranges of the order, and a range gets what it needs of those before it: the
-few rows that a lag or a rolling frame reaches back, or the totals of an expanding one. The order
-must then tell all rows apart. Only an expanding median without a group is one task's work.
+few rows that a lag or a rolling frame reaches back, the totals of an expanding one, or the few values
+from which its median can be taken. The order must then tell all rows apart.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from sparkprep.functions.tables import in_ranges, with_rows_before
+from sparkprep.functions.tables import durable, in_ranges, with_rows_before
 from sparkprep.operators.profile import adjusted_kurtosis, adjusted_skew
 
 MISSING_GROUP = "__MISSING__"
@@ -80,7 +83,7 @@ def diff_features(df: DataFrame, column: str, periods: Iterable[int] = (1,), ord
 def expanding_features(df: DataFrame, column: str, statistics: Iterable[str] = ("mean",), order: list[str] = (), group: Iterable[str] = (), shift: int = 0) -> DataFrame:
     """column_expanding_statistic over the whole past."""
     statistics = list(statistics)
-    if group or "median" in statistics:
+    if group:
         over = _over(order, group).rowsBetween(Window.unboundedPreceding, -shift)
         return df.withColumns({f"{column}_expanding_{s}": _statistic(s, column, over) for s in statistics})
     if not order:
@@ -97,6 +100,9 @@ def expanding_features(df: DataFrame, column: str, statistics: Iterable[str] = (
     run = dealt.join(F.broadcast(offsets), F.col("_range") == F.col("_of"))
     run = run.withColumns({f"_{k}": F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.coalesce(f"_o_{k}", F.lit(0)) for k, v in sums.items()} | {"_lo": F.least(F.min(column).over(inside), "_o_lo"), "_hi": F.greatest(F.max(column).over(inside), "_o_hi")})
     powers = _from_powers(centre)
+    if "median" in statistics:
+        run = run.join(_running_medians(dealt, column), "_at")
+        powers["median"] = F.col("_median")
     made = {f"{column}_expanding_{s}": powers[s] for s in statistics}
     out = run.withColumns(made)
     if not shift:
@@ -106,6 +112,65 @@ def expanding_features(df: DataFrame, column: str, statistics: Iterable[str] = (
     return kept.withColumns({c: F.lag(c, shift).over(over) for c in made}).where(~F.col("_edge")).select(*df.columns, *made)
 
 
+def _median_candidates(own: DataFrame) -> DataFrame:
+    """_of, _v, _m, _less: for each range those of the ``_m`` values before it that its medians can take, ``_less`` smaller ones left out.
+
+    Within a range of n values that m precede, the median lies among the range's own values and those of
+    the m that have ranks from (m - n) / 2 to (m + n) / 2 + 2: no further can n values move it. Which these
+    are, tell counts by range of time and bucket of value, as many buckets of equal size as there are
+    ranges: at most their number squared. Whole buckets are taken, so a range gets at most some n values and two buckets.
+    """
+    n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    valued = durable(own.where("_x is not null").repartitionByRange(n, "_x", "_at").withColumn("_bucket", F.spark_partition_id()))
+    cells = valued.groupBy("_range", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    every = own.select("_range").distinct().crossJoin(F.broadcast(valued.select("_bucket").distinct()))  # as many as partitions, squared
+    past = Window.partitionBy("_bucket").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_range")
+    lower = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = every.join(cells, ["_range", "_bucket"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(past), F.lit(0)))
+    counts = counts.withColumns({"_under": F.coalesce(F.sum("_before").over(lower), F.lit(0)), "_m": F.sum("_before").over(whole), "_own": F.sum("_n").over(whole)})
+    first, last = F.greatest(F.lit(1), F.floor((F.col("_m") - F.col("_own")) / 2)), F.floor((F.col("_m") + F.col("_own")) / 2) + 2
+    taken = counts.where((F.col("_before") > 0) & (F.col("_under") < last) & (F.col("_under") + F.col("_before") >= first))
+    taken = taken.select(F.col("_range").alias("_of"), "_bucket", "_m", F.min("_under").over(whole).alias("_less"))
+    # back in the order of time, so that a bucket that many ranges take is sent by many tasks
+    sent = valued.repartition(n, "_at").join(taken, "_bucket").where(F.col("_range") < F.col("_of"))
+    return sent.select("_of", F.col("_x").alias("_v"), "_m", "_less")
+
+
+def _running_medians(dealt: DataFrame, column: str) -> DataFrame:
+    """_at, _median: the median of all values so far, for rows dealt by ranges of their order; NaN is no value."""
+    x = F.col(column).cast("double")
+    own = dealt.select("_range", "_at", F.when(~F.isnan(x), x).alias("_x"))
+
+    def medians(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        rows, seen = rows.sort_values("_at"), np.sort(before["_v"].to_numpy(dtype=float))
+        m, less = (int(before["_m"].iloc[0]), int(before["_less"].iloc[0])) if len(seen) else (0, 0)
+        cut = max(0, (m + 1) // 2 - less)
+        low, high = (-seen[:cut][::-1]).tolist(), seen[cut:].tolist()  # sorted lists are heaps
+        out, count, below = np.full(len(rows), np.nan), m, less + len(low)
+        for i, v in enumerate(rows["_x"].to_numpy(dtype=float)):
+            if v == v:
+                count += 1
+                if low and v < -low[0]:
+                    heapq.heappush(low, -v)
+                    below += 1
+                else:
+                    heapq.heappush(high, v)
+                while below < (count + 1) // 2:
+                    heapq.heappush(low, -heapq.heappop(high))
+                    below += 1
+                while below > (count + 1) // 2:
+                    heapq.heappush(high, -heapq.heappop(low))
+                    below -= 1
+            if count:
+                out[i] = -low[0] if count % 2 else (high[0] - low[0]) / 2
+        made = pd.Series(out, dtype=object).where(~np.isnan(out), None)
+        return pd.DataFrame({"_at": rows["_at"].to_numpy(), "_median": made})
+
+    return own.groupBy("_range").cogroup(_median_candidates(own).groupBy("_of")).applyInPandas(medians, "_at long, _median double")
+
+
 def _from_powers(centre: float) -> dict[str, Column]:
     """Statistics of what has been seen from its count, its sums of powers about ``centre`` and its ends."""
     n, p1, p2, p3, p4 = (F.col(c) for c in ("_n", "_p1", "_p2", "_p3", "_p4"))

@@ -175,7 +175,6 @@ book.add(
     f"SELECT event_id, lag(value, 1) OVER w AS value_lag_1, lag(value, 2) OVER w AS value_lag_2, lag(value, 7) OVER w AS value_lag_7 FROM {EVENTS} WINDOW w AS ({EW})",
     "value_lag_1 value_lag_2 value_lag_7",
 )
-MOST = {k: v for k, v in STATS.items() if k != "median"}
 
 
 def _whole(prefix: str, frame: str, stats: dict[str, str]) -> str:
@@ -198,9 +197,9 @@ for shift in (0, 1):
     )
     book.add(
         f"w4_expanding_ungrouped_shift{shift}",
-        lambda s, d, shift=shift: W.expanding_features(gappy(s, d), "value", MOST, ORDER, (), shift).drop("ts", "user_id", "value"),
-        _whole("value_expanding", f"UNBOUNDED PRECEDING AND {f'{shift} PRECEDING' if shift else 'CURRENT ROW'}", MOST),
-        " ".join(f"value_expanding_{k}" for k in MOST),
+        lambda s, d, shift=shift: W.expanding_features(gappy(s, d), "value", STATS, ORDER, (), shift).drop("ts", "user_id", "value"),
+        _whole("value_expanding", f"UNBOUNDED PRECEDING AND {f'{shift} PRECEDING' if shift else 'CURRENT ROW'}", STATS),
+        " ".join(f"value_expanding_{k}" for k in STATS),
     )
 for back, name in ((False, "forward"), (True, "backward")):
     w = f"ORDER BY ts {'DESC' if back else 'ASC'}, event_id {'DESC' if back else 'ASC'} ROWS UNBOUNDED PRECEDING"

@@ -14,6 +14,7 @@ from sparkprep.operators import models as M
 from sparkprep.operators import neighbours as NB
 from sparkprep.operators import quality as L
 from sparkprep.operators import split as V
+from sparkprep.operators import windows as W
 from sparkprep.plans import prepare
 from sparkprep.sources import readers
 
@@ -361,3 +362,34 @@ def test_jdbc_reads_slices_and_refuses_changes(spark):
     assert readers.read_sql(spark, url, 'SELECT "k" FROM numbers', max_rows=7).count() == 7
     with pytest.raises(ValueError):
         readers.read_sql(spark, url, "DELETE FROM numbers")
+
+
+@pytest.mark.parametrize("shape", ["random", "rising", "middle_first", "ties", "holes", "empty"])
+def test_expanding_median_without_a_group(spark, shape):
+    r = np.random.default_rng(5)
+    n = 0 if shape == "empty" else 600
+    far = np.where(np.arange(n) % 2 == 0, 1e6, -1e6) + np.arange(n)
+    values = {"random": r.normal(size=n), "rising": np.arange(n) * 1.5, "middle_first": np.where(np.arange(n) < 150, r.normal(size=n), far), "ties": r.integers(0, 3, n).astype(float), "holes": np.where(r.random(n) < 0.6, np.nan, r.normal(size=n)), "empty": r.normal(size=n)}[shape]
+    rows = [(int(i), None if np.isnan(v) else float(v)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "t long, v double").repartition(5)
+    for shift in (0, 2) if shape == "holes" else (0,):
+        got = {x["t"]: x["v_expanding_median"] for x in W.expanding_features(df, "v", ["median"], ["t"], (), shift).collect()}
+        assert len(got) == n
+        for i in range(n):
+            seen = values[: max(0, i - shift + 1)]
+            seen = seen[~np.isnan(seen)]
+            assert got[i] == (pytest.approx(float(np.median(seen))) if len(seen) else None)
+
+
+def test_expanding_median_sends_each_range_few_values(spark):
+    """At most its own size and two buckets: no task gets all that precedes it."""
+    df = spark.range(8000).select("id", F.rand(3).alias("v"))
+    plan = W.expanding_features(df, "v", ["median"], ["id"])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        dealt = W.in_ranges(df, [F.col("id")])
+        sizes = [x["count"] for x in W._median_candidates(dealt.select("_range", "_at", F.col("v").alias("_x"))).groupBy("_of").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert plan.count() == 8000 and max(sizes) < 8000 / 16 * 4
