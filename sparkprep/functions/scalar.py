@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0088
-#: Periods of the cyclical parts.
+#: Periods of the cyclical parts.
 PERIODS = {"month": 12, "day": 31, "dayofweek": 7, "dayofyear": 366, "hour": 24, "minute": 60, "second": 60, "quarter": 4, "week": 52}
 BASIC_PARTS = ("year", "month", "day", "dayofweek", "quarter", "week", "is_weekend")
 

@@ -72,6 +72,12 @@ def line(df: DataFrame, time: str, value: str, step: str = "day", statistic: str
     return df.groupBy(F.date_trunc(step, time).alias("t")).agg(make(value).alias("value")).orderBy("t")
 
 
+def forecast_against_actual(df: DataFrame, time: str, actual: str, predicted: str, step: str | None = None) -> DataFrame:
+    """t, actual, predicted in order of time, of the rows that have a time; with a step the means of each, which bounds the points by the span."""
+    rows = df.where(F.col(time).isNotNull()).select((F.date_trunc(step, time) if step else F.col(time)).alias("t"), F.col(actual).cast("double").alias("actual"), F.col(predicted).cast("double").alias("predicted"))
+    return (rows.groupBy("t").agg(F.avg("actual").alias("actual"), F.avg("predicted").alias("predicted")) if step else rows).orderBy("t", "actual", "predicted")
+
+
 def scatter(df: DataFrame, x: str, y: str, key: str, most: int = 6000, seed: int = 0) -> DataFrame:
     """x, y of at most so many rows, drawn by digest."""
     return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).orderBy(digest(key, seed), key).limit(most).select(x, y)

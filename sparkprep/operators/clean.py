@@ -255,6 +255,14 @@ def directional_fill(df: DataFrame, columns: Iterable[str], order: list[str], gr
     return apply_fills(filled, fit_fills(filled, out, "auto")) if leftovers else filled
 
 
+def impute_by_type(df: DataFrame, columns: Iterable[str], order: list[str], group: list[str] = (), target: str | None = None) -> tuple[DataFrame, dict[str, object]]:
+    """Each column by the default of its type, and the fills: the median for numbers, the last value along ``order`` for times (the mode for those before the first), else the mode."""
+    safe = _safe(df, columns, target)
+    times = [c for c in safe if isinstance(df.schema[c].dataType, TIMES)]
+    fills = fit_fills(df, [c for c in safe if c not in times], "auto")
+    return apply_fills(directional_fill(df, times, order, group) if times else df, fills), fills
+
+
 def interpolate(df: DataFrame, columns: Iterable[str], order: list[str], group: list[str] = ()) -> DataFrame:
     """Linear by row position within group, both ways; edges take the nearest value. Without a group by ranges, as ``directional_fill``."""
     if not group:

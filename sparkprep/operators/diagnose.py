@@ -26,8 +26,18 @@ def fit_verdict(train: float, held_out: float, metric: str) -> str:
     return "good"
 
 
+def two_sided_p(z: Column) -> Column:
+    """Chance of a normal value at least as far from 0 as z, by the rational approximation 7.1.26 of Abramowitz and Stegun (error under 2e-7)."""
+    u = F.abs(z) / 2**0.5
+    k = 1 / (1 + 0.3275911 * u)
+    return k * (0.254829592 + k * (-0.284496736 + k * (1.421413741 + k * (-1.453152027 + k * 1.061405429)))) * F.exp(-u * u)
+
+
 def residual_statistics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """One row: mean, std, mean and greatest absolute, population skew and kurtosis, bias over std, normality K2 and p, correlation of absolute residual and prediction."""
+    """One row: mean, std, mean and greatest absolute, population skew and kurtosis, bias over std, normality K2 and p, correlation of absolute residual and prediction and its p.
+
+    p of the correlation is that of Student's t taken as normal after Wallace's transformation (off by under 0.001 from 20 rows on).
+    """
     e, p = F.col(label).cast("double") - F.col(prediction).cast("double"), F.col(prediction).cast("double")
     t = df.agg(
         F.count(e).alias("n"), F.avg(e).alias("mean"), F.stddev_samp(e).alias("std"), F.avg(F.abs(e)).alias("mean_absolute"), F.max(F.abs(e)).alias("max_absolute"),
@@ -46,6 +56,10 @@ def residual_statistics(df: DataFrame, label: str = "label", prediction: str = "
     a = 6 + 8 / b1 * (2 / b1 + F.sqrt(1 + 4 / (b1 * b1)))
     zk = ((1 - 2 / (9 * a)) - F.cbrt((1 - 2 / a) / (1 + x * F.sqrt(2 / (a - 4))))) / F.sqrt(2 / (9 * a))
     k2 = F.when(n >= 20, zs * zs + zk * zk)
+    r, free = F.col("spread_correlation"), n - 2
+    t2 = free * r * r / F.greatest(1 - r * r, F.lit(1e-300))
+    z = F.sqrt(free * F.log1p(t2 / free)) * (8 * free + 1) / (8 * free + 3)
+    t = t.withColumn("spread_p", F.when(n > 2, two_sided_p(z)))
     return t.withColumn("bias_ratio", F.try_divide("mean", "std")).withColumn("normality_k2", k2).withColumn("normality_p", F.exp(-F.col("normality_k2") / 2))
 
 

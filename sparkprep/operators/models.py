@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.operators.metrics import better
+from sparkprep.operators.neural import NeuralRegressor
 
 #: Families whose penalties or distances depend on the scale of the features.
 SCALED = {"ridge", "lasso", "elastic_net", "logistic", "linear", "svm", "neural_network", "kmeans", "gaussian_mixture"}
@@ -52,6 +53,8 @@ def estimator(family: str, task: str, n_features: int = 0, n_classes: int = 2, s
     if family == "naive_bayes":
         return C.NaiveBayes(modelType="gaussian", **weight)
     if family == "neural_network":
+        if not classify:
+            return NeuralRegressor(hiddenLayers=list(p.get("hidden_layer_sizes", (128, 64))), maxIter=p.get("max_iter", 20), stepSize=p.get("learning_rate", 0.01), seed=seed, weightCol=p.get("weight"))
         return C.MultilayerPerceptronClassifier(layers=[n_features, *p.get("hidden_layer_sizes", (128, 64)), n_classes], seed=seed, maxIter=p.get("max_iter", 100))
     if family == "kmeans":
         return K.KMeans(k=p.get("n_clusters", 3), seed=seed)
@@ -137,8 +140,13 @@ SPACES: dict[str, dict[str, list]] = {
 }
 
 
-def search(df: DataFrame, family: str, task: str, features: list[str], metric: str, score: Scorer, method: str = "grid", space: dict[str, list] | None = None, n_trials: int = 20, n_folds: int = 3, seed: int = 0) -> tuple[dict, DataFrame]:
-    """(best parameters, trials). grid tries up to 400 points, else a sample; random draws n_trials (at most 200); halving keeps the best third on three times the rows."""
+def search(df: DataFrame, family: str, task: str, features: list[str], metric: str, score: Scorer, method: str = "grid", space: dict[str, list] | None = None, n_trials: int = 20, n_folds: int = 3, seed: int = 0, strategy: str = "random", key: str | None = None) -> tuple[dict, DataFrame]:
+    """(best parameters, trials). grid tries up to 400 points, else a sample; random draws n_trials (at most 200); halving keeps the best third on three times the rows.
+
+    Folds are read from ``fold`` and taken by ``strategy``. Shares of the rows would break an order in
+    time, so with temporal folds halving is a random search. Shares are drawn by a digest of ``key``, else of the features.
+    """
+    method = "random" if method == "halving" and strategy == "temporal" else method
     space = SPACES.get(family, {}) if space is None else space
     points = [dict(zip(space, v, strict=True)) for v in itertools.product(*space.values())] or [{}]
     draw = random.Random(seed)
@@ -148,7 +156,7 @@ def search(df: DataFrame, family: str, task: str, features: list[str], metric: s
 
     def trial(p: dict, part: DataFrame) -> float | None:
         try:
-            values = cross_validate(part, lambda: pipeline(family, task, features, seed=seed, **p), score, n_folds)
+            values = cross_validate(part, lambda: pipeline(family, task, features, seed=seed, **p), score, n_folds, strategy)
         except Exception as error:  # noqa: BLE001  a point that cannot be fitted is a trial without a score
             warnings.warn(f"{p} failed: {str(error)[:200]}", stacklevel=2)
             values = []
@@ -158,7 +166,7 @@ def search(df: DataFrame, family: str, task: str, features: list[str], metric: s
 
     if method == "halving":
         for share in (9, 3, 1):
-            part = df if share == 1 else df.where(F.pmod(F.xxhash64(*features, F.lit(seed)), F.lit(share)) == 0)
+            part = df if share == 1 else df.where(F.pmod(F.xxhash64(*([key] if key else features), F.lit(seed)), F.lit(share)) == 0)
             tried = [(v, json.dumps(p, sort_keys=True), p) for p in points if (v := trial(p, part)) is not None]
             tried.sort(key=lambda t: (t[0] if better(metric, 0.0, 1.0) else -t[0], t[1]))
             points = [p for _, _, p in tried[: max(1, -(-len(tried) // 3))]] if share > 1 else [t[2] for t in tried]

@@ -65,7 +65,7 @@ def random_split(df: DataFrame, key: str, test: float = 0.2, validation: float =
 
 
 def split(df: DataFrame, task: str, target: str, key: str, time: str | None = None, group: str | None = None, test: float = 0.2, validation: float = 0.15, seed: int = 0) -> tuple[DataFrame, dict]:
-    """df without rows that lack a target and without repeated rows, with ``split``; and how it was made. No validation part under 150 rows."""
+    """df without rows that lack a target and without repeated rows, with ``split``; and how it was made: strategy, reason, rows, the shares asked for, the sizes got and notes where they differ by a tenth. No validation part under 150 rows."""
     clean = df.where(F.col(target).isNotNull()).dropDuplicates()
     test, n = min(0.5, max(0.05, test)), clean.count()
     validation = 0.0 if n < 150 or n * validation < 20 else min(0.4, validation)
@@ -80,7 +80,15 @@ def split(df: DataFrame, task: str, target: str, key: str, time: str | None = No
         "temporal": lambda: temporal_split(clean, [time, key], test, validation), "grouped": lambda: grouped_split(clean, group, test, validation, seed),
         "stratified": lambda: stratified_split(clean, target, key, test, validation, seed), "random": lambda: random_split(clean, key, test, validation, seed),
     }[strategy]()
-    return made, {"strategy": strategy, "reason": reason, "rows": n, "test": test, "validation": validation}
+    sizes = {r["split"]: r["n"] for r in partition_sizes(made).collect()}  # three rows
+    return made, {"strategy": strategy, "reason": reason, "rows": n, "test": test, "validation": validation, "sizes": sizes, "notes": size_deviations(sizes, {"test": test, "validation": validation})}
+
+
+def size_deviations(sizes: dict[str, int], wanted: dict[str, float], tolerance: float = 0.1) -> list[str]:
+    """A note for each part whose share of the rows is off the wanted one by more than ``tolerance`` of it: whole groups and classes cannot be cut anywhere."""
+    n = sum(sizes.values())
+    shares = {k: (sizes.get(k, 0) / n if n else 0.0, v) for k, v in wanted.items() if v > 0}
+    return [f"{k} has {got:.1%} of the rows, {v:.1%} were wanted" for k, (got, v) in shares.items() if abs(got - v) > tolerance * v]
 
 
 class Holdout:

@@ -75,6 +75,18 @@ book.add(
     "price",
 )
 book.add("c12_impute_by_type", lambda s, d: C.impute(messy(s, d), ["price", "code"], "auto")[0].select("o_orderkey", "price", "code"), f"SELECT o_orderkey, coalesce(price, (SELECT quantile_cont(price, 0.5) FROM {DUCK_MESSY})) AS price, code FROM {DUCK_MESSY}", "price")
+GAPS = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 AND o_orderkey > 20 THEN o_orderdate::DATE END AS day, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS priority FROM orders)"
+book.add(
+    "c12_default_by_type",
+    lambda s, d: C.impute_by_type(
+        read(s, d, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 7 > 0 AND o_orderkey > 20 THEN CAST(o_orderdate AS DATE) END AS day", "CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice END AS price", "CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS priority"),
+        ["day", "price", "priority"], ["o_orderkey"],
+    )[0],
+    f"""WITH g AS {GAPS}, f AS (SELECT * REPLACE (last_value(day IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS day) FROM g)
+  SELECT o_orderkey, coalesce(day, (SELECT day FROM f WHERE day IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, day LIMIT 1)) AS day, coalesce(price, (SELECT quantile_cont(price, 0.5) FROM g)) AS price,
+    coalesce(priority, (SELECT priority FROM g WHERE priority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, priority LIMIT 1)) AS priority FROM f""",
+    "price",
+)
 EVENTS = "(SELECT event_id, user_id, ts, CASE WHEN event_id % 3 = 0 OR event_id % 4 = 0 THEN NULL ELSE value END AS value FROM events)"
 
 

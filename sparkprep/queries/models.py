@@ -70,6 +70,21 @@ def driven(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 book.add("v1_v6_u2_split", driven, f"SELECT o_orderkey, split, 'stratified' AS strategy FROM {STRATIFIED}")
+
+
+def sized(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Sizes of a split by the three order states, which cannot be cut to the shares asked for, and whether that is noted."""
+    made, how = V.split(orders(spark, sf_dir), "regression", "o_totalprice", "o_orderkey", group="o_orderstatus")
+    return made.sparkSession.createDataFrame([(how["strategy"], k, how["sizes"].get(k, 0), any(note.startswith(k) for note in how["notes"])) for k in ("test", "validation")], "strategy string, part string, n long, noted boolean")
+
+
+book.add(
+    "v6_size_deviation",
+    sized,
+    """WITH g AS (SELECT o_orderstatus, row_number() OVER (ORDER BY md5('0:' || o_orderstatus), o_orderstatus) AS k, count(*) OVER () AS groups, c FROM (SELECT o_orderstatus, count(*) AS c FROM orders GROUP BY 1)),
+  p AS (SELECT CASE WHEN k <= ceil(groups * 0.2) THEN 'test' WHEN k <= ceil(groups * 0.2) + ceil(groups * 0.15) THEN 'validation' ELSE 'train' END AS part, c FROM g)
+  SELECT 'grouped' AS strategy, w.part, coalesce(sum(c), 0)::BIGINT AS n, abs(coalesce(sum(c), 0) / (SELECT count(*) FROM orders) - any_value(share)) > 0.1 * any_value(share) AS noted FROM (VALUES ('test', 0.2), ('validation', 0.15)) w(part, share) LEFT JOIN p ON p.part = w.part GROUP BY ALL""",
+)
 book.add("u3_disjoint_groups", lambda s, d: V.shared_groups(V.random_split(orders(s, d), "o_orderkey"), "o_custkey"), f"SELECT o_custkey, count(DISTINCT split) AS parts FROM {RANDOM} GROUP BY 1 HAVING count(DISTINCT split) > 1")
 book.add("u3_v3_groups_stay_together", lambda s, d: V.shared_groups(V.grouped_split(orders(s, d), "o_custkey"), "o_custkey"), "SELECT o_custkey, count(DISTINCT o_custkey) AS parts FROM orders GROUP BY 1 HAVING count(DISTINCT o_custkey) > 1")
 
@@ -157,6 +172,29 @@ book.add("n3_regressors", penalised)
 book.add("n11_neural_network", lambda s, d: M.predict(M.pipeline("neural_network", "binary", ["x1", "x2"], hidden_layer_sizes=(8,), max_iter=50).fit((t := labelled(s, d)).where("fold != 0")), t.where("fold = 0")).select("key", "label", "prediction"))
 
 
+def curved(spark, sf_dir):  # noqa: ANN001, ANN201
+    """How far a network's error on customers it was not trained on is below the mean's, and below a line's, on a bent target."""
+    t = labelled(spark, sf_dir).withColumn("label", F.pow(F.col("x1") - 4.5, F.lit(2.0)) + F.col("x2") / 5)
+    train, test = t.where("fold != 0"), t.where("fold = 0")
+    mean = train.agg(F.avg("label")).first()[0]
+    out = None
+    for family, options in (("neural_network", {"hidden_layer_sizes": (32, 16), "max_iter": 30}), ("linear", {})):
+        p = M.predict(M.pipeline(family, "regression", ["x1", "x2"], **options).fit(train), test)
+        one = p.agg(F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("label") - mean, F.lit(2.0))).alias("mean_mse"), F.avg(F.pow(F.col("label") - F.col("prediction"), F.lit(2.0))).alias("mse"))
+        one = one.select(F.lit(family).alias("family"), "n", "mean_mse", (F.col("mse") < 0.1 * F.col("mean_mse")).alias("below_a_tenth"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_CURVE = "(SELECT c_custkey % 5 AS fold, (c_acctbal / 1000 - 4.5) ** 2 + c_nationkey / 5 AS label FROM customer)"
+book.add(
+    "n11_neural_regression",
+    curved,
+    f"SELECT family, n, mean_mse, family = 'neural_network' AS below_a_tenth FROM (SELECT count(*) AS n, avg((label - (SELECT avg(label) FROM {_CURVE} WHERE fold != 0)) ** 2) AS mean_mse FROM {_CURVE} WHERE fold = 0), (VALUES ('neural_network'), ('linear')) f(family)",
+    "mean_mse",
+)
+
+
 def native(spark, sf_dir):  # noqa: ANN001, ANN201
     t = labelled(spark, sf_dir).withColumn("label", F.col("y"))
     return spark.createDataFrame(Q.native_importances(M.pipeline("linear", "regression", ["x1", "x2"]).fit(t), ["x1", "x2"]), "feature string, share double")
@@ -237,14 +275,24 @@ book.add("n17_exponential_smoothing", lambda s, d: N.exponential_smoothing(daily
 book.add("n17_theta", lambda s, d: N.theta(daily(s, d), "event_type", "day", "value", 5))
 
 
+book.add("n22_temporal_search", lambda s, d: M.search(labelled(s, d), "logistic", "binary", ["x1", "x2"], "accuracy", accuracy, "halving", n_trials=2, n_folds=5, strategy="temporal")[1])
 for _name, _method in (("n21_v10_search", "grid"), ("n22_halving", "halving")):
     book.add(_name, lambda s, d, m=_method: M.search(labelled(s, d), "logistic", "binary", ["x1", "x2"], "accuracy", accuracy, m)[1])
 book.add(
     "q5_residuals",
-    lambda s, d: Q.residual_statistics(scored(s, d), "y", "yhat").drop("normality_k2", "normality_p"),
-    f"""SELECT count(*) AS n, avg(e) AS mean, stddev_samp(e) AS std, avg(abs(e)) AS mean_absolute, max(abs(e)) AS max_absolute, corr(abs(e), yhat) AS spread_correlation, avg(e) / stddev_samp(e) AS bias_ratio,
-  avg((e - m) ** 3) / (avg((e - m) ** 2) ** 1.5) AS skew, avg((e - m) ** 4) / (avg((e - m) ** 2) ** 2) - 3 AS kurtosis FROM (SELECT y - yhat AS e, yhat, avg(y - yhat) OVER () AS m FROM {DS})""",
-    "mean std mean_absolute max_absolute spread_correlation bias_ratio skew kurtosis",
+    lambda s, d: Q.residual_statistics(scored(s, d), "y", "yhat"),
+    f"""WITH moments AS (SELECT count(*) AS n, avg(e) AS mean, stddev_samp(e) AS std, avg(abs(e)) AS mean_absolute, max(abs(e)) AS max_absolute, corr(abs(e), yhat) AS spread_correlation, avg(e) / stddev_samp(e) AS bias_ratio,
+  avg((e - m) ** 3) / (avg((e - m) ** 2) ** 1.5) AS skew, avg((e - m) ** 4) / (avg((e - m) ** 2) ** 2) - 3 AS kurtosis FROM (SELECT y - yhat AS e, yhat, avg(y - yhat) OVER () AS m FROM {DS})),
+  a AS (SELECT *, n::DOUBLE AS c FROM moments),
+  b AS (SELECT *, skew / sqrt(6 * (c - 2) / ((c + 1) * (c + 3))) AS y, 3 * (c ** 2 + 27 * c - 70) * (c + 1) * (c + 3) / ((c - 2) * (c + 5) * (c + 7) * (c + 9)) AS b2,
+    (kurtosis + 3 - 3 * (c - 1) / (c + 1)) / sqrt(24 * c * (c - 2) * (c - 3) / ((c + 1) ** 2 * (c + 3) * (c + 5))) AS x,
+    6 * (c ** 2 - 5 * c + 2) / ((c + 7) * (c + 9)) * sqrt(6 * (c + 3) * (c + 5) / (c * (c - 2) * (c - 3))) AS b1,
+    sqrt((c - 2) * ln(1 + spread_correlation ** 2 / (1 - spread_correlation ** 2))) * (8 * (c - 2) + 1) / (8 * (c - 2) + 3) / sqrt(2) AS u FROM a),
+  e AS (SELECT *, sqrt(2 * (b2 - 1)) - 1 AS w2, 6 + 8 / b1 * (2 / b1 + sqrt(1 + 4 / b1 ** 2)) AS q, 1 / (1 + 0.3275911 * u) AS k FROM b),
+  g AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(ln(sqrt(w2))) AS zs, (1 - 2 / (9 * q) - cbrt((1 - 2 / q) / (1 + x * sqrt(2 / (q - 4))))) / sqrt(2 / (9 * q)) AS zk FROM e)
+  SELECT n, mean, std, mean_absolute, max_absolute, spread_correlation, bias_ratio, skew, kurtosis, zs ** 2 + zk ** 2 AS normality_k2, exp(-(zs ** 2 + zk ** 2) / 2) AS normality_p,
+    (0.254829592 * k - 0.284496736 * k ** 2 + 1.421413741 * k ** 3 - 1.453152027 * k ** 4 + 1.061405429 * k ** 5) * exp(-(u * u)) AS spread_p FROM g""",
+    "mean std mean_absolute max_absolute spread_correlation bias_ratio skew kurtosis normality_k2 normality_p spread_p",
 )
 book.add(
     "q4_fairness_slices",
@@ -527,6 +575,12 @@ book.add("k3_bar", lambda s, d: K.bar(orders(s, d).withColumn("p", F.when(F.col(
 book.add("k3_missingness", lambda s, d: K.missingness(orders(s, d).withColumn("p", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority"))), ["p", "o_custkey"]), "SELECT 'p' AS \"column\", count(*) FILTER (o_orderkey % 7 = 0) AS n_missing, avg((o_orderkey % 7 = 0)::INT) AS fraction FROM orders UNION ALL SELECT 'o_custkey', 0, 0 FROM (SELECT 1)", "fraction")
 book.add("k4_heat_map", lambda s, d: K.heat_map(read(s, d, "lineitem"), ["l_quantity", "l_extendedprice"]), "SELECT a, b, CASE WHEN a = b THEN 1.0 ELSE r END AS r FROM (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem), (VALUES ('l_quantity'), ('l_extendedprice')) x(a), (VALUES ('l_quantity'), ('l_extendedprice')) y(b)", "r")
 book.add("k5_line", lambda s, d: K.line(orders(s, d), "o_orderdate", "o_totalprice", "month").select(F.date_format("t", "yyyy-MM").alias("month"), "value"), "SELECT strftime(o_orderdate, '%Y-%m') AS month, avg(o_totalprice) AS value FROM orders GROUP BY 1", "value")
+book.add(
+    "k5_forecast_against_actual",
+    lambda s, d: K.forecast_against_actual(scored(s, d).join(orders(s, d).select("o_orderkey", "o_orderdate"), "o_orderkey"), "o_orderdate", "y", "yhat", "month").select(F.date_format("t", "yyyy-MM").alias("month"), "actual", "predicted"),
+    f"SELECT strftime(o_orderdate, '%Y-%m') AS month, avg(y) AS actual, avg(yhat) AS predicted FROM {DS} s JOIN (SELECT o_orderkey AS k, o_orderdate FROM orders) o ON o.k = s.o_orderkey GROUP BY 1",
+    "actual predicted",
+)
 book.add("k5_scatter", lambda s, d: K.scatter(orders(s, d), "o_custkey", "o_totalprice", "o_orderkey"), "SELECT o_custkey, o_totalprice FROM orders ORDER BY md5('0:' || o_orderkey::VARCHAR), o_orderkey LIMIT 6000", "o_totalprice")
 book.add("s4_flatten", lambda s, d: readers.flatten(read(s, d, "events").select("event_id", F.struct(F.col("user_id").alias("id"), F.struct("event_type", "value").alias("last")).alias("user"))), "SELECT event_id, user_id AS \"user.id\", event_type AS \"user.last.event_type\", value AS \"user.last.value\" FROM events", "user.last.value")
 book.add("s4_json_text", lambda s, d: read(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")), "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")

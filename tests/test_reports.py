@@ -1,5 +1,6 @@
 """Target associations of all features at once against the measures one by one, their number of jobs, and permutation importance by formula against a brute force."""
 
+import math
 import uuid
 
 import numpy as np
@@ -7,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkprep.operators import associate as A
+from sparkprep.operators import clean as C
 from sparkprep.operators import diagnose as Q
+from sparkprep.operators import split as V
 
 
 @pytest.fixture(scope="module")
@@ -84,3 +87,23 @@ def test_permutation_importance_equals_a_brute_force(spark):
     total = sum(max(0.0, np.mean(d)) for d in drops.values()) or 1.0
     for f, d in drops.items():
         assert got[f] == pytest.approx((max(0.0, float(np.mean(d))) / total, float(np.std(d))))
+
+
+def test_chance_of_a_normal_value(spark):
+    z = [0.0, 0.3, 1.0, 1.959964, 3.0, 5.0]
+    got = [r["p"] for r in spark.createDataFrame([(v,) for v in z], "z double").select(Q.two_sided_p(F.col("z")).alias("p")).collect()]
+    assert got == pytest.approx([math.erfc(v / 2**0.5) for v in z], abs=2e-7)
+
+
+def test_split_sizes_are_noted():
+    assert V.size_deviations({"train": 65, "test": 20, "validation": 15}, {"test": 0.2, "validation": 0.15}) == []
+    assert V.size_deviations({"train": 60, "test": 25, "validation": 15}, {"test": 0.2, "validation": 0.0}) == ["test has 25.0% of the rows, 20.0% were wanted"]
+    assert len(V.size_deviations({}, {"test": 0.2, "validation": 0.15})) == 2
+
+
+def test_times_are_filled_along_the_order(spark):
+    rows = [(1, None, None), (2, "2024-01-05", "a"), (3, None, "b"), (4, "2024-01-05", None), (5, None, "b"), (6, "2024-02-01", "b")]
+    df = spark.createDataFrame(rows, "k int, day string, v string").withColumn("day", F.col("day").cast("date"))
+    got, fills = C.impute_by_type(df, ["day", "v"], ["k"])
+    assert [(str(r["day"]), r["v"]) for r in got.orderBy("k").collect()] == [("2024-01-05", "b"), ("2024-01-05", "a"), ("2024-01-05", "b"), ("2024-01-05", "b"), ("2024-01-05", "b"), ("2024-02-01", "b")]
+    assert fills == {"v": "b"}
