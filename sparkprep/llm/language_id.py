@@ -11,7 +11,8 @@ first language by code point.
 Training reads a bounded sample of the labelled rows: about ``max_docs_per_language``
 different texts of each language at most, by digest of the text, of at most the
 ``max_languages`` languages of the most rows. The model has every word and n-gram of
-that sample. Prediction reads whole texts, many at a time: words are known by
+that sample, each with the languages that have it, so its size is that of the sample's
+counts, however many languages there are. Prediction reads whole texts, many at a time: words are known by
 64-bit digests, looked up in sorted arrays; only words that are unknown are spelt out,
 each once a worker.
 
@@ -40,8 +41,8 @@ from pyspark.sql import functions as F
 from sparkprep.llm import common as c
 
 UNDETERMINED = "und"
-#: Characters that are looked at together, and unknown words that a worker keeps.
-_PIECE, _KEPT = 1 << 18, 50_000
+#: Characters that are looked at together (fewer with many languages), unknown words that a worker keeps, and how many of their numbers.
+_PIECE, _KEPT, _KEPT_NUMBERS = 1 << 18, 50_000, 1 << 22
 #: A character that ends every word.
 _OUTSIDE = re.compile(r"[\W\d_]")
 
@@ -71,48 +72,88 @@ def words_digest(words: list[str]) -> np.ndarray:
     return _digests(_points(words), ends - [len(w) for w in words], ends) if words else np.zeros(0, dtype=np.uint64)
 
 
+class Frequencies:
+    """Log frequencies of items in the languages that have them; a language that lacks an item gives it its floor."""
+
+    def __init__(self, items: np.ndarray, langs: np.ndarray, logs: np.ndarray, n_items: int, floors: np.ndarray) -> None:
+        """items, langs, logs: one entry an item and language, in any order."""
+        order = np.lexsort((langs, items))
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(items, minlength=n_items))]).astype(np.int64)
+        self.langs, self.logs, self.floors = langs[order].astype(np.int32), logs[order].astype(np.float64), floors
+
+    @classmethod
+    def of_rows(cls, rows: list[tuple], n_languages: int) -> Frequencies:
+        """Of items that all languages have."""
+        n = len(rows)
+        return cls(np.repeat(np.arange(n), n_languages), np.tile(np.arange(n_languages), n), np.array(rows, dtype=float).ravel(), n, np.zeros(n_languages))
+
+    def sums(self, items: np.ndarray, owners: np.ndarray, n_owners: int, weights: np.ndarray | None = None) -> np.ndarray:
+        """For each owner and language the (weighted) sum over its items."""
+        sizes, wide = self.starts[items + 1] - self.starts[items], len(self.floors)
+        at = np.repeat(self.starts[items] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        cell = np.repeat(owners, sizes) * wide + self.langs[at]
+        times = None if weights is None else np.repeat(weights, sizes)
+        have = np.bincount(cell, weights=times, minlength=n_owners * wide).reshape(n_owners, wide)
+        logs = np.bincount(cell, weights=self.logs[at] if times is None else self.logs[at] * times, minlength=n_owners * wide).reshape(n_owners, wide)
+        return logs + self.floors * (np.bincount(owners, weights=weights, minlength=n_owners)[:, None] - have)
+
+    def dense(self) -> np.ndarray:
+        n = len(self.starts) - 1
+        return self.sums(np.arange(n), np.arange(n), n)
+
+    @property
+    def nbytes(self) -> int:
+        return self.starts.nbytes + self.langs.nbytes + self.logs.nbytes + self.floors.nbytes
+
+
 class LanguageModel:
-    """languages; words and grams: text -> log frequency in each language."""
+    """languages; words and grams: text -> log frequency in each language, or their texts and ``Frequencies``."""
 
-    def __init__(self, languages: list[str], words: dict[str, tuple] | tuple[list[str], np.ndarray], grams: dict[str, tuple], max_n: int, sharpness: float) -> None:
-        self.languages, self.grams, self.max_n, self.sharpness = languages, grams, max_n, sharpness
-        names, rows = (list(words), list(words.values())) if isinstance(words, dict) else words
+    def __init__(self, languages: list[str], words: dict[str, tuple] | tuple[list[str], Frequencies], grams: dict[str, tuple] | tuple[list[str], Frequencies], max_n: int, sharpness: float) -> None:
+        self.languages, self.max_n, self.sharpness = languages, max_n, sharpness
+        (names, of_words), (texts, self.of_grams) = ((list(x), Frequencies.of_rows(list(x.values()), len(languages))) if isinstance(x, dict) else x for x in (words, grams))
+        self.grams = {g: i for i, g in enumerate(texts)}
         keys = words_digest(names)
-        order = np.argsort(keys)
-        #: Known words by digest, in order, and their rows.
-        self.keys = keys[order]
-        self.table = np.array(rows, dtype=np.float64).reshape(len(names), len(languages))[order]
-        self._memo: dict[int, tuple] = {}
-
-    def _by_grams(self, word: str) -> tuple:
+        #: Known words by digest, in order, and which of ``of_words`` they are.
+        self.rows = np.argsort(keys)
+        self.keys, self.of_words = keys[self.rows], of_words
+        self.piece = max(64, _PIECE * 16 // max(16, len(languages)))
+        self._memo: dict[int, np.ndarray] = {}
+
+    @property
+    def table(self) -> np.ndarray:
+        """The words' log frequencies, a row a word in order of digests."""
+        return self.of_words.dense()[self.rows]
+
+    def _by_grams(self, word: str) -> np.ndarray:
         """Mean log frequency of the longest known n-grams that cover an unknown word."""
         marked = f"<{word}>"
-        sums, used, at, n = [0.0] * len(self.languages), 0, 0, len(marked)
+        found, sizes, at, n = [], [], 0, len(marked)
         while at < n:
             for size in range(min(self.max_n, n - at), 0, -1):
-                if (found := self.grams.get(marked[at : at + size])) is not None:
-                    for i, x in enumerate(found):
-                        sums[i] += x * size
-                    used += size
+                if (gram := self.grams.get(marked[at : at + size])) is not None:
+                    found.append(gram), sizes.append(size)
                     at += size
                     break
             else:
                 at += 1
-        return tuple(x / used for x in sums) if used else tuple(sums)
+        if not found:
+            return np.zeros(len(self.languages))
+        weights = np.array(sizes, dtype=float)
+        return self.of_grams.sums(np.array(found), np.zeros(len(found), dtype=np.int64), 1, weights)[0] / weights.sum()
 
     def word(self, word: str) -> tuple:
-        return tuple(self._rows(words_digest([word]), lambda i: word)[0].tolist())
+        return tuple(self._sums(words_digest([word]), lambda i: word, np.zeros(1, dtype=np.int64), 1)[0].tolist())
 
-    def _rows(self, digests: np.ndarray, spell: Callable[[int], str]) -> np.ndarray:
-        """The log frequencies of many words; ``spell`` gives the word at a place, where it must be known."""
-        out = np.empty((len(digests), len(self.languages)))
+    def _sums(self, digests: np.ndarray, spell: Callable[[int], str], owners: np.ndarray, n_owners: int) -> np.ndarray:
+        """Log frequencies of many words, summed by owner and language; ``spell`` gives the word at a place, where it must be known."""
         place = np.minimum(np.searchsorted(self.keys, digests), max(len(self.keys) - 1, 0))
         known = self.keys[place] == digests if len(self.keys) else np.zeros(len(digests), dtype=bool)
-        out[known] = self.table[place[known]]
+        out = self.of_words.sums(self.rows[place[known]], owners[known], n_owners)
         lost = np.flatnonzero(~known)
         if len(lost):
             new, first, back = np.unique(digests[lost], return_index=True, return_inverse=True)
-            if len(self._memo) > _KEPT:
+            if len(self._memo) > min(_KEPT, _KEPT_NUMBERS // max(1, len(self.languages))):
                 self._memo.clear()
             rows = []
             for digest, i in zip(new.tolist(), lost[first].tolist(), strict=True):
@@ -120,20 +161,22 @@ class LanguageModel:
                 if row is None:
                     row = self._memo[digest] = self._by_grams(spell(i))
                 rows.append(row)
-            out[lost] = np.array(rows)[back]
+            rows = np.array(rows)
+            for j in range(len(self.languages)):
+                out[:, j] += np.bincount(owners[lost], weights=rows[back, j], minlength=n_owners)
         return out
 
     def _pieces(self, texts: list[str | None]) -> Iterator[tuple[list[str], list[int]]]:
-        """(lower-cased pieces, the text of each), of about _PIECE characters together."""
+        """(lower-cased pieces, the text of each), of about ``piece`` characters together."""
         held, owners, size = [], [], 0
         for i, text in enumerate(texts):
             rest = text.lower() if text else ""
             while rest:
-                cut = _OUTSIDE.search(rest, _PIECE) if len(rest) > _PIECE else None
+                cut = _OUTSIDE.search(rest, self.piece) if len(rest) > self.piece else None
                 piece, rest = (rest[: cut.start()], rest[cut.start() :]) if cut else (rest, "")
                 held.append(piece), owners.append(i)
                 size += len(piece)
-                if size >= _PIECE:
+                if size >= self.piece:
                     yield held, owners
                     held, owners, size = [], [], 0
         if held:
@@ -155,11 +198,11 @@ class LanguageModel:
             if not len(starts):
                 continue
             spell = lambda i, p=points, a=starts, b=ends: p[a[i] : b[i]].tobytes().decode("utf-32-le", "surrogatepass")
-            rows = self._rows(_digests(points, starts, ends), spell)
-            owner = np.array(owners)[np.searchsorted(at, starts, side="right") - 1]
-            total += np.bincount(owner, minlength=len(texts))
-            for j in range(len(self.languages)):
-                sums[:, j] += np.bincount(owner, weights=rows[:, j], minlength=len(texts))
+            # the texts of one look lie side by side
+            owner, low = np.array(owners)[np.searchsorted(at, starts, side="right") - 1], owners[0]
+            span = owners[-1] - low + 1
+            total[low : low + span] += np.bincount(owner - low, minlength=span)
+            sums[low : low + span] += self._sums(_digests(points, starts, ends), spell, owner - low, span)
         if not self.languages:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
         best = sums.argmax(axis=1)  # the first of equals
@@ -218,17 +261,16 @@ def fit_language_model(
     rows = counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(rows.column("lang").unique().to_pylist())
     place = {x: i for i, x in enumerate(languages)}
-    tables: list[tuple[list[str], np.ndarray]] = []
+    tables: list[tuple[list[str], Frequencies]] = []
     for kind in (0, 1):
         part = rows.filter(pc.equal(rows.column("kind"), kind)).combine_chunks()
         items, langs = (part.column(c).combine_chunks().dictionary_encode() for c in ("item", "lang"))
         lang = np.array([place[x] for x in langs.dictionary.to_pylist()], dtype=np.int64)[langs.indices.to_numpy()] if len(part) else np.zeros(0, dtype=np.int64)
         n = part.column("n").to_numpy().astype(float)
         totals = np.bincount(lang, weights=n, minlength=len(languages))
-        logs = np.tile(np.log(0.5 / np.maximum(totals, 1.0)), (len(items.dictionary), 1))
-        logs[items.indices.to_numpy(), lang] = np.log(n / totals[lang])
-        tables.append((items.dictionary.to_pylist(), logs))
-    return LanguageModel(languages, tables[0], dict(zip(tables[1][0], map(tuple, tables[1][1].tolist()), strict=True)), max_n, sharpness)
+        floors = np.log(0.5 / np.maximum(totals, 1.0))
+        tables.append((items.dictionary.to_pylist(), Frequencies(items.indices.to_numpy(), lang, np.log(n / totals[lang]), len(items.dictionary), floors)))
+    return LanguageModel(languages, *tables, max_n, sharpness)
 
 
 def _predictor(shared):  # noqa: ANN001, ANN202

@@ -228,7 +228,7 @@ def test_language_against_word_by_word(spark, docs, raw, monkeypatch):
     df = spark.createDataFrame(real + [(999, real[0][1], "en")] * 50, "doc_id long, text string, lang string")
     model = language_id.fit_language_model(df)
     once = language_id.fit_language_model(df.dropDuplicates(["text"]))
-    assert model.languages == ["de", "en"] and np.allclose(model.table, once.table) and model.grams == once.grams
+    assert model.languages == ["de", "en"] and np.allclose(model.table, once.table) and model.grams.keys() == once.grams.keys() and all(model.word(w) == pytest.approx(once.word(w)) for w in ("xq", "hundkatze"))
     counts = {lang: Counter(w for text in {t for _, t, x in real if x == lang} for w in text.split()) for lang in ("de", "en")}
     known = {w: [np.log(c[w] / c.total() if w in c else 0.5 / c.total()) for c in counts.values()] for w in counts["de"] | counts["en"]}
     assert all(np.allclose(model.word(w), known[w]) for w in known)
@@ -243,11 +243,23 @@ def test_language_against_word_by_word(spark, docs, raw, monkeypatch):
         return model.languages[int(p.argmax())], p.max()
 
     for piece in (1 << 20, 64):
-        monkeypatch.setattr(language_id, "_PIECE", piece)
+        monkeypatch.setattr(model, "piece", piece)
         langs, scores = model.predict(texts)
         assert all(a == x and b == pytest.approx(y) for a, b, (x, y) in zip(langs, scores.tolist(), map(by_hand, texts), strict=True))
 
 
+def test_many_languages_make_a_small_model(spark):
+    """200 languages with words of their own: the model grows with the entries, not with items times languages."""
+    r = random.Random(3)
+    pools = {f"l{k:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)] for k in range(200)}
+    rows = [(k * 10 + i, " ".join(r.choice(pool) for _ in range(30)), lang) for k, (lang, pool) in enumerate(pools.items()) for i in range(5)]
+    model = language_id.fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    of = (model.of_words, model.of_grams)
+    assert len(model.languages) == 200 and sum(x.nbytes for x in of) < 2_000_000 < sum(len(x.starts) * 200 * 8 for x in of) / 10
+    langs, scores = model.predict([t for _, t, _ in rows])
+    assert langs == [x for _, _, x in rows] and scores.min() > 0.5
+
+
 def test_languages_beyond_the_bound_teach_nothing(spark):
     df = spark.createDataFrame([(i, "word", f"l{i % 5}") for i in range(11)], "doc_id long, text string, lang string")
     assert language_id.fit_language_model(df, max_languages=3).languages == ["l0", "l1", "l2"]
