@@ -65,8 +65,9 @@ def estimator(family: str, task: str, n_features: int = 0, n_classes: int = 2, s
 
 def pipeline(family: str, task: str, features: list[str], n_classes: int = 2, seed: int = 0, **p) -> Pipeline:  # noqa: ANN003
     """Assembly, scaling by spread where the family needs it, estimator."""
-    stages: list = [VectorAssembler(inputCols=features, outputCol="_raw" if family in SCALED else "features", handleInvalid="keep")]
-    if family in SCALED:
+    scaled = family in SCALED and not (family == "neural_network" and task == "regression")  # that one scales by itself, by the rows that it learns from
+    stages: list = [VectorAssembler(inputCols=features, outputCol="_raw" if scaled else "features", handleInvalid="keep")]
+    if scaled:
         stages.append(StandardScaler(inputCol="_raw", outputCol="features", withMean=False))
     return Pipeline(stages=[*stages, estimator(family, task, len(features), n_classes, seed, **p)])
 

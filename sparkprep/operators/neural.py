@@ -131,7 +131,7 @@ class NeuralRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol,
 
 
 class NeuralRegressionModel(Model, _Shared, DefaultParamsReadable, DefaultParamsWritable):
-    """What ``NeuralRegressor`` learned. A row with a feature that is not finite gets NaN."""
+    """What ``NeuralRegressor`` learned. A row with a feature that is not finite gets null."""
 
     weights = Param(Params._dummy(), "weights", "weights and biases, layer by layer", TypeConverters.toListFloat)
 
