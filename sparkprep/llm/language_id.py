@@ -80,6 +80,11 @@ class Frequencies:
         order = np.lexsort((langs, items))
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(items, minlength=n_items))]).astype(np.int64)
         self.langs, self.logs, self.floors = langs[order].astype(np.int32), logs[order].astype(np.float64), floors
+        #: Whole rows too, where they take no more than eight numbers an entry, as with few languages.
+        self.rows = None
+        if n_items * len(floors) <= 8 * len(self.logs):
+            self.rows = np.tile(floors, (n_items, 1))
+            self.rows[items[order], self.langs] = self.logs
 
     @classmethod
     def of_rows(cls, rows: list[tuple], n_languages: int) -> Frequencies:
@@ -89,6 +94,9 @@ class Frequencies:
 
     def sums(self, items: np.ndarray, owners: np.ndarray, n_owners: int, weights: np.ndarray | None = None) -> np.ndarray:
         """For each owner and language the (weighted) sum over its items."""
+        if self.rows is not None:
+            rows = self.rows[items] if weights is None else self.rows[items] * weights[:, None]
+            return np.stack([np.bincount(owners, weights=rows[:, j], minlength=n_owners) for j in range(len(self.floors))], axis=1) if len(self.floors) else np.zeros((n_owners, 0))
         sizes, wide = self.starts[items + 1] - self.starts[items], len(self.floors)
         at = np.repeat(self.starts[items] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         cell = np.repeat(owners, sizes) * wide + self.langs[at]
@@ -103,7 +111,7 @@ class Frequencies:
 
     @property
     def nbytes(self) -> int:
-        return self.starts.nbytes + self.langs.nbytes + self.logs.nbytes + self.floors.nbytes
+        return self.starts.nbytes + (0 if self.rows is None else self.rows.nbytes) + self.langs.nbytes + self.logs.nbytes + self.floors.nbytes
 
 
 class LanguageModel:
@@ -125,22 +133,25 @@ class LanguageModel:
         """The words' log frequencies, a row a word in order of digests."""
         return self.of_words.dense()[self.rows]
 
-    def _by_grams(self, word: str) -> np.ndarray:
-        """Mean log frequency of the longest known n-grams that cover an unknown word."""
-        marked = f"<{word}>"
-        found, sizes, at, n = [], [], 0, len(marked)
-        while at < n:
-            for size in range(min(self.max_n, n - at), 0, -1):
-                if (gram := self.grams.get(marked[at : at + size])) is not None:
-                    found.append(gram), sizes.append(size)
-                    at += size
-                    break
-            else:
-                at += 1
+    def _by_grams(self, words: list[str]) -> np.ndarray:
+        """For unknown words the mean log frequencies of the longest known n-grams that cover them."""
+        found, sizes, owners = [], [], []
+        for k, word in enumerate(words):
+            marked = f"<{word}>"
+            at, n = 0, len(marked)
+            while at < n:
+                for size in range(min(self.max_n, n - at), 0, -1):
+                    if (gram := self.grams.get(marked[at : at + size])) is not None:
+                        found.append(gram), sizes.append(size), owners.append(k)
+                        at += size
+                        break
+                else:
+                    at += 1
         if not found:
-            return np.zeros(len(self.languages))
-        weights = np.array(sizes, dtype=float)
-        return self.of_grams.sums(np.array(found), np.zeros(len(found), dtype=np.int64), 1, weights)[0] / weights.sum()
+            return np.zeros((len(words), len(self.languages)))
+        weights, owners = np.array(sizes, dtype=float), np.array(owners)
+        used = np.bincount(owners, weights=weights, minlength=len(words))
+        return self.of_grams.sums(np.array(found), owners, len(words), weights) / np.maximum(used, 1.0)[:, None]
 
     def word(self, word: str) -> tuple:
         return tuple(self._sums(words_digest([word]), lambda i: word, np.zeros(1, dtype=np.int64), 1)[0].tolist())
@@ -155,13 +166,11 @@ class LanguageModel:
             new, first, back = np.unique(digests[lost], return_index=True, return_inverse=True)
             if len(self._memo) > min(_KEPT, _KEPT_NUMBERS // max(1, len(self.languages))):
                 self._memo.clear()
-            rows = []
-            for digest, i in zip(new.tolist(), lost[first].tolist(), strict=True):
-                row = self._memo.get(digest)
-                if row is None:
-                    row = self._memo[digest] = self._by_grams(spell(i))
-                rows.append(row)
-            rows = np.array(rows)
+            names, at = new.tolist(), lost[first].tolist()
+            unseen = [i for i, digest in enumerate(names) if digest not in self._memo]
+            if unseen:
+                self._memo.update(zip([names[i] for i in unseen], self._by_grams([spell(at[i]) for i in unseen]), strict=True))
+            rows = np.array([self._memo[digest] for digest in names])
             for j in range(len(self.languages)):
                 out[:, j] += np.bincount(owners[lost], weights=rows[back, j], minlength=n_owners)
         return out
