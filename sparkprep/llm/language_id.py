@@ -96,7 +96,7 @@ class Frequencies:
         """For each owner and language the (weighted) sum over its items."""
         if self.rows is not None:
             rows = self.rows[items] if weights is None else self.rows[items] * weights[:, None]
-            return np.stack([np.bincount(owners, weights=rows[:, j], minlength=n_owners) for j in range(len(self.floors))], axis=1) if len(self.floors) else np.zeros((n_owners, 0))
+            return np.stack([np.bincount(owners, weights=rows[:, j], minlength=n_owners) for j in range(len(self.floors))], axis=1).astype(float) if len(self.floors) else np.zeros((n_owners, 0))
         sizes, wide = self.starts[items + 1] - self.starts[items], len(self.floors)
         at = np.repeat(self.starts[items] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         cell = np.repeat(owners, sizes) * wide + self.langs[at]
