@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 from sparkprep.functions.quantiles import column_quantiles
 from sparkprep.functions.tables import TIMES, durable, in_ranges, known, last_before, numeric_columns, string_columns
@@ -263,6 +264,12 @@ def impute_by_type(df: DataFrame, columns: Iterable[str], order: list[str], grou
     return apply_fills(directional_fill(df, times, order, group) if times else df, fills), fills
 
 
+def _both_ways(*part: str) -> tuple[WindowSpec, WindowSpec]:
+    """Frames of the rows up to a row's number ``_at`` and, turned round, of those from it on: a running frame reads a part once, one that runs to the end reads it anew for every row."""
+    over = Window.partitionBy(*part)
+    return tuple(over.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("_at"), F.desc("_at")))
+
+
 def interpolate(df: DataFrame, columns: Iterable[str], order: list[str], group: list[str] = ()) -> DataFrame:
     """Linear by row position within group, both ways; edges take the nearest value. Without a group by ranges, as ``directional_fill``."""
     if not group:
@@ -272,24 +279,22 @@ def interpolate(df: DataFrame, columns: Iterable[str], order: list[str], group:
         after = last_before(turned, wanted)
         after = after.select((-F.col("_of")).alias("_of2"), *[x for i in range(len(wanted)) for x in (F.col(f"_v{i}").alias(f"_w{i}"), (-F.col(f"_p{i}")).alias(f"_q{i}"))])
         rows = dealt.join(F.broadcast(last_before(dealt, wanted)), F.col("_range") == F.col("_of")).join(F.broadcast(after), F.col("_range") == F.col("_of2"))
-        inside = Window.partitionBy("_range").orderBy("_at")
-        back, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+        back, ahead = _both_ways("_range")
         made = {}
         for i, c in enumerate(wanted):
             at = F.when(F.col(c).isNotNull(), F.col("_at"))
             p, pv = F.coalesce(F.last(at, ignorenulls=True).over(back), F.col(f"_p{i}")), F.coalesce(F.last(c, ignorenulls=True).over(back), F.col(f"_v{i}"))
-            n, nv = F.coalesce(F.first(at, ignorenulls=True).over(ahead), F.col(f"_q{i}")), F.coalesce(F.first(c, ignorenulls=True).over(ahead), F.col(f"_w{i}"))
+            n, nv = F.coalesce(F.last(at, ignorenulls=True).over(ahead), F.col(f"_q{i}")), F.coalesce(F.last(c, ignorenulls=True).over(ahead), F.col(f"_w{i}"))
             made[c] = F.coalesce(F.col(c).cast("double"), pv + (nv - pv) * (F.col("_at") - p) / (n - p), pv, nv)
         return rows.withColumns(made).select(*df.columns)
-    over = Window.partitionBy(*group).orderBy(*order)
-    back, ahead = over.rowsBetween(Window.unboundedPreceding, 0), over.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = _both_ways(*group)
     names = [c for c in known(df, columns) if c in numeric_columns(df)]
-    rows = df.withColumn("_at", F.row_number().over(over))
+    rows = df.withColumn("_at", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     out = {}
     for c in names:
         at = F.when(F.col(c).isNotNull(), F.col("_at"))
         p, pv = F.last(at, ignorenulls=True).over(back), F.last(c, ignorenulls=True).over(back)
-        n, nv = F.first(at, ignorenulls=True).over(ahead), F.first(c, ignorenulls=True).over(ahead)
+        n, nv = F.last(at, ignorenulls=True).over(ahead), F.last(c, ignorenulls=True).over(ahead)
         line = pv + (nv - pv) * (F.col("_at") - p) / (n - p)
         out[c] = F.coalesce(F.col(c).cast("double"), line, pv, nv)
     return rows.withColumns(out).drop("_at")

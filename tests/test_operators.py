@@ -393,3 +393,12 @@ def test_expanding_median_sends_each_range_few_values(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert plan.count() == 8000 and max(sizes) < 8000 / 16 * 4
+
+
+@pytest.mark.parametrize("group", [[], ["g"]])
+def test_interpolation_reads_a_part_once(spark, group):
+    df = spark.createDataFrame([(i, "g", None if i % 3 else float(i)) for i in range(20)], "t int, g string, x double")
+    made = C.interpolate(df, ["x"], ["t"], group)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan  # such a frame is read anew for every row
+    assert [r["x"] for r in made.orderBy("t").collect()] == [min(float(i), 18.0) for i in range(20)]
