@@ -23,11 +23,21 @@ _WHOLE, _PIECE = 0, 1
 
 
 def head_lines(spark: SparkSession, path: str) -> list[str]:
-    """The first lines, up to HEAD characters, of the first file by name."""
-    files = sorted(spark.read.text(path).inputFiles())
+    """The first lines, up to HEAD characters, of the first file by name that has more than blank ones: a task without rows may write an empty file."""
+    lines = spark.read.text(path)
+    files = sorted(lines.inputFiles())
     if not files:
         return []
-    first = spark.read.text(files[0]).where("_metadata.file_block_start = 0").select(F.substring("value", 1, HEAD).alias("value"))
+    of = lambda name: _head(lines.where(F.col("_metadata.file_path") == name))  # noqa: E731  names are encoded, so they are no paths to read
+    head = of(files[0])
+    if any(x.strip() for x in head):
+        return head
+    name = lines.where(F.rlike("value", F.lit(r"\S"))).agg(F.min("_metadata.file_path")).first()[0]
+    return head if name is None else of(name)
+
+
+def _head(lines: DataFrame) -> list[str]:
+    first = lines.where("_metadata.file_block_start = 0").select(F.substring("value", 1, HEAD).alias("value"))
     out, size = [], 0
     for row in first.limit(2000).toLocalIterator():
         size += len(row.value) + 1

@@ -100,3 +100,17 @@ def test_the_function_of_a_line():
     assert inside('a,"b', False) and not inside('a,5" b', False) and not inside('"a""b",c', False) and inside('"a""', False)
     assert inside("still", True) and not inside('done",x', True) and inside('done","again', True) and inside('a ""', True)
     assert inside('a\\"', True, "\\") and not inside('a\\\\"', True, "\\")
+
+
+@pytest.mark.parametrize("empty", ["", "\n \n"])
+def test_the_first_file_may_be_empty(spark, tmp_path, empty):
+    (tmp_path / "a.csv").mkdir()
+    (tmp_path / "a.csv" / "part-0 a.txt").write_text(empty)
+    (tmp_path / "a.csv" / "part-1 b.txt").write_text('1;"x\ny";2.5\n2;z;3.5\n')
+    rows, bad = readers.read_delimited(spark, str(tmp_path / "a.csv"), header=False)
+    assert sorted(map(tuple, rows.collect())) == [(1, "x\ny", 2.5), (2, "z", 3.5)] and bad == 0
+    (tmp_path / "b.json").mkdir()
+    (tmp_path / "b.json" / "part-0 a.txt").write_text(empty)
+    (tmp_path / "b.json" / "part-1 b.txt").write_text('{"a": 1}\n{"a": 2}\n')
+    rows, bad = readers.read_json(spark, str(tmp_path / "b.json"))
+    assert sorted(map(tuple, rows.collect())) == [(1,), (2,)] and bad == 0
