@@ -54,6 +54,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows from which another task is worth its start.
+SPREAD_ROWS = 16384
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A checkpoint dealt evenly over the cores, over fewer where there are few rows: what goes over the rows again and again then neither reads nor derives them anew, nor is left to the few tasks that a file of large row groups gives."""
+    n = max(1, min(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // SPREAD_ROWS)))
+    return durable(df.repartition(n))
+
+
 def written(df: DataFrame) -> str:
     """Where in the shared folder df now is as Parquet; it stays there."""
     path = f"{_shared_folder(df)}/table-{uuid.uuid4().hex}"

@@ -107,3 +107,19 @@ def test_times_are_filled_along_the_order(spark):
     got, fills = C.impute_by_type(df, ["day", "v"], ["k"])
     assert [(str(r["day"]), r["v"]) for r in got.orderBy("k").collect()] == [("2024-01-05", "b"), ("2024-01-05", "a"), ("2024-01-05", "b"), ("2024-01-05", "b"), ("2024-01-05", "b"), ("2024-02-01", "b")]
     assert fills == {"v": "b"}
+
+
+@pytest.mark.parametrize("share", [0.36787944117144233, 0.7357588823428847, 0.9999, 0.25])
+def test_digests_are_compared_as_text_where_numbers_would_be(share):
+    from sparkprep.operators.diagnose import _first_digits
+
+    least = int(_first_digits(share), 16)
+    assert (least + 0.5) / 2**52 >= share > (least - 0.5) / 2**52 and len(_first_digits(share)) == 13
+
+
+def test_rows_of_one_task_are_dealt_over_the_cores(spark):
+    from sparkprep.functions.tables import SPREAD_ROWS, spread
+
+    one = spark.range(0, 3 * SPREAD_ROWS, 1, 1)
+    assert spread(one).rdd.getNumPartitions() == 3 and spread(one).count() == 3 * SPREAD_ROWS
+    assert spread(one.limit(5)).rdd.getNumPartitions() == 1 and spread(one.limit(0)).count() == 0
