@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions.tables import digest as digest_of
-from sparkprep.functions.tables import global_running, unit
+from sparkprep.functions.tables import durable, global_running, unit
 
 
 def choose_strategy(task: str, time: str | None = None, group: str | None = None) -> tuple[str, str]:
@@ -66,7 +66,7 @@ def random_split(df: DataFrame, key: str, test: float = 0.2, validation: float =
 
 def split(df: DataFrame, task: str, target: str, key: str, time: str | None = None, group: str | None = None, test: float = 0.2, validation: float = 0.15, seed: int = 0) -> tuple[DataFrame, dict]:
     """df without rows that lack a target and without repeated rows, with ``split``; and how it was made: strategy, reason, rows, the shares asked for, the sizes got and notes where they differ by a tenth. No validation part under 150 rows."""
-    clean = df.where(F.col(target).isNotNull()).dropDuplicates()
+    clean = durable(df.where(F.col(target).isNotNull()).dropDuplicates())
     test, n = min(0.5, max(0.05, test)), clean.count()
     validation = 0.0 if n < 150 or n * validation < 20 else min(0.4, validation)
     strategy, reason = choose_strategy(task, time, group)
@@ -80,6 +80,7 @@ def split(df: DataFrame, task: str, target: str, key: str, time: str | None = No
         "temporal": lambda: temporal_split(clean, [time, key], test, validation), "grouped": lambda: grouped_split(clean, group, test, validation, seed),
         "stratified": lambda: stratified_split(clean, target, key, test, validation, seed), "random": lambda: random_split(clean, key, test, validation, seed),
     }[strategy]()
+    made = durable(made)  # all that is made of the parts reads them
     sizes = {r["split"]: r["n"] for r in partition_sizes(made).collect()}  # three rows
     return made, {"strategy": strategy, "reason": reason, "rows": n, "test": test, "validation": validation, "sizes": sizes, "notes": size_deviations(sizes, {"test": test, "validation": validation})}
 
