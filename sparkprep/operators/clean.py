@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 from sparkprep.functions.quantiles import column_quantiles
-from sparkprep.functions.tables import TIMES, durable, in_ranges, known, last_before, numeric_columns, string_columns
+from sparkprep.functions.tables import TIMES, durable, in_ranges, known, last_before, numeric_columns, spread, string_columns
 from sparkprep.operators.profile import fences, value_counts
 
 #: Texts that stand for a missing value once stripped and lower-cased.
@@ -304,12 +304,38 @@ def knn_impute(df: DataFrame, columns: Iterable[str], key: str, k: int = 5, weig
     """Mean of the k nearest donors' values, by distance over the numbers both rows have, scaled to the number of columns.
 
     Donors are all rows that have the value and a key, ties by key. Rows with holes meet them in
-    pairs of blocks, and only the k best of a block for each hole leave it.
+    pairs of blocks, and only the k best of a block for each hole leave it. Where a block's worth of rows or more have
+    the same columns, rows of equal numbers are one, and so far as they differ in these columns only the k first donors
+    of each number meet them: what is equal in these columns is equally far. Rows of other patterns meet all donors.
     """
     names = [c for c in known(df, columns) if c in numeric_columns(df)]
-    plain = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.array(*[F.col(c).cast("double") for c in names]).alias("v"))
-    holed = F.exists("v", lambda x: x.isNull())
-    holes = plain.where(holed)
+    has = F.array_join(F.transform("v", lambda x: F.when(x.isNull() | F.isnan(x), "0").otherwise("1")), "")
+    plain = spread(df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.array(*[F.col(c).cast("double") for c in names]).alias("v"))).withColumn("has", has)
+    holes = plain.where(F.exists("v", lambda x: x.isNull()))
+    common = [r["has"] for r in holes.groupBy("has").count().where(F.col("count") >= block).collect()]  # no more than there are blocks of holes
+    rare = holes.where(~F.col("has").isin(common)) if common else holes
+    found = _near_donors(plain.select("id", "v"), rare.select("id", "v"), len(names), k, block, dict(df.dtypes)[key])
+    near = found.withColumn("_k", F.row_number().over(Window.partitionBy("id", "c").orderBy("dist", "donor"))).where(F.col("_k") <= k)
+    if common:
+        alike = durable(holes.where(F.col("has").isin(common)).groupBy("has", "v").agg(F.min("id").alias("one")))
+        able = plain.select("id", "v", F.explode(F.array(*map(F.lit, common))).alias("of"))
+        able = able.withColumn("w", F.transform("v", lambda x, i: F.when(F.substring("of", i + 1, F.lit(1)) == "1", x)))
+        able = able.withColumn("c", F.explode(F.filter(F.sequence(F.lit(1), F.lit(len(names))), lambda i: (F.substring("of", i, F.lit(1)) == "0") & F.element_at("v", i).isNotNull() & ~F.isnan(F.element_at("v", i)))))
+        first = able.withColumn("_k", F.row_number().over(Window.partitionBy("of", "c", "w").orderBy("id"))).where(F.col("_k") <= k)
+        donors = durable(plain.join(first.select("id").distinct(), "id", "left_semi").select("id", "v"))
+        found = _near_donors(donors, alike.select(F.col("one").alias("id"), "v"), len(names), k, block, dict(df.dtypes)[key])
+        best = durable(found.withColumn("_k", F.row_number().over(Window.partitionBy("id", "c").orderBy("dist", "donor"))).where(F.col("_k") <= k))
+        same = holes.join(alike, ["has", "v"]).select("id", "one")
+        near = near.unionByName(same.join(best.withColumnRenamed("id", "one"), "one").select(*near.columns))
+    w = F.lit(1.0) if weights == "uniform" else F.when(F.col("dist") == 0, 1e12).otherwise(1 / F.col("dist"))
+    fills = near.groupBy("id", "c").agg((F.sum(F.col("value") * w) / F.sum(w)).alias("fill"))
+    wide = fills.groupBy(F.col("id").alias("_id")).agg(*[F.max(F.when(F.col("c") == i, F.col("fill"))).alias(f"_fill{i}") for i in range(len(names))])
+    out = df.join(wide, F.col(key) == F.col("_id"), "left").withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_fill{i}")) for i, c in enumerate(names)})
+    return apply_fills(out, fit_fills(df, names, "mean")).select(*df.columns)
+
+
+def _near_donors(plain: DataFrame, holes: DataFrame, width: int, k: int, block: int, of: str) -> DataFrame:
+    """(id, c, dist, donor, value): for each hole the k best donors of every block of (id, v)."""
     nr, nq = (max(1, -(-x.count() // block)) for x in (plain, holes))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = plain.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(nr))).withColumn("qb", upto(nq)).withColumn("q", F.lit(False))
@@ -326,7 +352,7 @@ def knn_impute(df: DataFrame, columns: Iterable[str], key: str, k: int = 5, weig
                 own = ~np.isnan(v)
                 shared = (has & own).sum(1)
                 square = np.where(has & own, (av - v) ** 2, 0.0).sum(1)
-                dist = np.where((shared > 0) & (ai != bi[i]), np.sqrt(square * len(names) / np.maximum(shared, 1)), np.inf)
+                dist = np.where((shared > 0) & (ai != bi[i]), np.sqrt(square * width / np.maximum(shared, 1)), np.inf)
                 for j in np.flatnonzero(~own):
                     able = np.flatnonzero(has[:, j] & np.isfinite(dist))
                     if len(able) > k:
@@ -339,14 +365,7 @@ def knn_impute(df: DataFrame, columns: Iterable[str], key: str, k: int = 5, weig
                     out["value"] += av[best, j].tolist()
         return pd.DataFrame(out)
 
-    of = dict(df.dtypes)[key]
-    found = left.unionByName(right).groupBy("b", "qb").applyInPandas(meet, f"id {of}, c int, dist double, donor {of}, value double")
-    w = F.lit(1.0) if weights == "uniform" else F.when(F.col("dist") == 0, 1e12).otherwise(1 / F.col("dist"))
-    near = found.withColumn("_k", F.row_number().over(Window.partitionBy("id", "c").orderBy("dist", "donor"))).where(F.col("_k") <= k)
-    fills = near.groupBy("id", "c").agg((F.sum(F.col("value") * w) / F.sum(w)).alias("fill"))
-    wide = fills.groupBy(F.col("id").alias("_id")).agg(*[F.max(F.when(F.col("c") == i, F.col("fill"))).alias(f"_fill{i}") for i in range(len(names))])
-    out = df.join(wide, F.col(key) == F.col("_id"), "left").withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_fill{i}")) for i, c in enumerate(names)})
-    return apply_fills(out, fit_fills(df, names, "mean")).select(*df.columns)
+    return left.unionByName(right).groupBy("b", "qb").applyInPandas(meet, f"id {of}, c int, dist double, donor {of}, value double")
 
 
 def iterative_impute(df: DataFrame, columns: Iterable[str], rounds: int = 10, ridge: float = 1e-3) -> DataFrame:

@@ -402,3 +402,18 @@ def test_interpolation_reads_a_part_once(spark, group):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan  # such a frame is read anew for every row
     assert [r["x"] for r in made.orderBy("t").collect()] == [min(float(i), 18.0) for i in range(20)]
+
+
+def test_knn_imputation_of_equal_rows_meets_few_donors(spark, monkeypatch):
+    rows = [(i, float(i % 4) if i % 11 else None, float(i % 3), None if i % 5 == 0 else float(i * 7 % 2)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double")
+    met, plain = [], C._near_donors
+    monkeypatch.setattr(C, "_near_donors", lambda p, h, *a: met.append((p.count(), h.count())) or plain(p, h, *a))
+    got = C.knn_impute(df, ["a", "b", "c"], "k", 3, block=20).orderBy("k").collect()
+    assert met[1][0] <= 72 and met[1][1] <= 18  # of 400 rows, and of 72 and 29 with the same holes
+    assert met[0] == (400, 8)  # the rows of a rarer pattern meet all
+    for (key, *v), r in zip(rows, got, strict=True):
+        for j in range(3):
+            if v[j] is None:
+                far = sorted((np.sqrt(sum((x - y) ** 2 for x, y in zip(v, w) if x is not None and y is not None) * 3 / s), o, w[j]) for o, *w in rows if w[j] is not None and (s := sum(x is not None and y is not None for x, y in zip(v, w))))
+                assert r[j + 1] == pytest.approx(sum(t[2] for t in far[:3]) / 3)
