@@ -18,6 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkprep.functions.tables import spread
 from sparkprep.operators.metrics import better
 from sparkprep.operators.neural import NeuralRegressor
 
@@ -94,6 +95,7 @@ Scorer = Callable[[DataFrame], float]
 def fit_candidates(train: DataFrame, validation: DataFrame, candidates: Iterable[dict], features: list[str], task: str, metric: str, score: Scorer, n_classes: int = 2, seed: int = 0) -> tuple[DataFrame, dict[str, PipelineModel]]:
     """(results, models). A candidate that fails is a row with its error; the rest go on. Results: family, score, seconds, n_features, error."""
     rows, models = [], {}
+    train, validation = spread(train), spread(validation)
     for c in candidates:
         family, began = c["family"], time.time()
         try:
@@ -154,6 +156,7 @@ def search(df: DataFrame, family: str, task: str, features: list[str], metric: s
     if method != "grid" or len(points) > 400:
         points = draw.sample(points, min(len(points), 400 if method == "grid" else min(200, n_trials)))
     rows: list[tuple] = []
+    df = spread(df)
 
     def trial(p: dict, part: DataFrame) -> float | None:
         try:
