@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkprep.functions.components import components
-from sparkprep.functions.tables import durable
+from sparkprep.functions.tables import durable, spread
 from sparkprep.operators.encode import fit_scaler, scale
 
 
@@ -124,7 +124,7 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, features: list[str],
     block of about ``block`` rows. A query looks at one block of its own cell first; its k-th best distance
     there rules out, by the triangle inequality, most other cells for it, and it goes to those that are left.
     """
-    r, q = durable(_vectors(rows, key, features)), _vectors(queries, key, features)
+    r, q = spread(_vectors(rows, key, features)), spread(_vectors(queries, key, features))
     n = r.count()
     if not n:
         return r.select(F.col("id").alias("query"), F.lit(1).alias("place"), "id", F.lit(0.0).alias("distance")).limit(0)
