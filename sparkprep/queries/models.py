@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sparkprep.functions.tables import align, capped, read, shared_folder
+from sparkprep.functions.tables import align, capped, read, shared_folder, spread
 from sparkprep.operators import associate as A
 from sparkprep.operators import charts as K
 from sparkprep.operators import clean as C
@@ -159,7 +159,7 @@ book.add("n20_s17_n23_final_fit_saved", refitted, f"SELECT *, 'y' AS target FROM
 
 
 def penalised(spark, sf_dir):  # noqa: ANN001, ANN201
-    t = labelled(spark, sf_dir).withColumn("label", F.col("y"))
+    t = spread(labelled(spark, sf_dir).withColumn("label", F.col("y")))
     made = None
     for family in ("ridge", "lasso", "elastic_net", "random_forest", "gradient_boosting", "decision_tree"):
         scored = M.predict(M.pipeline(family, "regression", ["x1", "x2"]).fit(t.where("fold != 0")), t.where("fold = 0"))
@@ -175,6 +175,7 @@ book.add("n11_neural_network", lambda s, d: M.predict(M.pipeline("neural_network
 def curved(spark, sf_dir):  # noqa: ANN001, ANN201
     """How far a network's error on customers it was not trained on is below the mean's, and below a line's, on a bent target."""
     t = labelled(spark, sf_dir).withColumn("label", F.pow(F.col("x1") - 4.5, F.lit(2.0)) + F.col("x2") / 5)
+    t = spread(t)
     train, test = t.where("fold != 0"), t.where("fold = 0")
     mean = train.agg(F.avg("label")).first()[0]
     out = None
