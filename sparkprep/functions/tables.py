@@ -117,7 +117,8 @@ def global_running(df: DataFrame, order: list[Column], sums: Mapping[str, Column
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     offsets = totals.select("_range", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in named])
     inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = dealt.join(F.broadcast(offsets), "_range")  # as many rows as there are partitions
+    # each range is a task of its own: by a hash of their numbers some tasks would get several and others none
+    out = dealt.repartitionById(n, "_range").join(F.broadcast(offsets), "_range")  # as many rows as there are partitions
     out = out.withColumns({k: F.sum(v).over(inside) + F.col(f"_o_{k}") for k, v in named.items()})
     return out.select(*df.columns, *named)
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkprep.functions.tables import correlation, durable, global_running, known, numeric_columns, to_long
+from sparkprep.functions.tables import correlation, durable, global_running, known, numeric_columns, spread, to_long
 from sparkprep.operators.profile import _numbers, _quantile_rows, column_counts, value_counts
 from sparkprep.operators.windows import average_rank
 
@@ -155,15 +157,17 @@ def target_associations(df: DataFrame, target: str, columns: Iterable[str] | Non
 
     All features go through the same few jobs, however many there are: counts by value for their levels and
     bin edges, one long table of (feature, level or bin, class) with counts and sums for the measures made of cells, and counts
-    by (feature, value) in one global order for AUC or ranks. A row a feature comes to the driver.
+    by (feature, value) in one global order for AUC or ranks. The rows are dealt over the cores and written once, as each job goes over them.
+    A row a feature comes to the driver.
     """
-    names = [c for c in known(df, columns) if c != target]
+    names = list(dict.fromkeys(c for c in known(df, columns) if c != target))
     if not names:
         return []
+    df = spread(df.select(*names, target))
     numbers, whole = set(numeric_columns(df)), df.where(F.col(target).isNotNull())
     classes = task == "classification"
     by_value = durable(value_counts(_numbers(df, [c for c in [*names, target] if c in numbers]), [*names, target]))
-    levels = {r["column"]: r for r in column_counts(df, names, counts=by_value).collect()}
+    levels = {r["column"]: r for r in column_counts(df, [*names, target], counts=by_value).collect()}
     few = [c for c in names if c not in numbers and levels[c]["n_distinct"] <= max(20, 0.1 * levels[c]["n_rows"])]
     numeric = [c for c in names if c in numbers] if classes or target in numbers else []
     edges: dict[str, set] = {c: set() for c in [*numeric, *([] if classes else [target])]}
@@ -172,14 +176,15 @@ def target_associations(df: DataFrame, target: str, columns: Iterable[str] | Non
 
     def binned(c: str) -> Column:
         inner = sorted(edges[c])[1:-1]
-        return F.size(F.filter(F.array(*map(F.lit, inner)), lambda e: e <= F.col(c))).cast("string") if inner else F.when(F.col(c).isNotNull(), F.lit("0"))
+        return reduce(add, [(F.lit(e) <= F.col(c)).cast("int") for e in inner]).cast("string") if inner else F.when(F.col(c).isNotNull(), F.lit("0"))
 
     nothing, y = F.lit(None).cast("double"), F.col(target).cast("string") if classes else binned(target) if target in numbers else F.lit(None).cast("string")
     t = nothing if classes else F.col(target).cast("double")
-    cells = [F.struct(F.lit(c).alias("f"), F.when(F.col(c).isNotNull(), binned(c) if c in numbers else F.col(c).cast("string")).alias("a"), y.alias("b"), (F.col(c).cast("double") if c in numbers else nothing).alias("x"), t.alias("t")) for c in [*numeric, *few]]
+    cells = [F.struct(F.lit(c).alias("f"), F.when(F.col(c).isNotNull(), binned(c) if c in numbers else F.col(c).cast("string")).alias("a"), (F.col(c).cast("double") if c in numbers else nothing).alias("x")) for c in [*numeric, *few]]
     if not cells:
         return []
-    long = whole.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("a IS NOT NULL")
+    long = whole.select(y.alias("b"), t.alias("t"), F.explode(F.array(*cells)).alias("c")).select("c.*", "b", "t").where("a IS NOT NULL")
+    values = [F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("x")) for c in numeric]
     one = durable(long.groupBy("f", "a", "b").agg(F.count(F.lit(1)).cast("double").alias("o"), *[v for k in "xt" for v in (F.sum(k).alias(f"s{k}"), F.sum(F.col(k) * F.col(k)).alias(f"q{k}"))]))
     sums = [F.sum("o").alias("o"), *[F.sum(f"{m}{k}").alias(f"{m}{k}") for k in "xt" for m in "sq"]]
     ra, rb = durable(one.groupBy("f", "a").agg(*sums)), durable(one.groupBy("f", "b").agg(*sums))
@@ -192,18 +197,20 @@ def target_associations(df: DataFrame, target: str, columns: Iterable[str] | Non
     entropy = rb.join(n, "f").groupBy("f").agg((-F.sum(F.col("o") / F.col("n") * F.log(F.col("o") / F.col("n")))).alias("entropy"))
     got = {r["f"]: r.asDict() for r in together.withColumn("v", _corrected_v()).join(entropy, "f").collect()}
     # the number's spread between classes, or the target's between levels
-    spread = (rb if classes else ra).select("f", F.col("o").alias("n"), F.col("sx" if classes else "st").alias("s"), F.col("qx" if classes else "qt").alias("q"))
-    spread = spread.groupBy("f").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b2"))
-    eta = {r["f"]: r["eta"] for r in spread.select("f", _corrected_eta("b2").alias("eta")).collect()}
+    within = (rb if classes else ra).select("f", F.col("o").alias("n"), F.col("sx" if classes else "st").alias("s"), F.col("qx" if classes else "qt").alias("q"))
+    within = within.groupBy("f").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b2"))
+    eta = {r["f"]: r["eta"] for r in within.select("f", _corrected_eta("b2").alias("eta")).collect()}
     ranked: dict[str, float | None] = {}
     linear: dict[str, float | None] = {}
     if classes and numeric:
         kinds = [r[0] for r in whole.select(target).distinct().orderBy(target).limit(3).collect()]
         if len(kinds) == 2:
-            ranked = _aucs(long.where(F.col("x").isNotNull()).select("f", F.col("x").alias("s"), (F.col("b") == F.lit(str(kinds[1])) if isinstance(kinds[1], str) else F.col("b") == F.lit(kinds[1]).cast("string")).alias("p")))
+            positive = y == F.lit(str(kinds[1])) if isinstance(kinds[1], str) else y == F.lit(kinds[1]).cast("string")
+            ranked = _aucs(whole.select(positive.alias("p"), F.explode(F.array(*values)).alias("c")).where("c.x IS NOT NULL").select("c.f", F.col("c.x").alias("s"), "p"))
     elif numeric:
-        linear = {r["f"]: r["r"] for r in long.where(F.col("x").isNotNull()).groupBy("f").agg(F.when(F.count(F.lit(1)) >= 8, correlation(F.col("x"), F.col("t"))).alias("r")).collect()}
-        ranked = _rank_correlations(long.where(F.col("x").isNotNull()).select("f", "x", "t"))
+        pairs = whole.select(t.alias("t"), F.explode(F.array(*values)).alias("c")).where("c.x IS NOT NULL").select("c.*", "t")
+        linear = {r["f"]: r["r"] for r in pairs.groupBy("f").agg(F.when(F.count(F.lit(1)) >= 8, correlation(F.col("x"), F.col("t"))).alias("r")).collect()}
+        ranked = _rank_correlations(whole, target, {c: int(got[c]["n"]) for c in numeric if c in got}, levels[target]["n_rows"] - levels[target]["n_missing"])
     found = []
     for c, g in got.items():
         if g["n"] < min_rows:
@@ -235,16 +242,29 @@ def _aucs(long: DataFrame) -> dict[str, float | None]:
     return {r["f"]: r["auc"] for r in one.select("f", F.try_divide(F.col("u") - F.col("before") * F.col("p"), F.col("p") * F.col("q")).alias("auc")).collect()}
 
 
-def _rank_correlations(long: DataFrame) -> dict[str, float | None]:
-    """Feature -> Pearson's r of the average ranks of x and t among the feature's rows, from counts by (feature, value) in one global order each."""
-    for value in ("x", "t"):
-        counted = long.groupBy(F.col("f").alias("_f"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-        # where a feature's ranks begin does not matter to a correlation
-        ranks = global_running(counted, [F.col("_f"), F.col("_v")], {"_upto": F.col("_n")}).select("_f", "_v", (F.col("_upto") - F.col("_n") / 2).alias(f"rank_{value}"))
-        long = long.join(ranks, (F.col("f") == F.col("_f")) & (F.col(value) == F.col("_v"))).drop("_f", "_v")
-    middle = long.groupBy("f").agg(F.avg("rank_x").alias("mx"), F.avg("rank_t").alias("mt"))
-    both = long.join(middle, "f").groupBy("f").agg(correlation(F.col("rank_x") - F.col("mx"), F.col("rank_t") - F.col("mt")).alias("rho"))
-    return {r["f"]: r["rho"] for r in both.collect()}
+def _rank_correlations(whole: DataFrame, target: str, counts: dict[str, int], n: int) -> dict[str, float | None]:
+    """Feature -> Pearson's r of the average ranks of feature and target among the rows that have both. ``counts`` says how many these are, ``n`` how many rows there are; all have a target.
+
+    The target's values run up once in a global order, with a count for all features without holes and one for each with, so a row meets its target's ranks in one join.
+    A feature's part then is made of its values, how many rows each has and the sum of these rows' ranks, in one global order of (feature, value): no row is joined with its feature's rank.
+    """
+    names, t = list(counts), F.col(target).cast("double")
+    if not names:
+        return {}
+    held = {f"n{k}": F.count_if(F.col(c).isNotNull()) for k, c in enumerate(names) if counts[c] < n} | {"n": F.count(F.lit(1))}
+    size = {m: counts[names[int(m[1:])]] if m != "n" else n for m in held}
+    by_target = whole.groupBy(t.alias("_t")).agg(*[v.alias(m) for m, v in held.items()])
+    run = global_running(by_target, [F.col("_t")], {f"u{m}": F.col(m) for m in held})
+    # the ranks of all rows have half their number as their mean
+    centred = lambda m: F.col(f"u{m}") - (F.col(m) + F.lit(size[m])) / 2
+    rows = whole.select(t.alias("t"), *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(names)]).join(run.select("_t", *[centred(m).alias(f"r{m}") for m in held]), F.col("t") == F.col("_t"))
+    cells = [F.struct(F.lit(k).alias("k"), F.col(f"x{k}").alias("x"), F.col(f"rn{k}" if f"n{k}" in held else "rn").alias("r")) for k in range(len(names))]
+    counted = rows.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("x IS NOT NULL").groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"))
+    middle = F.get(F.array(*[F.lit(sum(counts[c] for c in names[:k]) + counts[name] / 2) for k, name in enumerate(names)]), F.col("k"))
+    rank = F.col("upto") - F.col("n") / 2 - middle
+    both = global_running(counted, [F.col("k"), F.col("x")], {"upto": F.col("n")}).select("k", "n", "s", "q", rank.alias("rank")).groupBy("k")
+    both = both.agg(F.try_divide(F.sum(F.col("rank") * F.col("s")), F.sqrt(F.sum(F.col("n") * F.col("rank") * F.col("rank"))) * F.sqrt(F.sum("q"))).alias("rho"))
+    return {names[r["k"]]: r["rho"] for r in both.collect()}
 
 
 def _counts(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -99,10 +99,12 @@ def _quantile_rows(counts: DataFrame, probabilities: Iterable[float]) -> DataFra
     from sparkprep.functions.tables import global_running
 
     numbers = counts.where("whole is not null or real is not null").select("column", F.coalesce(F.col("whole").cast("double"), "real").alias("v"), "n").groupBy("column", "v").agg(F.sum("n").alias("n"))
+    numbers = durable(numbers)  # sampled for its ranges, dealt to them and added up
     run = global_running(numbers, [F.col("column"), F.col("v")], {"_upto": F.col("n")})
-    ends = run.groupBy(F.col("column").alias("_c")).agg(F.sum("n").alias("_n"), F.max("_upto").alias("_max"))
+    earlier = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # a row a column
+    ends = numbers.groupBy(F.col("column").alias("_c")).agg(F.sum("n").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     ps = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
-    wanted = ends.select("_c", "_n", (F.col("_max") - F.col("_n")).alias("_before"), ps.alias("p")).withColumn("_rank", (F.col("_n") - 1) * F.col("p")).withColumn("_low", F.floor("_rank"))
+    wanted = ends.select("_c", "_n", "_before", ps.alias("p")).withColumn("_rank", (F.col("_n") - 1) * F.col("p")).withColumn("_low", F.floor("_rank"))
     upto = F.col("_upto") - F.col("_before")
     hits = run.join(F.broadcast(wanted), (F.col("column") == F.col("_c")) & (upto - F.col("n") <= F.col("_low") + 1) & (F.col("_low") < upto))  # a row a column and probability
     pick = lambda at: F.max(F.when((upto - F.col("n") <= at) & (at < upto), F.col("v")))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkprep.functions.tables import global_running
 from sparkprep.operators import associate as A
 from sparkprep.operators import clean as C
 from sparkprep.operators import diagnose as Q
@@ -123,3 +124,32 @@ def test_rows_of_one_task_are_dealt_over_the_cores(spark):
     one = spark.range(0, 3 * SPREAD_ROWS, 1, 1)
     assert spread(one).rdd.getNumPartitions() == 3 and spread(one).count() == 3 * SPREAD_ROWS
     assert spread(one.limit(5)).rdd.getNumPartitions() == 1 and spread(one.limit(0)).count() == 0
+
+
+def test_associations_derive_their_rows_once_to_count_and_once_to_write(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(400).selectExpr("id * 2D AS x", "double(id % 7) AS z", "id * 1D AS y").mapInArrow(pass_on, "x double, z double, y double")
+    got = {a["column"]: a["coefficients"]["spearman"] for a in A.target_associations(df, "y", ["x", "z"], "regression")}
+    assert seen.value <= 2 * 400
+    assert got["x"] == pytest.approx(1) and got["z"] == pytest.approx(abs(A.spearman(df, "z", "y").first()["rho"]))
+
+
+def test_ranks_of_features_with_and_without_holes(spark):
+    df = spark.range(500).selectExpr("double(id * 37 % 101) AS whole", "CASE WHEN id % 3 > 0 THEN double(id * 11 % 17) END AS holed", "5D AS same", "CASE WHEN id % 4 > 0 THEN -0.5D * (id * 37 % 101) * (id % 5) END AS few", "CASE WHEN id % 10 > 0 THEN double(id * 53 % 29) END AS y")
+    got = {a["column"]: a["coefficients"] for a in A.target_associations(df, "y", ["whole", "holed", "same", "few"], "regression")}
+    assert "spearman" not in got["same"]
+    for c in ("whole", "holed", "few"):
+        assert got[c]["spearman"] == pytest.approx(abs(A.spearman(df, c, "y").first()["rho"])), c
+
+
+def test_each_range_of_a_global_order_is_a_task_of_its_own(spark):
+    run = global_running(spark.range(4000).selectExpr("id * 37 % 4001 AS v"), [F.col("v")], {"upto": F.col("v")}, partitions=8)
+    tasks = run.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("upto").alias("upto")).collect()
+    assert len(tasks) == 8 and max(r["n"] for r in tasks) < 2 * 4000 / 8
+    assert max(r["upto"] for r in tasks) == run.agg(F.sum("v")).first()[0]
