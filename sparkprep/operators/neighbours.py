@@ -27,6 +27,8 @@ def _vectors(df: DataFrame, key: str, features: list[str]) -> DataFrame:
 
 #: Most pivots: their vectors and cells' radii are all that every task gets.
 MOST_PIVOTS = 4096
+#: Decimals at which squares of distances between scaled features are compared: scaling leaves noise beyond, which would order rows that are equally far.
+TIE_DIGITS = 12
 
 
 def _pivots(rows: DataFrame, n: int) -> np.ndarray:
@@ -56,8 +58,11 @@ def _celled(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     return df.withColumn("_c", F.pandas_udf(run, "cell int, far double")(F.col("v"))).select("id", "v", "_c.cell", "_c.far")
 
 
-def _best_of(rows: DataFrame, asking: DataFrame, k: int, exclude_self: bool, block: int) -> DataFrame:
-    """(query, id, distance): the k best of each block for every query that comes to it. Both have the block, (cell, part); a block that many queries come to is dealt."""
+def _best_of(rows: DataFrame, asking: DataFrame, k: int, exclude_self: bool, block: int, digits: int | None) -> DataFrame:
+    """(query, id, distance, far): the k best of each block, by far and id, for every query that comes to it. Both have the block, (cell, part); a block that many queries come to is dealt.
+
+    far is the distance, or with digits its square in whole units of the last digit.
+    """
     shares = asking.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("shares"))
     left = rows.select("id", "v", "cell", "part").join(shares, ["cell", "part"]).withColumn("share", F.explode(F.expr("sequence(0, shares - 1)"))).withColumn("q", F.lit(False))
     right = asking.select("id", "v", "cell", "part").join(shares, ["cell", "part"]).withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")).withColumn("q", F.lit(True))
@@ -65,26 +70,27 @@ def _best_of(rows: DataFrame, asking: DataFrame, k: int, exclude_self: bool, blo
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[~pdf["q"]], pdf[pdf["q"]]
         if a.empty or b.empty:
-            return pd.DataFrame({"query": [], "id": [], "distance": []}).astype({"query": "int64", "id": "int64", "distance": "float64"})
+            return pd.DataFrame({"query": [], "id": [], "distance": [], "far": []}).astype({"query": "int64", "id": "int64", "distance": "float64", "far": "float64"})
         av, bv, ai, bi = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy()), a["id"].to_numpy(), b["id"].to_numpy()
-        out = []
+        out, a2, b2 = [], (av**2).sum(1), (bv**2).sum(1)
+        # what rounding may add to the difference of two of the squares below, and what one far may hold
+        slack = (4 * av.shape[1] + 6) * np.finfo(float).eps * (a2.max() + b2) + (0.0 if digits is None else 10.0**-digits)
         for at in range(0, len(bv), 256):
-            d2 = np.maximum(0, (bv[at : at + 256] ** 2).sum(1)[:, None] + (av**2).sum(1)[None, :] - 2 * bv[at : at + 256] @ av.T)
+            d2 = np.maximum(0, b2[at : at + 256, None] + a2[None, :] - 2 * bv[at : at + 256] @ av.T)
             for i, row in enumerate(d2):
                 if exclude_self:
                     row[ai == bi[at + i]] = np.inf
-                near = np.argpartition(row, min(k, len(row) - 1))[: k + 1] if len(row) > k else np.arange(len(row))
-                edge = row[near].max() if len(row) > k else np.inf
-                near = np.flatnonzero(row <= edge) if len(row) > k else near
-                exact = np.sqrt(((av[near] - bv[at + i]) ** 2).sum(1))
-                keep = np.isfinite(row[near])
-                near, exact = near[keep], exact[keep]
-                best = np.lexsort((ai[near], exact))[:k]
-                out.append((np.full(len(best), bi[at + i]), ai[near[best]], exact[best]))
-        return pd.DataFrame({"query": np.concatenate([o[0] for o in out]), "id": np.concatenate([o[1] for o in out]), "distance": np.concatenate([o[2] for o in out])})
+                near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1] + slack[at + i]) if len(row) > k else np.arange(len(row))
+                near = near[np.isfinite(row[near])]
+                square = ((av[near] - bv[at + i]) ** 2).sum(1)
+                exact = np.sqrt(square)
+                far = exact if digits is None else np.floor(square * 10.0**digits + 0.5)
+                best = np.lexsort((ai[near], far))[:k]
+                out.append((np.full(len(best), bi[at + i]), ai[near[best]], exact[best], far[best]))
+        return pd.DataFrame({c: np.concatenate([o[x] for o in out]) for x, c in enumerate(("query", "id", "distance", "far"))})
 
     columns = ["cell", "part", "share", "id", "v", "q"]
-    return left.select(*columns).unionByName(right.select(*columns)).groupBy("cell", "part", "share").applyInPandas(meet, "query long, id long, distance double")
+    return left.select(*columns).unionByName(right.select(*columns)).groupBy("cell", "part", "share").applyInPandas(meet, "query long, id long, distance double, far double")
 
 
 def _visits(asking: DataFrame, bounds: DataFrame, pivots: np.ndarray, radii: dict[int, float], parts: dict[int, int]) -> DataFrame:
@@ -117,9 +123,10 @@ def _visits(asking: DataFrame, bounds: DataFrame, pivots: np.ndarray, radii: dic
     return known.mapInPandas(run, "id long, v array<double>, cell int, part int")
 
 
-def nearest(rows: DataFrame, queries: DataFrame, key: str, features: list[str], k: int, exclude_self: bool = False, block: int = 4096) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, key: str, features: list[str], k: int, exclude_self: bool = False, block: int = 4096, digits: int | None = None) -> DataFrame:
     """(query, place, id, distance): the k nearest rows of every query by Euclidean distance, ties by id; exact.
 
+    With digits, distances are ties where their squares agree when rounded to so many decimals.
     Rows lie in cells around pivots, at most MOST_PIVOTS of them, and large cells in parts, so each row is in one
     block of about ``block`` rows. A query looks at one block of its own cell first; its k-th best distance
     there rules out, by the triangle inequality, most other cells for it, and it goes to those that are left.
@@ -136,13 +143,14 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, features: list[str],
     part = F.pmod(F.xxhash64("id"), of_cell).cast("int")
     dealt = durable(dealt.withColumn("part", part))
     asking = durable(_celled(q, pivots).where(F.col("cell").isin(list(parts))).withColumn("part", part))
-    found = _best_of(dealt, asking, k, exclude_self, block)
+    found = _best_of(dealt, asking, k, exclude_self, block, digits)
     if sum(parts.values()) > 1:
         found = durable(found)
-        bounds = found.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound"))
+        bound = F.max("distance") if digits is None else F.sqrt(F.pow(F.max("distance"), 2) + 10.0**-digits)  # a tie may lie a little farther
+        bounds = found.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, bound).alias("bound"))
         visits = durable(_visits(asking, bounds, pivots, {c: far for c, (_, far) in sizes.items()}, parts))
-        found = found.unionByName(_best_of(dealt, visits, k, exclude_self, block))
-    place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
+        found = found.unionByName(_best_of(dealt, visits, k, exclude_self, block, digits))
+    place = F.row_number().over(Window.partitionBy("query").orderBy("far", "id"))
     return found.withColumn("place", place).where(F.col("place") <= k).select("query", "place", "id", "distance")
 
 
@@ -156,7 +164,7 @@ def knn_predict(train: DataFrame, df: DataFrame, key: str, features: list[str],
     """(key, prediction): the neighbours' vote (ties to the smaller label) or their mean. Distances are between scaled features."""
     if scaled:
         train, df = _scaled(train, features, df)
-    near = nearest(train, df, key, features, k).join(train.select(F.col(key).cast("long").alias("id"), F.col(label).alias("_y")), "id")
+    near = nearest(train, df, key, features, k, digits=TIE_DIGITS if scaled else None).join(train.select(F.col(key).cast("long").alias("id"), F.col(label).alias("_y")), "id")
     w = F.lit(1.0) if weights == "uniform" else 1 / F.greatest("distance", F.lit(1e-12))
     if not classify:
         return near.groupBy(F.col("query").alias(key)).agg((F.sum(w * F.col("_y")) / F.sum(w)).alias("prediction"))
@@ -169,10 +177,11 @@ def local_outlier_factor(train: DataFrame, df: DataFrame, key: str, features: li
     """(key, lof) of new rows against the training rows: mean reachability density of the neighbours over the row's own. Distances are between scaled features."""
     if scaled:
         train, df = _scaled(train, features, df)
-    own = durable(nearest(train, train, key, features, k, exclude_self=True))
+    digits = TIE_DIGITS if scaled else None
+    own = durable(nearest(train, train, key, features, k, exclude_self=True, digits=digits))
     reach_k = own.groupBy(F.col("query").alias("id")).agg(F.max("distance").alias("kd"))
     density = own.join(reach_k, "id").groupBy(F.col("query").alias("id")).agg((1 / F.greatest(F.avg(F.greatest("distance", "kd")), F.lit(1e-12))).alias("lrd"))
-    near = nearest(train, df, key, features, k).join(reach_k, "id").join(density, "id")
+    near = nearest(train, df, key, features, k, digits=digits).join(reach_k, "id").join(density, "id")
     return near.groupBy(F.col("query").alias(key)).agg((F.avg("lrd") * F.greatest(F.avg(F.greatest("distance", "kd")), F.lit(1e-12))).alias("lof"))
 
 

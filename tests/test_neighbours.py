@@ -43,6 +43,35 @@ def test_fewer_rows_than_asked_for_and_none(spark):
     assert NB.nearest(one.limit(0), many, "key", ["a"], 5).count() == 0 == NB.nearest(many, one.limit(0), "key", ["a"], 5).count()
 
 
+@pytest.mark.parametrize("block", [4096, 64])
+def test_rows_equally_far_after_scaling_go_by_id(spark, block):
+    r = np.random.default_rng(3)
+    cents = r.integers(-99_985, 999_980, 40)
+    cents = np.concatenate([cents, *(np.repeat(cents + side * step, 3) for step in (176, 1421, 2832) for side in (-1, 1))])  # equally far on both sides, in copies
+    ids = r.permutation(len(cents))
+    df = spark.createDataFrame([(int(i), c / 100 / 1000, float(i)) for i, c in zip(ids, cents.tolist(), strict=True)], "key long, a double, y double").repartition(3)
+    queries = df.where(F.col("key").isin(ids[:40].tolist()))
+    rows = df.where(~F.col("key").isin(ids[:40].tolist()))
+    want = {int(q): [int(i) for _, i in sorted((abs(c - cq), i) for c, i in zip(cents[40:], ids[40:], strict=True))[:3]] for cq, q in zip(cents[:40], ids[:40], strict=True)}
+    scaled = NB._scaled(rows, ["a"], queries)
+    got = found(NB.nearest(*scaled, "key", ["a"], 3, block=block, digits=NB.TIE_DIGITS))
+    assert {q: [i for _, i in near] for q, near in got.items()} == want
+    means = {r["key"]: r["prediction"] for r in NB.knn_predict(rows, queries, "key", ["a"], "y", 3, classify=False).collect()}
+    assert means == pytest.approx({q: sum(near) / 3 for q, near in want.items()})
+
+
+@pytest.mark.parametrize("block", [4096, 64])
+def test_nearly_equal_distances_are_told_by_differences(spark, block):
+    r = np.random.default_rng(4)
+    cents, nation = r.integers(-99_985, 999_980, 40), r.integers(0, 25, 40)
+    sides = [(c + side * step, n) for c, n in zip(cents.tolist(), nation.tolist(), strict=True) for step in (176, 1421) for side in (-1, 1) for _ in range(6)]
+    make = lambda t: spark.createDataFrame([(i, *v) for i, v in t], "key long, a double, b double").repartition(3)
+    rows = list(zip(r.permutation(len(sides)).tolist(), [(c / 100 / 1000, float(n)) for c, n in sides], strict=True))
+    queries = [(i, (c / 100 / 1000, float(n))) for i, (c, n) in enumerate(zip(cents.tolist(), nation.tolist(), strict=True))]
+    got, want = found(NB.nearest(make(rows), make(queries), "key", ["a", "b"], 5, block=block)), brute(rows, queries, 5)
+    assert {q: [i for _, i in near] for q, near in got.items()} == {q: [i for _, i in near] for q, near in want.items()}
+
+
 def test_most_blocks_are_never_looked_at(spark, monkeypatch):
     sf = "/root/testdata/sf0.01"
     o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("key"), (F.col("o_totalprice") / 1e4).alias("a"), (F.col("o_custkey") / 100.0).alias("b"))
